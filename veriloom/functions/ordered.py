@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from veriloom.functions.columns import to_long
+from veriloom.functions.skew import lookup_join
 from veriloom.session import materialize
 
 PIECE = "_piece"
@@ -33,14 +34,16 @@ def cut_by_range(df: DataFrame, order: Sequence[str | Column]) -> DataFrame:
 
 def running(df: DataFrame, keys: Sequence[str], order: Sequence[str],
             sums: dict[str, Column] | None = None,
-            lasts: dict[str, Column] | None = None) -> DataFrame:
+            lasts: dict[str, Column] | None = None,
+            totals: dict[str, Column] | None = None) -> DataFrame:
     """Running sums and last non-null values per group, current row included.
 
-    ``order`` must be unique within a group (end it with a row key), or rows with
-    equal order must be aggregated beforehand.
+    ``totals`` adds sums over the whole group. ``order`` must be unique within a
+    group (end it with a row key), or rows of equal order be aggregated before.
     """
-    keys, order, sums, lasts = list(keys), list(order), sums or {}, lasts or {}
-    measures = {f"_m_{n}": c for n, c in {**sums, **lasts}.items()}
+    keys, order = list(keys), list(order)
+    sums, lasts, totals = sums or {}, lasts or {}, totals or {}
+    measures = {f"_m_{n}": c for n, c in {**sums, **lasts, **totals}.items()}
     cut = cut_by_range(df.withColumns(measures), keys + order)
 
     local = (W.partitionBy(PIECE, *keys).orderBy(*order)
@@ -49,16 +52,31 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str],
         **{f"_l_{n}": F.sum(f"_m_{n}").over(local) for n in sums},
         **{f"_l_{n}": F.last(f"_m_{n}", ignorenulls=True).over(local) for n in lasts},
     })
+    helper = [PIECE] + [f"_{t}_{n}" for n in (*sums, *lasts, *totals) for t in "mlc"]
+    if cut.rdd.getNumPartitions() == 1:
+        # all rows fitted one piece, so no group continues elsewhere
+        whole = W.partitionBy(PIECE, *keys)
+        out = {n: F.col(f"_l_{n}") for n in (*sums, *lasts)}
+        out.update({n: F.sum(f"_m_{n}").over(whole) for n in totals})
+        return here.withColumns(out).drop(*helper)
+
     carry = _carry(cut, keys, order, list(sums), list(lasts))
     gkeys = [f"_k{i}" for i in range(len(keys))]
     match = F.col(PIECE) == F.col("_p")
     for k, g in zip(keys, gkeys):
         match = match & F.col(k).eqNullSafe(F.col(g))
     joined = here.join(F.broadcast(carry), match, "left")
-    out = {n: F.col(f"_l_{n}") + F.coalesce(F.col(f"_c_{n}"), F.lit(0)) for n in sums}
+    out = {n: F.coalesce(F.col(f"_l_{n}") + F.coalesce(F.col(f"_c_{n}"), F.lit(0)), F.col(f"_c_{n}"))
+           for n in sums}
     out.update({n: F.coalesce(F.col(f"_l_{n}"), F.col(f"_c_{n}")) for n in lasts})
-    helper = ([PIECE, "_p", *gkeys] + [f"_{t}_{n}" for n in (*sums, *lasts) for t in "mlc"])
-    return joined.withColumns(out).drop(*helper)
+    done = joined.withColumns(out)
+    if totals and keys:
+        group = cut.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"),
+                                       *[F.sum(f"_m_{n}").alias(n) for n in totals])
+        done = lookup_join(done, group, keys, F.struct(*order), weight="_rows").drop("_rows")
+    elif totals:
+        done = done.withColumns({n: cut.agg(F.sum(f"_m_{n}")).scalar() for n in totals})
+    return done.drop("_p", *gkeys, *helper)
 
 
 def _carry(cut: DataFrame, keys: list[str], order: list[str],
@@ -155,12 +173,7 @@ def quantiles_of_counts(hist: DataFrame, keys: Sequence[str], value: str, count:
                         probs: dict[str, float]) -> DataFrame:
     """Exact quantiles from a (group, value, count) histogram."""
     keys = list(keys)
-    cum = running(hist, keys, [value], sums={"_cum": F.col(count)})
-    totals = hist.groupBy(*keys).agg(F.sum(count).alias("n")) if keys else None
-    if keys:
-        joined = cum.join(totals, keys)
-    else:
-        joined = cum.withColumn("n", hist.agg(F.sum(count)).scalar())
+    joined = running(hist, keys, [value], sums={"_cum": F.col(count)}, totals={"n": F.col(count)})
     first, after = F.col("_cum") - F.col(count), F.col("_cum")
     aggs = [F.max("n").alias("n")]
     for name, p in probs.items():
