@@ -159,8 +159,8 @@ def quantiles(df: DataFrame, columns: Sequence[str], probs: dict[str, float],
               keys: Sequence[str] = ()) -> DataFrame:
     """Exact linear-interpolated quantiles of several columns.
 
-    Returns one row per group and feature with one column per entry of ``probs``
-    and ``n``, the number of values. Values are first collapsed to a histogram
+    Returns one row per group and feature with one column per entry of ``probs``,
+    ``n`` (the number of values) and ``distinct_values``. Values are first collapsed to a histogram
     with map-side combine; no aggregate holds more than a few numbers per group.
     """
     keys = list(keys)
@@ -173,9 +173,10 @@ def quantiles_of_counts(hist: DataFrame, keys: Sequence[str], value: str, count:
                         probs: dict[str, float]) -> DataFrame:
     """Exact quantiles from a (group, value, count) histogram."""
     keys = list(keys)
-    joined = running(hist, keys, [value], sums={"_cum": F.col(count)}, totals={"n": F.col(count)})
+    joined = running(hist, keys, [value], sums={"_cum": F.col(count)},
+                     totals={"n": F.col(count), "distinct_values": F.lit(1).cast("long")})
     first, after = F.col("_cum") - F.col(count), F.col("_cum")
-    aggs = [F.max("n").alias("n")]
+    aggs = [F.max(c).alias(c) for c in ("n", "distinct_values")]
     for name, p in probs.items():
         pos = F.col("n").cast("double") - 1.0
         lo, hi = F.floor(pos * p), F.ceil(pos * p)
@@ -187,7 +188,7 @@ def quantiles_of_counts(hist: DataFrame, keys: Sequence[str], value: str, count:
         pos = (F.col("n").cast("double") - 1.0) * p
         lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
         out.append((lo + (hi - lo) * (pos - F.floor(pos))).alias(name))
-    return found.select(*keys, "n", *out)
+    return found.select(*keys, "n", "distinct_values", *out)
 
 
 def average_ranks(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:

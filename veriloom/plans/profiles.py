@@ -75,7 +75,25 @@ def models_scored(spark: SparkSession, sf: str) -> DataFrame:
 
 THRESHOLDS = {"model_a": 0.2, "model_b": 0.3, "model_c": 0.4}
 
+# A version of the claims with planted faults, derived from the keys.
+FAULTY_FIELDS = {
+    "claim_id": "cast(o_orderkey - (case when o_orderkey % 40 = 7 then 1 else 0 end) as bigint)",
+    "customer_id": "o_custkey",
+    "claim_amount": "case when o_orderkey % 6 = 0 then null when o_orderkey % 9 = 4 then -o_totalprice else o_totalprice end",
+    "customer_age": "cast(18 + (o_custkey % 63) + (case when o_orderkey % 8 = 3 then 500 else 0 end) as int)",
+    "zero_count": "cast(case when o_orderkey % 3 = 0 then 5 else 0 end as int)",
+    "claim_type": "o_orderpriority",
+    "rank_text": "case when o_orderkey % 10 = 0 then 'n/a' else left(o_orderpriority, 1) end",
+    "filed_date": "case when o_orderkey % 50 = 0 then 'not a date' else concat('1999-01-0', cast(1 + o_orderkey % 9 as varchar(5))) end",
+}
+
+
+def faulty(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "orders").select(*[F.expr(e).alias(n) for n, e in FAULTY_FIELDS.items()])
+
+
 VIEWS = {
+    "faulty": "(select " + ", ".join(f"{e} as {n}" for n, e in FAULTY_FIELDS.items()) + " from orders)",
     "claims": "(select " + ", ".join(f"{e} as {n}" for n, e in CLAIM_FIELDS.items()) +
               " from orders left join customer on o_custkey = c_custkey"
               " left join nation on c_nationkey = n_nationkey"
@@ -102,7 +120,7 @@ VIEWS = {
 
 def history(spark: SparkSession, sf: str) -> DataFrame:
     """Daily metric per model, the shape of a metric history table."""
-    return (events(spark, sf).groupBy(F.col("event_type").alias("model"), F.date_trunc("day", "ts").alias("ts"))
+    return (events(spark, sf).groupBy(F.col("event_type").alias("model"), F.date_trunc("day", "ts").cast("timestamp_ntz").alias("ts"))
             .agg(F.avg(F.when(F.col("value") > 10, 1.0).otherwise(0.0)).alias("value"),
                  F.count(F.lit(1)).alias("prediction_count")))
 

@@ -121,7 +121,7 @@ def read_text_files(spark: SparkSession, path: str, **options) -> DataFrame:
     """Whole files as text: UTF-8, or Latin-1 where the bytes are not valid UTF-8."""
     files = spark.read.format("binaryFile").options(**options).load(path)
     valid = F.is_valid_utf8(F.col("content").cast("string"))
-    text = F.when(valid, F.decode("content", F.lit("UTF-8"))).otherwise(F.decode("content", F.lit("ISO-8859-1")))
+    text = F.when(valid, F.decode("content", "UTF-8")).otherwise(F.decode("content", "ISO-8859-1"))
     return (files.select(F.col("path").alias("key"), text.alias("content"),
                          F.when(valid, "utf-8").otherwise("latin-1").alias("encoding_used"))
             .withColumns({
