@@ -1 +1,163 @@
+"""Queries over text processing."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from veriloom.functions import lexicon as L
+from veriloom.operators import text as X
+from veriloom.plans import profiles as P
+from veriloom.plans.registry import query
+from veriloom.session import materialize, scratch_path
+
+
+def _docs(spark, sf):
+    return P.documents(spark, sf).select("doc_id", "text")
+
+
+def _r(df, **places):
+    return df.withColumns({c: F.round(c, n) for c, n in places.items()})
+
+
+def _q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+EXPANDED = "{t}"
+for _a, _b in L.CONTRACTIONS:
+    EXPANDED = f"replace({EXPANDED}, {_q(_a)}, {_q(_b)})"
+WORDS = "(" + ", ".join(_q(w) for w in L.STOPWORDS) + ")"
+_TRIMMED = f"regexp_replace(text, '^[{L.SPACE}]+|[{L.SPACE}]+$', '', 'g')"
+_FLAT = f"regexp_replace(lower({EXPANDED.format(t=_TRIMMED)}), '[{L.SPACE}]+', ' ', 'g')"
+# doc_id, tok: cleaned tokens per document
+TOKENS = f"""(select doc_id, text, list_filter(string_split(regexp_replace(case when length(flat) between 10 and 5000 then flat else '' end,
+    '[!-/:-@\\[-`{{-~]', '', 'g'), ' '), lambda w: length(w) between 2 and 20 and w not in {WORDS}) as tok
+    from (select doc_id, text, {_FLAT} as flat from documents) t0)"""
+
+
+@query("txt_expand_contractions", f"select doc_id, {EXPANDED.format(t='text')} as text from documents")
+def _(spark, sf):
+    return _docs(spark, sf).select("doc_id", X.expand_contractions("text").alias("text"))
+
+
+@query("txt_clean", f"select doc_id, array_to_string(tok, ' ') as cleaned from {TOKENS} t")
+def _(spark, sf):
+    return _docs(spark, sf).select("doc_id", X.clean("text").alias("cleaned"))
+
+
+@query("txt_lemma", f"""
+    with t as {TOKENS}, w as (select doc_id, unnest(tok) as form, generate_subscripts(tok, 1) as pos from t),
+    v as (select distinct form from w), d as (select form, form[:-2] as lemma from v where form like '%s' and length(form) > 3 and form[:-2] in (select form from v)),
+    j as (select doc_id, string_agg(coalesce(lemma, w.form), ' ' order by pos) as lemmas from w left join d on w.form = d.form group by doc_id)
+    select doc_id, coalesce(lemmas, '') as lemmas from t left join j using (doc_id)""")
+def _(spark, sf):
+    docs = _docs(spark, sf).select("doc_id", X.tokens("text").alias("tok"))
+    lemmas = X.plural_lemmas(docs.select(F.explode("tok").alias("word")), "word")
+    return X.lemmatize(docs, "doc_id", "tok", lemmas).select("doc_id", F.array_join("tok", " ").alias("lemmas"))
+
+
+def _count(pattern: str) -> str:
+    return f"len(regexp_extract_all(text, {_q(pattern)}))::int"
+
+
+@query("txt_stats", f"""
+    select doc_id, length(text)::int as text_length, {_count(f'[^{L.SPACE}]+')} as word_count, {_count(L.SENTENCE)} as sentence_count,
+      round(case when len(tok) > 0 then list_sum(list_transform(tok, lambda w: length(w)))::double / len(tok) else 0 end, 6) as avg_word_length,
+      {_count(r'[!-/:-@\[-`{-~]')} as punctuation_count, {_count(r'\p{Lu}')} as capital_letters_count, {_count(r'\p{Nd}')} as digit_count from {TOKENS} t""")
+def _(spark, sf):
+    return _r(X.basic_stats(_docs(spark, sf), "text").drop("text"), avg_word_length=6)
+
+
+@query("txt_keyword_mentions", "select doc_id, " + ", ".join(
+    "(" + " + ".join(f"contains(lower(text), '{w}')::int" for w in words) + f")::int as {c}_mentions" for c, words in L.KEYWORDS.items()) + " from documents")
+def _(spark, sf):
+    return X.keyword_mentions(_docs(spark, sf), "text").drop("text")
+
+
+@query("txt_entity_counts", "select doc_id, " + ", ".join(f"{_count('(?i)' + p)} as {n}" for n, p in L.ENTITIES.items()) + " from documents")
+def _(spark, sf):
+    return X.entity_counts(_docs(spark, sf), "text").drop("text")
+
+
+def _hits(words):
+    return "(" + " + ".join(f"contains(lower(text), '{w}')::int" for w in words) + ")"
+
+
+@query("txt_sentiment", f"""
+    with s as (select doc_id, {_hits(L.POSITIVE)} as p, {_hits(L.NEGATIVE)} as n, {_count(f'[^{L.SPACE}]+')} as w from documents)
+    select doc_id, round((p - n) / greatest(p + n, 1), 6) as sentiment_compound, round(p / greatest(p + n, 1), 6) as sentiment_positive,
+      round(n / greatest(p + n, 1), 6) as sentiment_negative, round(1 - (p + n) / greatest(w, 1), 6) as sentiment_neutral from s""")
+def _(spark, sf):
+    out = X.sentiment(_docs(spark, sf), "text").drop("text")
+    return _r(out, **{c: 6 for c in out.columns if c != "doc_id"})
+
+
+TERMS = f"""t as (select doc_id, tok from {TOKENS} t1 where length(array_to_string(tok, ' ')) >= 10),
+    g as (select doc_id, unnest(list_concat(tok, list_transform(range(1, len(tok)), lambda i: tok[i] || ' ' || tok[i + 1]))) as term from t),
+    c as (select doc_id, term, count(*) as tf from g group by 1, 2),
+    n as (select count(distinct doc_id) as n from c),
+    v as (select term, count(*) as df, sum(tf)::bigint as total from c group by 1 having count(*) >= 2 and count(*) <= 0.95 * (select n from n)
+          order by total desc, term limit 5000),
+    i as (select v.*, ln((n + 1.0::double) / (df + 1)) + 1 as idf from v, n)"""
+
+
+@query("txt_tfidf", f"""
+    with {TERMS}, w as (select doc_id, term, tf * idf as w from c join i using (term)),
+    s as (select *, sqrt(sum(w * w) over (partition by doc_id)) as norm from w)
+    select doc_id, term, round(w / norm, 6) as weight from s""")
+def _(spark, sf):
+    counts = materialize(X.term_counts(_docs(spark, sf), "doc_id", "text"))
+    return _r(X.tfidf(counts, X.fit_vocabulary(counts, "doc_id"), "doc_id"), weight=6)
+
+
+@query("txt_count_vector", f"with {TERMS} select doc_id, term, tf from c join i using (term)")
+def _(spark, sf):
+    counts = materialize(X.term_counts(_docs(spark, sf), "doc_id", "text"))
+    return X.count_vectors(counts, X.fit_vocabulary(counts, "doc_id")).select("doc_id", "term", "tf")
+
+
+@query("txt_idf_importance", f"with {TERMS} select 'tfidf_' || term as feature, round(idf, 6) as importance from i")
+def _(spark, sf):
+    counts = materialize(X.term_counts(_docs(spark, sf), "doc_id", "text"))
+    return _r(X.idf_importance(X.fit_vocabulary(counts, "doc_id")), importance=6)
+
+
+@query("txt_word2vec")
+def _(spark, sf):
+    docs = _docs(spark, sf).select("doc_id", X.tokens("text").alias("tok"))
+    model = X.fit_word2vec(docs, "tok", size=100)
+    return X.spread(model.transform(docs).drop("tok"), "w2v", 100, "w2v_dim")
+
+
+@query("txt_lda")
+def _(spark, sf):
+    docs = _docs(spark, sf).select("doc_id", X.tokens("text").alias("tok"))
+    model = X.fit_topics(docs, "tok", max_iter=10)
+    return X.spread(model.transform(docs).drop("tok", "_counts"), "topics", 10, "topic")
+
+
+@query("txt_kmeans")
+def _(spark, sf):
+    out = X.cluster(P.table(spark, sf, "embeddings"), "embedding", 10)
+    return out.select("vec_id", "label", "cluster")
+
+
+@query("txt_word_freq", f"""
+    select word, count(*) as n from (select unnest(regexp_split_to_array(lower(text), '[{L.SPACE}]+')) as word from documents) w
+    where word <> '' group by 1 order by n desc, word limit 100""")
+def _(spark, sf):
+    return X.word_frequencies(_docs(spark, sf), "text")
+
+
+@query("txt_language_filter", "select doc_id, lang, n_chars from documents where lang in ('en')")
+def _(spark, sf):
+    return X.language_filter(P.documents(spark, sf), "lang").select("doc_id", "lang", "n_chars")
+
+
+@query("txt_preprocessor")
+def _(spark, sf):
+    docs = _docs(spark, sf)
+    fitted = X.TextPreprocessor("doc_id", "text", w2v_size=20, topics=5, vocabulary=500, lda_iter=5).fit(docs)
+    path = scratch_path(spark, "text_preprocessor")
+    fitted.save(spark, path)
+    return X.FittedTextPreprocessor.load(spark, path).transform(docs).withColumn("tfidf_terms", F.size("tfidf")).drop("tfidf")
