@@ -44,6 +44,11 @@ STOPWORDS = (
     "haven isn ma mightn mustn needn shan shouldn wasn weren won wouldn").split()
 
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-# White space as text splitting sees it, in a form both Java and RE2 read.
-SPACE = (r"\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}")
+# White space as text splitting sees it: the plain space, the others as characters,
+# and all of them as a character class both Java and RE2 read.
+OTHER_SPACE = "\t\n\f\r\x0b\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+_OTHER_CLASS = r"\t\n\f\r\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+SPACE = " " + _OTHER_CLASS
+# White space that is not already a single plain space.
+UNTIDY_SPACE = f" ?[{_OTHER_CLASS}][{SPACE}]*| [{SPACE}]+"
 SENTENCE = rf"[^.!?]*[^.!?{SPACE}][^.!?]*"

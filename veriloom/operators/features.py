@@ -261,10 +261,9 @@ def mutual_information(df: DataFrame, features: Sequence[str], label: str, bins:
     """feature, score in nats, over equal-frequency bins."""
     probs = {f"q{i}": i / bins for i in range(1, bins)}
     q = quantiles(df, features, probs)
-    look = q.agg(F.map_from_entries(F.collect_list(F.struct("feature", F.array(*probs))))).scalar()
-    long = to_long(df, [label], features).where(F.col("value").isNotNull())
-    edge = look[F.col("feature")]
-    place = reduce(lambda a, b: a + b, [_flag(F.col("value") > edge[i]) for i in range(bins - 1)])
+    edges = F.broadcast(q.select("feature", *probs))  # one row per feature
+    long = to_long(df, [label], features).where(F.col("value").isNotNull()).join(edges, "feature")
+    place = reduce(lambda a, b: a + b, [_flag(F.col("value") > F.col(e)) for e in probs])
     cells = long.groupBy("feature", label, place.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     by = {"_t": ["feature"], "_x": ["feature", "bin"], "_y": ["feature", label]}
     joint = cells.withColumns({n: F.sum("n").over(W.partitionBy(*k)) for n, k in by.items()})

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from veriloom.functions import lexicon as L
 from veriloom.functions.columns import col
 from veriloom.functions.skew import small_or_salted_join
+from veriloom.session import materialize
 
 # Limits of cleaning and of the vocabulary.
 MIN_TEXT, MAX_TEXT = 10, 5000
@@ -30,9 +31,14 @@ def expand_contractions(text: str | Column) -> Column:
 
 def normalized(text: str | Column) -> Column:
     """Trimmed, expanded, lower-cased, single-spaced; blank if too short or too long."""
-    trimmed = F.regexp_replace(col(text), f"^[{L.SPACE}]+|[{L.SPACE}]+$", "")
-    flat = F.regexp_replace(F.lower(expand_contractions(trimmed)), f"[{L.SPACE}]+", " ")
-    return F.when(F.length(flat).between(MIN_TEXT, MAX_TEXT), flat).otherwise("")
+    trimmed = F.btrim(col(text), F.lit(" " + L.OTHER_SPACE))
+    flat = F.regexp_replace(F.lower(expand_contractions(trimmed)), L.UNTIDY_SPACE, " ")
+    return once(flat, lambda t: F.when(F.length(t).between(MIN_TEXT, MAX_TEXT), t).otherwise(""))
+
+
+def once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed a single time per row."""
+    return F.transform(F.array(value), use)[0]
 
 
 def tokens(text: str | Column, drop_digits: bool = False, stopwords: Sequence[str] = tuple(L.STOPWORDS)) -> Column:
@@ -210,8 +216,9 @@ class TextPreprocessor:
 
     def fit(self, df: DataFrame) -> "FittedTextPreprocessor":
         c = self.config
-        vocabulary = fit_vocabulary(term_counts(df, c["key"], c["text"]), c["key"], c["vocabulary"])
-        toks = df.select(tokens(c["text"]).alias("tok")).where(F.length(F.array_join("tok", " ")) >= MIN_TEXT)
+        vocabulary = materialize(fit_vocabulary(term_counts(df, c["key"], c["text"]), c["key"], c["vocabulary"]))
+        # both models pass over the tokens many times
+        toks = materialize(df.select(tokens(c["text"]).alias("tok")).where(F.length(F.array_join("tok", " ")) >= MIN_TEXT))
         return FittedTextPreprocessor(c, vocabulary, fit_word2vec(toks, "tok", c["w2v_size"]),
                                       fit_topics(toks, "tok", c["topics"], max_iter=c["lda_iter"]))
 

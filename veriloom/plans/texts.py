@@ -51,8 +51,8 @@ def _(spark, sf):
     j as (select doc_id, string_agg(coalesce(lemma, w.form), ' ' order by pos) as lemmas from w left join d on w.form = d.form group by doc_id)
     select doc_id, coalesce(lemmas, '') as lemmas from t left join j using (doc_id)""")
 def _(spark, sf):
-    docs = _docs(spark, sf).select("doc_id", X.tokens("text").alias("tok"))
-    lemmas = X.plural_lemmas(docs.select(F.explode("tok").alias("word")), "word")
+    docs = materialize(_docs(spark, sf).select("doc_id", X.tokens("text").alias("tok")))
+    lemmas = materialize(X.plural_lemmas(docs.select(F.explode("tok").alias("word")), "word"))
     return X.lemmatize(docs, "doc_id", "tok", lemmas).select("doc_id", F.array_join("tok", " ").alias("lemmas"))
 
 
@@ -124,14 +124,14 @@ def _(spark, sf):
 
 @query("txt_word2vec")
 def _(spark, sf):
-    docs = _docs(spark, sf).select("doc_id", X.tokens("text").alias("tok"))
+    docs = materialize(_docs(spark, sf).select("doc_id", X.tokens("text").alias("tok")))
     model = X.fit_word2vec(docs, "tok", size=100)
     return X.spread(model.transform(docs).drop("tok"), "w2v", 100, "w2v_dim")
 
 
 @query("txt_lda")
 def _(spark, sf):
-    docs = _docs(spark, sf).select("doc_id", X.tokens("text").alias("tok"))
+    docs = materialize(_docs(spark, sf).select("doc_id", X.tokens("text").alias("tok")))
     model = X.fit_topics(docs, "tok", max_iter=10)
     return X.spread(model.transform(docs).drop("tok", "_counts"), "topics", 10, "topic")
 
