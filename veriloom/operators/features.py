@@ -130,14 +130,15 @@ def rolling_mean(df: DataFrame, value: str, order: Sequence[str], keys: Sequence
     return row_frame(df, keys, order, rows - 1, {name or f"{value}_rolling_mean": F.avg(value)})
 
 
-def recent_count(df: DataFrame, key: str, ts: str, row_key: str, days: int = 30, name: str = "recent_claims_count") -> DataFrame:
-    """Rows of the same key in (t - days, t], those at t included.
+def recent_count(df: DataFrame, key: str, ts: str, row_key: str, span: int = 30 * DAY_MICROS,
+                 name: str = "recent_claims_count") -> DataFrame:
+    """Rows of the same key in (t - span, t], those at t included; ``span`` in microseconds.
 
-    Each row counts +1 from its own time and -1 from ``days`` later, so the count
+    Each row counts +1 from its own time and -1 from ``span`` later, so the count
     at a time is a running sum of at most two entries per distinct (key, time).
     """
     own = df.where(F.col(ts).isNotNull()).groupBy(key, micros(F.col(ts)).alias("_t")).agg(F.count(F.lit(1)).alias("_n"))
-    ends = own.select(key, (F.col("_t") + days * DAY_MICROS).alias("_t"), (-F.col("_n")).alias("_d"), F.lit(0).cast("long").alias("_n"))
+    ends = own.select(key, (F.col("_t") + span).alias("_t"), (-F.col("_n")).alias("_d"), F.lit(0).cast("long").alias("_n"))
     steps = own.select(key, "_t", F.col("_n").alias("_d"), "_n").unionAll(ends)
     merged = steps.groupBy(key, "_t").agg(F.sum("_d").alias("_d"), F.sum("_n").alias("_n"))
     counts = running(merged, [key], ["_t"], sums={name: F.col("_d")}).where(F.col("_n") > 0).select(key, "_t", "_n", name)
