@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from veriloom.functions.lexicon import ENTITIES
 
-# Order of masking (specific patterns before the general amount) and the masks.
-MASKS = (("phone_numbers", "[PHONE]"), ("dates_mentioned", "[DATE]"), ("times_mentioned", "[TIME]"),
-         ("license_plates", "[PLATE]"), ("monetary_amounts", "[AMOUNT]"))
+# Patterns and masks, specific ones before amounts. An amount needs a digit here,
+# so that commas of the prose stay.
+MASKS = ((ENTITIES["phone_numbers"], "[PHONE]"), (ENTITIES["dates_mentioned"], "[DATE]"), (ENTITIES["times_mentioned"], "[TIME]"),
+         (ENTITIES["license_plates"], "[PLATE]"), (r"\$?\d[\d,]*\.?\d*", "[AMOUNT]"))
 
 
 def pseudonymize(df: DataFrame, columns: list[str], salt: str) -> DataFrame:
@@ -21,7 +22,7 @@ def pseudonymize(df: DataFrame, columns: list[str], salt: str) -> DataFrame:
 
 def anonymize(df: DataFrame, text: str) -> DataFrame:
     """Masks phone numbers, dates, times, plates and amounts in text."""
-    masked = reduce(lambda c, m: F.regexp_replace(c, f"(?i){ENTITIES[m[0]]}", m[1]), MASKS, F.col(text))
+    masked = reduce(lambda c, m: F.regexp_replace(c, f"(?i){m[0]}", m[1]), MASKS, F.col(text))
     return df.withColumn(text, masked)
 
 

@@ -193,24 +193,30 @@ def sustained(df: DataFrame, key: str, ts: str, row_key: str, condition: Column,
     return g.withColumn("minutes", lasted).where(F.col("minutes") >= minutes).drop("_island")
 
 
-def cooldown(alerts: DataFrame, keys: Sequence[str], ts: str, hours: float, grid_minutes: int) -> DataFrame:
+def cooldown(alerts: DataFrame, keys: Sequence[str], ts: str, hours: float, grid_minutes: int,
+             last_sent: DataFrame | None = None) -> DataFrame:
     """At most one alert per key within ``hours``, the earliest first.
 
     Alerts come from rules evaluated on a time grid, so those of one key and grid
     step are one alert. A key has at most one entry per step, however many rows
     raised it, and the greedy choice runs over that short ordered list.
+    ``last_sent`` (keys, sent_at) carries on from an earlier run.
     """
-    step = grid_minutes * 60_000_000
+    keys = list(keys)
+    step, gap = grid_minutes * 60_000_000, int(hours * 3_600_000_000)
     slot = (F.floor(micros(F.col(ts)) / F.lit(step)) * step).cast("long")
     slots = alerts.groupBy(*keys, slot.alias("_slot")).agg(F.count(F.lit(1)).alias("_n"))
-    gap = int(hours * 3_600_000_000)
-    ordered = F.array_sort(F.collect_list("_slot"))
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<bigint>").alias("sent"))
+    per_key = slots.groupBy(*keys).agg(F.sum("_n").alias("raised"), F.array_sort(F.collect_list("_slot")).alias("_s"))
+    before = F.lit(None).cast("long")
+    if last_sent is not None:
+        last = last_sent.groupBy(*keys).agg(F.max(micros(F.col("sent_at"))).alias("_last"))
+        per_key, before = per_key.join(last, keys, "left"), F.col("_last")
+    start = F.struct(before.alias("last"), F.array().cast("array<bigint>").alias("sent"))
 
     def send(acc, x):
         due = acc["last"].isNull() | (x >= acc["last"] + gap)
         return F.when(due, F.struct(x.alias("last"), F.concat(acc["sent"], F.array(x)).alias("sent"))).otherwise(acc)
-    sent = slots.groupBy(*keys).agg(F.sum("_n").alias("raised"), ordered.alias("_s")).withColumn("_a", F.aggregate("_s", start, send)["sent"])
+    sent = per_key.withColumn("_a", F.aggregate("_s", start, send)["sent"])
     return sent.select(*keys, "raised", F.explode("_a").alias("_t")).withColumn(
         "sent_at", F.timestamp_micros("_t").cast("timestamp_ntz")).drop("_t")
 

@@ -1 +1,181 @@
+"""Queries over splits, training, scoring and the registry."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from veriloom.operators import evaluate as V
+from veriloom.operators import modelling as M
+from veriloom.plans import profiles as P
+from veriloom.plans.registry import query
+from veriloom.session import materialize
+
+INPUTS = ["customer_age", "policy_duration", "quantity", "discount"]
+
+
+def _training(spark, sf):
+    """Claims with line-item totals as features and the risk level as label."""
+    lines = P.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("claim_id")).agg(
+        F.sum("l_quantity").alias("quantity"), F.avg("l_discount").alias("discount"))
+    df = P.claims(spark, sf, "claim_id", "customer_age", "policy_duration", "risk_level").join(lines, "claim_id")
+    return materialize(df.withColumn("label", F.when(F.col("risk_level") == "high", 1.0).otherwise(0.0)).drop("risk_level"))
+
+
+def _measure(scored):
+    y = scored.select(F.col("label").cast("int").alias("y_true"), F.when(F.col("predicted_risk") == "high", 1).otherwise(0).alias("y_pred"))
+    return V.basic_metrics(V.confusion(y)).select("accuracy", "f1_score").unpivot([], ["accuracy", "f1_score"], "metric", "value")
+
+
+@query("ml_split_stratified", """
+    with r as (select claim_id, risk_level, row_number() over (partition by risk_level order by md5(claim_id::varchar), claim_id) as rn,
+      count(*) over (partition by risk_level) as n from @claims c)
+    select claim_id, risk_level, case when rn <= floor(n * 0.2::double + 0.5) then 'test' else 'train' end as part from r""")
+def _(spark, sf):
+    return M.stratified_split(P.claims(spark, sf, "claim_id", "risk_level"), "claim_id", "risk_level")
+
+
+@query("ml_split_time", """
+    with r as (select claim_id, floor((row_number() over (order by claim_date, claim_id) - 1) * 6 / (count(*) over ())::double)::int as block from @claims c),
+    f as (select i as fold, claim_id, case when block <= i then 'train' else 'test' end as part from r, range(5) x(i) where block <= i + 1)
+    select fold::int as fold, part, count(*) as n, min(claim_id) as first_id, max(claim_id) as last_id from f group by 1, 2""")
+def _(spark, sf):
+    blocks = materialize(M.time_blocks(P.claims(spark, sf, "claim_id", "claim_date"), "claim_date", "claim_id"))
+    out = None
+    for i in range(5):
+        for part, rows in zip(("train", "test"), M.time_fold(blocks, i)):
+            s = rows.agg(F.count("*").alias("n"), F.min("claim_id").alias("first_id"), F.max("claim_id").alias("last_id")).select(
+                F.lit(i).alias("fold"), F.lit(part).alias("part"), "n", "first_id", "last_id")
+            out = s if out is None else out.unionAll(s)
+    return out
+
+
+@query("ml_class_weight", """
+    select risk_level, count(*) as n, round((select count(*) from orders)::double / (2 * count(*)), 6) as weight from @claims c group by 1""")
+def _(spark, sf):
+    return M.class_weights(P.claims(spark, sf, "risk_level"), "risk_level").withColumn("weight", F.round("weight", 6))
+
+
+@query("ml_train_rf")
+def _(spark, sf):
+    df = _training(spark, sf)
+    return M.score(M.train_forest(df, INPUTS, "label", trees=20, depth=8), df).select("claim_id", "predicted_risk", "p_high", "confidence")
+
+
+@query("ml_train_gbt")
+def _(spark, sf):
+    df = _training(spark, sf)
+    return M.score(M.train_boosted(df, INPUTS, "label", rounds=10, depth=4), df).select("claim_id", "predicted_risk", "p_high", "confidence")
+
+
+@query("ml_train_mlp")
+def _(spark, sf):
+    df = _training(spark, sf)
+    return M.score(M.train_network(df, INPUTS, "label", hidden=(16, 8), rounds=30), df).select("claim_id", "predicted_risk", "p_high", "confidence")
+
+
+@query("ml_tune")
+def _(spark, sf):
+    return M.tune_boosted(_training(spark, sf), INPUTS, "label", rounds=(3, 6), depths=(2, 4))
+
+
+@query("ml_cross_validate")
+def _(spark, sf):
+    df = _training(spark, sf)
+    return M.cross_validate(df, lambda d: M.train_logistic(d, INPUTS, "label", rounds=10), _measure, "claim_id", "label", folds=5)
+
+
+@query("ml_batch_score")
+def _(spark, sf):
+    df = _training(spark, sf)
+    return M.score(M.train_logistic(df, INPUTS, "label"), df).select("claim_id", "predicted_risk", "p_high", "p_low", "confidence")
+
+
+def _scored(spark, sf):
+    p = F.col("p")
+    return P.predictions(spark, sf).select("key", F.when(p >= 0.5, "high").otherwise("low").alias("predicted_risk"),
+                                           F.greatest(p, 1 - p).alias("confidence"))
+
+
+SCORED = "(select key, case when p >= 0.5 then 'high' else 'low' end as risk, greatest(p, 1 - p) as c from @predictions p0)"
+
+
+@query("ml_batch_stats", f"""
+    select count(*) as total_claims, count(*) filter (where risk = 'high') as high_risk_claims, count(*) filter (where risk = 'low') as low_risk_claims,
+      round(100.0::double * count(*) filter (where risk = 'high') / count(*), 6) as high_risk_percentage, round(avg(c), 6) as average_confidence from {SCORED} s""")
+def _(spark, sf):
+    return M.batch_stats(_scored(spark, sf)).withColumns({c: F.round(c, 6) for c in ("high_risk_percentage", "average_confidence")})
+
+
+@query("ml_business_impact", f"""
+    select key, risk as predicted_risk, round((case when risk = 'high' then 25000 else 5000 end) * c + (case when risk = 'high' then 500 else 0 end), 2) as estimated_cost,
+      case when risk = 'high' then 500.0 else 0.0 end::double as investigation_cost,
+      round(greatest(0, 15000 - ((case when risk = 'high' then 25000 else 5000 end) * c + (case when risk = 'high' then 500 else 0 end))), 2) as potential_savings,
+      case when risk = 'high' and c > 0.7 then 'investigate' else 'process_normally' end as recommendation from {SCORED} s""")
+def _(spark, sf):
+    return M.business_impact(_scored(spark, sf)).drop("confidence", "confidence_multiplier")
+
+
+@query("ml_feature_importance")
+def _(spark, sf):
+    model = M.train_forest(_training(spark, sf), INPUTS, "label", trees=10, depth=5)
+    return M.importance_summary(M.feature_importance(model, INPUTS, spark))
+
+
+@query("ml_permutation_importance")
+def _(spark, sf):
+    df = _training(spark, sf)
+    return M.permutation_importance(M.train_forest(df, INPUTS, "label", trees=10, depth=5), df, INPUTS, "claim_id", _measure)
+
+
+REGISTRY = """(select left(claim_type, 1)::int as version, round(avg((risk_level = 'high')::int), 6)::double as metric, max(claim_date) as created_at,
+    case when left(claim_type, 1) = '4' then 'Production' when left(claim_type, 1) = '5' then 'Staging' else 'Archived' end as stage from @claims c group by 1, 4)"""
+
+
+def _registry(spark, sf):
+    """One version per claim type, with the share of high risk as its metric."""
+    version = F.substring("claim_type", 1, 1).cast("int").alias("version")
+    g = P.claims(spark, sf, "claim_type", "risk_level", "claim_date").groupBy(version).agg(
+        F.round(F.avg(F.when(F.col("risk_level") == "high", 1.0).otherwise(0.0)), 6).alias("metric"), F.max("claim_date").alias("created_at"))
+    return g.withColumn("stage", F.when(F.col("version") == 4, "Production").when(F.col("version") == 5, "Staging").otherwise("Archived"))
+
+
+@query("ml_registry", f"select version, metric, created_at, case when version = 5 then 'Production' else 'Archived' end as stage from {REGISTRY} r")
+def _(spark, sf):
+    return M.promote(_registry(spark, sf), 5)
+
+
+@query("ml_rollback", f"select version, metric, created_at, case when version = 3 then 'Production' when version = 5 then 'Staging' else 'Archived' end as stage from {REGISTRY} r")
+def _(spark, sf):
+    return M.rollback(_registry(spark, sf))
+
+
+@query("ml_retrain_trigger", """
+    with s as (select lang as model, count(*) filter (where source = 'web') as drifted_features, avg((y_true = y_pred)::int) as accuracy, count(*) * 100 as new_rows from @predictions p group by 1),
+    r as (select *, list_filter([case when drifted_features >= 3 then 'Data drift detected' end, case when accuracy < 0.85 then 'Performance degradation' end,
+      case when model = 'en' then 'Scheduled retraining' end, case when new_rows > 5000 then 'Sufficient new data available' end], lambda x: x is not null) as reasons from s)
+    select model, array_to_string(reasons, '; ') as reasons, len(reasons) > 0 as should_retrain from r""")
+def _(spark, sf):
+    status = P.predictions(spark, sf).groupBy(F.col("lang").alias("model")).agg(
+        F.count_if(F.col("source") == "web").alias("drifted_features"), F.avg((F.col("y_true") == F.col("y_pred")).cast("int")).alias("accuracy"),
+        (F.count("*") * 100).alias("new_rows")).withColumn("schedule_due", F.col("model") == "en")
+    return M.retrain_reasons(status).select("model", F.array_join("reasons", "; ").alias("reasons"), "should_retrain")
+
+
+VARIANT = "case when ('0x' || md5(event_id::varchar)[1:8])::bigint % 100 < 10 then 'treatment' else 'control' end"
+
+
+@query("ml_ab_assign", f"select event_id, {VARIANT} as variant from events")
+def _(spark, sf):
+    return M.ab_assign(P.events(spark, sf).select("event_id"), "event_id")
+
+
+@query("ml_ab_compare", f"""
+    with a as (select {VARIANT} as variant, (event_type <> 'error')::int::double as ok, value from events),
+    s as (select avg(ok) filter (where variant = 'control') as ca, avg(value) filter (where variant = 'control') as cl,
+      avg(ok) filter (where variant = 'treatment') as ta, avg(value) filter (where variant = 'treatment') as tl from a)
+    select round(ca, 6) as control_accuracy, round(cl, 6) as control_latency, round(ta, 6) as treatment_accuracy, round(tl, 6) as treatment_latency,
+      round(ta - ca, 6) as accuracy_gain, round(tl - cl, 6) as latency_increase, ta - ca >= 0.02 and tl - cl <= 20 as success from s""")
+def _(spark, sf):
+    df = M.ab_assign(P.events(spark, sf).select("event_id", "event_type", "value"), "event_id")
+    out = M.ab_compare(df.withColumn("ok", F.col("event_type") != "error"), "ok", "value")
+    return out.withColumns({c: F.round(c, 6) for c in out.columns if c != "success"})

@@ -1 +1,164 @@
+"""Queries over Structured Streaming; each has a batch equivalent in SQL where one exists."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from veriloom.plans import profiles as P
+from veriloom.plans.registry import query
+from veriloom.session import scratch_path
+from veriloom.streaming import streams as S
+
+DELAY = "1 hour"
+# Windows are complete once the watermark, one hour behind the newest event, has passed their end.
+CLOSED = "(select date_trunc('millisecond', max(ts)) - interval 1 hour from events)"
+
+
+def _stream(spark, sf, **options):
+    return S.event_time(S.file_stream(spark, sf, P.events(spark, sf).schema, glob="events.parquet", **options))
+
+
+def _ntz(df, *names):
+    return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in names})
+
+
+def _table(spark, df, name, mode="append"):
+    path = scratch_path(spark, name)
+    S.run_to_table(df, path, scratch_path(spark, f"{name}-ckpt"), mode)
+    return spark.read.parquet(path)
+
+
+def _scored(df):
+    """Events as predictions: label known for two thirds of them."""
+    return df.select("event_id", "ts", "user_id", F.when(F.col("value") > 10, 1).otherwise(0).alias("y_pred"),
+                     F.when(F.col("event_id") % 3 != 0, F.when(F.col("user_id") % 2 == 0, 1).otherwise(0)).alias("y_true"),
+                     (F.lit(0.5) + (F.col("event_id") % 50) / 100.0).cast("double").alias("confidence"))
+
+
+SCORED = """(select event_id, ts, user_id, (value > 10)::int as y_pred, case when event_id % 3 <> 0 then (user_id % 2 = 0)::int end as y_true,
+    (0.5 + (event_id % 50) / 100.0)::double as confidence from events)"""
+
+
+@query("st_source", "select event_id, ts, user_id, event_type, value, props from events")
+def _(spark, sf):
+    return _ntz(_table(spark, _stream(spark, sf), "st_source"), "ts")
+
+
+@query("st_incremental_load", "select event_id, value from events")
+def _(spark, sf):
+    path, ckpt = scratch_path(spark, "st_inc"), scratch_path(spark, "st_inc-ckpt")
+    for _run in range(2):  # the second run finds nothing new
+        S.run_to_table(_stream(spark, sf).select("event_id", "value"), path, ckpt)
+    return spark.read.parquet(path)
+
+
+@query("st_validate_quarantine", """
+    select event_id, array_to_string(list_filter([case when value <= 5 then 'value' end, case when event_type = 'error' then 'event_type' end],
+      lambda x: x is not null), ',') as violations from events""")
+def _(spark, sf):
+    good, bad = scratch_path(spark, "st_good"), scratch_path(spark, "st_bad")
+    rules = {"value": F.col("value") > 5, "event_type": F.col("event_type") != "error"}
+    S.run_batches(_stream(spark, sf), S.quarantine_writer(rules, good, bad), scratch_path(spark, "st_quarantine-ckpt"))
+    kept = spark.read.parquet(good).select("event_id", F.lit("").alias("violations"))
+    return kept.unionAll(spark.read.parquet(bad).select("event_id", F.array_join("violations", ",")))
+
+
+@query("st_dedup", "select event_id, user_id, value from events")
+def _(spark, sf):
+    twice = _stream(spark, sf).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
+    return _table(spark, S.deduplicate(twice, "ts", ["event_id"], DELAY).select("event_id", "user_id", "value"), "st_dedup")
+
+
+@query("st_tumbling_metrics", f"""
+    select date_trunc('hour', ts) as window_start, coalesce(round(count(*) filter (where y_true = y_pred)::double / nullif(count(y_true), 0), 6), 0)::double as accuracy,
+      count(*) as prediction_count, count(y_true) as labeled_count, round(avg(confidence), 6) as avg_confidence
+    from {SCORED} s group by 1 having date_trunc('hour', min(ts)) + interval 1 hour <= {CLOSED}""")
+def _(spark, sf):
+    out = _table(spark, S.tumbling_metrics(_scored(_stream(spark, sf)), "ts", "1 hour", DELAY), "st_tumbling")
+    return _ntz(out, "window_start").select("window_start", F.round("accuracy", 6).alias("accuracy"), "prediction_count", "labeled_count",
+                                            F.round("avg_confidence", 6).alias("avg_confidence"))
+
+
+@query("st_sliding_metrics", f"""
+    with w as (select date_trunc('hour', ts) - k * interval 1 hour as window_start, s.* from {SCORED} s, range(24) r(k))
+    select window_start, count(*) as prediction_count, coalesce(round(count(*) filter (where y_true = y_pred)::double / nullif(count(y_true), 0), 6), 0)::double as accuracy,
+      round(sum(confidence) / count(*), 9) as avg_confidence from w group by 1 having window_start + interval 24 hours <= {CLOSED}""")
+def _(spark, sf):
+    out = _table(spark, S.sliding_metrics(_scored(_stream(spark, sf)), "ts", "24 hours", "1 hour", DELAY), "st_sliding")
+    return _ntz(out, "window_start").withColumns({"accuracy": F.round("accuracy", 6), "avg_confidence": F.round("avg_confidence", 9)})
+
+
+@query("st_rate_alert", f"""
+    with w as (select user_id, time_bucket(interval 10 minutes, ts) - k * interval 10 minutes as window_start from events, range(6) r(k))
+    select user_id, window_start, count(*) as n from w group by 1, 2 having count(*) > 1 and window_start + interval 1 hour <= {CLOSED}""")
+def _(spark, sf):
+    out = S.rate_alerts(_stream(spark, sf), "ts", "user_id", "1 hour", "10 minutes", DELAY, 1)
+    return _ntz(_table(spark, out, "st_rate"), "window_start")
+
+
+@query("st_label_join", """
+    with p as (select event_id // 2 as id, ts from events where event_id % 2 = 0), o as (select event_id // 2 as id, ts as outcome_ts, event_type as outcome from events where event_id % 2 = 1 and event_id % 3 <> 0)
+    select p.id, p.ts, o.outcome from p left join o on p.id = o.id and outcome_ts >= ts and outcome_ts <= ts + interval 4 minutes where ts < timestamp '2024-01-25'""")
+def _(spark, sf):
+    ev = _stream(spark, sf)
+    half = F.floor(F.col("event_id") / 2).alias("id")
+    p = ev.where("event_id % 2 = 0").select(half, "ts")
+    o = _stream(spark, sf).where("event_id % 2 = 1 and event_id % 3 <> 0").select(half, F.col("ts").alias("outcome_ts"), F.col("event_type").alias("outcome"))
+    out = _ntz(_table(spark, S.label_join(p, o, "id", DELAY, "4 minutes"), "st_label"), "ts")
+    return out.where(F.col("ts") < F.lit("2024-01-25").cast("timestamp_ntz")).select("id", "ts", "outcome")
+
+
+def _event_files(spark, sf, name):
+    """The events written in four steps of time and streamed in about as many batches."""
+    root, ev = scratch_path(spark, name), P.events(spark, sf)
+    for a, b in (("2000-01-01", "2024-01-08"), ("2024-01-08", "2024-01-16"), ("2024-01-16", "2024-01-24"), ("2024-01-24", "2100-01-01")):
+        part = ev.where((F.col("ts") >= F.lit(a).cast("timestamp_ntz")) & (F.col("ts") < F.lit(b).cast("timestamp_ntz")))
+        part.write.mode("append").parquet(root)
+    files = len(spark.read.parquet(root).inputFiles())
+    return S.event_time(S.file_stream(spark, root, ev.schema, files_per_batch=-(-files // 4)))
+
+
+@query("st_recent_count", """
+    select event_id, count(*) over (partition by user_id order by ts range between interval '6 days 23 hours 59 minutes 59.999999 seconds' preceding and current row)
+      as recent_claims_count from events""")
+def _(spark, sf):
+    root = scratch_path(spark, "st_recent")
+    writer = S.recent_count_writer(root, "user_id", "ts", "event_id", days=7)
+    S.run_batches(_event_files(spark, sf, "st_recent_in"), writer, scratch_path(spark, "st_recent-ckpt"))
+    return spark.read.parquet(f"{root}/counts").select("event_id", "recent_claims_count")
+
+
+@query("st_drift_microbatch")
+def _(spark, sf):
+    root = scratch_path(spark, "st_drift")
+    reference = P.events(spark, sf).where(F.col("ts") < F.lit("2024-01-08").cast("timestamp_ntz"))
+    writer = S.drift_writer(reference, root, numerical=["value"], categorical=["event_type"])
+    S.run_batches(_event_files(spark, sf, "st_drift_in"), writer, scratch_path(spark, "st_drift-ckpt"))
+    return spark.read.parquet(root)
+
+
+@query("st_alert_cooldown", """
+    with recursive s as (select distinct event_type, time_bucket(interval 15 minutes, ts) as slot from events where value > 20),
+    f as (select event_type, min(slot) as sent_at from s group by 1
+      union all select f.event_type, (select min(slot) from s where s.event_type = f.event_type and s.slot >= f.sent_at + interval 24 hours) from f
+        where exists (select 1 from s where s.event_type = f.event_type and s.slot >= f.sent_at + interval 24 hours))
+    select event_type, sent_at from f""")
+def _(spark, sf):
+    root = scratch_path(spark, "st_cooldown")
+    alerts = _event_files(spark, sf, "st_cooldown_in").where("value > 20")
+    S.run_batches(alerts, S.cooldown_writer(root, ["event_type"], "ts", 24, 15), scratch_path(spark, "st_cooldown-ckpt"))
+    return spark.read.parquet(f"{root}/sent").select("event_type", "sent_at")
+
+
+@query("st_late_data")
+def _(spark, sf):
+    """The newer half arrives first, so the older half is late and dropped."""
+    root, ev = scratch_path(spark, "st_late_in"), P.events(spark, sf)
+    cut = F.lit(P.SPLIT_TS).cast("timestamp_ntz")
+    for part in (F.col("ts") >= cut, F.col("ts") < cut):
+        ev.where(part).coalesce(1).write.mode("append").parquet(root)
+    stream = S.event_time(S.file_stream(spark, root, ev.schema, files_per_batch=1))
+    counts = stream.withWatermark("ts", DELAY).groupBy(F.window("ts", "1 day").alias("window")).agg(F.count("*").alias("n"))
+    path = scratch_path(spark, "st_late")
+    q = S.run_to_table(counts.select(F.col("window.start").alias("day"), "n"), path, scratch_path(spark, "st_late-ckpt"))
+    return spark.read.parquet(path).withColumn("dropped", F.lit(S.dropped_rows(q)))
