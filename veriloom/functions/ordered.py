@@ -156,19 +156,33 @@ def cumulative(hist: DataFrame, keys: Sequence[str], value: str, measures: Seque
 
 
 def quantiles(df: DataFrame, columns: Sequence[str], probs: dict[str, float],
-              keys: Sequence[str] = ()) -> DataFrame:
-    """Exact linear-interpolated quantiles of several columns.
+              keys: Sequence[str] = (), accuracy: int | None = None) -> DataFrame:
+    """Linear-interpolated quantiles of several columns, exact by default.
 
     Returns one row per group and feature with one column per entry of ``probs``,
     ``n`` (the number of values) and ``distinct_values``. Values are first collapsed to a histogram
     with map-side combine; no aggregate holds more than a few numbers per group.
+    ``accuracy`` switches to one pass with sketches, off by at most n / accuracy ranks.
     """
     keys = list(keys)
+    if accuracy is not None:
+        return _sketched(df, list(columns), probs, keys, accuracy)
     long = to_long(df, keys, columns).where(F.col("value").isNotNull() & ~F.isnan("value"))
     hist = long.groupBy(*keys, "feature", "value").agg(F.count(F.lit(1)).alias("c"))
     return quantiles_of_counts(hist, [*keys, "feature"], "value", "c", probs)
 
 
+def _sketched(df: DataFrame, columns: list[str], probs: dict[str, float], keys: list[str], accuracy: int) -> DataFrame:
+    aggs = []
+    for i, c in enumerate(columns):
+        x = F.nanvl(F.col(c).cast("double"), F.lit(None))
+        aggs += [F.count(x).alias(f"n{i}"), F.approx_count_distinct(x).alias(f"d{i}"),
+                 F.percentile_approx(x, list(probs.values()), accuracy).alias(f"q{i}")]
+    rows = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"n{i}").alias("n"), F.col(f"d{i}").alias("distinct_values"),
+                              *[F.col(f"q{i}")[j].alias(p) for j, p in enumerate(probs)]) for i, c in enumerate(columns)])
+    return df.groupBy(*keys).agg(*aggs).select(*keys, F.inline(rows))
+
+
 def quantiles_of_counts(hist: DataFrame, keys: Sequence[str], value: str, count: str,
                         probs: dict[str, float]) -> DataFrame:
     """Exact quantiles from a (group, value, count) histogram."""

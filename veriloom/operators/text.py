@@ -184,7 +184,9 @@ def language_filter(df: DataFrame, language: str, keep: Sequence[str] = ("en",))
 # ------------------------------------------------------------------ fitted vector models
 
 def fit_word2vec(df: DataFrame, token_column: str, size: int = 100, window: int = 5, min_count: int = 2, seed: int = 42,
-                 max_iter: int = 1, parts: int = 1):
+                 max_iter: int = 1, parts: int | None = None):
+    """Trained in as many pieces as the input has unless ``parts`` says otherwise."""
+    parts = parts or df.rdd.getNumPartitions()
     return Word2Vec(vectorSize=size, windowSize=window, minCount=min_count, seed=seed, maxIter=max_iter, numPartitions=parts,
                     inputCol=token_column, outputCol="w2v").fit(df)
 

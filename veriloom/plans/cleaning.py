@@ -102,10 +102,15 @@ def _(spark, sf):
     return R.apply_imputer(df, R.fit_imputer(df, how), list(how))
 
 
-@query("prep_impute_knn")
+@query("prep_impute_knn", """
+    with c as (select claim_id, claim_amount, customer_age as a, policy_duration as d from @claims c1),
+    n as (select q.claim_id, x.claim_amount from c q join c x on x.claim_amount is not null where q.claim_amount is null
+      qualify row_number() over (partition by q.claim_id order by (q.a - x.a) * (q.a - x.a) + (q.d - x.d) * (q.d - x.d), x.claim_id) <= 5),
+    f as (select claim_id, avg(claim_amount) as f from n group by 1)
+    select claim_id, round(coalesce(claim_amount, f), 6) as claim_amount, a as customer_age, d as policy_duration from c left join f using (claim_id)""")
 def _(spark, sf):
     df = P.claims(spark, sf, "claim_id", "claim_amount", "customer_age", "policy_duration")
-    return R.knn_impute(df, "claim_amount", ["customer_age", "policy_duration"], "claim_id")
+    return _r(R.knn_impute(df, "claim_amount", ["customer_age", "policy_duration"], "claim_id"), claim_amount=6)
 
 
 @query("prep_impute_ffill", """

@@ -8,6 +8,7 @@ from veriloom.operators import features as E
 from veriloom.operators import modelling as M
 from veriloom.plans import profiles as P
 from veriloom.plans.registry import query
+from veriloom.session import spread_rows
 
 NUMBERS = ("claim_id", "claim_amount", "customer_age", "policy_duration")
 
@@ -71,7 +72,7 @@ FRAUD = ("staged", "suspicious", "inconsistent", "exaggerated", "fraudulent", "f
 def _described(spark, sf):
     """Claims with the document of the same number as description."""
     from veriloom.operators import text as X
-    docs = P.documents(spark, sf).select(F.col("doc_id").alias("claim_id"), "text")
+    docs = spread_rows(P.documents(spark, sf).select(F.col("doc_id").alias("claim_id"), "text"), "claim_id")
     texts = X.features(docs, "text").drop("text")
     return E.combine(P.claims(spark, sf, "claim_id", "claim_amount", "claim_date"), texts, "claim_id")
 
@@ -112,7 +113,7 @@ def _mentions(words):
     from documents""")
 def _(spark, sf):
     from veriloom.operators import text as X
-    df = X.features(P.documents(spark, sf).select("doc_id", "text"), "text")
+    df = X.features(spread_rows(P.documents(spark, sf).select("doc_id", "text"), "doc_id"), "text")
     return E.severity_flags(df).select("doc_id", "high_medical_severity", "high_damage_severity")
 
 

@@ -81,7 +81,12 @@ def _(spark, sf):
     return df.select("o_orderkey", "_source_file")
 
 
-@query("src_format_router")
+@query("src_format_router", """
+    select f || '.parquet' as file_name, 'structured' as file_class, 'success' as processing_status,
+      case f when 'orders' then (select count(*) from orders) when 'events' then (select count(*) from events) end as rows,
+      case when f in ('orders', 'events') then 6 end as columns
+    from (values ('region'), ('nation'), ('customer'), ('supplier'), ('part'), ('orders'), ('lineitem'), ('events'), ('documents'), ('embeddings'),
+      ('pages'), ('benchmark'), ('labels'), ('conversations')) v(f)""")
 def _(spark, sf):
     listing = readers.route_formats(readers.list_objects(spark, sf))
     rows = readers.file_summary(P.table(spark, sf, "orders")).unionAll(readers.file_summary(P.events(spark, sf)))

@@ -8,11 +8,11 @@ from veriloom.functions import lexicon as L
 from veriloom.operators import text as X
 from veriloom.plans import profiles as P
 from veriloom.plans.registry import query
-from veriloom.session import materialize, scratch_path
+from veriloom.session import materialize, scratch_path, spread_rows
 
 
 def _docs(spark, sf):
-    return P.documents(spark, sf).select("doc_id", "text")
+    return spread_rows(P.documents(spark, sf).select("doc_id", "text"), "doc_id")
 
 
 def _r(df, **places):

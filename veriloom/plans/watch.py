@@ -10,7 +10,7 @@ from veriloom.operators import governance as G
 from veriloom.operators import monitor as N
 from veriloom.plans import profiles as P
 from veriloom.plans.registry import query
-from veriloom.session import materialize, scratch_path
+from veriloom.session import materialize, scratch_path, spread_rows
 
 
 def _r(df, *names, places=6):
@@ -24,7 +24,7 @@ def _event_sides(spark, sf):
 
 
 def _doc_sides(spark, sf):
-    d = P.documents(spark, sf)
+    d = spread_rows(P.documents(spark, sf).select("doc_id", "text"), "doc_id")
     return d.where("doc_id % 2 = 0"), d.where("doc_id % 2 = 1")
 
 
@@ -326,10 +326,18 @@ def _(spark, sf):
     return _r(N.drift_performance_link(perf), "avg_performance")
 
 
-@query("mon_integrated")
+@query("mon_integrated", f"""with {REPORT}, {ACTIONS},
+    ds as (select avg(drift_score) as o, avg(drift_score) > 0.1 or count(*) filter (where drift_detected) > 0 as drift_detected from rep),
+    pf as (select model, avg(value) as p from cur group by 1)
+    select model, overall_priority as priority, round(p, 6) as avg_performance, severity0 as performance_severity, drift_detected,
+      case when o < 0.1 then 'none' when o < 0.3 then 'warning' else 'critical' end as drift_severity, round(o, 5) as overall_drift_score,
+      case when not drift_detected then 'unknown' when p < 0.7 then 'possible' else 'unlikely' end as drift_performance_correlation,
+      drift_detected and overall_priority in ('critical', 'high') as alert
+    from ac left join pf using (model) left join (select model, severity as severity0 from sev where model <> 'view') q using (model), ds""")
 def _(spark, sf):
     actions, degraded, current = _actions(spark, sf)
-    return N.integrated(D.summary(_report(spark, sf)), degraded, actions, current)
+    out = N.integrated(D.summary(_report(spark, sf)), degraded, actions, current)
+    return _r(_r(out, "avg_performance"), "overall_drift_score", places=5)
 
 
 @query("mon_alert_rules", f"""
@@ -456,7 +464,7 @@ def _masked_sql():
 
 @query("gov_anonymize", _masked_sql())
 def _(spark, sf):
-    return G.anonymize(P.documents(spark, sf).select("doc_id", "text"), "text")
+    return G.anonymize(spread_rows(P.documents(spark, sf).select("doc_id", "text"), "doc_id"), "text")
 
 
 def _subjects(spark, sf):

@@ -35,10 +35,12 @@ def shared_dir(spark: SparkSession) -> str:
     fall back to a folder of its own, which is made once per application.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
+    if configured:
+        if not current.isDefined():
+            sc.setCheckpointDir(configured)
+        return configured
     if current.isDefined():
         return current.get()
     if not sc.master.startswith("local"):
@@ -53,6 +55,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
+def spread_rows(df: DataFrame, key: str) -> DataFrame:
+    """More tasks for heavy per-row work when the scan has fewer than there are cores.
+
+    A file with a single row group is read by one task whatever its size. Inputs
+    that already split well are left alone, so large tables see no extra shuffle.
+    """
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(wanted, key) if df.rdd.getNumPartitions() < wanted else df
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to reliable storage and go on from there.
 

@@ -9,6 +9,7 @@ a repeated batch overwrites itself and nothing is written twice.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -117,21 +118,22 @@ def label_join(predictions: DataFrame, outcomes: DataFrame, key: str, delay: str
 def recent_count_writer(root: str, key: str, ts: str, row_key: str, days: int = 30) -> Callable[[DataFrame, int], None]:
     """Trailing counts of new rows against the stored rows of the last days.
 
-    Every batch stores its rows under its number and reads the rows of earlier
-    numbers that are near enough in time. The count itself is the batch operator,
+    Every batch stores its rows under its number and day and reads the days of
+    earlier batches that are near enough; other days are pruned. The count itself is the batch operator,
     which has no per-key task, so a key may hold any share of the rows.
     """
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        rows = batch.select(key, ts, row_key)
-        rows.write.mode("overwrite").parquet(f"{root}/rows/batch={number:010d}")
-        span = days * features.DAY_MICROS
+        rows = batch.select(key, ts, row_key, F.col(ts).cast("date").alias("day"))
+        rows.write.mode("overwrite").partitionBy("day").parquet(f"{root}/rows/batch={number:010d}")
         stored = spark.read.parquet(f"{root}/rows").where(F.col("batch").cast("long") <= number)
-        new = stored.where(F.col("batch").cast("long") == number)
-        oldest = new.agg(F.min(ts)).scalar()
-        near = stored.where(F.col(ts) > oldest - F.expr(f"interval {days} days"))
-        counted = features.recent_count(near, key, ts, row_key, span)
-        counted.where(F.col("batch").cast("long") == number).drop("batch").write.mode("overwrite").parquet(f"{root}/counts/batch={number:010d}")
+        oldest = stored.where(F.col("batch").cast("long") == number).agg(F.min("day")).first()[0]
+        if oldest is None:
+            return
+        near = stored.where(F.col("day") >= F.lit(oldest - timedelta(days=days)))
+        counted = features.recent_count(near, key, ts, row_key, days * features.DAY_MICROS)
+        counted.where(F.col("batch").cast("long") == number).drop("batch", "day").write.mode("overwrite").parquet(
+            f"{root}/counts/batch={number:010d}")
     return write
 
 
