@@ -37,6 +37,11 @@ def ratio(a: Column, b: Column, default: float | None = 0.0) -> Column:
     return q if default is None else F.coalesce(q, F.lit(float(default)))
 
 
+def at_least_one(c: Column) -> Column:
+    """Values below one become one; null stays null."""
+    return F.when(c < 1, 1).otherwise(c)
+
+
 def right_closed_bin(value: Column, edges: Sequence[float], labels: Sequence[str]) -> Column:
     """Label of the interval (lo, hi] holding ``value``; null outside all of them."""
     out = None

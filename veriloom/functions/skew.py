@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veriloom.session import materialize
+
 SALTS = 32
 MAX_HOT_KEYS = 1000
 MAX_BROADCAST_ROWS = 100_000
@@ -29,9 +31,12 @@ def lookup_join(rows: DataFrame, lookup: DataFrame, on: Sequence[str], row_key:
     lookup column with the number of ``rows`` per key; without it the rows are
     counted here. The list of hot keys is bounded by its own definition, which is
     why it may be broadcast; Spark still turns the main join into a broadcast
-    join when the lookup proves small at run time.
+    join when the lookup proves small at run time. The lookup is written out
+    first: it is read for the hot keys and for the join, and is mostly an
+    aggregate of the large table, which should be scanned for it only once.
     """
     on = list(on)
+    lookup = materialize(lookup)
     if weight is None:
         weights = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_w"))
         hot = _hot_keys(weights, on, "_w")

@@ -147,7 +147,8 @@ def select_best(ranking: DataFrame, metrics: DataFrame, minimum: dict[str, float
     ok = F.col("_bad").isNull()
     following = F.lead(F.when(ok, F.col("score"))).over(order)
     first = top.withColumn("_next", following).withColumn("_place", F.row_number().over(order)).where(F.col("_place") == 1)
-    gap = F.least(0.5 + (F.col("score") - F.col("_next")) * 10, F.lit(1.0))
+    raw = 0.5 + (F.col("score") - F.col("_next")) * 10
+    gap = F.when(raw > 1.0, 1.0).otherwise(raw)
     return first.select(F.col("model").alias("recommended_model"), "score", F.when(ok, "success").otherwise("warning").alias("status"),
                         F.when(ok, F.coalesce(gap, F.lit(0.5))).alias("confidence"))
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from veriloom.functions.columns import micros, numeric_columns, ratio, right_closed_bin, to_long
+from veriloom.functions.columns import at_least_one, micros, numeric_columns, ratio, right_closed_bin, to_long
 from veriloom.functions.ordered import average_ranks, lagged, quantiles, row_frame, running
 from veriloom.functions.skew import lookup_join
 
@@ -150,8 +150,8 @@ def percentile_rank(df: DataFrame, column: str, row_key: str, name: str | None =
     """Mean rank among ties divided by the number of values."""
     ranks = average_ranks(df, column)
     total = df.agg(F.count(column)).scalar()
-    table = ranks.select(column, "n", (F.col("avg_rank") / total).alias(name or f"{column}_percentile"))
-    return lookup_join(df, table, [column], row_key, weight="n").drop("n")
+    table = ranks.select(column, F.col("n").alias("_n"), (F.col("avg_rank") / total).alias(name or f"{column}_percentile"))
+    return lookup_join(df, table, [column], row_key, weight="_n").drop("_n")
 
 
 def quantile_outlier(df: DataFrame, columns: Sequence[str], low: float = 0.05, high: float = 0.95) -> DataFrame:
@@ -175,7 +175,7 @@ def previous_count(df: DataFrame, key: str, order: Sequence[str], name: str = "p
 
 
 def claim_frequency(df: DataFrame, previous: str, duration: str) -> DataFrame:
-    rate = F.col(previous) / F.greatest(F.col(duration), F.lit(1)) * 12
+    rate = F.col(previous) / at_least_one(F.col(duration)) * 12
     return df.withColumns({"claims_per_year": rate, "is_frequent_claimant": _flag(rate > 2)})
 
 

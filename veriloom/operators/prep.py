@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veriloom.functions.columns import missing, numeric_columns, right_closed_bin, string_columns
+from veriloom.functions.columns import at_least_one, missing, numeric_columns, right_closed_bin, string_columns
 from veriloom.functions.ordered import quantiles, row_numbers, running
 from veriloom.functions.skew import lookup_join
 from veriloom.operators.quality import bounds_lookup, iqr_bounds, zscore_bounds
@@ -166,7 +166,7 @@ def date_parts(df: DataFrame, columns: Sequence[str], as_of: str) -> DataFrame:
 
 def amount_scales(df: DataFrame, amount: str, duration: str) -> DataFrame:
     a = F.col(amount).cast("double")
-    return df.withColumns({f"{amount}_log": F.log1p(a), "amount_per_year": a / F.greatest(F.col(duration), F.lit(1))})
+    return df.withColumns({f"{amount}_log": F.log1p(a), "amount_per_year": a / at_least_one(F.col(duration))})
 
 
 def bucketize(df: DataFrame, bins: dict[str, tuple[str, tuple]]) -> DataFrame:
@@ -197,8 +197,9 @@ def fit_labels(df: DataFrame, column: str) -> DataFrame:
 
 def label_encode(df: DataFrame, column: str, labels: DataFrame, row_key: str, name: str) -> DataFrame:
     """Code of the value; unknown values get code 0."""
-    out = lookup_join(df, labels, [column], row_key, weight="n")
-    return out.withColumn(name, F.coalesce("code", F.lit(0))).drop("code", "n")
+    table = labels.select(column, F.col("code").alias("_code"), F.col("n").alias("_n"))
+    out = lookup_join(df, table, [column], row_key, weight="_n")
+    return out.withColumn(name, F.coalesce("_code", F.lit(0))).drop("_code", "_n")
 
 
 def fit_targets(df: DataFrame, column: str, target: str) -> DataFrame:
@@ -212,8 +213,9 @@ def target_encode(df: DataFrame, column: str, fitted: DataFrame, row_key: str, n
     """Mean target of the category; unseen categories get the overall mean."""
     overall = overall if overall is not None else fitted.agg(
         F.sum(F.col("target_mean") * F.col("n")) / F.sum("n")).scalar()
-    out = lookup_join(df, fitted, [column], row_key, weight="n")
-    return out.withColumn(name, F.coalesce("target_mean", overall)).drop("target_mean", "n")
+    table = fitted.select(column, F.col("target_mean").alias("_mean"), F.col("n").alias("_n"))
+    out = lookup_join(df, table, [column], row_key, weight="_n")
+    return out.withColumn(name, F.coalesce("_mean", overall)).drop("_mean", "_n")
 
 
 # ------------------------------------------------------------------ scaling

@@ -303,7 +303,7 @@ def _(spark, sf):
     t as (select r.*, b.model is not null as failing from ranked r left join bad b on r.model = b.model where rank <= 3),
     o as (select *, lead(case when not failing then score end) over (order by failing, rank) as nxt, row_number() over (order by failing, rank) as place from t)
     select model as recommended_model, round(score, 6) as score, case when failing then 'warning' else 'success' end as status,
-      round(case when not failing then coalesce(least(0.5 + (score - nxt) * 10, 1.0), 0.5) end, 6) as confidence from o where place = 1""")
+      round(case when not failing then case when nxt is null then 0.5 else least(0.5 + (score - nxt) * 10, 1.0) end end, 6) as confidence from o where place = 1""")
 def _(spark, sf):
     m = _metrics(spark, sf)
     return _r(C.select_best(C.weighted_ranking(m), m), "score", "confidence")

@@ -108,14 +108,17 @@ def _(spark, sf):
     return out.where(F.col("ts") < F.lit("2024-01-25").cast("timestamp_ntz")).select("id", "ts", "outcome")
 
 
-def _event_files(spark, sf, name):
-    """The events written in four steps of time and streamed in about as many batches."""
+STEPS = (("2000-01-01", "2024-01-08"), ("2024-01-08", "2024-01-16"), ("2024-01-16", "2024-01-24"), ("2024-01-24", "2100-01-01"))
+
+
+def _event_files(spark, sf, name, steps=STEPS):
+    """The events written in steps of time and streamed in about as many batches."""
     root, ev = scratch_path(spark, name), P.events(spark, sf)
-    for a, b in (("2000-01-01", "2024-01-08"), ("2024-01-08", "2024-01-16"), ("2024-01-16", "2024-01-24"), ("2024-01-24", "2100-01-01")):
+    for a, b in steps:
         part = ev.where((F.col("ts") >= F.lit(a).cast("timestamp_ntz")) & (F.col("ts") < F.lit(b).cast("timestamp_ntz")))
         part.write.mode("append").parquet(root)
     files = len(spark.read.parquet(root).inputFiles())
-    return S.event_time(S.file_stream(spark, root, ev.schema, files_per_batch=-(-files // 4)))
+    return S.event_time(S.file_stream(spark, root, ev.schema, files_per_batch=-(-files // len(steps))))
 
 
 @query("st_recent_count", """
@@ -153,11 +156,8 @@ def _(spark, sf):
 @query("st_late_data")
 def _(spark, sf):
     """The newer half arrives first, so the older half is late and dropped."""
-    root, ev = scratch_path(spark, "st_late_in"), P.events(spark, sf)
-    cut = F.lit(P.SPLIT_TS).cast("timestamp_ntz")
-    for part in (F.col("ts") >= cut, F.col("ts") < cut):
-        ev.where(part).coalesce(1).write.mode("append").parquet(root)
-    stream = S.event_time(S.file_stream(spark, root, ev.schema, files_per_batch=1))
+    late_last = (*STEPS[2:], ("2000-01-01", P.SPLIT_TS))
+    stream = _event_files(spark, sf, "st_late_in", late_last)
     counts = stream.withWatermark("ts", DELAY).groupBy(F.window("ts", "1 day").alias("window")).agg(F.count("*").alias("n"))
     path = scratch_path(spark, "st_late")
     q = S.run_to_table(counts.select(F.col("window.start").alias("day"), "n"), path, scratch_path(spark, "st_late-ckpt"))
