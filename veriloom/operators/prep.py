@@ -19,6 +19,7 @@ from veriloom.functions.columns import at_least_one, missing, numeric_columns, r
 from veriloom.functions.ordered import quantiles, row_numbers, running
 from veriloom.functions.skew import lookup_join
 from veriloom.operators.quality import bounds_lookup, iqr_bounds, zscore_bounds
+from veriloom.session import stored
 
 INF = float("inf")
 # Bin edges and labels, open below and closed above.
@@ -263,8 +264,8 @@ def knn_impute(df: DataFrame, target: str, features: Sequence[str], key: str, k:
     at_point = W.partitionBy(*feats).orderBy("_dk")
     donors = donors.withColumn("_r", F.row_number().over(at_point)).where(F.col("_r") <= k).drop("_r")
     points = donors.groupBy(*feats).agg(F.sort_array(F.collect_list(F.struct("_dk", "_t"))).alias("_d"))  # k entries at most
-    points = _stored(points, "knn_points")
-    open_points = _stored(df.where(F.col(target).isNull() & has).select(*feats).distinct(), "knn_open")
+    points = stored(points, "knn_points")
+    open_points = stored(df.where(F.col(target).isNull() & has).select(*feats).distinct(), "knn_open")
     total = points.agg(F.coalesce(F.sum(F.size("_d")), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("points"), *[
         (F.max(f) - F.min(f)).alias(f"span{i}") for i, f in enumerate(feats)]).first()
     wanted = min(k, total["n"])
@@ -280,9 +281,9 @@ def knn_impute(df: DataFrame, target: str, features: Sequence[str], key: str, k:
         best = near.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= wanted)
         found = best.groupBy(*feats).agg(F.count(F.lit(1)).alias("_n"), F.max("_dist").alias("_far"), F.avg("_t").alias("_fill"))
         done = found.where((F.col("_n") == wanted) & (F.lit(last) | (F.col("_far") < cell)))
-        done = _stored(done.select(*feats, "_fill"), "knn_done")
+        done = stored(done.select(*feats, "_fill"), "knn_done")
         answers.append(done)
-        open_points = _stored(open_points.join(done, feats, "left_anti"), "knn_open")
+        open_points = stored(open_points.join(done, feats, "left_anti"), "knn_open")
         cell *= 2
     if not answers:
         return df
@@ -291,13 +292,6 @@ def knn_impute(df: DataFrame, target: str, features: Sequence[str], key: str, k:
     return out.withColumn(target, F.coalesce(F.col(target), F.col("_fill"))).drop("_fill")
 
 
-def _stored(df: DataFrame, name: str) -> DataFrame:
-    from veriloom.session import scratch_path
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _within_cells(queries: DataFrame, points: DataFrame, feats: Sequence[str], width: float) -> DataFrame:
     """Pairs of a query point and the donors in its own and the adjacent grid cells."""
     cells = [f"_c{i}" for i in range(len(feats))]

@@ -8,7 +8,7 @@ from veriloom.functions import lexicon as L
 from veriloom.operators import text as X
 from veriloom.plans import profiles as P
 from veriloom.plans.registry import query
-from veriloom.session import materialize, scratch_path, spread_rows
+from veriloom.session import materialize, scratch_path, spread_rows, stored
 
 
 def _docs(spark, sf):
@@ -106,19 +106,19 @@ TERMS = f"""t as (select doc_id, tok from {TOKENS} t1 where length(array_to_stri
     s as (select *, sqrt(sum(w * w) over (partition by doc_id)) as norm from w)
     select doc_id, term, round(w / norm, 6) as weight from s""")
 def _(spark, sf):
-    counts = materialize(X.term_counts(_docs(spark, sf), "doc_id", "text"))
+    counts = stored(X.term_counts(_docs(spark, sf), "doc_id", "text"), "terms")
     return _r(X.tfidf(counts, X.fit_vocabulary(counts, "doc_id"), "doc_id"), weight=6)
 
 
 @query("txt_count_vector", f"with {TERMS} select doc_id, term, tf from c join i using (term)")
 def _(spark, sf):
-    counts = materialize(X.term_counts(_docs(spark, sf), "doc_id", "text"))
+    counts = stored(X.term_counts(_docs(spark, sf), "doc_id", "text"), "terms")
     return X.count_vectors(counts, X.fit_vocabulary(counts, "doc_id")).select("doc_id", "term", "tf")
 
 
 @query("txt_idf_importance", f"with {TERMS} select 'tfidf_' || term as feature, round(idf, 6) as importance from i")
 def _(spark, sf):
-    counts = materialize(X.term_counts(_docs(spark, sf), "doc_id", "text"))
+    counts = stored(X.term_counts(_docs(spark, sf), "doc_id", "text"), "terms")
     return _r(X.idf_importance(X.fit_vocabulary(counts, "doc_id")), importance=6)
 
 
