@@ -298,12 +298,14 @@ def report(df: DataFrame, name: str, ids: Sequence[str] | None = None) -> DataFr
 
     A data set without issues gives one row with a null severity.
     """
-    found = materialize(issues(df, ids))  # a few rows per column, read twice below
+    found = materialize(issues(df, ids))  # a few rows per column, read more than once below
     total = row_count(df)
-    s = score(found, total).select(F.col("quality_score"), F.lit(1).alias("_one"))
-    return (s.join(found.withColumn("_one", F.lit(1)), "_one", "left")
-            .select(F.lit(name).alias("dataset"), "severity", "category", "issue", "feature", "affected",
-                    total.alias("total_records"), "quality_score"))
+    overall = score(found, total).select("quality_score").scalar()
+    nothing = found.agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") == 0).select(
+        *[F.lit(None).cast(f.dataType).alias(f.name) for f in found.schema])
+    return found.unionByName(nothing).select(
+        F.lit(name).alias("dataset"), "severity", "category", "issue", "feature", "affected",
+        total.alias("total_records"), overall.alias("quality_score"))
 
 
 def source_consistency(a: DataFrame, b: DataFrame, key: Sequence[str], columns: Sequence[str]) -> DataFrame:
