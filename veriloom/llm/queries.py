@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veriloom.llm import decontaminate, near_dedup, pii, quality
+from veriloom.llm import decontaminate, near_dedup, packing, pii, quality
 from veriloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,3 +42,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_personal_data")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
+@query("op5_cost_balanced_packing")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), F.crc32("ids").alias("ids_crc32"))
