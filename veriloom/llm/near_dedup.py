@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,6 +18,9 @@ FANOUT = 8
 #: Node pairs compared at a time.
 PAIRS = 1 << 21
 LEVELS = 4
+#: Words of the wide fingerprint, and bands of min-hashes that bring wide fingerprints together.
+WIDE_WORDS, BANDS, BAND_ROWS = 4, 20, 5
+_TURNS = np.random.default_rng(20).integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -103,12 +107,13 @@ def _union(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
 def link_blocks(key: np.ndarray, code: np.ndarray, radius: int) -> np.ndarray:
     """For items sorted by (key, Gray rank): the first item linked to each by codes of the same key within ``radius``.
 
-    Items are the leaves of a forest with one tree per key. A node keeps the bits
-    that all its items share (mask and pattern). A pair of nodes is dropped when
-    their shared bits differ in more than ``radius`` places and accepted as a
-    whole when even their other bits cannot raise the difference above it.
+    ``code`` has a row of 64-bit words per item. Items are the leaves of a forest
+    with one tree per key. A node keeps the bits that all its items share (mask
+    and pattern). A pair of nodes is dropped when their shared bits differ in more
+    than ``radius`` places and accepted as a whole when even their other bits
+    cannot raise the difference above it.
     """
-    n = len(code)
+    n, words = code.shape
     label = np.arange(n)
     if n < 2:
         return label
@@ -119,8 +124,8 @@ def link_blocks(key: np.ndarray, code: np.ndarray, radius: int) -> np.ndarray:
     levels = [(None, None, np.arange(n), np.arange(1, n + 1), code, code)]
     lo, hi = code, code
     while len(lo) > len(first):
-        place = np.arange(len(group)) - np.repeat(np.cumsum(np.bincount(group, minlength=len(first))) - np.bincount(group, minlength=len(first)),
-                                                  np.bincount(group, minlength=len(first)))
+        count = np.bincount(group, minlength=len(first))
+        place = np.arange(len(group)) - np.repeat(np.cumsum(count) - count, count)
         start = np.flatnonzero(place % FANOUT == 0)
         stop = np.r_[start[1:], len(group)]
         lo, hi = np.bitwise_and.reduceat(lo, start), np.bitwise_or.reduceat(hi, start)
@@ -128,6 +133,7 @@ def link_blocks(key: np.ndarray, code: np.ndarray, radius: int) -> np.ndarray:
         levels.append((start, stop, levels[-1][2][start], levels[-1][3][stop - 1], lo, hi))
     roots = np.flatnonzero(size > 1)
     stack = [(len(levels) - 1, roots, roots)]
+    step = max(1, PAIRS // (FANOUT * FANOUT * words))
     while stack:
         level, a, b = stack.pop()
         if not len(a):
@@ -135,7 +141,6 @@ def link_blocks(key: np.ndarray, code: np.ndarray, radius: int) -> np.ndarray:
         if level == 0:
             _union(label, a, b)
             continue
-        step = max(1, PAIRS // (FANOUT * FANOUT))
         if len(a) > step:
             stack += [(level, a[i:i + step], b[i:i + step]) for i in range(0, len(a), step)]
             continue
@@ -143,15 +148,16 @@ def link_blocks(key: np.ndarray, code: np.ndarray, radius: int) -> np.ndarray:
         a, b = _expand(a, b, start, stop, level == 1)
         _, _, begin, end, lo, hi = levels[level - 1]
         shared = ~((lo[a] ^ hi[a]) | (lo[b] ^ hi[b]))
-        apart = np.bitwise_count((lo[a] ^ lo[b]) & shared).astype(np.int64)
+        apart = np.bitwise_count((lo[a] ^ lo[b]) & shared).sum(1, dtype=np.int64)
         near = apart <= radius
-        a, b, shared, apart = a[near], b[near], shared[near], apart[near]
+        a, b, apart = a[near], b[near], apart[near]
         if level > 1:
+            free = 64 * words - np.bitwise_count(shared[near]).sum(1, dtype=np.int64)
             done = np.zeros(len(a), dtype=bool)
             if 4 * len(a) > len(begin):  # enough pairs to pay for finding the nodes that are linked throughout
                 least, most = np.minimum.reduceat(label, begin), np.maximum.reduceat(label, begin)
                 done = (least[a] == most[a]) & (least[b] == most[b]) & (least[a] == least[b])
-            whole = ~done & (apart + 64 - np.bitwise_count(shared) <= radius)
+            whole = ~done & (apart + free <= radius)
             for p, q in zip(a[whole], b[whole]):
                 _union(label, np.arange(begin[p], end[p]), np.full(end[p] - begin[p], begin[q]))
                 _union(label, np.arange(begin[q], end[q]), np.full(end[q] - begin[q], begin[p]))
@@ -161,24 +167,30 @@ def link_blocks(key: np.ndarray, code: np.ndarray, radius: int) -> np.ndarray:
 
 
 def _link_partition(batches, radius: int):
-    """Edges from each item to the first item of its links; a key's rows are complete before they are compared."""
+    """Edges from each item to the first item of its links; a key's rows are complete before they are compared.
+
+    The columns are the key, the node and the words of its code.
+    """
     rest = None
 
     def edges(part):
-        label = link_blocks(part[0], part[1].view(np.uint64), radius)
+        label = link_blocks(part[0], np.stack(part[2:], 1).view(np.uint64), radius)
         moved = np.flatnonzero(label != np.arange(len(label)))
-        return pa.RecordBatch.from_arrays([pa.array(part[2][moved]), pa.array(part[2][label[moved]])], names=["u", "v"])
+        return pa.RecordBatch.from_arrays([pa.array(part[1][moved]), pa.array(part[1][label[moved]])], names=["u", "v"])
 
     for batch in batches:
-        part = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+        part = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if not len(part[0]):
+            continue
         part = part if rest is None else [np.concatenate(x) for x in zip(rest, part, strict=True)]
-        cut = len(part[0]) - int(np.argmax(part[0][::-1] != part[0][-1])) if len(part[0]) and (part[0] != part[0][-1]).any() else 0
+        other = part[0] != part[0][-1]
+        cut = len(other) - int(np.argmax(other[::-1])) if other.any() else 0
         if cut >= 1 << 15:
             yield edges([x[:cut] for x in part])
             rest = [x[cut:] for x in part]
         else:
             rest = part
-    if rest is not None and len(rest[0]):
+    if rest is not None:
         yield edges(rest)
 
 
@@ -205,10 +217,18 @@ def links(codes: DataFrame, radius: int = 3, block_rows: int = BLOCK_ROWS) -> Da
     rows = ready[0]
     for more in ready[1:]:
         rows = rows.union(more)
-    sorted_ = (rows.select("key", "turn", "fp").repartition("key").sortWithinPartitions("key", gray_rank(F.col("turn")), "fp"))
+    sorted_ = rows.select("key", "fp", "turn").repartition("key").sortWithinPartitions("key", gray_rank(F.col("turn")), "fp")
     return sorted_.mapInArrow(lambda it: _link_partition(it, radius), "u long, v long")
 
 
+def _name_components(codes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(fp, component_id) for every code; ``least`` is the smallest doc_id with that code."""
+    roots = connected_components(edges)
+    named = codes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    return stored(named.join(least, "root").select("fp", "component_id"), "classes")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
     """(doc_id, text_key, fp, component_id) per row of ``docs``.
 
@@ -221,20 +241,84 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataF
     """
     rows = stored(fingerprints(docs, shingle), "fingerprints")
     codes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "codes")
-    roots = connected_components(links(codes, radius))
-    named = codes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = stored(named.join(least, "root").select("fp", "component_id"), "classes")
-    return rows.join(classes, "fp")
-
-
-def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
+    return rows.join(_name_components(codes, links(codes, radius)), "fp")
+
+
+def wide_fingerprint(text: str | None, shingle: int = 5, words: int = WIDE_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """A SimHash of ``words`` 64-bit words over the distinct shingles, and the keys of the bands of their min-hashes."""
+    tokens = (text or "").lower().encode("utf-8", "surrogatepass").split()
+    if len(tokens) < shingle:
+        h = hashes([b" ".join(tokens)])
+    else:
+        h = np.unique(hashes(map(b" ".join, zip(*(tokens[i:] for i in range(shingle))))))
+    ones = np.zeros((words, 64), dtype=np.int64)
+    least = np.full(len(_TURNS), np.iinfo(np.uint64).max, dtype=np.uint64)
+    for i in range(0, len(h), 1 << 12):
+        part = h[i:i + (1 << 12)]
+        for w in range(words):
+            mixed = (part ^ _TURNS[w]) * _TURNS[w + words]
+            mixed ^= mixed >> np.uint64(29)
+            ones[w] += np.unpackbits((mixed * _TURNS[w]).view(np.uint8), bitorder="little").reshape(-1, 64).sum(0, dtype=np.int64)
+        folded = part ^ (part >> np.uint64(32))
+        least = np.minimum(least, (folded[:, None] * _TURNS[None, :]).min(0))
+    code = np.packbits((2 * ones > len(h)).astype(np.uint8), bitorder="little").view("<u8")
+    bands = [xxhash.xxh64_intdigest(least[b * BAND_ROWS:(b + 1) * BAND_ROWS].tobytes(), b) for b in range(BANDS)]
+    return code, np.array(bands, dtype=np.uint64)
+
+
+def _wide_batch(cols: dict, shingle: int) -> dict:
+    out = {"doc_id": cols["doc_id"], "text_key": cols["text_key"], "bands": [], **{f"f{w}": [] for w in range(WIDE_WORDS)}}
+    for text in cols["text"]:
+        code, bands = wide_fingerprint(text, shingle)
+        out["bands"].append(bands.view(np.int64).tolist())
+        for w, value in enumerate(code.view(np.int64).tolist()):
+            out[f"f{w}"].append(value)
+    return out
+
+
+def radius_for(similarity: float, bits: int) -> int:
+    """Differing bits of two shingle sets of this Jaccard similarity, on average plus 1.5 standard deviations."""
+    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    return int(bits * p + 1.5 * (bits * p * (1 - p)) ** 0.5)
+
+
+def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(doc_id, text_key, component_id) per row of ``docs``, for documents whose shingle sets are similar.
+
+    Three bits of 64 are less than most pairs of similarity 0.8 differ by, and no
+    16-bit quarter need agree within a radius that takes them in. So this form
+    compares SimHashes of 256 bits within a radius made for the similarity, and
+    the blocks that bring them together are bands of min-hashes (BANDS of
+    BAND_ROWS; at 0.8 a pair has one in common with probability 0.9996). Within a
+    block the Gray-order index does the rest as in ``links``. A block with more
+    than ``block_rows`` codes is dealt to pairs of its parts. Nulls, empty texts,
+    repeated rows and empty tables are treated as in ``near_duplicates``.
+    """
+    bound_batches(docs.sparkSession)
+    names = [f"f{w}" for w in range(WIDE_WORDS)]
+    narrow = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"))
+    rows = stored(map_rows(narrow, _wide_batch, "doc_id long, text_key long, bands array<long>, " + ", ".join(f"{n} long" for n in names),
+                           shingle).withColumn("fp", F.xxhash64(*names)), "fingerprints")
+    codes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), *(F.min(n).alias(n) for n in names), F.min("bands").alias("bands")), "codes")
+    items = codes.select("fp", F.explode("bands").alias("key"), *names)
+    sizes = stored(items.groupBy("key").count().where("count > 1")
+                   .select("key", F.ceil(F.col("count") / block_rows).cast("int").alias("parts")), "blocks")
+    own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
+    dealt = (items.join(sizes, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+             .withColumn("key", F.when(F.col("parts") == 1, F.col("key"))
+                         .otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))))
+    edges = (dealt.select("key", "fp", *names).repartition("key").sortWithinPartitions("key", gray_rank(F.col(names[0])), *names)
+             .mapInArrow(lambda it: _link_partition(it, radius_for(similarity, 64 * WIDE_WORDS)), "u long, v long"))
+    return rows.select("doc_id", "text_key", "fp").join(_name_components(codes.select("fp", "least"), edges), "fp")
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row of ``docs`` per component, with all its columns: a row of the smallest doc_id (null last).
 
     Of several texts under that id the one with the smallest digest stays, of
     repeated rows any one, since they are equal in id and text.
     """
-    found = near_duplicates(docs, shingle, radius)
+    found = similar_documents(docs, shingle, similarity)
     classes = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("anonymous")).agg(
         F.min(F.when(F.col("doc_id").eqNullSafe(F.col("component_id")), F.struct("text_key", "fp"))).alias("best"))
     keep = stored(classes.select(F.col("component_id").alias("_id"), F.col("best.text_key").alias("_key")), "kept")
