@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veriloom.llm import decontaminate, near_dedup, neighbours, packing, pii, quality, substrings
-from veriloom.llm.common import table
+from veriloom.llm import chat, decontaminate, near_dedup, neighbours, packing, pii, quality, substrings
+from veriloom.llm.common import map_rows, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -58,3 +59,26 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_one_bit_neighbours")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.neighbours(table(spark, sf_dir, "embeddings"))
+
+
+def _read_back(cols: dict) -> dict:
+    """Digests of formatted conversations, from the formatted text and its loss mask alone."""
+    out = {"conv_id": cols["conv_id"], "n_turns": [], "turns_sha256": [], "loss_chars": [], "loss_sha256": [], "formatted_chars": []}
+    for formatted, loss in zip(cols["formatted"], cols["loss"]):
+        turns = chat.read_turns(formatted)
+        learned = "".join(chat.unescape(formatted[s["from"]:s["to"]]) for s in loss)
+        for name, value in zip(list(out)[1:], (
+                len(turns), hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest(),
+                len(learned), hashlib.sha256(learned.encode()).hexdigest(), len(formatted))):
+            out[name].append(value)
+    return out
+
+
+@query("op3_chat_format")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "\\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    found = chat.conversations(chat.chain(turns))
+    return map_rows(found.select(F.col("tree_id").alias("conv_id"), "formatted", "loss"), _read_back,
+                    "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
