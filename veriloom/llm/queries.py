@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veriloom.llm import chat, decontaminate, near_dedup, neighbours, packing, pii, quality, substrings
+from veriloom.llm import chat, decontaminate, html, near_dedup, neighbours, packing, pii, quality, substrings
 from veriloom.llm.common import map_rows, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +82,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = chat.conversations(chat.chain(turns))
     return map_rows(found.select(F.col("tree_id").alias("conv_id"), "formatted", "loss"), _read_back,
                     "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+
+
+@query("op2_html_wrappers")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
