@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veriloom.llm import chat, decontaminate, html, near_dedup, neighbours, packing, pii, quality, substrings
+from veriloom.llm import chat, decontaminate, html, language, near_dedup, neighbours, packing, pii, quality, substrings
 from veriloom.llm.common import map_rows, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +87,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_html_wrappers")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+@query("op4_language_id")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
