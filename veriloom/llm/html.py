@@ -7,7 +7,6 @@ import json
 import re
 from difflib import SequenceMatcher
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
@@ -203,24 +202,20 @@ def fold(nodes: list) -> list:
         out: list = []
         for node in nodes:
             out.append(node)
-            while len(out) >= 2 * period:
-                last, before = out[-period:], out[-2 * period:-period]
-                if [_key(n) for n in last] != [_key(n) for n in before] or period > 1 and len({_key(n) for n in last}) == 1:
-                    if period > 1 and len(out) > period and out[-period - 1] != TEXT and out[-period - 1][0] == "+" and len(out[-period - 1][1]) == period \
-                            and [_key(n) for n in out[-period - 1][1]] == [_key(n) for n in last]:
-                        group = out[-period - 1]
-                        del out[-period - 1:]
-                        out.append(["+", [_joined(x, y) for x, y in zip(group[1], last)]])
-                        continue
-                    break
-                del out[-2 * period:]
+            last = out[-period:]
+            keys = [_key(n) for n in last]
+            if len(out) <= period or period > 1 and len(set(keys)) == 1:
+                continue
+            group, before = out[-period - 1], out[-2 * period:-period]
+            if period > 1 and group != TEXT and group[0] == "+" and [_key(n) for n in group[1]] == keys:
+                out[-period - 1:] = [["+", [_joined(x, y) for x, y in zip(group[1], last)]]]
+            elif len(before) == period and [_key(n) for n in before] == keys:
                 both = [_joined(x, y) for x, y in zip(before, last)]
-                if both == [TEXT]:
-                    out.append(TEXT)
-                elif period == 1 and both[0] != TEXT and both[0][0] == "+":
-                    out.append(both[0])
-                else:
-                    out.append(["+", [n[1][0] if period == 1 and n != TEXT and n[0] == "?" and len(n[1]) == 1 else n for n in both]])
+                if period > 1 or both[0] != TEXT and both[0][0] not in ("+", "?"):
+                    both = [["+", both]]
+                elif both[0] != TEXT:
+                    both = [["+", both[0][1]]]
+                out[-2 * period:] = both
         nodes = out
     return nodes
 
@@ -296,42 +291,10 @@ def known_paths(nodes: list) -> dict[int, int]:
     return known
 
 
-def dense_paths(nodes: list, slots: pd.DataFrame) -> list[int]:
-    """Paths of the main text of a host without article elements.
-
-    From the root down to the element that alone has three fifths of the text of
-    the element above it; texts that are the same on all of three or more pages
-    belong to the template.
-    """
-    above = known_paths(nodes)
-    usable = slots[~slots["marked"] & ~((slots["least"] == slots["most"]) & (slots["pages"] > 2))]
-    own = {}
-    for path, chars in zip(usable["path"], usable["chars"]):
-        own[int(path) & (1 << 64) - 1] = own.get(int(path) & (1 << 64) - 1, 0) + int(chars)
-    mass: dict[int, int] = {}
-    for path, chars in own.items():
-        while True:
-            mass[path] = mass.get(path, 0) + chars
-            if path == 0 or path not in above:
-                break
-            path = above[path]
-    below: dict[int, list] = {}
-    for path, up in above.items():
-        if path:
-            below.setdefault(up, []).append(path)
-    at = 0
-    while True:
-        best = max(below.get(at, []), key=lambda p: (mass.get(p, 0), p), default=None)
-        if best is None or not mass.get(best) or mass[best] < 0.6 * mass[at]:
-            break
-        if not below.get(best) and own.get(best, 0) and len(below.get(at, [])) > 1 and own.get(best, 0) < mass[at]:
-            break
-        at = best
-    inside, new = {at}, [at]
-    while new:
-        new = [p for q in new for p in below.get(q, [])]
-        inside.update(new)
-    return sorted(inside & set(own))
+def slot_paths(slots: pd.DataFrame) -> list[int]:
+    """Paths whose text varies: a text that is the same on all of three or more pages belongs to the template."""
+    constant = (slots["least"] == slots["most"]) & (slots["pages"] > 2)
+    return sorted(slots["path"][~slots["marked"] & ~constant].tolist())
 
 
 def host_of(url: str | None) -> str:
@@ -363,7 +326,7 @@ def _shape_batches(batches):
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, wrapper, dense): the inferred expression of each host as JSON, and the paths of its main text without article elements.
+    """(host, wrapper, slots): the inferred expression of each host as JSON, and the paths of its text slots.
 
     Pages of a host with one expression count once, so a host with a third of all
     pages moves no more rows than it has different expressions per task. These are aligned in groups of at most
@@ -391,17 +354,16 @@ def wrappers(pages: DataFrame) -> DataFrame:
 
     def ruled(key, expression, part):
         nodes = json.loads(expression["shape"].iloc[0]) if len(expression) else []
-        dense = dense_paths(nodes, part) if len(part) else []
-        return pd.DataFrame({"host": [key[0]], "wrapper": [json.dumps(nodes, separators=(",", ":"))], "dense": [[_signed(p) for p in dense]]})
+        return pd.DataFrame({"host": [key[0]], "wrapper": [json.dumps(nodes, separators=(",", ":"))], "slots": [slot_paths(part)]})
 
-    return left.groupBy("host").cogroup(slots.groupBy("host")).applyInPandas(ruled, "host string, wrapper string, dense array<long>")
+    return left.groupBy("host").cogroup(slots.groupBy("host")).applyInPandas(ruled, "host string, wrapper string, slots array<long>")
 
 
-def main_text(page: str | None, known: dict[int, int], dense: set[int], seen: dict | None = None) -> str:
+def main_text(page: str | None, known: dict[int, int], slots: set[int], seen: dict | None = None) -> str:
     """The blocks of a page that its wrapper places in the article, joined by an empty line.
 
     ``known`` are the ``known_paths`` of the wrapper. A block counts if its path is among them and not marked: below an article
-    element if the page has one, else below main, else on the dense paths.
+    element if the page has one, else below main, else if the path is a slot of the host.
     """
     _, blocks, has_article = parse(page, seen)
     free = [b for b in blocks if not b[1] and b[0] in known]
@@ -410,7 +372,7 @@ def main_text(page: str | None, known: dict[int, int], dense: set[int], seen: di
     elif any(b[3] for b in free):
         chosen = [b for b in free if b[3]]
     else:
-        chosen = [b for b in free if b[0] in dense]
+        chosen = [b for b in free if b[0] in slots]
     return "\n\n".join(b[4] for b in chosen)
 
 
@@ -419,12 +381,12 @@ def _text_batches(batches):
     seen: dict = {}
     for batch in batches:
         texts = []
-        for page, wrapper, dense in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4))):
+        for page, wrapper, slots in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4))):
             if wrapper not in kept:
                 if len(kept) > 1000:
                     kept.clear()
                 kept[wrapper] = known_paths(json.loads(wrapper))
-            texts.append(main_text(page, kept[wrapper], {p & (1 << 64) - 1 for p in dense}, seen))
+            texts.append(main_text(page, kept[wrapper], {p & (1 << 64) - 1 for p in slots}, seen))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
 
@@ -439,8 +401,8 @@ def extract(pages: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     """
     bound_batches(pages.sparkSession)
     rules = stored(wrappers(pages) if rules is None else rules, "wrappers")
-    size = rules.agg(F.coalesce(F.sum(F.length("wrapper") + 8 * F.size("dense") + F.length("host")), F.lit(0))).first()[0]
+    size = rules.agg(F.coalesce(F.sum(F.length("wrapper") + 8 * F.size("slots") + F.length("host")), F.lit(0))).first()[0]
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), _HOST.pattern, 1))
     joined = pages.select("page_id", "url", "html", host.alias("host")).join(F.broadcast(rules) if size <= BROADCAST_BYTES else rules, "host", "left")
-    return joined.select("page_id", "url", "html", F.coalesce("wrapper", F.lit("[]")), F.coalesce("dense", F.array().cast("array<long>"))).mapInArrow(
+    return joined.select("page_id", "url", "html", F.coalesce("wrapper", F.lit("[]")), F.coalesce("slots", F.array().cast("array<long>"))).mapInArrow(
         _text_batches, f"page_id {dict(pages.dtypes)['page_id']}, url string, text string")

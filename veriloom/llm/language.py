@@ -37,7 +37,8 @@ def presence(text: str | None) -> np.ndarray | None:
     keep = letter.copy()
     keep[1:] |= letter[:-1]
     code = np.where(letter, code, 32)[keep].astype(np.uint64)
-    code = np.concatenate([np.array([32], dtype=np.uint64), code, np.array([32], dtype=np.uint64)])
+    space = np.array([32], dtype=np.uint64)
+    code = np.concatenate([space, code, space[:0] if code[-1] == 32 else space])
     out = np.zeros(1 << BITS, dtype=np.uint8)
     gram = np.zeros(len(code), dtype=np.uint64)
     for n in range(1, min(ORDERS, len(code)) + 1):

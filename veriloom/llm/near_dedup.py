@@ -322,7 +322,7 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> Data
     classes = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("anonymous")).agg(
         F.min(F.when(F.col("doc_id").eqNullSafe(F.col("component_id")), F.struct("text_key", "fp"))).alias("best"))
     keep = stored(classes.select(F.col("component_id").alias("_id"), F.col("best.text_key").alias("_key")), "kept")
-    keyed = docs.withColumn("_text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    joined = keyed.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")))
+    keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"))
+    joined = keyed.join(keep, F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")))
     once = W.partitionBy("_id", "_key").orderBy("_key")
-    return joined.withColumn("_row", F.row_number().over(once)).where("_row = 1").select(*(F.col(c) for c in docs.columns))
+    return joined.withColumn("n", F.row_number().over(once)).where("n = 1").select("row.*")
