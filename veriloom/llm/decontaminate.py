@@ -66,10 +66,16 @@ def probes(fp: int, radius: int = RADIUS, blocks: int = BLOCKS) -> list[tuple[in
     return out
 
 
+def _of_size(h: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of shingles together with the number of words of the item they come from."""
+    h = (h ^ np.uint64(size * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
+    return (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+
+
 def _item_rows(batches, k: int, radius: int, blocks: int):
     """Per item: words, shingle hashes, fingerprint and probes."""
     for batch in batches:
-        rows = {"item_id": [], "item_words": [], "n_words": [], "item_fp": [], "grams": [], "probes": []}
+        rows = {"item_id": [], "item_words": [], "n_words": [], "item_fp": [], "grams": [], "sized": [], "probes": []}
         for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             words = normal_words(text)
             if not words:
@@ -77,18 +83,19 @@ def _item_rows(batches, k: int, radius: int, blocks: int):
             h = hashes(shingles(words, k))
             fp = simhash(h)
             for name, value in zip(rows, (item, " ".join(words), len(words), fp - (fp >> 63 << 64), h.view(np.int64).tolist(),
-                                          [i << 32 | v for i, v in probes(fp, radius, blocks)])):
+                                          _of_size(h, len(words)).view(np.int64).tolist(), [i << 32 | v for i, v in probes(fp, radius, blocks)])):
                 rows[name].append(value)
         yield pa.RecordBatch.from_arrays(
             [pa.array(rows["item_id"], pa.int64()), pa.array(rows["item_words"], pa.string()), pa.array(rows["n_words"], pa.int32()),
-             pa.array(rows["item_fp"], pa.int64()), pa.array(rows["grams"], pa.list_(pa.int64())), pa.array(rows["probes"], pa.list_(pa.int64()))],
+             pa.array(rows["item_fp"], pa.int64()), pa.array(rows["grams"], pa.list_(pa.int64())),
+             pa.array(rows["sized"], pa.list_(pa.int64())), pa.array(rows["probes"], pa.list_(pa.int64()))],
             names=list(rows))
 
 
-def _gram_filter(items: DataFrame, bits: int) -> np.ndarray:
-    """A bit map of the item shingles, of a fixed size; it may say yes wrongly, never no."""
+def _gram_filter(items: DataFrame, column: str, bits: int) -> np.ndarray:
+    """A bit map of the hashes in ``column``, of a fixed size; it may say yes wrongly, never no."""
     slot = F.shiftrightunsigned(F.col("gram"), 64 - bits)
-    packed = (items.select(F.explode("grams").alias("gram")).select(slot.alias("slot")).distinct()
+    packed = (items.select(F.explode(column).alias("gram")).select(slot.alias("slot")).distinct()
               .groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits")))
     seen = np.zeros(1 << (bits - 6), dtype=np.uint64)
     got = packed.toPandas()  # at most 2^(bits - 6) rows
@@ -96,14 +103,18 @@ def _gram_filter(items: DataFrame, bits: int) -> np.ndarray:
     return seen
 
 
-def _windows(batches, seen, bits: int, sizes: list[int], k: int, similarity: float, blocks: int):
+def _in_filter(seen: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
+    slot = h >> np.uint64(64 - bits)
+    return (seen[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+
+
+def _windows(batches, seen, sized, bits: int, sizes: list[int], k: int, similarity: float, blocks: int):
     """Windows of an item's size that could reach the similarity, with their fingerprints.
 
     Two lists of m shingles are that similar only if they share 2ms / (1 + s) of
-    them, so windows with fewer shingles known to the filter are left out; no
-    window that can be a match is.
+    them, so windows with fewer shingles known from items of their size are left
+    out; no window that can be a match is.
     """
-    shift = np.uint64(64 - bits)
     widths = sorted({min(k, s) for s in sizes})
     for batch in batches:
         out = {"doc_id": [], "start": [], "n_words": [], "fp": [], "window": []}
@@ -113,19 +124,20 @@ def _windows(batches, seen, bits: int, sizes: list[int], k: int, similarity: flo
                 if len(words) < width:
                     continue
                 h = hashes(shingles(words, width))
-                slot = h >> shift
-                known = (seen[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1)
-                if not known.any():
-                    continue
-                total = np.r_[0, np.cumsum(known.astype(np.int64))]
-                for size in sizes:
-                    if min(k, size) != width or len(words) < size:
-                        continue
+                known = np.flatnonzero(_in_filter(seen, h, bits))
+                for size in sizes if len(known) else ():
                     m = size - width + 1
                     need = int(np.ceil(2 * m * similarity / (1 + similarity) - 1e-9))
-                    for at in np.flatnonzero(total[m:] - total[:-m] >= need).tolist():
-                        fp = simhash(h[at:at + m])
-                        for name, value in zip(out, (doc, at, size, fp - (fp >> 63 << 64), " ".join(words[at:at + size]))):
+                    if min(k, size) != width or len(words) < size or len(known) < need:
+                        continue
+                    at = known[_in_filter(sized, _of_size(h[known], size), bits)]
+                    if len(at) < need:
+                        continue
+                    low = np.maximum(0, at[need - 1:] - m + 1)
+                    high = np.minimum(at[:len(at) - need + 1], len(words) - size)
+                    for start in sorted({x for a, b in zip(low.tolist(), high.tolist()) for x in range(a, b + 1)}):
+                        fp = simhash(h[start:start + m])
+                        for name, value in zip(out, (doc, start, size, fp - (fp >> 63 << 64), " ".join(words[start:start + size]))):
                             out[name].append(value)
         yield pa.RecordBatch.from_arrays(
             [pa.array(out["doc_id"], pa.int64()), pa.array(out["start"], pa.int32()), pa.array(out["n_words"], pa.int32()),
@@ -158,11 +170,12 @@ def leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, k:
     bound_batches(docs.sparkSession)
     item_rows = stored(items.select(F.col("item_id").cast("long"), "text").mapInArrow(
         lambda it: _item_rows(it, k, radius, blocks),
-        "item_id long, item_words string, n_words int, item_fp long, grams array<long>, probes array<long>"), "items")
+        "item_id long, item_words string, n_words int, item_fp long, grams array<long>, sized array<long>, probes array<long>"), "items")
     sizes = sorted(r[0] for r in item_rows.select("n_words").distinct().collect())  # one number per length
-    seen = docs.sparkSession.sparkContext.broadcast(_gram_filter(item_rows, filter_bits))
+    share = docs.sparkSession.sparkContext.broadcast
+    seen, sized = (share(_gram_filter(item_rows, column, filter_bits)) for column in ("grams", "sized"))
     windows = stored(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        lambda it: _windows(it, seen.value, filter_bits, sizes, k, similarity, blocks),
+        lambda it: _windows(it, seen.value, sized.value, filter_bits, sizes, k, similarity, blocks),
         "doc_id long, start int, n_words int, fp long, window string").withColumn("window_key", F.xxhash64("window", F.lit(1))), "windows")
     value = F.array(*(F.expr(f"shiftleft({i}L, 32) | (shiftrightunsigned(fp, {at}) & {(1 << size) - 1}L)")
                       for i, (at, size) in enumerate(block_bounds(blocks))))
