@@ -73,6 +73,8 @@ def _sides(ref: DataFrame, new: DataFrame, columns: Sequence[str], as_type: str
     """(feature, value, ref, new): both sets in long form with 0/1 side counters."""
     def side(df: DataFrame, r: int) -> DataFrame:
         long = to_long(df, [], columns, as_type=as_type).where(F.col("value").isNotNull())
+        if as_type == "double":
+            long = long.where(~F.isnan("value"))  # NaN has no place in an order
         return long.select("feature", "value", F.lit(r).cast("long").alias("ref"), F.lit(1 - r).cast("long").alias("new"))
     return side(ref, 1).unionAll(side(new, 0))
 
@@ -101,15 +103,19 @@ def _psi(share_ref: Column, share_new: Column, eps: float) -> Column:
 def psi_numeric(ref: DataFrame, new: DataFrame, columns: Sequence[str], bins: int = BINS, eps: float = EPS) -> DataFrame:
     """feature, psi over equal-width bins of the reference range.
 
-    New values outside the range fall in no bin but count in the total.
+    New values outside the range fall in no bin but count in the total. A constant
+    reference is one bin. Without a value on one side psi is null.
     """
-    ends = _long(ref, columns, {"lo": lambda c: F.min(F.col(c).cast("double")), "hi": lambda c: F.max(F.col(c).cast("double"))}).drop("rows")
+    def known(c: str) -> Column:
+        return F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
+
+    ends = _long(ref, columns, {"lo": lambda c: F.min(known(c)), "hi": lambda c: F.max(known(c))}).drop("rows")
     placed = _sides(ref, new, columns).join(F.broadcast(ends), "feature")  # one row per column
     inside = F.col("value").between(F.col("lo"), F.col("hi"))
-    place = F.least(F.floor((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1))
+    place = F.least(F.floor(ratio(F.col("value") - F.col("lo"), F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1))
     cells = _counts(placed.withColumn("bin", F.when(inside, place)), ["feature", "bin"])
     totals = _counts(cells, ["feature"]).select("feature", F.col("ref").alias("n_ref"), F.col("new").alias("n_new"))
-    term = _psi(F.col("ref") / F.col("n_ref"), F.col("new") / F.col("n_new"), eps)
+    term = _psi(ratio(F.col("ref"), F.col("n_ref"), None), ratio(F.col("new"), F.col("n_new"), None), eps)
     return cells.where(F.col("bin").isNotNull()).join(totals, "feature").groupBy("feature").agg(F.sum(term).alias("psi"))
 
 
@@ -137,7 +143,7 @@ def category_sides(ref: DataFrame, new: DataFrame, columns: Sequence[str]) -> Da
 
 def chi2(sides: DataFrame) -> DataFrame:
     """Goodness of fit to the reference shares; null where a cell holds fewer than five."""
-    expected = F.col("ref") / F.col("n_ref") * F.col("n_new")
+    expected = ratio(F.col("ref"), F.col("n_ref"), None) * F.col("n_new")
     g = sides.groupBy("feature").agg(
         F.sum(ratio(F.pow(F.col("new") - expected, F.lit(2.0)), expected)).alias("_x"), F.count(F.lit(1)).alias("categories"),
         F.min(F.least(F.col("ref").cast("double"), F.col("new").cast("double"))).alias("_least"))
@@ -147,7 +153,7 @@ def chi2(sides: DataFrame) -> DataFrame:
 
 
 def psi_categorical(sides: DataFrame, eps: float = EPS) -> DataFrame:
-    term = _psi(F.col("ref") / F.col("n_ref"), F.col("new") / F.col("n_new"), eps)
+    term = _psi(ratio(F.col("ref"), F.col("n_ref"), None), ratio(F.col("new"), F.col("n_new"), None), eps)
     return sides.groupBy("feature").agg(F.sum(term).alias("psi"))
 
 
@@ -167,8 +173,8 @@ def text_length_shift(ref: DataFrame, new: DataFrame, column: str) -> DataFrame:
     return out.select(F.lit(column).alias("feature"), "avg_length_ref", "avg_length_new", shift.alias("length_shift"))
 
 
-def text_divergence(ref: DataFrame, new: DataFrame, column: str, top: int = TOP_WORDS, eps: float = EPS) -> DataFrame:
-    """Jensen-Shannon divergence in nats of the most frequent words of both sides."""
+def text_divergence(ref: DataFrame, new: DataFrame, column: str, top: int | None = None, eps: float = EPS) -> DataFrame:
+    """Jensen-Shannon divergence in nats of the words of both sides, or of the ``top`` most frequent ones of each."""
     a = word_frequencies(ref, column, top).withColumnRenamed("n", "a")
     b = word_frequencies(new, column, top).withColumnRenamed("n", "b")
     both = a.join(b, "word", "full")

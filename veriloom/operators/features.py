@@ -72,7 +72,8 @@ def composite_risk(df: DataFrame, amount: str | None = None, age: str | None = N
     if amount:
         stats = stats or df.agg(F.min(amount).alias("lo"), F.max(amount).alias("hi"))
         s = stats.select(F.struct("lo", "hi")).scalar()
-        parts.append((F.col(amount) - s["lo"]) / (s["hi"] - s["lo"]))
+        scaled = ratio(F.col(amount) - s["lo"], s["hi"] - s["lo"], None)
+        parts.append(F.when(F.col(amount).isNotNull() & (s["hi"] == s["lo"]), 0.0).otherwise(scaled))
     if age:
         parts.append(F.abs(F.col(age) - 45) / F.lit(45.0).cast("double"))
     if duration:
@@ -309,10 +310,15 @@ def low_variance(df: DataFrame, features: Sequence[str], limit: float = VARIANCE
 
 
 def principal_components(df: DataFrame, columns: Sequence[str], share: float = 0.95, min_columns: int = 10) -> DataFrame:
-    """Adds pca_0.. up to the explained share; too few columns are left as they are."""
+    """Adds pca_0.. up to the explained share; too few columns are left as they are.
+
+    Null, NaN and infinite values count as 0, so every row is kept.
+    """
     if len(columns) <= min_columns:
         return df
-    vec = VectorAssembler(inputCols=list(columns), outputCol="_v", handleInvalid="skip").transform(df)
+    inputs = {f"_in{i}": c for i, c in enumerate(columns)}
+    clean = clean_infinite(df.withColumns({n: F.col(c) for n, c in inputs.items()}), list(inputs))
+    vec = VectorAssembler(inputCols=list(inputs), outputCol="_v", handleInvalid="error").transform(clean)
     model = PCA(k=len(columns), inputCol="_v", outputCol="_p").fit(vec)
     total, k = 0.0, 0
     while total < share and k < len(columns):

@@ -113,13 +113,24 @@ def fit_imputer(df: DataFrame, strategies: dict[str, object]) -> DataFrame:
 
 
 def apply_imputer(df: DataFrame, fitted: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Fills nulls from the fitted table. Whole-number columns become double if the value is not whole."""
-    look = fitted.agg(F.map_from_entries(F.collect_list(F.struct("feature", "value")))).scalar()
+    """Fills nulls from the fitted table (one row per column).
+
+    Columns of int and smaller whole numbers become double, which holds all their
+    values. Long and decimal columns keep their type and values, and take the
+    fill value rounded.
+    """
+    values = {r["feature"]: r["value"] for r in fitted.where(F.col("feature").isin(list(columns))).collect()}
     out = {}
     for c in columns:
-        kind = df.schema[c].dataType
-        target = T.DoubleType() if isinstance(kind, T.NumericType) else kind
-        out[c] = F.when(missing(df, c), look[c].cast(target)).otherwise(F.col(c).cast(target))
+        kind, value = df.schema[c].dataType, values.get(c)
+        fill = F.lit(value)
+        if isinstance(kind, T.IntegralType) and not isinstance(kind, T.LongType):
+            kind = T.DoubleType()
+        elif isinstance(kind, T.IntegralType):
+            fill = F.coalesce(F.round(fill.try_cast("decimal(38,9)"), 0).try_cast(kind), F.round(fill.cast("double"), 0).try_cast(kind))
+        elif isinstance(kind, T.DecimalType):
+            fill = F.round(fill.try_cast("decimal(38,18)"), kind.scale)
+        out[c] = F.when(missing(df, c), fill.cast(kind)).otherwise(F.col(c).cast(kind))
     return df.withColumns(out)
 
 
@@ -177,10 +188,19 @@ def bucketize(df: DataFrame, bins: dict[str, tuple[str, tuple]]) -> DataFrame:
 
 # ------------------------------------------------------------------ encoding
 
-def categories(df: DataFrame, column: str, limit: int) -> list | None:
-    """Sorted values, or None if there are more than ``limit``."""
-    rows = df.select(column).where(F.col(column).isNotNull()).distinct().limit(limit + 1).collect()
-    return None if len(rows) > limit else sorted(r[0] for r in rows)
+def categories(df: DataFrame, column: str, limit: int | None = None) -> list | None:
+    """Sorted values, each of which becomes a column; None if there are more than ``limit``."""
+    values = df.select(column).where(F.col(column).isNotNull()).distinct()
+    rows = (values if limit is None else values.limit(limit + 1)).collect()
+    return None if limit is not None and len(rows) > limit else sorted(r[0] for r in rows)
+
+
+def encode_categories(df: DataFrame, column: str, row_key: str, limit: int = MAX_ONEHOT) -> DataFrame:
+    """One-hot columns up to ``limit`` values, else label codes under the column's name."""
+    values = categories(df, column, limit)
+    if values is not None:
+        return one_hot(df, column, values)
+    return label_encode(df, column, fit_labels(df, column), row_key, "_e").drop(column).withColumnRenamed("_e", column)
 
 
 def one_hot(df: DataFrame, column: str, values: Sequence, drop_first: bool = True, prefix: str | None = None) -> DataFrame:
@@ -247,7 +267,7 @@ def apply_scaler(df: DataFrame, fitted: DataFrame, columns: Sequence[str], suffi
 # ------------------------------------------------------------------ nearest-neighbour imputation
 
 def knn_impute(df: DataFrame, target: str, features: Sequence[str], key: str, k: int = 5,
-               cell: float | None = None, max_levels: int = 80) -> DataFrame:
+               cell: float | None = None) -> DataFrame:
     """Fills nulls of ``target`` with the mean of the k nearest rows over ``features``.
 
     Distance is Euclidean, ties go to the smaller key. Rows are collapsed to
@@ -272,9 +292,7 @@ def knn_impute(df: DataFrame, target: str, features: Sequence[str], key: str, k:
     spans = [float(total[f"span{i}"] or 0) for i in range(len(feats))]
     cell = cell or max(spans + [1.0]) / max(total["points"], 1) ** (1 / len(feats)) / 2
     answers = []
-    for _ in range(max_levels):
-        if wanted == 0 or open_points.isEmpty():
-            break
+    while wanted and not open_points.isEmpty():
         last = cell > max(spans + [1.0]) * 4
         near = _within_cells(open_points, points, feats, cell)
         order = W.partitionBy(*feats).orderBy("_dist", "_dk")

@@ -202,10 +202,13 @@ def profile_text(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
 
 
 def category_counts(df: DataFrame, columns: Sequence[str] | None = None, limit: int = MAX_CATEGORIES) -> DataFrame:
-    """Value counts of the columns with fewer than ``limit`` values."""
-    hist = text_counts(df, list(columns or string_columns(df)))
-    few = hist.groupBy("feature").agg(F.count(F.lit(1)).alias("_d")).where(F.col("_d") < limit).select("feature")
-    return hist.join(few, "feature", "left_semi")
+    """Value counts of the columns with fewer than ``limit`` values; each other column has one row with the number of its values."""
+    names = list(columns or string_columns(df))
+    hist = text_counts(df, names)
+    sizes = hist.groupBy("feature").agg(F.count(F.lit(1)).alias("_d"))
+    few = F.broadcast(sizes.where(F.col("_d") < limit).select("feature"))  # a row per column
+    many = sizes.where(F.col("_d") >= limit).select("feature", F.lit(f"({limit} or more values)").alias("value"), F.col("_d").alias("n"))
+    return hist.join(few, "feature", "left_semi").select("feature", "value", "n").unionAll(many)
 
 
 def dataset_stats(df: DataFrame) -> DataFrame:

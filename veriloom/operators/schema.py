@@ -238,13 +238,15 @@ def business_rules(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
 
 
 def threshold_gate(metrics: DataFrame, thresholds: dict[str, tuple[str, float]]) -> DataFrame:
-    """(metric, value) rows against ``{metric: (operator, limit)}``; adds limit and passed."""
-    limit = F.create_map(*[F.lit(x) for m, (_, v) in thresholds.items() for x in (m, float(v))])
-    op = F.create_map(*[F.lit(x) for m, (o, _) in thresholds.items() for x in (m, o)])
-    v, lim, o = F.col("value"), limit[F.col("metric")], op[F.col("metric")]
-    passed = (F.when(o == "<", v < lim).when(o == "<=", v <= lim).when(o == ">", v > lim)
-              .when(o == ">=", v >= lim))
-    return metrics.where(F.col("metric").isin(list(thresholds))).select("*", lim.alias("limit"), passed.alias("passed"))
+    """(metric, value) rows against ``{metric: (operator, limit)}``; adds limit and passed.
+
+    Every threshold has a row: one whose metric is absent or null has not passed.
+    """
+    gates = F.array(*[F.struct(F.lit(m).alias("metric"), F.lit(float(v)).alias("limit"), F.lit(o).alias("_op")) for m, (o, v) in thresholds.items()])
+    v, lim, o = F.col("value"), F.col("limit"), F.col("_op")
+    passed = F.when(o == "<", v < lim).when(o == "<=", v <= lim).when(o == ">", v > lim).when(o == ">=", v >= lim)
+    rows = metrics.sparkSession.range(1).select(F.inline(gates)).join(metrics, "metric", "left")
+    return rows.select(*metrics.columns, "limit", F.coalesce(passed, F.lit(False)).alias("passed"))
 
 
 def orphans(df: DataFrame, parent: DataFrame, key: str, parent_key: str) -> DataFrame:

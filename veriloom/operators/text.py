@@ -17,10 +17,9 @@ from pyspark.sql import functions as F
 from veriloom.functions import lexicon as L
 from veriloom.functions.columns import col
 from veriloom.functions.skew import small_or_salted_join
-from veriloom.session import materialize
+from veriloom.session import stored
 
-# Limits of cleaning and of the vocabulary.
-MIN_TEXT, MAX_TEXT = 10, 5000
+# Limits of words and of the vocabulary.
 MIN_WORD, MAX_WORD = 2, 20
 VOCABULARY, MIN_DF, MAX_DF = 5000, 2, 0.95
 
@@ -29,11 +28,13 @@ def expand_contractions(text: str | Column) -> Column:
     return reduce(lambda c, pair: F.replace(c, F.lit(pair[0]), F.lit(pair[1])), L.CONTRACTIONS, col(text))
 
 
-def normalized(text: str | Column) -> Column:
-    """Trimmed, expanded, lower-cased, single-spaced; blank if too short or too long."""
+def normalized(text: str | Column, min_chars: int | None = None, max_chars: int | None = None) -> Column:
+    """Trimmed, expanded, lower-cased, single-spaced; blank if shorter or longer than the limits given."""
     trimmed = F.btrim(col(text), F.lit(" " + L.OTHER_SPACE))
     flat = F.regexp_replace(F.lower(expand_contractions(trimmed)), L.UNTIDY_SPACE, " ")
-    return once(flat, lambda t: F.when(F.length(t).between(MIN_TEXT, MAX_TEXT), t).otherwise(""))
+    if min_chars is None and max_chars is None:
+        return flat
+    return once(flat, lambda t: F.when((F.length(t) >= (min_chars or 0)) & (F.length(t) <= (max_chars or 2**31 - 1)), t).otherwise(""))
 
 
 def once(value: Column, use) -> Column:
@@ -41,9 +42,10 @@ def once(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def tokens(text: str | Column, drop_digits: bool = False, stopwords: Sequence[str] = tuple(L.STOPWORDS)) -> Column:
-    """Cleaned tokens in order."""
-    flat = normalized(text)
+def tokens(text: str | Column, drop_digits: bool = False, stopwords: Sequence[str] = tuple(L.STOPWORDS),
+           min_chars: int | None = None, max_chars: int | None = None) -> Column:
+    """Cleaned tokens in order, of whole texts unless limits are given."""
+    flat = normalized(text, min_chars, max_chars)
     if drop_digits:
         flat = F.regexp_replace(flat, r"\d+", "")
     words = F.split(F.translate(flat, L.PUNCTUATION, ""), " ")
@@ -59,7 +61,7 @@ def lemmatize(df: DataFrame, key: str, token_column: str, lemmas: DataFrame, max
     words = df.select(key, F.posexplode(token_column).alias("_pos", "form"))
     options = {} if max_rows is None else {"max_rows": max_rows}
     found = small_or_salted_join(words, lemmas.select("form", "lemma"), ["form"], F.struct(key, "_pos"), **options)
-    # one document's tokens, bounded by the text length limit
+    # one document's tokens
     done = found.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_pos", F.coalesce("lemma", "form").alias("w")))).alias("_w"))
     out = df.drop(token_column).join(done, key, "left")
     return out.withColumn(token_column, F.coalesce(F.transform("_w", lambda x: x["w"]), F.array().cast("array<string>"))).drop("_w")
@@ -137,16 +139,22 @@ def _ngrams(toks: Column, sizes: Sequence[int]) -> Column:
     return F.concat(*parts)
 
 
-def term_counts(df: DataFrame, key: str, text: str, ngrams: Sequence[int] = (1, 2)) -> DataFrame:
-    """(key, term, tf) of the cleaned texts long enough to be fitted on."""
-    toks = df.select(key, tokens(text).alias("_tok")).where(F.length(F.array_join("_tok", " ")) >= MIN_TEXT)
+def term_counts(df: DataFrame, key: str, text: str, ngrams: Sequence[int] = (1, 2), min_chars: int = 0) -> DataFrame:
+    """(key, term, tf) of the cleaned texts that have ``min_chars`` characters."""
+    toks = df.select(key, tokens(text).alias("_tok"))
+    if min_chars:
+        toks = toks.where(F.length(F.array_join("_tok", " ")) >= min_chars)
     grams = toks.select(key, F.explode(_ngrams(F.col("_tok"), ngrams)).alias("term"))
     return grams.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def fit_vocabulary(counts: DataFrame, key: str, size: int = VOCABULARY, min_df: int = MIN_DF, max_df: float = MAX_DF) -> DataFrame:
-    """term, df, total, idf of at most ``size`` terms: the most used ones, ties by term."""
-    n = counts.agg(F.count_distinct(key)).scalar()
+def fit_vocabulary(counts: DataFrame, key: str, size: int = VOCABULARY, min_df: int = MIN_DF, max_df: float = MAX_DF,
+                   documents: DataFrame | None = None) -> DataFrame:
+    """term, df, total, idf of at most ``size`` terms: the most used ones, ties by term.
+
+    Shares and idf are of all rows of ``documents``, or else of the documents that have a term.
+    """
+    n = counts.agg(F.count_distinct(key)).scalar() if documents is None else documents.agg(F.count(F.lit(1))).scalar()
     terms = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
     kept = terms.where((F.col("df") >= min_df) & (F.col("df") <= n * F.lit(max_df).cast("double")))
     idf = F.log((n + 1) / (F.col("df") + 1).cast("double")) + 1
@@ -171,10 +179,11 @@ def idf_importance(vocabulary: DataFrame, limit: int | None = None) -> DataFrame
     return out if limit is None else out.limit(limit)
 
 
-def word_frequencies(df: DataFrame, text: str, top: int = 100) -> DataFrame:
-    """The most frequent lower-cased words, ties by word."""
+def word_frequencies(df: DataFrame, text: str, top: int | None = None) -> DataFrame:
+    """How often each lower-cased word occurs, or the ``top`` most frequent ones, ties by word."""
     words = df.select(F.explode(F.split(F.lower(text), f"[{L.SPACE}]+")).alias("word")).where(F.col("word") != "")
-    return words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "word").limit(top)
+    counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return counts if top is None else counts.orderBy(F.desc("n"), "word").limit(top)
 
 
 def language_filter(df: DataFrame, language: str, keep: Sequence[str] = ("en",)) -> DataFrame:
@@ -218,9 +227,10 @@ class TextPreprocessor:
 
     def fit(self, df: DataFrame) -> "FittedTextPreprocessor":
         c = self.config
-        vocabulary = materialize(fit_vocabulary(term_counts(df, c["key"], c["text"]), c["key"], c["vocabulary"]))
+        counts = stored(term_counts(df, c["key"], c["text"]), "terms")
+        vocabulary = stored(fit_vocabulary(counts, c["key"], c["vocabulary"], documents=df), "vocabulary")
         # both models pass over the tokens many times
-        toks = materialize(df.select(tokens(c["text"]).alias("tok")).where(F.length(F.array_join("tok", " ")) >= MIN_TEXT))
+        toks = stored(df.select(F.coalesce(tokens(c["text"]), F.array().cast("array<string>")).alias("tok")), "tokens")
         return FittedTextPreprocessor(c, vocabulary, fit_word2vec(toks, "tok", c["w2v_size"]),
                                       fit_topics(toks, "tok", c["topics"], max_iter=c["lda_iter"]))
 

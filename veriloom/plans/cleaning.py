@@ -205,14 +205,14 @@ BINS = {"claim_amount_category": ("claim_amount", R.AMOUNT_BINS), "age_group": (
       case when claim_status = 'P' then 1.0 else 0.0 end::double as "claim_status_P" from @claims c""")
 def _(spark, sf):
     df = P.claims(spark, sf, "claim_id", "claim_status")
-    return R.one_hot(df, "claim_status", R.categories(df, "claim_status", R.MAX_ONEHOT))
+    return R.encode_categories(df, "claim_status", "claim_id")
 
 
 @query("prep_get_dummies", "select claim_id, " + ", ".join(
     f"case when claim_status = '{v}' then 1.0 else 0.0 end::double as \"type_{v}\"" for v in "FOP") + " from @claims c")
 def _(spark, sf):
     df = P.claims(spark, sf, "claim_id", "claim_status")
-    return R.one_hot(df, "claim_status", R.categories(df, "claim_status", R.MAX_ONEHOT), drop_first=False, prefix="type")
+    return R.one_hot(df, "claim_status", R.categories(df, "claim_status"), drop_first=False, prefix="type")
 
 
 @query("prep_label_encode", """

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from veriloom.functions import lexicon as L
 from veriloom.operators import features as E
 from veriloom.operators import modelling as M
+from veriloom.operators import text as X
 from veriloom.plans import profiles as P
 from veriloom.plans.registry import query
 from veriloom.session import spread_rows
@@ -17,22 +19,44 @@ def _r(df, **places):
     return df.withColumns({c: F.round(c, n) for c, n in places.items()})
 
 
-@query("fe_ratio", """
+def _sum(words, text="t"):
+    return "(" + " + ".join(f"contains({text}, '{w}')::int" for w in words) + ")"
+
+
+# Claims with the features of the document of the same number.
+FULL = f"""(select claim_id, claim_amount, customer_age, policy_duration, length(text) as text_length,
+    len(regexp_extract_all(text, '[^{L.SPACE}]+')) as word_count, p / greatest(p + n, 1) as sentiment_positive, n / greatest(p + n, 1) as sentiment_negative,
+    (p - n) / greatest(p + n, 1) as sentiment_compound, damage_types_mentions from (select *, {_sum(L.POSITIVE)} as p, {_sum(L.NEGATIVE)} as n,
+      {_sum(L.KEYWORDS["damage_types"])} as damage_types_mentions from (select *, lower(text) as t from @claims c1 join documents on claim_id = doc_id) d0) d)"""
+
+
+def _full(spark, sf):
+    docs = spread_rows(P.documents(spark, sf).select(F.col("doc_id").alias("claim_id"), "text"), "claim_id")
+    return E.combine(P.claims(spark, sf, *NUMBERS), X.features(docs, "text").drop("text"), "claim_id")
+
+
+@query("fe_ratio", f"""
     select claim_id, claim_amount / customer_age as claim_amount_to_customer_age_ratio,
       claim_amount / (case when d = 0 then 1e-6 else d end) as claim_amount_to_policy_duration_ratio,
-      customer_age / (case when d = 0 then 1e-6 else d end)::double as customer_age_to_policy_duration_ratio
-    from (select *, policy_duration - 1 as d from @claims c1) c""")
+      customer_age / (case when d = 0 then 1e-6 else d end)::double as customer_age_to_policy_duration_ratio,
+      text_length / (case when word_count = 0 then 1e-6 else word_count end)::double as text_length_to_word_count_ratio,
+      round(sentiment_positive / (case when sentiment_negative = 0 then 1e-6 else sentiment_negative end)::double, 6) as sentiment_positive_to_sentiment_negative_ratio
+    from (select *, policy_duration - 1 as d from {FULL} c1) c""")
 def _(spark, sf):
-    df = P.claims(spark, sf, *NUMBERS).withColumn("policy_duration", F.col("policy_duration") - 1)
-    return E.ratios(df).drop(*NUMBERS[1:])
+    df = E.ratios(_full(spark, sf).withColumn("policy_duration", F.col("policy_duration") - 1))
+    names = [f"{a}_to_{b}_ratio" for a, b in E.RATIOS]
+    return _r(df.select("claim_id", *names), sentiment_positive_to_sentiment_negative_ratio=6)
 
 
-@query("fe_interaction", """
+@query("fe_interaction", f"""
     select claim_id, claim_amount * customer_age as claim_amount_x_customer_age, claim_amount * policy_duration as claim_amount_x_policy_duration,
-      customer_age * policy_duration as customer_age_x_policy_duration, customer_age + policy_duration as customer_age_plus_policy_duration
-    from @claims c""")
+      customer_age * policy_duration as customer_age_x_policy_duration, round(sentiment_compound * text_length, 6) as sentiment_compound_x_text_length,
+      customer_age + policy_duration as customer_age_plus_policy_duration
+    from {FULL} c""")
 def _(spark, sf):
-    return E.interactions(P.claims(spark, sf, *NUMBERS), add=[("customer_age", "policy_duration")]).drop(*NUMBERS[1:])
+    df = E.interactions(_full(spark, sf), add=[("customer_age", "policy_duration")])
+    names = [f"{a}_x_{b}" for a, b in E.PRODUCTS] + ["customer_age_plus_policy_duration"]
+    return _r(df.select("claim_id", *names), sentiment_compound_x_text_length=6)
 
 
 @query("fe_polynomial", """
@@ -56,37 +80,33 @@ def _(spark, sf):
     return E.binning(P.claims(spark, sf, *NUMBERS)).drop(*NUMBERS[1:])
 
 
-@query("fe_composite_risk", """
-    with s as (select min(claim_amount) as lo, max(claim_amount) as hi from @claims c1)
-    select claim_id, round(((claim_amount - lo) / (hi - lo) + abs(customer_age - 45) / 45.0 + 1.0 / (1 + policy_duration / 12.0::double)) / 3, 6) as composite_risk_score
-    from @claims c, s""")
+@query("fe_composite_risk", f"""
+    with f as (select * from {FULL} f0), s as (select min(claim_amount) as lo, max(claim_amount) as hi from f)
+    select claim_id, round(((claim_amount - lo) / (hi - lo) + abs(customer_age - 45) / 45.0 + 1.0 / (1 + policy_duration / 12.0::double)
+      + sentiment_negative) / 4, 6) as composite_risk_score from f, s""")
 def _(spark, sf):
-    out = E.composite_risk(P.claims(spark, sf, *NUMBERS), "claim_amount", "customer_age", "policy_duration")
-    return _r(out.drop(*NUMBERS[1:]), composite_risk_score=6)
+    out = E.composite_risk(_full(spark, sf), "claim_amount", "customer_age", "policy_duration", "sentiment_negative")
+    return _r(out.select("claim_id", "composite_risk_score"), composite_risk_score=6)
 
 
 WITH_TEXT = """(select claim_id, claim_amount, length(text) as text_length, lower(text) as t from @claims c1 join documents on claim_id = doc_id)"""
-FRAUD = ("staged", "suspicious", "inconsistent", "exaggerated", "fraudulent", "false", "misleading", "fabricated")
+FRAUD = L.KEYWORDS["fraud_indicators"]
 
 
 def _described(spark, sf):
     """Claims with the document of the same number as description."""
-    from veriloom.operators import text as X
     docs = spread_rows(P.documents(spark, sf).select(F.col("doc_id").alias("claim_id"), "text"), "claim_id")
     texts = X.features(docs, "text").drop("text")
     return E.combine(P.claims(spark, sf, "claim_id", "claim_amount", "claim_date"), texts, "claim_id")
 
 
-@query("fe_fraud_score", """
-    with c as (select claim_id, claim_amount, (case when n > 0 then n / (p + n) else 0 end)::double as neg from (
-        select claim_id, claim_amount, {pos}::double as p, {neg}::double as n from {w} w1) q),
-    q as (select quantile_cont(claim_amount, 0.95) as p95 from c)
-    select claim_id, ((coalesce(claim_amount > p95, false)::int + (neg > 0.5)::int) / 2.0)::double as fraud_risk_score from c, q""".format(
-        w=WITH_TEXT,
-        pos=" + ".join(f"contains(t, '{w}')::int" for w in ("good", "excellent", "great", "satisfied", "happy", "pleased")),
-        neg=" + ".join(f"contains(t, '{w}')::int" for w in ("bad", "terrible", "awful", "dissatisfied", "unhappy", "angry"))))
+@query("fe_fraud_score", f"""
+    with f as (select * from {FULL} f0), q as (select quantile_cont(claim_amount, 0.95) as p95 from f)
+    select claim_id, round(((coalesce(claim_amount > p95, false)::int + (sentiment_negative > 0.5)::int + (damage_types_mentions > 2)::int) / 3.0)::double, 6)
+      as fraud_risk_score from f, q""")
 def _(spark, sf):
-    return E.fraud_score(_described(spark, sf), "claim_amount", "sentiment_negative").select("claim_id", "fraud_risk_score")
+    out = E.fraud_score(_full(spark, sf), "claim_amount", "sentiment_negative", "damage_types_mentions")
+    return _r(out.select("claim_id", "fraud_risk_score"), fraud_risk_score=6)
 
 
 @query("fe_fraud_flags", f"""
@@ -102,19 +122,15 @@ def _(spark, sf):
                      "fraud_keywords_present", "short_desc_high_claim")
 
 
-def _mentions(words):
-    return " + ".join(f"contains(lower(text), '{w}')::int" for w in words)
-
-
 @query("fe_severity_flags", f"""
-    select doc_id, (({_mentions(("injury", "fracture", "sprain", "strain", "laceration", "contusion", "concussion", "whiplash", "surgery", "hospital"))}) >= 2)::int
-        as high_medical_severity,
-      (({_mentions(("severe", "minor", "major", "critical", "serious", "significant", "extensive", "minimal", "moderate"))}) >= 1)::int as high_damage_severity
-    from documents""")
+    select doc_id, ({_sum(L.KEYWORDS["medical_terms"], "lower(text)")} >= 2)::int as high_medical_severity,
+      ({_sum(L.KEYWORDS["severity_indicators"], "lower(text)")} >= 1)::int as high_damage_severity,
+      (len(regexp_extract_all(text, '@')) >= 3)::int as multi_party_claim from documents""")
 def _(spark, sf):
-    from veriloom.operators import text as X
+    """The mail addresses of a text stand for the persons in it."""
     df = X.features(spread_rows(P.documents(spark, sf).select("doc_id", "text"), "doc_id"), "text")
-    return E.severity_flags(df).select("doc_id", "high_medical_severity", "high_damage_severity")
+    df = df.withColumn("person_mentions", F.regexp_count("text", F.lit("@")))
+    return E.severity_flags(df).select("doc_id", "high_medical_severity", "high_damage_severity", "multi_party_claim")
 
 
 @query("fe_rolling_mean", """

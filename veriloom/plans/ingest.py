@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veriloom.plans import profiles as P
@@ -10,6 +13,8 @@ from veriloom.operators import quality
 from veriloom.session import scratch_path
 from veriloom.sources import combine, readers, sinks
 
+LISTED = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark",
+          "labels", "conversations")
 CLAIM_COLUMNS = ["claim_id", "claim_amount", "claim_date", "claim_status", "claim_type", "region", "policy_duration"]
 
 
@@ -64,9 +69,12 @@ def _(spark, sf):
     return readers.read_text_files(spark, path, pathGlobFilter="*.txt").drop("content")
 
 
-@query("src_object_listing")
+@query("src_object_listing", " union all ".join(f"select '{t}.parquet' as file_name, 'parquet' as extension, count(*) as n_rows from {t}" for t in LISTED))
 def _(spark, sf):
-    return readers.list_objects(spark, sf, ["PARQUET"], max_keys=100)
+    """The files of the folder, each with the rows read from it."""
+    files = readers.list_objects(spark, sf, ["PARQUET"]).select("file_name", "extension")
+    counts = [P.table(spark, sf, t).agg(F.count("*").alias("n_rows")).select(F.lit(f"{t}.parquet").alias("file_name"), "n_rows") for t in LISTED]
+    return files.join(reduce(DataFrame.unionAll, counts), "file_name").select("file_name", "extension", "n_rows")
 
 
 @query("src_modified_between", "select count(*) as n, round(sum(o_totalprice), 2) as total from orders")

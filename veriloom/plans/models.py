@@ -58,30 +58,30 @@ def _(spark, sf):
 @query("ml_train_rf")
 def _(spark, sf):
     df = _training(spark, sf)
-    return M.score(M.train_forest(df, INPUTS, "label", trees=20, depth=8), df).select("claim_id", "predicted_risk", "p_high", "confidence")
+    return M.score(M.train_forest(df, INPUTS, "label"), df).select("claim_id", "predicted_risk", "p_high", "confidence")
 
 
 @query("ml_train_gbt")
 def _(spark, sf):
     df = _training(spark, sf)
-    return M.score(M.train_boosted(df, INPUTS, "label", rounds=10, depth=4), df).select("claim_id", "predicted_risk", "p_high", "confidence")
+    return M.score(M.train_boosted(df, INPUTS, "label"), df).select("claim_id", "predicted_risk", "p_high", "confidence")
 
 
 @query("ml_train_mlp")
 def _(spark, sf):
     df = _training(spark, sf)
-    return M.score(M.train_network(df, INPUTS, "label", hidden=(16, 8), rounds=30), df).select("claim_id", "predicted_risk", "p_high", "confidence")
+    return M.score(M.train_network(df, INPUTS, "label"), df).select("claim_id", "predicted_risk", "p_high", "confidence")
 
 
 @query("ml_tune")
 def _(spark, sf):
-    return M.tune_boosted(_training(spark, sf), INPUTS, "label", rounds=(3, 6), depths=(2, 4))
+    return M.tune_boosted(_training(spark, sf), INPUTS, "label")
 
 
 @query("ml_cross_validate")
 def _(spark, sf):
     df = _training(spark, sf)
-    return M.cross_validate(df, lambda d: M.train_logistic(d, INPUTS, "label", rounds=10), _measure, "claim_id", "label", folds=5)
+    return M.cross_validate(df, lambda d: M.train_logistic(d, INPUTS, "label"), _measure, "claim_id", "label", folds=5)
 
 
 @query("ml_batch_score")
@@ -117,14 +117,14 @@ def _(spark, sf):
 
 @query("ml_feature_importance")
 def _(spark, sf):
-    model = M.train_forest(_training(spark, sf), INPUTS, "label", trees=10, depth=5)
+    model = M.train_forest(_training(spark, sf), INPUTS, "label")
     return M.importance_summary(M.feature_importance(model, INPUTS, spark))
 
 
 @query("ml_permutation_importance")
 def _(spark, sf):
     df = _training(spark, sf)
-    return M.permutation_importance(M.train_forest(df, INPUTS, "label", trees=10, depth=5), df, INPUTS, "claim_id", _measure)
+    return M.permutation_importance(M.train_forest(df, INPUTS, "label"), df, INPUTS, "claim_id", _measure)
 
 
 REGISTRY = """(select left(claim_type, 1)::int as version, round(avg((risk_level = 'high')::int), 6)::double as metric, max(claim_date) as created_at,

@@ -98,27 +98,40 @@ def _(spark, sf):
 
 @query("st_label_join", """
     with p as (select event_id // 2 as id, ts from events where event_id % 2 = 0), o as (select event_id // 2 as id, ts as outcome_ts, event_type as outcome from events where event_id % 2 = 1 and event_id % 3 <> 0)
-    select p.id, p.ts, o.outcome from p left join o on p.id = o.id and outcome_ts >= ts and outcome_ts <= ts + interval 4 minutes where ts < timestamp '2024-01-25'""")
+    select p.id, p.ts, o.outcome from p left join o on p.id = o.id and outcome_ts >= ts and outcome_ts <= ts + interval 4 minutes""")
 def _(spark, sf):
-    ev = _stream(spark, sf)
+    """A late pair of events moves the watermark past all others, so every prediction comes out."""
+    root = scratch_path(spark, "st_label_in")
+    P.events(spark, sf).write.parquet(root)
+    _closing(spark, sf).write.mode("append").parquet(root)
+    ev = S.event_time(S.file_stream(spark, root, P.events(spark, sf).schema))
     half = F.floor(F.col("event_id") / 2).alias("id")
     p = ev.where("event_id % 2 = 0").select(half, "ts")
-    o = _stream(spark, sf).where("event_id % 2 = 1 and event_id % 3 <> 0").select(half, F.col("ts").alias("outcome_ts"), F.col("event_type").alias("outcome"))
+    o = ev.where("event_id % 2 <> 0 and event_id % 3 <> 0").select(half, F.col("ts").alias("outcome_ts"), F.col("event_type").alias("outcome"))
     out = _ntz(_table(spark, S.label_join(p, o, "id", DELAY, "4 minutes"), "st_label"), "ts")
-    return out.where(F.col("ts") < F.lit("2024-01-25").cast("timestamp_ntz")).select("id", "ts", "outcome")
+    return out.where("id >= 0").select("id", "ts", "outcome")
 
 
 STEPS = (("2000-01-01", "2024-01-08"), ("2024-01-08", "2024-01-16"), ("2024-01-16", "2024-01-24"), ("2024-01-24", "2100-01-01"))
 
 
-def _event_files(spark, sf, name, steps=STEPS):
+def _closing(spark, sf):
+    """Two events two days after all others, which close every window and join before them."""
+    ev = P.events(spark, sf)
+    last = ev.agg((F.max("ts") + F.expr("interval 2 days")).alias("ts")).withColumn("event_id", F.explode(F.array(F.lit(-2), F.lit(-1))))
+    return last.select(*[F.col(f.name).cast(f.dataType) if f.name in ("ts", "event_id") else F.lit(None).cast(f.dataType).alias(f.name) for f in ev.schema])
+
+
+def _event_files(spark, sf, name, steps=STEPS, closing=False):
     """The events written in steps of time and streamed in about as many batches."""
     root, ev = scratch_path(spark, name), P.events(spark, sf)
     for a, b in steps:
         part = ev.where((F.col("ts") >= F.lit(a).cast("timestamp_ntz")) & (F.col("ts") < F.lit(b).cast("timestamp_ntz")))
         part.write.mode("append").parquet(root)
+    if closing:
+        _closing(spark, sf).coalesce(1).write.mode("append").parquet(root)
     files = len(spark.read.parquet(root).inputFiles())
-    return S.event_time(S.file_stream(spark, root, ev.schema, files_per_batch=-(-files // len(steps))))
+    return S.event_time(S.file_stream(spark, root, ev.schema, files_per_batch=-(-files // (len(steps) + closing))))
 
 
 @query("st_recent_count", """
@@ -153,12 +166,16 @@ def _(spark, sf):
     return spark.read.parquet(f"{root}/sent").select("event_type", "sent_at")
 
 
-@query("st_late_data")
+@query("st_late_data", f"""
+    select date_trunc('day', ts)::timestamp as day, count(*) as n, (select count(*) from events where ts < timestamp '{P.SPLIT_TS}') as dropped
+    from events where ts >= timestamp '{P.SPLIT_TS}' group by 1""")
 def _(spark, sf):
-    """The newer half arrives first, so the older half is late and dropped."""
+    """The newer half arrives first, so the older half is late and dropped: what comes in and is in no window."""
     late_last = (*STEPS[2:], ("2000-01-01", P.SPLIT_TS))
-    stream = _event_files(spark, sf, "st_late_in", late_last)
+    stream = _event_files(spark, sf, "st_late_in", late_last, closing=True)
     counts = stream.withWatermark("ts", DELAY).groupBy(F.window("ts", "1 day").alias("window")).agg(F.count("*").alias("n"))
     path = scratch_path(spark, "st_late")
-    q = S.run_to_table(counts.select(F.col("window.start").alias("day"), "n"), path, scratch_path(spark, "st_late-ckpt"))
-    return spark.read.parquet(path).withColumn("dropped", F.lit(S.dropped_rows(q)))
+    S.run_to_table(counts.select(F.col("window.start").alias("day"), "n"), path, scratch_path(spark, "st_late-ckpt"))
+    out = _ntz(spark.read.parquet(path), "day")
+    came = P.events(spark, sf).agg(F.count("*")).scalar()
+    return out.withColumn("dropped", came - out.agg(F.coalesce(F.sum("n"), F.lit(0))).scalar())

@@ -30,7 +30,7 @@ WORDS = "(" + ", ".join(_q(w) for w in L.STOPWORDS) + ")"
 _TRIMMED = f"regexp_replace(text, '^[{L.SPACE}]+|[{L.SPACE}]+$', '', 'g')"
 _FLAT = f"regexp_replace(lower({EXPANDED.format(t=_TRIMMED)}), '[{L.SPACE}]+', ' ', 'g')"
 # doc_id, tok: cleaned tokens per document
-TOKENS = f"""(select doc_id, text, list_filter(string_split(regexp_replace(case when length(flat) between 10 and 5000 then flat else '' end,
+TOKENS = f"""(select doc_id, text, list_filter(string_split(regexp_replace(flat,
     '[!-/:-@\\[-`{{-~]', '', 'g'), ' '), lambda w: length(w) between 2 and 20 and w not in {WORDS}) as tok
     from (select doc_id, text, {_FLAT} as flat from documents) t0)"""
 
@@ -92,34 +92,38 @@ def _(spark, sf):
     return _r(out, **{c: 6 for c in out.columns if c != "doc_id"})
 
 
-TERMS = f"""t as (select doc_id, tok from {TOKENS} t1 where length(array_to_string(tok, ' ')) >= 10),
+TERMS = f"""t as (select doc_id, tok from {TOKENS} t1),
     g as (select doc_id, unnest(list_concat(tok, list_transform(range(1, len(tok)), lambda i: tok[i] || ' ' || tok[i + 1]))) as term from t),
     c as (select doc_id, term, count(*) as tf from g group by 1, 2),
-    n as (select count(distinct doc_id) as n from c),
+    n as (select count(*) as n from documents),
     v as (select term, count(*) as df, sum(tf)::bigint as total from c group by 1 having count(*) >= 2 and count(*) <= 0.95 * (select n from n)
           order by total desc, term limit 5000),
     i as (select v.*, ln((n + 1.0::double) / (df + 1)) + 1 as idf from v, n)"""
 
 
+def _vocabulary(spark, sf, counts):
+    return X.fit_vocabulary(counts, "doc_id", documents=P.documents(spark, sf))
+
+
 @query("txt_tfidf", f"""
     with {TERMS}, w as (select doc_id, term, tf * idf as w from c join i using (term)),
     s as (select *, sqrt(sum(w * w) over (partition by doc_id)) as norm from w)
     select doc_id, term, round(w / norm, 6) as weight from s""")
 def _(spark, sf):
     counts = stored(X.term_counts(_docs(spark, sf), "doc_id", "text"), "terms")
-    return _r(X.tfidf(counts, X.fit_vocabulary(counts, "doc_id"), "doc_id"), weight=6)
+    return _r(X.tfidf(counts, _vocabulary(spark, sf, counts), "doc_id"), weight=6)
 
 
 @query("txt_count_vector", f"with {TERMS} select doc_id, term, tf from c join i using (term)")
 def _(spark, sf):
     counts = stored(X.term_counts(_docs(spark, sf), "doc_id", "text"), "terms")
-    return X.count_vectors(counts, X.fit_vocabulary(counts, "doc_id")).select("doc_id", "term", "tf")
+    return X.count_vectors(counts, _vocabulary(spark, sf, counts)).select("doc_id", "term", "tf")
 
 
 @query("txt_idf_importance", f"with {TERMS} select 'tfidf_' || term as feature, round(idf, 6) as importance from i")
 def _(spark, sf):
     counts = stored(X.term_counts(_docs(spark, sf), "doc_id", "text"), "terms")
-    return _r(X.idf_importance(X.fit_vocabulary(counts, "doc_id")), importance=6)
+    return _r(X.idf_importance(_vocabulary(spark, sf, counts)), importance=6)
 
 
 @query("txt_word2vec")
@@ -132,7 +136,7 @@ def _(spark, sf):
 @query("txt_lda")
 def _(spark, sf):
     docs = materialize(_docs(spark, sf).select("doc_id", X.tokens("text").alias("tok")))
-    model = X.fit_topics(docs, "tok", max_iter=10)
+    model = X.fit_topics(docs, "tok")
     return X.spread(model.transform(docs).drop("tok", "_counts"), "topics", 10, "topic")
 
 
@@ -146,7 +150,7 @@ def _(spark, sf):
     select word, count(*) as n from (select unnest(regexp_split_to_array(lower(text), '[{L.SPACE}]+')) as word from documents) w
     where word <> '' group by 1 order by n desc, word limit 100""")
 def _(spark, sf):
-    return X.word_frequencies(_docs(spark, sf), "text")
+    return X.word_frequencies(_docs(spark, sf), "text", 100)
 
 
 @query("txt_language_filter", "select doc_id, lang, n_chars from documents where lang in ('en')")
@@ -157,7 +161,7 @@ def _(spark, sf):
 @query("txt_preprocessor")
 def _(spark, sf):
     docs = _docs(spark, sf)
-    fitted = X.TextPreprocessor("doc_id", "text", w2v_size=20, topics=5, vocabulary=500, lda_iter=5).fit(docs)
+    fitted = X.TextPreprocessor("doc_id", "text").fit(docs)
     path = scratch_path(spark, "text_preprocessor")
     fitted.save(spark, path)
     return X.FittedTextPreprocessor.load(spark, path).transform(docs).withColumn("tfidf_terms", F.size("tfidf")).drop("tfidf")

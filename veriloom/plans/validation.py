@@ -24,11 +24,11 @@ FAULTY_SCHEMA = (
 
 
 @query("val_required_columns", """
-    select 'claim_id' as field, 'present' as status, count(*) as total_records from orders
-    union all select 'region', 'missing', count(*) from orders""")
+    select field, status, (select count(*) from orders) as total_records from (values ('claim_id', 'present'), ('claim_amount', 'present'),
+      ('customer_age', 'present'), ('claim_type', 'present'), ('rank_text', 'present'), ('filed_date', 'present'), ('region', 'missing'),
+      ('notes', 'absent_optional'), ('customer_id', 'unexpected'), ('zero_count', 'unexpected')) v(field, status)""")
 def _(spark, sf):
-    out = S.column_presence(P.faulty(spark, sf), FAULTY_SCHEMA)
-    return out.where(F.col("field").isin("claim_id", "region"))
+    return S.column_presence(P.faulty(spark, sf), FAULTY_SCHEMA)
 
 
 @query("val_unexpected_columns", """
@@ -134,20 +134,34 @@ def _(spark, sf):
 REQUEST_COLUMNS = {"claimant_age": "customer_age", "policy_duration_months": "policy_duration"}
 
 
-@query("val_request_rules", """
+REQUEST_VIEW = """(select *, (claim_id % 5 - 1)::int as previous_claims, dayname(claim_date) as day_of_week,
+    case when claim_id % 3 = 0 then ' ' else claim_type end as claim_description, case when claim_id % 7 <> 0 then claim_amount - 1000 end as policy_premium,
+    case when claim_id % 4 <> 0 then customer_age - 30 end as deductible_amount from @claims c1)"""
+
+
+@query("val_request_rules", f"""
     with v as (select claim_id, array_to_string(list_filter([
+        case when not coalesce(length(trim(claim_id::varchar)) > 0, false) then 'claim_id' end,
         case when not coalesce(claim_amount > 0, false) then 'claim_amount' end,
         case when not coalesce(customer_age between 0 and 120, false) then 'claimant_age' end,
         case when not coalesce(policy_duration >= 0, false) then 'policy_duration_months' end,
+        case when not coalesce(previous_claims >= 0, false) then 'previous_claims' end,
         case when not coalesce(region in ('AFRICA', 'AMERICA', 'ASIA', 'EUROPE'), false) then 'region' end,
-        case when not coalesce(claim_type in ('1-URGENT', '2-HIGH', '3-MEDIUM'), false) then 'claim_type' end],
-        lambda x: x is not null), ',') as broken from @claims c)
+        case when not coalesce(claim_type in ('1-URGENT', '2-HIGH', '3-MEDIUM'), false) then 'claim_type' end,
+        case when not coalesce(day_of_week in ('Monday', 'Tuesday', 'Wednesday', 'Thursday', 'Friday'), false) then 'day_of_week' end,
+        case when not coalesce(length(trim(claim_description)) >= 10, false) then 'claim_description' end,
+        case when not coalesce(policy_premium > 0, true) then 'policy_premium' end,
+        case when not coalesce(deductible_amount >= 0, true) then 'deductible_amount' end],
+        lambda x: x is not null), ',') as broken from {REQUEST_VIEW} c)
     select claim_id, broken from v where broken <> ''""")
 def _(spark, sf):
-    rules = S.request_rules(REQUEST_COLUMNS, regions=("AFRICA", "AMERICA", "ASIA", "EUROPE"),
-                            types=("1-URGENT", "2-HIGH", "3-MEDIUM"),
-                            only=("claim_amount", "claimant_age", "policy_duration_months", "region", "claim_type"))
-    df = P.claims(spark, sf, "claim_id", "claim_amount", "customer_age", "policy_duration", "region", "claim_type")
+    rules = S.request_rules(REQUEST_COLUMNS, regions=("AFRICA", "AMERICA", "ASIA", "EUROPE"), types=("1-URGENT", "2-HIGH", "3-MEDIUM"),
+                            days=("Monday", "Tuesday", "Wednesday", "Thursday", "Friday"))
+    i = F.col("claim_id")
+    df = P.claims(spark, sf, "claim_id", "claim_amount", "claim_date", "customer_age", "policy_duration", "region", "claim_type").withColumns({
+        "previous_claims": (i % 5 - 1).cast("int"), "day_of_week": F.date_format("claim_date", "EEEE"),
+        "claim_description": F.when(i % 3 == 0, " ").otherwise(F.col("claim_type")),
+        "policy_premium": F.when(i % 7 != 0, F.col("claim_amount") - 1000), "deductible_amount": F.when(i % 4 != 0, F.col("customer_age") - 30)})
     _, bad = S.split_quarantine(df, rules)
     return bad.select("claim_id", F.array_join("violations", ",").alias("broken"))
 
@@ -165,32 +179,6 @@ def _(spark, sf):
                                  "type_matches": F.col("l_linestatus") == F.col("o_orderstatus")})
 
 
-# Gate limits (null share, duplicate share, amount, age, age of data in years, record count).
-GATE = {"null_share": ("<", 0.15), "duplicate_share": ("<", 0.01), "min_amount": (">=", 0), "max_amount": ("<=", 1_000_000),
-        "min_age": (">=", 18), "max_age": ("<=", 120), "oldest_years": ("<=", 5), "records": (">=", 1000)}
-
-
-@query("val_threshold_gate", """
-    with m as (select avg(case when claim_amount is null then 1.0 else 0.0 end)::double as null_share,
-        (1.0 - count(distinct claim_id)::double / count(*))::double as duplicate_share, min(claim_amount)::double as min_amount,
-        max(claim_amount)::double as max_amount, min(customer_age)::double as min_age, max(customer_age)::double as max_age,
-        count(*)::double as records from @faulty f),
-    l as (unpivot m on null_share, duplicate_share, min_amount, max_amount, min_age, max_age, records into name metric value value)
-    select metric, round(value, 6) as value, lim as limit, case op when '<' then value < lim when '<=' then value <= lim
-      when '>=' then value >= lim end as passed
-    from l join (values ('null_share', '<', 0.15::double), ('duplicate_share', '<', 0.01), ('min_amount', '>=', 0), ('max_amount', '<=', 1000000),
-      ('min_age', '>=', 18), ('max_age', '<=', 120), ('records', '>=', 1000)) g(metric, op, lim) using (metric)""")
-def _(spark, sf):
-    m = P.faulty(spark, sf).agg(
-        F.avg(F.when(F.col("claim_amount").isNull(), 1.0).otherwise(0.0)).alias("null_share"),
-        (F.lit(1.0) - F.count_distinct("claim_id").cast("double") / F.count("*")).alias("duplicate_share"),
-        F.min("claim_amount").alias("min_amount"), F.max("claim_amount").alias("max_amount"),
-        F.min("customer_age").cast("double").alias("min_age"), F.max("customer_age").cast("double").alias("max_age"),
-        F.count("*").cast("double").alias("records"))
-    out = S.threshold_gate(m.unpivot([], m.columns, "metric", "value"), GATE)
-    return out.withColumn("value", F.round("value", 6))
-
-
 @query("val_foreign_key", """
     select l_suppkey, count(*) as n from lineitem
     where l_suppkey not in (select s_suppkey from supplier where s_suppkey % 7 <> 0) group by 1""")
@@ -394,6 +382,37 @@ def _(spark, sf):
     return Q.report(P.faulty(spark, sf), "claims").withColumn("quality_score", F.round("quality_score", 6))
 
 
+# Gate limits (null share, duplicate share, amount, age, age of data in years, record count, overall score).
+GATE = {"null_share": ("<", 0.15), "duplicate_share": ("<", 0.01), "min_amount": (">=", 0), "max_amount": ("<=", 1_000_000),
+        "min_age": (">=", 18), "max_age": ("<=", 120), "oldest_years": ("<=", 5), "records": (">=", 1000), "quality_score": (">=", 0.85)}
+
+
+@query("val_threshold_gate", f"""
+    with {ISSUES_SQL}, m as (select avg(case when claim_amount is null then 1.0 else 0.0 end)::double as null_share,
+        (1.0 - count(distinct claim_id)::double / count(*))::double as duplicate_share, min(claim_amount)::double as min_amount,
+        max(claim_amount)::double as max_amount, min(customer_age)::double as min_age, max(customer_age)::double as max_age,
+        (date_diff('day', min(try_cast(filed_date as date)), date '{P.AS_OF}') / 365.25)::double as oldest_years, count(*)::double as records,
+        (select score / 100 from s)::double as quality_score from @faulty f),
+    gl as (unpivot m on null_share, duplicate_share, min_amount, max_amount, min_age, max_age, oldest_years, records, quality_score into name metric value value)
+    select metric, round(value, 6) as value, lim as limit, coalesce(case op when '<' then value < lim when '<=' then value <= lim
+      when '>=' then value >= lim end, false) as passed
+    from (values ('null_share', '<', 0.15::double), ('duplicate_share', '<', 0.01), ('min_amount', '>=', 0), ('max_amount', '<=', 1000000),
+      ('min_age', '>=', 18), ('max_age', '<=', 120), ('oldest_years', '<=', 5), ('records', '>=', 1000), ('quality_score', '>=', 0.85)) g(metric, op, lim)
+    left join gl using (metric)""")
+def _(spark, sf):
+    df = P.faulty(spark, sf)
+    oldest = F.min(F.expr("try_cast(filed_date as date)"))
+    m = df.agg(
+        F.avg(F.when(F.col("claim_amount").isNull(), 1.0).otherwise(0.0)).alias("null_share"),
+        (F.lit(1.0) - F.count_distinct("claim_id").cast("double") / F.count("*")).alias("duplicate_share"),
+        F.min("claim_amount").alias("min_amount"), F.max("claim_amount").alias("max_amount"),
+        F.min("customer_age").cast("double").alias("min_age"), F.max("customer_age").cast("double").alias("max_age"),
+        (F.datediff(F.lit(P.AS_OF).cast("date"), oldest) / F.lit(365.25).cast("double")).alias("oldest_years"), F.count("*").cast("double").alias("records"))
+    overall = Q.score(Q.issues(df), Q.row_count(df)).select((F.col("quality_score") / 100).alias("quality_score"))
+    rows = m.unpivot([], m.columns, "metric", "value").unionByName(overall.unpivot([], ["quality_score"], "metric", "value"))
+    return S.threshold_gate(rows, GATE).withColumn("value", F.round("value", 6))
+
+
 @query("dq_source_consistency", """
     with a as (select o_orderkey as k, o_totalprice as price, o_orderstatus as st from orders where o_orderkey % 97 <> 0),
     b as (select o_orderkey as k, case when o_orderkey % 50 = 1 then o_totalprice + 1 else o_totalprice end as price,

@@ -140,7 +140,7 @@ def _(spark, sf):
 def _js_sql(table, column, ref, new):
     def side(cond):
         return (f"select word, count(*)::double as n from (select unnest(regexp_split_to_array(lower({column}), '[{SPACE}]+')) as word from {table} where {cond}) w"
-                " where word <> '' group by 1 order by n desc, word limit 100")
+                " where word <> '' group by 1")
     return f"""ja as ({side(ref)}), jb as ({side(new)}),
     jm as (select coalesce(ja.n / (select sum(n) from ja), 1e-10::double) as p, coalesce(jb.n / (select sum(n) from jb), 1e-10::double) as q from ja full join jb using (word)),
     js as (select sum(p * ln(p / ((p + q) / 2))) / 2 + sum(q * ln(q / ((p + q) / 2))) / 2 as js from jm)"""
@@ -175,9 +175,9 @@ def _(spark, sf):
     return _r(_r(D.summary(_report(spark, sf)), "drift_percentage"), "overall_drift_score", places=5)
 
 
-@query("drift_top_features", f"with {REPORT} select feature, round(drift_score, 5) as drift_score from rep order by drift_score desc, feature limit 2")
+@query("drift_top_features", f"with {REPORT} select feature, round(drift_score, 5) as drift_score from rep order by drift_score desc, feature limit 5")
 def _(spark, sf):
-    return _r(D.top_features(_report(spark, sf), 2).select("feature", "drift_score"), "drift_score", places=5)
+    return _r(D.top_features(_report(spark, sf)).select("feature", "drift_score"), "drift_score", places=5)
 
 
 @query("drift_overall_count_rule", f"""with {REPORT} select count(*) filter (where drift_detected) as features_with_drift,

@@ -161,8 +161,3 @@ def cooldown_writer(root: str, keys: Sequence[str], ts: str, hours: float, grid_
         due = monitor.cooldown(batch, schema_keys, ts, hours, grid_minutes, earlier)
         due.write.mode("overwrite").parquet(f"{root}/sent/batch={number:010d}")
     return write
-
-
-def dropped_rows(query: StreamingQuery) -> int:
-    """Rows later than the watermark that the stateful operators dropped."""
-    return sum(op.numRowsDroppedByWatermark for p in query.recentProgress for op in p.stateOperators)
