@@ -58,31 +58,28 @@ def read_turns(formatted: str) -> list[tuple[str, str]]:
     return out
 
 
-def _jumps(messages: DataFrame) -> tuple[list[DataFrame], DataFrame]:
-    """Tables (node, up) of each message and its ancestor 1, 2, 4, ... replies above, and the messages whose replies never end.
-
-    No path has more messages than the table, so what still has an ancestor beyond that leads to a cycle.
+def _doubled(messages: DataFrame) -> tuple[list[DataFrame], DataFrame, DataFrame]:
+    """Ancestors by doubling: (jumps, sums, endless).
+
+    The n-th jump table has (node, up) for every message with an ancestor 2^n
+    replies above; sums has (node, depth, total), the messages from the root to
+    each message and their scores. A message leaves the joins once its path is
+    known. No path has more messages than the table, so those that still have
+    an ancestor beyond that lead to a cycle: endless.
     """
-    known = messages.select(F.col("message_id").alias("node"))
-    step = stored(messages.select(F.col("message_id").alias("node"), F.col("parent_id").alias("up")).where("up is not null")
-                  .join(known.withColumnRenamed("node", "up"), "up", "left_semi").select("node", "up"), "replies")
-    out, longest = [], messages.count()
-    while not step.isEmpty() and 2 ** len(out) <= longest:
-        out.append(step)
-        step = stored(step.alias("a").join(step.alias("b"), F.col("a.up") == F.col("b.node")).select("a.node", "b.up"), "replies")
-    return out, step.select(F.col("node").alias("message_id"))
-
-
-def _path_scores(messages: DataFrame, jumps: list[DataFrame]) -> DataFrame:
-    """(node, depth, total): number of messages from the root to each message and the sum of their scores."""
-    sums = messages.select(F.col("message_id").alias("node"), F.lit(1).cast("long").alias("depth"),
-                           F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("total"))
-    for step in jumps:
-        above = sums.select(F.col("node").alias("up"), F.col("depth").alias("more"), F.col("total").alias("extra"))
-        sums = stored(sums.join(step, "node", "left").join(above, "up", "left")
-                      .select("node", (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"),
-                              (F.col("total") + F.coalesce("extra", F.lit(0.0))).alias("total")), "paths")
-    return sums
+    parents = messages.select(F.col("message_id").alias("up"), F.lit(True).alias("known"))
+    start = stored(messages.select(F.col("message_id").alias("node"), F.col("parent_id").alias("up"), F.lit(1).cast("long").alias("depth"),
+                                   F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("total"))
+                   .join(parents, "up", "left").withColumn("up", F.when(F.col("known"), F.col("up"))).drop("known"), "replies")
+    open_, done = start.where("up is not null"), start.where("up is null")
+    jumps, longest = [], messages.count()
+    while not open_.isEmpty() and 2 ** len(jumps) <= longest:
+        jumps.append(open_.select("node", "up"))
+        above = open_.unionByName(done).select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"), F.col("total").alias("extra"))
+        step = stored(open_.join(above, "up").select("node", F.col("next").alias("up"), (F.col("depth") + F.col("more")).alias("depth"),
+                                                     (F.col("total") + F.col("extra")).alias("total")), "replies")
+        open_, done = step.where("up is not null"), done.unionByName(step.where("up is null"))
+    return jumps, done.drop("up"), open_.select(F.col("node").alias("message_id"))
 
 
 def branches(messages: DataFrame, best: int | None = None) -> DataFrame:
@@ -95,10 +92,9 @@ def branches(messages: DataFrame, best: int | None = None) -> DataFrame:
     of parents belong to no path. The joins double the length of the known part of a path, so their
     number is the logarithm of the longest one, and carry ids, not texts.
     """
-    jumps, endless = _jumps(messages)
+    jumps, sums, endless = _doubled(messages)
     if not endless.isEmpty():
         return branches(messages.join(endless, "message_id", "left_anti"), best)
-    sums = _path_scores(messages, jumps)
     has_reply = messages.select(F.col("parent_id").alias("message_id")).where("message_id is not null").distinct()
     leaves = messages.select("tree_id", "message_id").join(has_reply, "message_id", "left_anti")
     order = W.partitionBy("tree_id").orderBy(F.desc("branch_score"), "leaf")
