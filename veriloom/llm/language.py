@@ -109,8 +109,9 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, landmarks: int = LANDMA
     packed = F.pandas_udf(lambda texts: pd.Series([None if p is None else np.packbits(p).tobytes() for p in map(presence, texts)], dtype=object),
                           "binary")
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select(F.col("doc_id").alias("_id"), "text", "lang")
-    sample = (known.orderBy(F.xxhash64("_id"), "_id", "lang").limit(sample_rows).select("_id", "lang", packed("text").alias("p"))
-              .where("p is not null").toPandas().sort_values(["_id", "lang"], kind="stable"))
+    chosen = known.select("_id").distinct().orderBy(F.xxhash64("_id"), "_id").limit(sample_rows)  # ids first, so no text is moved
+    sample = (known.join(F.broadcast(chosen), "_id").select("_id", "lang", packed("text").alias("p")).where("p is not null")
+              .orderBy(F.xxhash64("_id"), "_id", "lang", "p").limit(sample_rows).toPandas())
     return fit_model(sample["p"].tolist(), sample["lang"].tolist(), landmarks)
 
 
