@@ -52,7 +52,7 @@ def test_row_frames_and_lags(skewed, pieces, block):
 
 
 def test_quantiles_match_numpy(skewed, pieces):
-    got = {r["feature"]: r for r in O.quantiles(skewed, ["v", "t"], {"a": 0.05, "b": 0.5, "c": 0.93}).collect()}
+    got = {r["feature"]: r for r in O.quantiles(skewed, ["v", "t"], {"a": 0.05, "b": 0.5, "c": 0.93}, distinct=True).collect()}
     pdf = skewed.toPandas()
     for f in ("v", "t"):
         assert np.allclose([got[f][x] for x in "abc"], np.quantile(pdf[f], [0.05, 0.5, 0.93]))
@@ -74,17 +74,20 @@ def test_average_ranks(spark, pieces):
 
 @pytest.mark.parametrize("weight", [None, "n"])
 @pytest.mark.parametrize("how", ["left", "inner"])
-def test_lookup_join_equals_join(skewed, weight, how):
+@pytest.mark.parametrize("limit", [8 << 20, -1])
+def test_lookup_join_equals_join(skewed, monkeypatch, weight, how, limit):
+    monkeypatch.setattr(skew, "MAX_BROADCAST_BYTES", limit)
     table = skewed.where("k <> 'k5'").groupBy("k").agg(F.count("*").alias("n"), F.sum("v").alias("total"))
     plain = skewed.join(table, "k", how)
     out = skew.lookup_join(skewed, table, ["k"], "id", weight=weight, how=how).select(*plain.columns)
     assert out.exceptAll(plain).count() == 0 and out.count() == plain.count()
 
 
-def test_salted_path_equals_broadcast_path(skewed):
+def test_salted_path_equals_broadcast_path(skewed, monkeypatch):
     table = skewed.groupBy("k").agg(F.max("v").alias("top"))
-    a = skew.small_or_salted_join(skewed, table, ["k"], "id")
-    b = skew.small_or_salted_join(skewed, table, ["k"], "id", max_rows=0).select(*a.columns)
+    a = skew.lookup_join(skewed, table, ["k"], "id")
+    monkeypatch.setattr(skew, "MAX_BROADCAST_BYTES", -1)
+    b = skew.lookup_join(skewed, table, ["k"], "id").select(*a.columns)
     assert a.exceptAll(b).count() == 0 and a.count() == b.count()
 
 
@@ -94,3 +97,34 @@ def test_salted_path_equals_broadcast_path(skewed):
     (stats.kolmogorov_sf(1.6276), 0.01), (stats.t_quantile(0.975, 4), 2.7764), (stats.t_quantile(0.025, 10), -2.2281), (stats.kolmogorov_sf(0.5), 0.9639)])
 def test_tail_probabilities_match_tables(got, want):
     assert got == pytest.approx(want, abs=2e-4)
+
+
+def test_brackets_are_cut_until_they_hold_few_rows(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=3000), np.full(2500, 0.25), rng.integers(0, 5, 2500), [np.nan] * 3])
+    df = spark.createDataFrame([(float(v), float(-v) if i % 3 else None) for i, v in enumerate(x)], "a double, b double")
+    probs = {f"p{i}": i / 20 for i in range(21)}
+    for accuracy, rows in ((10_000, 200_000), (50, 0), (7, 0)):
+        monkeypatch.setattr(O, "BRACKET_ACCURACY", accuracy)
+        monkeypatch.setattr(O, "BRACKET_ROWS", rows)
+        got = {r["feature"]: r for r in O.quantiles(df, ["a", "b"], probs).collect()}
+        for c in "ab":
+            known = np.array([r[c] for r in df.collect() if r[c] is not None and r[c] == r[c]])
+            assert got[c]["n"] == len(known)
+            assert np.allclose([got[c][p] for p in probs], np.quantile(known, list(probs.values())), rtol=0, atol=1e-12)
+    empty = O.quantiles(df.where("a > 100"), ["a"], probs)
+    assert empty.count() == 0
+
+
+def test_small_lookups_leave_the_rows_where_they_are(spark, skewed):
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        table = skewed.groupBy("k").agg(F.max("v").alias("top"))
+        text = skew.lookup_join(skewed, table, ["k"], "id")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(key, before)
+    assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text and "hashpartitioning" not in text

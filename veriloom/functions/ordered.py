@@ -9,6 +9,7 @@ two rows per piece.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -20,6 +21,8 @@ from veriloom.functions.skew import lookup_join
 from veriloom.session import materialize
 
 PIECE = "_piece"
+#: Rank error of the sketches that bracket a quantile is one in this many; rows read from all brackets together.
+BRACKET_ACCURACY, BRACKET_ROWS = 10_000, 200_000
 _NUMBER = "_number"
 
 
@@ -156,20 +159,107 @@ def cumulative(hist: DataFrame, keys: Sequence[str], value: str, measures: Seque
 
 
 def quantiles(df: DataFrame, columns: Sequence[str], probs: dict[str, float],
-              keys: Sequence[str] = (), accuracy: int | None = None) -> DataFrame:
+              keys: Sequence[str] = (), accuracy: int | None = None, distinct: bool = False) -> DataFrame:
     """Linear-interpolated quantiles of several columns, exact by default.
 
     Returns one row per group and feature with one column per entry of ``probs``,
-    ``n`` (the number of values) and ``distinct_values``. Values are first collapsed to a histogram
+    ``n`` (the number of values) and, if asked for, ``distinct_values``. Without
+    groups the values are found by brackets, with groups from a histogram made
     with map-side combine; no aggregate holds more than a few numbers per group.
     ``accuracy`` switches to one pass with sketches, off by at most n / accuracy ranks.
     """
-    keys = list(keys)
+    keys, columns = list(keys), list(columns)
     if accuracy is not None:
-        return _sketched(df, list(columns), probs, keys, accuracy)
-    long = to_long(df, keys, columns).where(F.col("value").isNotNull() & ~F.isnan("value"))
-    hist = long.groupBy(*keys, "feature", "value").agg(F.count(F.lit(1)).alias("c"))
-    return quantiles_of_counts(hist, [*keys, "feature"], "value", "c", probs)
+        out = _sketched(df, columns, probs, keys, accuracy)
+        return out if distinct else out.drop("distinct_values")
+    if not keys:
+        out = _bracketed(df, columns, probs)
+        return out.join(F.broadcast(_distinct_values(df, columns)), "feature", "left").fillna(0, ["distinct_values"]) if distinct else out
+    hist = _histogram(df, columns, keys)
+    out = quantiles_of_counts(hist, [*keys, "feature"], "value", "c", probs)
+    return out if distinct else out.drop("distinct_values")
+
+
+def _histogram(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    long = to_long(df, list(keys), list(columns)).where(F.col("value").isNotNull() & ~F.isnan("value"))
+    return long.groupBy(*keys, "feature", "value").agg(F.count(F.lit(1)).alias("c"))
+
+
+def _distinct_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    return _histogram(df, columns).groupBy("feature").agg(F.count(F.lit(1)).alias("distinct_values"))
+
+
+def _bracketed(df: DataFrame, columns: list[str], probs: dict[str, float]) -> DataFrame:
+    """Exact quantiles of whole columns, without ordering them.
+
+    One pass of sketches puts each quantile between two values, a second one
+    counts the rows below and between them. Brackets that hold few rows are read
+    as a histogram of at most BRACKET_ROWS rows for all together, larger ones are
+    cut again. The counts prove that the wanted ranks are inside; should they not
+    be, or a bracket not shrink, the column is ordered as a whole.
+    """
+    names = [f"_x{i}" for i in range(len(columns))]
+    base = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None)).alias(x) for c, x in zip(columns, names)])
+    eps = 1 / BRACKET_ACCURACY
+
+    def around(lo: float, hi: float) -> list[float]:
+        return [max(0.0, lo - 2 * eps), min(1.0, hi + 2 * eps)]
+
+    ends = [e for p in probs.values() for e in around(p, p)]
+    row = base.agg(*[F.count(x).alias(f"n{x}") for x in names],
+                   *[F.percentile_approx(x, ends, BRACKET_ACCURACY).alias(f"q{x}") for x in names]).first()
+    sizes = [row[f"n{x}"] for x in names]
+    found: dict[tuple[int, str], float] = {}
+    open_: dict[tuple[int, str], list] = {}
+    for i, (x, n) in enumerate(zip(names, sizes)):
+        for j, (name, p) in enumerate(probs.items()):
+            if n:
+                at = (n - 1) * p
+                open_[i, name] = [at, *row[f"q{x}"][2 * j:2 * j + 2]]
+    whole: set[int] = set()
+    limit = max(1000, BRACKET_ROWS // max(1, len(open_)))
+    while open_:
+        def inside(k):
+            return F.col(names[k[0]]).between(F.lit(open_[k][1]), F.lit(open_[k][2]))
+
+        order = list(open_)
+        row = base.agg(*[c for t, k in enumerate(order) for c in (
+            F.count_if(F.col(names[k[0]]) < F.lit(open_[k][1])).alias(f"b{t}"), F.count_if(inside(k)).alias(f"i{t}"))]).first()
+        few, many = {}, {}
+        for t, k in enumerate(order):
+            at, lo, hi = open_[k]
+            below, held = row[f"b{t}"], row[f"i{t}"]
+            if not (below <= math.floor(at) and math.ceil(at) < below + held):
+                whole.add(k[0])
+            elif lo == hi:
+                found[k] = lo
+            else:
+                (few if held <= limit else many)[k] = (t, below, held)
+        if few:
+            rows = F.array(*[F.when(inside(k), F.struct(F.lit(t).alias("t"), F.col(names[k[0]]).alias("v"))) for k, (t, _, _) in few.items()])
+            hist: dict[int, list] = {}
+            for r in base.select(F.inline(F.filter(rows, lambda r: r.isNotNull()))).groupBy("t", "v").count().collect():
+                hist.setdefault(r["t"], []).append((r["v"], r["count"]))
+            for k, (t, below, _) in few.items():
+                at, ranks, total = open_[k][0], [], below
+                for v, c in sorted(hist[t]):
+                    total += c
+                    ranks += [v for want in (math.floor(at), math.ceil(at)) if total - c <= want < total]
+                found[k] = ranks[0] + (ranks[-1] - ranks[0]) * (at - math.floor(at))
+        if not many:
+            break
+        cut = base.agg(*[F.percentile_approx(F.when(inside(k), F.col(names[k[0]])), around(
+            (math.floor(open_[k][0]) - below) / held, (math.ceil(open_[k][0]) - below) / held), BRACKET_ACCURACY).alias(f"q{t}")
+            for k, (t, below, held) in many.items()]).first()
+        closer = {k: [open_[k][0], *cut[f"q{t}"]] for k, (t, _, _) in many.items()}
+        whole |= {k[0] for k in closer if closer[k] == open_[k]}
+        open_ = {k: v for k, v in closer.items() if v != open_[k]}
+    schema = "feature string, n long, " + ", ".join(f"`{p}` double" for p in probs)
+    out = df.sparkSession.createDataFrame([(c, sizes[i], *[found[i, p] for p in probs]) for i, c in enumerate(columns) if sizes[i] and i not in whole], schema)
+    if whole:
+        hist = _histogram(df, [columns[i] for i in sorted(whole)])
+        out = out.unionByName(quantiles_of_counts(hist, ["feature"], "value", "c", probs).drop("distinct_values"))
+    return out
 
 
 def _sketched(df: DataFrame, columns: list[str], probs: dict[str, float], keys: list[str], accuracy: int) -> DataFrame:

@@ -44,7 +44,7 @@ def numeric_reference(df: DataFrame, columns: Sequence[str], bins: int = BINS) -
     """One row per feature: mean, std, median, q25, q75, min, max and the bin edges."""
     s = _long(df, columns, {"mean": lambda c: F.avg(c), "std": lambda c: F.stddev_samp(c), "min": lambda c: F.min(F.col(c).cast("double")),
                             "max": lambda c: F.max(F.col(c).cast("double"))})
-    q = quantiles(df, columns, {"q25": 0.25, "median": 0.5, "q75": 0.75}).drop("n", "distinct_values")
+    q = quantiles(df, columns, {"q25": 0.25, "median": 0.5, "q75": 0.75}).drop("n")
     edges = F.transform(F.sequence(F.lit(0), F.lit(bins)), lambda i: F.col("min") + i * (F.col("max") - F.col("min")) / bins)
     return s.drop("rows").join(q, "feature").withColumn("edges", edges)
 
@@ -54,7 +54,7 @@ def category_shares(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     counts = (to_long(df, [], columns, as_type="string").where(F.col("value").isNotNull())
               .groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n")))
     total = counts.groupBy("feature").agg(F.sum("n").alias("_t"))
-    return counts.join(total, "feature").select("feature", "value", "n", (F.col("n") / F.col("_t")).alias("share"))
+    return counts.join(F.broadcast(total), "feature").select("feature", "value", "n", (F.col("n") / F.col("_t")).alias("share"))
 
 
 def text_reference(df: DataFrame, column: str) -> DataFrame:
@@ -116,7 +116,7 @@ def psi_numeric(ref: DataFrame, new: DataFrame, columns: Sequence[str], bins: in
     cells = _counts(placed.withColumn("bin", F.when(inside, place)), ["feature", "bin"])
     totals = _counts(cells, ["feature"]).select("feature", F.col("ref").alias("n_ref"), F.col("new").alias("n_new"))
     term = _psi(ratio(F.col("ref"), F.col("n_ref"), None), ratio(F.col("new"), F.col("n_new"), None), eps)
-    return cells.where(F.col("bin").isNotNull()).join(totals, "feature").groupBy("feature").agg(F.sum(term).alias("psi"))
+    return cells.where(F.col("bin").isNotNull()).join(F.broadcast(totals), "feature").groupBy("feature").agg(F.sum(term).alias("psi"))
 
 
 def psi_severity(psi: Column) -> Column:
@@ -138,7 +138,7 @@ def category_sides(ref: DataFrame, new: DataFrame, columns: Sequence[str]) -> Da
     """feature, value, ref, new, n_ref, n_new."""
     cells = _counts(_sides(ref, new, columns, "string"), ["feature", "value"])
     totals = _counts(cells, ["feature"]).select("feature", F.col("ref").alias("n_ref"), F.col("new").alias("n_new"))
-    return cells.join(totals, "feature")
+    return cells.join(F.broadcast(totals), "feature")  # a row per column
 
 
 def chi2(sides: DataFrame) -> DataFrame:

@@ -67,7 +67,7 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 
 
 def add_class_weights(df: DataFrame, label: str) -> DataFrame:
-    return df.join(class_weights(df, label).drop("n"), label, "left")
+    return df.join(F.broadcast(class_weights(df, label).drop("n")), label, "left")  # a row per class
 
 
 # ------------------------------------------------------------------ training

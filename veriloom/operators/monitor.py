@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from veriloom.functions import stats
 from veriloom.functions.columns import fired, micros, missing, ratio
 from veriloom.functions.ordered import quantiles, running
-from veriloom.functions.skew import small_or_salted_join
+from veriloom.functions.skew import lookup_join
 from veriloom.operators.features import recent_count
 from veriloom.operators.quality import bounds_lookup, iqr_bounds
 
@@ -57,7 +57,7 @@ def trend(history: DataFrame, as_of: str, days: int = 7) -> DataFrame:
     """Linear trend per model and metric over the last days, on whole days since the first entry."""
     recent = history.where((F.col("ts") > at(as_of) - F.expr(f"interval {days} days")) & (F.col("ts") <= at(as_of)))
     first = recent.groupBy("model", "metric").agg(F.min("ts").alias("_t0"))
-    rows = small_or_salted_join(recent, first, ["model", "metric"], F.struct("ts", "value"), how="inner")
+    rows = lookup_join(recent, first, ["model", "metric"], F.struct("ts", "value"), how="inner")
     x = F.floor((micros(F.col("ts")) - micros(F.col("_t0"))) / F.lit(86_400_000_000)).cast("double")
     y = F.col("value")
     g = rows.withColumn("_x", x).groupBy("model", "metric").agg(

@@ -178,7 +178,7 @@ def profile_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> Data
         "mean": lambda c: F.avg(value(c)), "std": lambda c: F.stddev_samp(value(c)),
         "min": lambda c: F.min(value(c)), "max": lambda c: F.max(value(c)),
         "zeros": lambda c: F.count_if(F.col(c) == 0), "negatives": lambda c: F.count_if(F.col(c) < 0)})
-    q = quantiles(df, columns, {"q25": 0.25, "q50": 0.5, "q75": 0.75}).drop("n")
+    q = quantiles(df, columns, {"q25": 0.25, "q50": 0.5, "q75": 0.75}, distinct=True).drop("n")
     return (base.join(q, "feature", "left")
             .withColumn("distinct_values", F.coalesce("distinct_values", F.lit(0)).cast("long"))
             .withColumn("cardinality", ratio(F.col("distinct_values"), F.col("rows"))))

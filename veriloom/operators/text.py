@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from veriloom.functions import lexicon as L
 from veriloom.functions.columns import col
-from veriloom.functions.skew import small_or_salted_join
+from veriloom.functions.skew import lookup_join
 from veriloom.session import stored
 
 # Limits of words and of the vocabulary.
@@ -56,11 +56,10 @@ def clean(text: str | Column, **options) -> Column:
     return F.coalesce(F.array_join(tokens(text, **options), " "), F.lit(""))
 
 
-def lemmatize(df: DataFrame, key: str, token_column: str, lemmas: DataFrame, max_rows: int | None = None) -> DataFrame:
+def lemmatize(df: DataFrame, key: str, token_column: str, lemmas: DataFrame) -> DataFrame:
     """Replaces tokens by their lemma from a (form, lemma) table; the order of tokens stays."""
     words = df.select(key, F.posexplode(token_column).alias("_pos", "form"))
-    options = {} if max_rows is None else {"max_rows": max_rows}
-    found = small_or_salted_join(words, lemmas.select("form", "lemma"), ["form"], F.struct(key, "_pos"), **options)
+    found = lookup_join(words, lemmas.select("form", "lemma"), ["form"], F.struct(key, "_pos"))
     # one document's tokens
     done = found.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_pos", F.coalesce("lemma", "form").alias("w")))).alias("_w"))
     out = df.drop(token_column).join(done, key, "left")

@@ -75,6 +75,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of the files below a path."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(target).getLength()
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to reliable storage and go on from there.
 
