@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from veriloom.operators import prep as R
@@ -253,10 +255,13 @@ query("prep_scale_minmax", _scale_sql("min({c})", "(max({c}) - min({c}))::double
 query("prep_scale_robust", _scale_sql("quantile_cont({c}, 0.5)", "(quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25))"))(_scale("robust"))
 
 
-@query("prep_preprocessor")
+@query("prep_preprocessor", """select claim_id, (risk_level = 'high')::int as y, true as finite_ok from @claims c""")
 def _(spark, sf):
     df = _gappy(spark, sf).withColumn("y", F.when(F.col("risk_level") == "high", 1).otherwise(0)).drop("risk_level", "customer_id")
     fitted = R.Preprocessor("claim_id", P.AS_OF, dates=["claim_date"], label="y", bins=BINS, outliers="cap").fit(df)
     path = scratch_path(spark, "preprocessor")
     fitted.save(spark, path)
-    return R.FittedPreprocessor.load(spark, path).transform(df)
+    out = R.FittedPreprocessor.load(spark, path).transform(df)
+    values = [c for c, t in out.dtypes if t == "double"]
+    finite = [F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")) for c in values]
+    return out.select("claim_id", "y", reduce(lambda a, b: a & b, finite).alias("finite_ok"))

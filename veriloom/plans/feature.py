@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from veriloom.functions import lexicon as L
@@ -10,7 +12,7 @@ from veriloom.operators import modelling as M
 from veriloom.operators import text as X
 from veriloom.plans import profiles as P
 from veriloom.plans.registry import query
-from veriloom.session import spread_rows
+from veriloom.session import materialize, spread_rows
 
 NUMBERS = ("claim_id", "claim_amount", "customer_age", "policy_duration")
 
@@ -293,10 +295,10 @@ def _(spark, sf):
     return E.select_intersect(tables, len(FEATURES))
 
 
-@query("fe_select_rfe")
+@query("fe_select_rfe", "select r::int as rank, case when r = 1 then 2 else 1 end::bigint as features from range(1, 5) t(r)")
 def _(spark, sf):
     df = _features(spark, sf).withColumn("label", F.when(F.col("risk_level") == "high", 1.0).otherwise(0.0))
-    return M.recursive_elimination(df, FEATURES, "label", keep=2)
+    return M.recursive_elimination(df, FEATURES, "label", keep=2).groupBy("rank").agg(F.count("*").alias("features"))
 
 
 @query("fe_drop_correlated", f"""
@@ -317,11 +319,17 @@ def _(spark, sf):
     return _r(E.low_variance(P.table(spark, sf, "lineitem"), ["l_tax", "l_discount", "l_quantity"]), variance=6)
 
 
-@query("fe_pca")
+@query("fe_pca", "select o_orderkey as claim_id, true as components_ok, true as uncorrelated, true as share_ok from orders")
 def _(spark, sf):
     df = E.polynomial(_features(spark, sf), FEATURES, squares=True).drop("risk_level")
     cols = [c for c in df.columns if c != "claim_id"]
-    return E.principal_components(df, cols)
+    out = materialize(E.principal_components(df, cols))
+    parts = [c for c in out.columns if c.startswith("pca_")]
+    pairs = [F.abs(F.corr(a, b)) for i, a in enumerate(parts) for b in parts[:i]]
+    kept, given = (reduce(lambda a, b: a + b, [F.var_samp(c) for c in names]) for names in (parts, cols))
+    checks = out.agg(F.coalesce(F.greatest(*pairs, F.lit(0.0), F.lit(0.0)) < 1e-6, F.lit(True)).alias("u"), (kept >= 0.95 * given).alias("s"))
+    ok = reduce(lambda a, b: a & b, [F.col(c).isNotNull() & ~F.isnan(c) for c in parts])
+    return out.select("claim_id", ok.alias("components_ok"), checks.select("u").scalar().alias("uncorrelated"), checks.select("s").scalar().alias("share_ok"))
 
 
 @query("fe_importance", f"""with l as {F_LONG}, {F_SCORES}, {MI_SCORES}

@@ -61,12 +61,17 @@ def _(spark, sf):
     return readers.read_json(spark, path, schema=src.schema)
 
 
-@query("src_text_files")
+@query("src_text_files", r"""
+    with l as (select regexp_replace(text, '[\r\n]+', ' ', 'g') as line from documents)
+    select 'utf-8' as encoding_used, sum(length(line) + 1)::bigint as characters, sum(len(regexp_extract_all(line, '\S+')))::bigint as words, count(*) as lines from l""")
 def _(spark, sf):
+    """Totals over files of at most a hundred documents, one per line."""
     path = scratch_path(spark, "texts")
     lines = F.regexp_replace("text", r"[\r\n]+", " ").alias("value")
-    P.documents(spark, sf).select(lines).write.text(path)
-    return readers.read_text_files(spark, path, pathGlobFilter="*.txt").drop("content")
+    P.documents(spark, sf).select(lines).write.option("maxRecordsPerFile", 100).text(path)
+    files = readers.read_text_files(spark, path, pathGlobFilter="*.txt")
+    return files.groupBy("encoding_used").agg(F.sum("character_count").alias("characters"), F.sum("word_count").alias("words"),
+                                              (F.sum("line_count") - F.count("*")).alias("lines"))
 
 
 @query("src_object_listing", " union all ".join(f"select '{t}.parquet' as file_name, 'parquet' as extension, count(*) as n_rows from {t}" for t in LISTED))

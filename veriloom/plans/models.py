@@ -55,39 +55,53 @@ def _(spark, sf):
     return M.class_weights(P.claims(spark, sf, "risk_level"), "risk_level").withColumn("weight", F.round("weight", 6))
 
 
-@query("ml_train_rf")
+def _checked(scored):
+    """What must hold of every scored row, whatever the model: probabilities that sum to one, and the label and confidence that follow from them."""
+    p, q = F.col("p_high"), F.col("p_low")
+    return scored.select("claim_id", (p.between(0, 1) & q.between(0, 1) & (F.abs(p + q - 1) < 1e-9)).alias("probabilities_ok"),
+                         (F.col("predicted_risk") == F.when(p > q, "high").otherwise("low")).alias("label_ok"),
+                         (F.abs(F.col("confidence") - F.greatest(p, q)) < 1e-12).alias("confidence_ok"))
+
+
+ALL_SCORED = "select o_orderkey as claim_id, true as probabilities_ok, true as label_ok, true as confidence_ok from orders where o_orderkey in (select l_orderkey from lineitem)"
+
+
+@query("ml_train_rf", ALL_SCORED)
 def _(spark, sf):
     df = _training(spark, sf)
-    return M.score(M.train_forest(df, INPUTS, "label"), df).select("claim_id", "predicted_risk", "p_high", "confidence")
+    return _checked(M.score(M.train_forest(df, INPUTS, "label"), df))
 
 
-@query("ml_train_gbt")
+@query("ml_train_gbt", ALL_SCORED)
 def _(spark, sf):
     df = _training(spark, sf)
-    return M.score(M.train_boosted(df, INPUTS, "label"), df).select("claim_id", "predicted_risk", "p_high", "confidence")
+    return _checked(M.score(M.train_boosted(df, INPUTS, "label"), df))
 
 
-@query("ml_train_mlp")
+@query("ml_train_mlp", ALL_SCORED)
 def _(spark, sf):
     df = _training(spark, sf)
-    return M.score(M.train_network(df, INPUTS, "label"), df).select("claim_id", "predicted_risk", "p_high", "confidence")
+    return _checked(M.score(M.train_network(df, INPUTS, "label"), df))
 
 
-@query("ml_tune")
+@query("ml_tune", "select r::int as rounds, d::int as depth, true as auc_ok from (values (100), (300)) a(r), (values (4), (6)) b(d)")
 def _(spark, sf):
-    return M.tune_boosted(_training(spark, sf), INPUTS, "label")
+    return M.tune_boosted(_training(spark, sf), INPUTS, "label").select("rounds", "depth", F.col("auc").between(0.5, 1).alias("auc_ok"))
 
 
-@query("ml_cross_validate")
+@query("ml_cross_validate", """
+    select 0::int as repeat, f::int as fold, p as part, m as metric, true as score_ok
+    from range(5) a(f), (values ('train'), ('test')) b(p), (values ('accuracy'), ('f1_score')) c(m)""")
 def _(spark, sf):
     df = _training(spark, sf)
-    return M.cross_validate(df, lambda d: M.train_logistic(d, INPUTS, "label"), _measure, "claim_id", "label", folds=5)
+    out = M.cross_validate(df, lambda d: M.train_logistic(d, INPUTS, "label"), _measure, "claim_id", "label", folds=5)
+    return out.select("repeat", "fold", "part", "metric", F.col("score").between(0, 1).alias("score_ok"))
 
 
-@query("ml_batch_score")
+@query("ml_batch_score", ALL_SCORED)
 def _(spark, sf):
     df = _training(spark, sf)
-    return M.score(M.train_logistic(df, INPUTS, "label"), df).select("claim_id", "predicted_risk", "p_high", "p_low", "confidence")
+    return _checked(M.score(M.train_logistic(df, INPUTS, "label"), df))
 
 
 def _scored(spark, sf):
@@ -115,16 +129,19 @@ def _(spark, sf):
     return M.business_impact(_scored(spark, sf)).drop("confidence", "confidence_multiplier")
 
 
-@query("ml_feature_importance")
+@query("ml_feature_importance", f"select f as feature, true as importance_ok, true as sum_ok from (values {', '.join(f"('{i}')" for i in INPUTS)}) v(f)")
 def _(spark, sf):
     model = M.train_forest(_training(spark, sf), INPUTS, "label")
-    return M.importance_summary(M.feature_importance(model, INPUTS, spark))
+    out = M.importance_summary(M.feature_importance(model, INPUTS, spark))
+    return out.select("feature", F.col("importance").between(0, 1).alias("importance_ok"), (F.abs(F.col("importance_sum") - 1) < 1e-9).alias("sum_ok"))
 
 
-@query("ml_permutation_importance")
+@query("ml_permutation_importance", f"""select f as feature, m as metric, true as drop_ok
+    from (values {', '.join(f"('{i}')" for i in INPUTS)}) v(f), (values ('accuracy'), ('f1_score')) w(m)""")
 def _(spark, sf):
     df = _training(spark, sf)
-    return M.permutation_importance(M.train_forest(df, INPUTS, "label"), df, INPUTS, "claim_id", _measure)
+    out = M.permutation_importance(M.train_forest(df, INPUTS, "label"), df, INPUTS, "claim_id", _measure)
+    return out.select("feature", "metric", F.col("drop").between(-1, 1).alias("drop_ok"))
 
 
 REGISTRY = """(select left(claim_type, 1)::int as version, round(avg((risk_level = 'high')::int), 6)::double as metric, max(claim_date) as created_at,

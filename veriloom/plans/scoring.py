@@ -210,9 +210,14 @@ def _(spark, sf):
     return _r(_r(out, "mean_difference"), "t_statistic", places=4)
 
 
-@query("cmp_paired_pvalues")
-def _(spark, sf):
-    return C.paired_ttest(materialize(_cv(spark, sf))).select("metric", "model_1", "model_2", "t_statistic", "p_value", "significant")
+# The t distribution with four degrees of freedom (five folds) has a closed form.
+@query("cmp_paired_pvalues", f"""
+    with {CV}, t as (select metric, model_1, model_2, avg(d) / nullif(stddev_samp(d) / sqrt(count(*)), 0) as t from pr group by 1, 2, 3),
+    p as (select *, 1 - 0.75::double * abs(t) / sqrt(1 + t * t / 4) * (1 - t * t / (1 + t * t / 4) / 12) as p from t)
+    select metric, model_1, model_2, round(t, 4) as t_statistic, round(p, 6) as p_value, coalesce(p < 0.05, false) as significant from p""")
+def _(spark, sf):
+    out = C.paired_ttest(materialize(_cv(spark, sf))).select("metric", "model_1", "model_2", "t_statistic", "p_value", "significant")
+    return _r(_r(out.withColumn("significant", F.coalesce("significant", F.lit(False))), "p_value"), "t_statistic", places=4)
 
 
 @query("cmp_effect_size", f"""

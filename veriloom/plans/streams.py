@@ -144,13 +144,15 @@ def _(spark, sf):
     return spark.read.parquet(f"{root}/counts").select("event_id", "recent_claims_count")
 
 
-@query("st_drift_microbatch")
+@query("st_drift_microbatch", """
+    select feature, feature_type, 4::bigint as batches, true as score_ok from (values ('value', 'numerical'), ('event_type', 'categorical')) v(feature, feature_type)""")
 def _(spark, sf):
     root = scratch_path(spark, "st_drift")
     reference = P.events(spark, sf).where(F.col("ts") < F.lit("2024-01-08").cast("timestamp_ntz"))
     writer = S.drift_writer(reference, root, numerical=["value"], categorical=["event_type"])
     S.run_batches(_event_files(spark, sf, "st_drift_in"), writer, scratch_path(spark, "st_drift-ckpt"))
-    return spark.read.parquet(root)
+    return spark.read.parquet(root).groupBy("feature", "feature_type").agg(
+        F.count("*").alias("batches"), F.bool_and((F.col("drift_score") >= 0) & F.col("error").isNull()).alias("score_ok"))
 
 
 @query("st_alert_cooldown", """

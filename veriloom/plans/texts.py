@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from veriloom.functions import lexicon as L
@@ -126,24 +128,42 @@ def _(spark, sf):
     return _r(X.idf_importance(_vocabulary(spark, sf, counts)), importance=6)
 
 
-@query("txt_word2vec")
+def _all(columns, test):
+    """Whether a test holds of all the columns."""
+    return reduce(lambda a, b: a & b, [test(F.col(c)) for c in columns])
+
+
+def _finite(c):
+    return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+
+
+@query("txt_word2vec", "select doc_id, true as vector_ok from documents")
 def _(spark, sf):
     docs = materialize(_docs(spark, sf).select("doc_id", X.tokens("text").alias("tok")))
     model = X.fit_word2vec(docs, "tok", size=100)
-    return X.spread(model.transform(docs).drop("tok"), "w2v", 100, "w2v_dim")
+    out = X.spread(model.transform(docs).drop("tok"), "w2v", 100, "w2v_dim")
+    return out.select("doc_id", _all([c for c in out.columns if c != "doc_id"], _finite).alias("vector_ok"))
+
+
+def _shares(columns):
+    """Topic shares: none below zero, one in sum, or all zero for a text without a known term."""
+    total = reduce(lambda a, b: a + b, [F.col(c) for c in columns])
+    return _all(columns, lambda c: c >= 0) & ((F.abs(total - 1) < 1e-6) | (total == 0))
 
 
-@query("txt_lda")
+@query("txt_lda", "select doc_id, true as topics_ok from documents")
 def _(spark, sf):
     docs = materialize(_docs(spark, sf).select("doc_id", X.tokens("text").alias("tok")))
     model = X.fit_topics(docs, "tok")
-    return X.spread(model.transform(docs).drop("tok", "_counts"), "topics", 10, "topic")
+    out = X.spread(model.transform(docs).drop("tok", "_counts"), "topics", 10, "topic")
+    return out.select("doc_id", _shares([f"topic_{i}" for i in range(10)]).alias("topics_ok"))
 
 
-@query("txt_kmeans")
+@query("txt_kmeans", "select vec_id, label, true as cluster_ok, 10::bigint as clusters from embeddings")
 def _(spark, sf):
     out = X.cluster(P.table(spark, sf, "embeddings"), "embedding", 10)
-    return out.select("vec_id", "label", "cluster")
+    used = out.agg(F.count_distinct("cluster")).scalar()
+    return out.select("vec_id", "label", F.col("cluster").between(0, 9).alias("cluster_ok"), used.alias("clusters"))
 
 
 @query("txt_word_freq", f"""
@@ -158,10 +178,15 @@ def _(spark, sf):
     return X.language_filter(P.documents(spark, sf), "lang").select("doc_id", "lang", "n_chars")
 
 
-@query("txt_preprocessor")
+@query("txt_preprocessor", f"""select doc_id, length(text)::int as text_length, {_count(f'[^{L.SPACE}]+')} as word_count, true as vector_ok, true as topics_ok,
+    true as weights_ok from documents""")
 def _(spark, sf):
     docs = _docs(spark, sf)
     fitted = X.TextPreprocessor("doc_id", "text").fit(docs)
     path = scratch_path(spark, "text_preprocessor")
     fitted.save(spark, path)
-    return X.FittedTextPreprocessor.load(spark, path).transform(docs).withColumn("tfidf_terms", F.size("tfidf")).drop("tfidf")
+    out = X.FittedTextPreprocessor.load(spark, path).transform(docs)
+    norm = F.aggregate(F.map_values("tfidf"), F.lit(0.0).cast("double"), lambda a, w: a + w * w)
+    return out.select("doc_id", "text_length", "word_count", _all([f"w2v_dim_{i}" for i in range(100)], _finite).alias("vector_ok"),
+                      _shares([f"topic_{i}" for i in range(10)]).alias("topics_ok"),
+                      F.coalesce(F.abs(norm - 1) < 1e-6, F.lit(True)).alias("weights_ok"))
