@@ -83,7 +83,8 @@ def _assembled(features: Sequence[str], stage, scale: bool = False) -> Pipeline:
 def train_forest(df: DataFrame, features: Sequence[str], label: str, trees: int = 300, depth: int = 20, min_rows: int = 1,
                  seed: int = 42) -> PipelineModel:
     """``min_rows`` is the least number of rows of a leaf. Spark has no least number of rows of a split node."""
-    rf = RandomForestClassifier(labelCol=label, weightCol="weight", numTrees=trees, maxDepth=depth, minInstancesPerNode=min_rows, seed=seed)
+    rf = RandomForestClassifier(labelCol=label, weightCol="weight", numTrees=trees, maxDepth=depth, minInstancesPerNode=min_rows, seed=seed,
+                                maxMemoryInMB=1024)  # more nodes per pass
     return _assembled(features, rf).fit(add_class_weights(df, label))
 
 
@@ -170,7 +171,7 @@ def permutation_importance(model: PipelineModel, df: DataFrame, features: Sequen
     return out
 
 
-def recursive_elimination(df: DataFrame, features: Sequence[str], label: str, keep: int, trees: int = 100, depth: int = 20) -> DataFrame:
+def recursive_elimination(df: DataFrame, features: Sequence[str], label: str, keep: int, trees: int = 20, depth: int = 5) -> DataFrame:
     """feature, rank: drops the least important feature per round; kept ones have rank 1."""
     left, ranks = list(features), []
     while len(left) > keep:
