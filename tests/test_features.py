@@ -135,7 +135,9 @@ def test_contractions_keep_their_order(spark):
 def test_cleaning(spark):
     assert one(spark, X.clean("t"), "  The driver WON'T pay: a 20% hit!\n on the  car ") == "driver wont pay 20 hit car"
     assert one(spark, X.clean("t", drop_digits=True), "The total is 1234 euros now") == "total euros"
-    assert one(spark, X.clean("t"), "too short") == "" and one(spark, X.clean("t"), "word " * 1200) == ""
+    limits = {"min_chars": 10, "max_chars": 5000}
+    assert one(spark, X.clean("t", **limits), "too short") == "" and one(spark, X.clean("t", **limits), "word " * 1200) == ""
+    assert one(spark, X.clean("t"), "too short") == "short" and len(one(spark, X.clean("t"), "word " * 1200)) == 5999
     assert one(spark, X.clean("t"), None) == ""
 
 
@@ -163,9 +165,10 @@ def test_tfidf_weights(spark):
     assert w[1, "apple"] == pytest.approx(2 / math.sqrt(5)) and w[2, "cherry"] == pytest.approx(1 / math.sqrt(2))
 
 
-@pytest.mark.parametrize("limit", [None, 0])
-def test_lemmas_keep_token_order(spark, limit):
+@pytest.mark.parametrize("limit", [8 << 20, -1])
+def test_lemmas_keep_token_order(spark, monkeypatch, limit):
+    monkeypatch.setattr("veriloom.functions.skew.MAX_BROADCAST_BYTES", limit)
     df = spark.createDataFrame([(1, ["cars", "hit", "cars"]), (2, [])], "id int, tok array<string>")
     lemmas = spark.createDataFrame([("cars", "car")], "form string, lemma string")
-    got = dict(rows(X.lemmatize(df, "id", "tok", lemmas, limit)))
+    got = dict(rows(X.lemmatize(df, "id", "tok", lemmas)))
     assert got == {1: ["car", "hit", "car"], 2: []}
