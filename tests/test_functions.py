@@ -106,6 +106,7 @@ def test_brackets_are_cut_until_they_hold_few_rows(spark, monkeypatch):
     x = np.concatenate([rng.normal(size=3000), np.full(2500, 0.25), rng.integers(0, 5, 2500), [np.nan] * 3])
     df = spark.createDataFrame([(float(v), float(-v) if i % 3 else None) for i, v in enumerate(x)], "a double, b double")
     probs = {f"p{i}": i / 20 for i in range(21)}
+    monkeypatch.setattr(O, "BRACKETS", 100)
     for accuracy, rows in ((10_000, 200_000), (50, 0), (7, 0)):
         monkeypatch.setattr(O, "BRACKET_ACCURACY", accuracy)
         monkeypatch.setattr(O, "BRACKET_ROWS", rows)

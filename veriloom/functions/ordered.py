@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -22,7 +24,9 @@ from veriloom.session import materialize
 
 PIECE = "_piece"
 #: Rank error of the sketches that bracket a quantile is one in this many; rows read from all brackets together.
-BRACKET_ACCURACY, BRACKET_ROWS = 10_000, 200_000
+BRACKET_ACCURACY, BRACKET_ROWS = 1_000, 200_000
+#: Quantiles asked for at once (columns times probabilities) up to which brackets cost less than one ordered histogram.
+BRACKETS = 24
 _NUMBER = "_number"
 
 
@@ -163,16 +167,16 @@ def quantiles(df: DataFrame, columns: Sequence[str], probs: dict[str, float],
     """Linear-interpolated quantiles of several columns, exact by default.
 
     Returns one row per group and feature with one column per entry of ``probs``,
-    ``n`` (the number of values) and, if asked for, ``distinct_values``. Without
-    groups the values are found by brackets, with groups from a histogram made
-    with map-side combine; no aggregate holds more than a few numbers per group.
+    ``n`` (the number of values) and, if asked for, ``distinct_values``. A few
+    quantiles of whole columns are found by brackets, others from a histogram
+    made with map-side combine; no aggregate holds more than a few numbers per group.
     ``accuracy`` switches to one pass with sketches, off by at most n / accuracy ranks.
     """
     keys, columns = list(keys), list(columns)
     if accuracy is not None:
         out = _sketched(df, columns, probs, keys, accuracy)
         return out if distinct else out.drop("distinct_values")
-    if not keys:
+    if not keys and len(columns) * len(probs) <= BRACKETS:
         out = _bracketed(df, columns, probs)
         return out.join(F.broadcast(_distinct_values(df, columns)), "feature", "left").fillna(0, ["distinct_values"]) if distinct else out
     hist = _histogram(df, columns, keys)
@@ -238,7 +242,8 @@ def _bracketed(df: DataFrame, columns: list[str], probs: dict[str, float]) -> Da
         if few:
             rows = F.array(*[F.when(inside(k), F.struct(F.lit(t).alias("t"), F.col(names[k[0]]).alias("v"))) for k, (t, _, _) in few.items()])
             hist: dict[int, list] = {}
-            for r in base.select(F.inline(F.filter(rows, lambda r: r.isNotNull()))).groupBy("t", "v").count().collect():
+            for r in base.where(reduce(or_, map(inside, few))).select(
+                    F.inline(F.filter(rows, lambda r: r.isNotNull()))).groupBy("t", "v").count().collect():
                 hist.setdefault(r["t"], []).append((r["v"], r["count"]))
             for k, (t, below, _) in few.items():
                 at, ranks, total = open_[k][0], [], below
