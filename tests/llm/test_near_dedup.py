@@ -94,3 +94,29 @@ def test_similar_documents_are_found_and_others_left(spark):
     for block_rows in (1 << 18, 1):
         got = {r["doc_id"]: r["component_id"] for r in N.similar_documents(spark.createDataFrame(docs, "doc_id long, text string"), block_rows=block_rows).collect()}
         assert got == {d: a for a, b in pairs for d in (a, b)}
+
+
+@pytest.mark.parametrize("unit", [N.UNIT, 1500])
+def test_documents_are_linked_by_chains_of_similarity_point_eight_only(spark, unit):
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(4000)]
+    docs = []
+    for i in range(40):
+        text = rng.choice(words, 8).tolist()
+        docs += [text, [*text, "more"]]  # 4 and 5 shingles: exactly 0.8
+    for n in range(8, 60):  # shared starts: similarities from below 0.6 to above 0.8
+        text = rng.choice(words, 104).tolist()
+        docs += [text, [*text[:104 - n // 2], *rng.choice(words, n // 2).tolist()]]
+    text = rng.choice(words, 64).tolist()
+    docs += [text[i:i + 44] for i in range(0, 21, 4)]  # a chain
+    grams = [{tuple(t[j:j + 5]) for j in range(len(t) - 4)} for t in docs]
+    want = list(range(len(docs)))
+    for i, a in enumerate(grams):
+        for j, b in enumerate(grams[:i]):
+            if len(a & b) / len(a | b) >= 0.8:
+                old, new = max(want[i], want[j]), min(want[i], want[j])
+                want = [new if x == old else x for x in want]
+    assert len(set(want)) < len(docs) - 60 and any(0.65 < len(a & b) / len(a | b) < 0.8 for a, b in zip(grams[80::2], grams[81::2]))
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(docs)], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in N.similar_documents(df, unit=unit).collect()}
+    assert [got[i] for i in range(len(docs))] == want

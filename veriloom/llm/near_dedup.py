@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import cache
+from math import comb
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -18,6 +21,8 @@ FANOUT = 8
 #: Node pairs compared at a time.
 PAIRS = 1 << 21
 LEVELS = 4
+#: Shingles one task may hold when candidates are compared; a document counts as UNIT_ROW shingles more.
+UNIT, UNIT_ROW = 1 << 21, 256
 #: Words of the wide fingerprint, and bands of min-hashes that bring wide fingerprints together.
 WIDE_WORDS, BANDS, BAND_ROWS = 4, 20, 5
 _TURNS = np.random.default_rng(20).integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -244,13 +249,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataF
     return rows.join(_name_components(codes, links(codes, radius)), "fp")
 
 
-def wide_fingerprint(text: str | None, shingle: int = 5, words: int = WIDE_WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """A SimHash of ``words`` 64-bit words over the distinct shingles, and the keys of the bands of their min-hashes."""
+def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
+    """Sorted digests of the distinct shingles of a text; a text of fewer words is one shingle."""
     tokens = (text or "").lower().encode("utf-8", "surrogatepass").split()
     if len(tokens) < shingle:
-        h = hashes([b" ".join(tokens)])
-    else:
-        h = np.unique(hashes(map(b" ".join, zip(*(tokens[i:] for i in range(shingle))))))
+        return hashes([b" ".join(tokens)])
+    return np.unique(hashes(map(b" ".join, zip(*(tokens[i:] for i in range(shingle))))))
+
+
+def wide_fingerprint(h: np.ndarray, words: int = WIDE_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """A SimHash of ``words`` 64-bit words over a set of shingles, and the keys of the bands of their min-hashes."""
     ones = np.zeros((words, 64), dtype=np.int64)
     least = np.full(len(_TURNS), np.iinfo(np.uint64).max, dtype=np.uint64)
     for i in range(0, len(h), 1 << 12):
@@ -266,49 +274,151 @@ def wide_fingerprint(text: str | None, shingle: int = 5, words: int = WIDE_WORDS
     return code, np.array(bands, dtype=np.uint64)
 
 
+def _set_key(h: np.ndarray) -> int:
+    return int(np.uint64(xxhash.xxh64_intdigest(h.tobytes())).view(np.int64))
+
+
 def _wide_batch(cols: dict, shingle: int) -> dict:
-    out = {"doc_id": cols["doc_id"], "text_key": cols["text_key"], "bands": [], **{f"f{w}": [] for w in range(WIDE_WORDS)}}
+    out = {"doc_id": cols["doc_id"], "text_key": cols["text_key"], "fp": [], "grams": [], "bands": [], **{f"f{w}": [] for w in range(WIDE_WORDS)}}
     for text in cols["text"]:
-        code, bands = wide_fingerprint(text, shingle)
+        h = shingle_set(text, shingle)
+        code, bands = wide_fingerprint(h)
+        out["fp"].append(_set_key(h))
+        out["grams"].append(len(h))
         out["bands"].append(bands.view(np.int64).tolist())
         for w, value in enumerate(code.view(np.int64).tolist()):
             out[f"f{w}"].append(value)
     return out
 
 
+def _set_batch(cols: dict, shingle: int) -> dict:
+    sets = [shingle_set(t, shingle) for t in cols["text"]]
+    return {"fp": [_set_key(h) for h in sets], "set": [h.astype("<u8").tobytes() for h in sets]}
+
+
+def bit_differs(both: int, a: int, b: int) -> float:
+    """Probability that a SimHash bit differs for two sets with ``both`` shingles in common and a and b of their own."""
+    x, y, z = np.ogrid[:both + 1, :a + 1, :b + 1]
+    of = [np.array([comb(n, k) / 2 ** n for k in range(n + 1)]) for n in (both, a, b)]
+    return float((np.einsum("i,j,k->ijk", *of) * ((2 * (x + y) > both + a) != (2 * (x + z) > both + b))).sum())
+
+
+@cache
 def radius_for(similarity: float, bits: int) -> int:
-    """Differing bits of two shingle sets of this Jaccard similarity, on average plus 1.5 standard deviations."""
-    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    return int(bits * p + 1.5 * (bits * p * (1 - p)) ** 0.5)
-
-
-def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(doc_id, text_key, component_id) per row of ``docs``, for documents whose shingle sets are similar.
-
-    Three bits of 64 are less than most pairs of similarity 0.8 differ by, and no
-    16-bit quarter need agree within a radius that takes them in. So this form
-    compares SimHashes of 256 bits within a radius made for the similarity, and
-    the blocks that bring them together are bands of min-hashes (BANDS of
-    BAND_ROWS; at 0.8 a pair has one in common with probability 0.9996). Within a
-    block the Gray-order index does the rest as in ``links``. A block with more
-    than ``block_rows`` codes is dealt to pairs of its parts. Nulls, empty texts,
-    repeated rows and empty tables are treated as in ``near_duplicates``.
+    """Differing bits of two shingle sets of at least this Jaccard similarity: the most likely number plus 4 standard deviations.
+
+    Of large sets a bit differs as the angle between them says, of small ones more often: 3 in 16 for sets of 4 and 5 shingles.
+    """
+    small = (bit_differs(n, a, own - a) for n in range(1, 33) for own in range(1, n + 1) if n / (n + own) >= similarity for a in range(own + 1))
+    p = max([float(np.arccos(2 * similarity / (1 + similarity)) / np.pi), *small])
+    return int(bits * p + 4 * (bits * p * (1 - p)) ** 0.5)
+
+
+def link_sets(code: np.ndarray, sets: list[np.ndarray], similarity: float, radius: int) -> np.ndarray:
+    """The first item linked to each by chains of sets of at least this Jaccard similarity, with codes within ``radius``.
+
+    Sets are compared in the order of their codes' differences, and only as long as they are not linked yet.
+    """
+    label = np.arange(len(sets))
+    size = np.array([len(s) for s in sets])
+    for i in range(1, len(sets)):
+        apart = np.bitwise_count(code[:i] ^ code[i]).sum(1, dtype=np.int64)
+        able = np.flatnonzero((apart <= radius) & (np.minimum(size[:i], size[i]) / np.maximum(size[:i], size[i]) >= similarity))
+        for j in able[np.argsort(apart[able], kind="stable")]:
+            if label[i] == label[j]:
+                continue
+            few, many = (sets[i], sets[j]) if size[i] < size[j] else (sets[j], sets[i])
+            at = np.minimum(np.searchsorted(many, few), len(many) - 1)
+            both = int((many[at] == few).sum())
+            if both / (size[i] + size[j] - both) >= similarity:
+                a, b = sorted((label[i], label[j]))
+                label[label == b] = a
+    return label
+
+
+def _confirm_partition(batches, similarity: float, radius: int):
+    """Edges of ``link_sets`` for each unit; the columns are the unit, the node, its set and the words of its code."""
+    unit, rows = None, []
+
+    def edges():
+        code = np.array([r[2:] for r in rows], dtype=np.int64).view(np.uint64)
+        label = link_sets(code, [np.frombuffer(r[1], "<u8") for r in rows], similarity, radius)
+        return [(rows[i][0], rows[label[i]][0]) for i in np.flatnonzero(label != np.arange(len(label)))]
+
+    def batch_of(found):
+        return pa.RecordBatch.from_arrays([pa.array([e[k] for e in found], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+    for batch in batches:
+        found = []
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if row[0] != unit:
+                found += edges() if len(rows) > 1 else []
+                unit, rows = row[0], []
+            rows.append(row[1:])
+        yield batch_of(found)
+    if len(rows) > 1:
+        yield batch_of(edges())
+
+
+def _dealt(items: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Rows of ``items`` whose key is in ``sizes`` (key, parts); a key of several parts becomes one key for each pair of its parts."""
+    own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
+    return (items.join(sizes, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+            .withColumn("key", F.when(F.col("parts") == 1, F.col("key"))
+                        .otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))))
+
+
+def _confirmed(texts: DataFrame, codes: DataFrame, candidates: DataFrame, shingle: int, similarity: float, unit: int) -> DataFrame:
+    """Edges (u, v) that connect what chains of candidates with this similarity of their shingle sets connect.
+
+    A component of candidates that is no larger than ``unit`` is compared in one
+    task. The nodes of a larger one meet again in their bands, and a band that is
+    larger is dealt to pairs of its parts. Only texts with candidates are read again.
+    """
+    names = [f"f{w}" for w in range(WIDE_WORDS)]
+    roots = connected_components(candidates).withColumnRenamed("node", "fp")
+    nodes = stored(codes.join(roots, "fp").withColumn("weight", F.col("grams") + UNIT_ROW).drop("least"), "candidates")
+    large = F.broadcast(stored(nodes.groupBy("root").agg(F.sum("weight").alias("all")).where(F.col("all") > unit).select("root"), "large"))
+    banded = nodes.join(large, "root", "left_semi").select("fp", "weight", F.explode("bands").alias("key"), *names)
+    sizes = (banded.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.ceil(F.sum("weight") / unit).cast("int").alias("parts"))
+             .where("n > 1").select("key", "parts"))
+    units = (nodes.join(large, "root", "left_anti").select(F.col("root").alias("unit"), "fp", *names)
+             .union(_dealt(banded, sizes).select(F.col("key").alias("unit"), "fp", *names)))
+    again = texts.join(nodes.select("text_key"), "text_key", "left_semi").select("text")
+    sets = map_rows(again, _set_batch, "fp long, set binary", shingle).groupBy("fp").agg(F.first("set").alias("set"))
+    radius = radius_for(similarity, 64 * WIDE_WORDS)
+    return (units.join(sets, "fp").select("unit", "fp", "set", *names).repartition("unit").sortWithinPartitions("unit", "fp")
+            .mapInArrow(lambda it: _confirm_partition(it, similarity, radius), "u long, v long"))
+
+
+def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, block_rows: int = BLOCK_ROWS, unit: int = UNIT) -> DataFrame:
+    """(doc_id, text_key, component_id) per row of ``docs``, for documents linked by chains of similar shingle sets.
+
+    A pair is linked if the Jaccard similarity of its distinct shingles is at
+    least ``similarity``; this is counted, not estimated. SimHashes of 256 bits
+    only find the candidates, within a radius of four standard deviations (three
+    bits of 64 are less than most pairs of similarity 0.8 differ by), and the
+    blocks that bring them together are bands of min-hashes (BANDS of BAND_ROWS;
+    at 0.8 a pair has one in common with probability 0.9996). Within a block the
+    Gray-order index does the rest as in ``links``. A block with more than
+    ``block_rows`` codes is dealt to pairs of its parts. Nulls, empty texts,
+    repeated rows and empty tables are treated as in ``near_duplicates``. Equal
+    shingle sets are one node before any is compared.
     """
     bound_batches(docs.sparkSession)
     names = [f"f{w}" for w in range(WIDE_WORDS)]
     narrow = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"))
-    rows = stored(map_rows(narrow, _wide_batch, "doc_id long, text_key long, bands array<long>, " + ", ".join(f"{n} long" for n in names),
-                           shingle).withColumn("fp", F.xxhash64(*names)), "fingerprints")
-    codes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), *(F.min(n).alias(n) for n in names), F.min("bands").alias("bands")), "codes")
+    rows = stored(map_rows(narrow, _wide_batch, "doc_id long, text_key long, fp long, grams long, bands array<long>, "
+                           + ", ".join(f"{n} long" for n in names), shingle), "fingerprints")
+    codes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), *(F.min(n).alias(n) for n in ("text_key", "grams", *names)),
+                                          F.min("bands").alias("bands")), "codes")
     items = codes.select("fp", F.explode("bands").alias("key"), *names)
     sizes = stored(items.groupBy("key").count().where("count > 1")
                    .select("key", F.ceil(F.col("count") / block_rows).cast("int").alias("parts")), "blocks")
-    own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-    dealt = (items.join(sizes, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-             .withColumn("key", F.when(F.col("parts") == 1, F.col("key"))
-                         .otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))))
-    edges = (dealt.select("key", "fp", *names).repartition("key").sortWithinPartitions("key", gray_rank(F.col(names[0])), *names)
-             .mapInArrow(lambda it: _link_partition(it, radius_for(similarity, 64 * WIDE_WORDS)), "u long, v long"))
+    radius = radius_for(similarity, 64 * WIDE_WORDS)
+    candidates = (_dealt(items, sizes).select("key", "fp", *names).repartition("key").sortWithinPartitions("key", gray_rank(F.col(names[0])), *names)
+                  .mapInArrow(lambda it: _link_partition(it, radius), "u long, v long"))
+    edges = _confirmed(narrow.select("text", "text_key"), codes, candidates, shingle, similarity, unit)
     return rows.select("doc_id", "text_key", "fp").join(_name_components(codes.select("fp", "least"), edges), "fp")
 
 
