@@ -57,3 +57,13 @@ def test_drop_leaking_keeps_clean_rows_and_columns(spark):
     assert sorted(r["_key0"] for r in out.collect()) == [2, 5, 6]
     assert D.drop_leaking(docs, items.limit(0)).count() == 6
     assert D.leaks(docs.limit(0), items).count() == 0
+
+
+def test_items_without_an_id_are_found(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(20)) for c in "ab")
+    docs = [(1, f"x {a} y"), (2, f"{b} z"), (3, "clean"), (4, f"{a} {b}")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    items = spark.createDataFrame([(None, a), (None, b), (5, b), (5, b)], "item_id long, text string")
+    got = sorted((r["doc_id"], str(r["item_id"]), r["start"]) for r in D.leaks(df, items).collect())
+    assert got == [(1, "None", 1), (2, "5", 0), (2, "None", 0), (4, "5", 20), (4, "None", 0)]
+    assert [r["doc_id"] for r in D.drop_leaking(df, items).collect()] == [3]

@@ -120,3 +120,10 @@ def test_documents_are_linked_by_chains_of_similarity_point_eight_only(spark, un
     df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(docs)], "doc_id long, text string")
     got = {r["doc_id"]: r["component_id"] for r in N.similar_documents(df, unit=unit).collect()}
     assert [got[i] for i in range(len(docs))] == want
+
+
+def test_keep_one_keeps_texts_that_are_not_similar_under_one_id(spark):
+    rows = [(1, "alpha beta gamma delta epsilon zeta"), (1, "some other words that stand here"), (2, "alpha beta gamma delta epsilon zeta"),
+            (None, "without an id but with words"), (None, "also without one and not alike")]
+    assert sorted(map(str, N.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect())) == sorted(
+        f"Row(doc_id={i}, text={t!r})" for k, (i, t) in enumerate(rows) if k != 2)

@@ -165,12 +165,15 @@ def leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, k:
 
     Windows equal in their words are compared once, however many documents hold
     them. Fingerprints meet in a join on (words, block, value), whose item side
-    carries all values within radius // blocks bits.
+    carries all values within radius // blocks bits. Items are told apart by a
+    digest of id and words; of several items under one id, or without an id, the
+    best window of any is given.
     """
     bound_batches(docs.sparkSession)
     item_rows = stored(items.select(F.col("item_id").cast("long"), "text").mapInArrow(
         lambda it: _item_rows(it, k, radius, blocks),
-        "item_id long, item_words string, n_words int, item_fp long, grams array<long>, sized array<long>, probes array<long>"), "items")
+        "item_id long, item_words string, n_words int, item_fp long, grams array<long>, sized array<long>, probes array<long>")
+        .withColumn("item_key", F.xxhash64("item_id", "item_words")), "items")
     sizes = sorted(r[0] for r in item_rows.select("n_words").distinct().collect())  # one number per length
     share = docs.sparkSession.sparkContext.broadcast
     seen, sized = (share(_gram_filter(item_rows, column, filter_bits)) for column in ("grams", "sized"))
@@ -181,10 +184,11 @@ def leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, k:
                       for i, (at, size) in enumerate(block_bounds(blocks))))
     distinct = windows.groupBy("window_key", "n_words", "fp", "window").agg(F.count(F.lit(1)).alias("n"))
     left = distinct.select("window_key", "n_words", "fp", F.explode(value).alias("block"))
-    right = item_rows.select("item_id", "item_fp", "n_words", F.explode("probes").alias("block"))
+    right = item_rows.select("item_key", "item_fp", "n_words", F.explode("probes").alias("block"))
     near = (left.join(right, ["n_words", "block"]).where(F.bit_count(F.expr("fp ^ item_fp")) <= radius)
-            .select("window_key", "item_id").distinct())
-    pairs = (near.join(distinct.select("window_key", "window"), "window_key").join(item_rows.select("item_id", "item_words"), "item_id")
+            .select("window_key", "item_key").distinct())
+    pairs = (near.join(distinct.select("window_key", "window"), "window_key")
+             .join(item_rows.select("item_key", "item_id", "item_words").distinct(), "item_key")
              .select("window_key", "item_id", "window", "item_words"))
     hits = pairs.mapInArrow(lambda it: _verify(it, k, similarity), "window_key long, item_id long, similarity double")
     best = F.min(F.struct((-F.col("similarity")).alias("worst"), "start", "n_words")).alias("best")

@@ -227,11 +227,11 @@ def links(codes: DataFrame, radius: int = 3, block_rows: int = BLOCK_ROWS) -> Da
 
 
 def _name_components(codes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(fp, component_id) for every code; ``least`` is the smallest doc_id with that code."""
+    """(fp, root, component_id) for every code; ``least`` is the smallest doc_id with that code, the root the smallest code linked to it."""
     roots = connected_components(edges)
     named = codes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return stored(named.join(least, "root").select("fp", "component_id"), "classes")
+    return stored(named.join(least, "root").select("fp", "root", "component_id"), "classes")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
@@ -246,7 +246,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataF
     """
     rows = stored(fingerprints(docs, shingle), "fingerprints")
     codes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "codes")
-    return rows.join(_name_components(codes, links(codes, radius)), "fp")
+    return rows.join(_name_components(codes, links(codes, radius)), "fp").drop("root")
 
 
 def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
@@ -392,7 +392,9 @@ def _confirmed(texts: DataFrame, codes: DataFrame, candidates: DataFrame, shingl
 
 
 def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, block_rows: int = BLOCK_ROWS, unit: int = UNIT) -> DataFrame:
-    """(doc_id, text_key, component_id) per row of ``docs``, for documents linked by chains of similar shingle sets.
+    """(doc_id, text_key, root, component_id) per row of ``docs``, for documents linked by chains of similar shingle sets.
+
+    The root tells components apart, also those that have the same smallest doc_id.
 
     A pair is linked if the Jaccard similarity of its distinct shingles is at
     least ``similarity``; this is counted, not estimated. SimHashes of 256 bits
@@ -425,11 +427,13 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row of ``docs`` per component, with all its columns: a row of the smallest doc_id (null last).
 
-    Of several texts under that id the one with the smallest digest stays, of
-    repeated rows any one, since they are equal in id and text.
+    Of several texts of the component under that id the one with the smallest
+    digest stays, of repeated rows any one, since they are equal in id and text.
+    Components are told apart by their root, so texts that are not similar do
+    not replace each other under one id or without an id.
     """
     found = similar_documents(docs, shingle, similarity)
-    classes = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("anonymous")).agg(
+    classes = found.groupBy("root", "component_id").agg(
         F.min(F.when(F.col("doc_id").eqNullSafe(F.col("component_id")), F.struct("text_key", "fp"))).alias("best"))
     keep = stored(classes.select(F.col("component_id").alias("_id"), F.col("best.text_key").alias("_key")), "kept")
     keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"))
