@@ -62,3 +62,13 @@ def test_long_pages():
     page = "<article>" + "<p>x</p>" * 20_000 + "</article>"
     assert H.main_text(page, H.known_paths(wrapper_of(page)), set()) == "\n\n".join("x" * 20_000)
     H.parse("<" * 20_000 + "<a b='" * 2_000 + "<!--" * 2_000)
+
+
+def test_copies_of_a_page_do_not_make_its_text_a_template(spark):
+    body = "<div><p>{}</p>{}</div><div class=x>all rights</div>"
+    rows = [(i, "http://one/", body.format("the only article", "")) for i in range(4)]
+    rows += [(i, "http://two/", body.format(f"article {i}", "")) for i in range(10, 14)]
+    rows += [(i, "http://two/", body.format("copied", "<blockquote>quoted</blockquote>")) for i in range(14, 18)]
+    got = {r["page_id"]: r["text"] for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {**{i: "the only article\n\nall rights" for i in range(4)}, **{i: f"article {i}" for i in range(10, 14)},
+                   **{i: "copied\n\nquoted" for i in range(14, 18)}}

@@ -292,7 +292,7 @@ def known_paths(nodes: list) -> dict[int, int]:
 
 
 def slot_paths(slots: pd.DataFrame) -> list[int]:
-    """Paths whose text varies: a text that is the same on all of three or more pages belongs to the template."""
+    """Paths whose text varies: a text that is the same on all of three or more pages that differ elsewhere belongs to the template."""
     constant = (slots["least"] == slots["most"]) & (slots["pages"] > 2)
     return sorted(slots["path"][~slots["marked"] & ~constant].tolist())
 
@@ -307,11 +307,11 @@ def _signed(x: int) -> int:
 
 
 def _shape_batches(batches):
-    """Per page: host, expression, and for each path of a text its characters and a digest."""
+    """Per page: host, expression, for each path of a text its characters and a digest, and a digest of all texts that are not marked."""
     slot = pa.list_(pa.struct([("path", pa.int64()), ("marked", pa.bool_()), ("chars", pa.int64()), ("digest", pa.int64())]))
     seen: dict = {}
     for batch in batches:
-        hosts, shapes, slots = [], [], []
+        hosts, shapes, slots, texts = [], [], [], []
         for url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             tree, blocks, _ = parse(page, seen)
             of: dict = {}
@@ -321,8 +321,10 @@ def _shape_batches(batches):
             hosts.append(host_of(url))
             shapes.append(json.dumps(generalise(tree[1]), separators=(",", ":")))
             slots.append([{"path": _signed(p), "marked": m, "chars": c, "digest": _signed(d)} for (p, m), (c, d) in of.items()])
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(shapes, pa.string()), pa.array(slots, slot)],
-                                         names=["host", "shape", "slots"])
+            free = sorted((p, d) for (p, m), (_, d) in of.items() if not m)
+            texts.append(_signed(xxhash.xxh64_intdigest(repr(free).encode())))
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(shapes, pa.string()), pa.array(slots, slot), pa.array(texts, pa.int64())],
+                                         names=["host", "shape", "slots", "texts"])
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
@@ -330,10 +332,10 @@ def wrappers(pages: DataFrame) -> DataFrame:
 
     Pages of a host with one expression count once, so a host with a third of all
     pages moves no more rows than it has different expressions per task. These are aligned in groups of at most
-    about ALIGNED until one is left, so no task gets a whole host.
+    about ALIGNED until one is left, so no task gets a whole host. Pages with the same unmarked texts are one page for the slots.
     """
     shapes = stored(pages.select("url", "html").mapInArrow(
-        _shape_batches, "host string, shape string, slots array<struct<path: long, marked: boolean, chars: long, digest: long>>"), "shapes")
+        _shape_batches, "host string, shape string, slots array<struct<path: long, marked: boolean, chars: long, digest: long>>, texts long"), "shapes")
 
     def merged(key, part):
         out = json.loads(part["shape"].min())
@@ -349,7 +351,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
         left = stored(dealt.groupBy("host", "g").applyInPandas(merged, "host string, shape string"), "expressions")
         if not many:
             break
-    slots = (shapes.select("host", F.explode("slots").alias("s")).groupBy("host", "s.path", "s.marked")
+    slots = (shapes.groupBy("host", "texts").agg(F.first("slots").alias("slots")).select("host", F.explode("slots").alias("s")).groupBy("host", "s.path", "s.marked")
              .agg(F.sum("s.chars").alias("chars"), F.min("s.digest").alias("least"), F.max("s.digest").alias("most"), F.count(F.lit(1)).alias("pages")))
 
     def ruled(key, expression, part):
