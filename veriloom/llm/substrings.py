@@ -1,4 +1,4 @@
-"""Repeated passages: documents meet at winnowed anchors, matches are extended to both sides and cut out."""
+"""Repeated passages: documents meet at winnowed anchors, equal digests of the windows there are found, and the runs they cover cut out."""
 
 from __future__ import annotations
 
