@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import heapq
-import json
 
 import numpy as np
 import pandas as pd
@@ -12,48 +11,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veriloom.llm.common import bound_batches, stored
+from veriloom.llm.tokens import load_encoder
 
 LENGTH = 2048
 END_ID = 1
-TOKENIZER = "byte_bpe_50k.json"
 #: Pieces that are packed together, on average; more of them leave less padding.
 GROUP_PIECES = 1 << 14
 
 
-def byte_alphabet() -> dict[str, int]:
-    """The character that stands for each byte in a byte-level vocabulary: printable ones for themselves, others from 256 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
-
-
-def load_encoder(path: str | None = None):
-    """An encoder for a byte-level vocabulary file, kept in the worker; without a path the public 50k vocabulary.
-
-    tiktoken merges the file's vocabulary by rank, which gives the ids of the
-    tokenizers library at four times its speed (checked in the tests).
-    """
-    import public_tokenizers
-    import tiktoken
-
-    path = path or public_tokenizers.path(TOKENIZER)
-    kept = tiktoken.__dict__.setdefault("_encoders_by_path", {})
-    if path not in kept:
-        with open(path, encoding="utf-8") as file:
-            vocabulary = json.load(file)
-        of = byte_alphabet()
-        special = {t["content"] for t in vocabulary.get("added_tokens", []) if t.get("special")}
-        ranks = {bytes(of[c] for c in token): i for token, i in vocabulary["model"]["vocab"].items() if token not in special}
-        kept[path] = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return kept[path]
-
-
 def _cut_batches(batches, length: int, end_id: int, path: str | None):
     encoder = load_encoder(path)
     for batch in batches:
         out = {"doc_id": [], "start": [], "length": [], "doc_tokens": [], "ids": []}
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            ids = np.array([*encoder.encode_ordinary(text or ""), end_id], dtype="<u4")
+            ids = np.array([*encoder.encode(text), end_id], dtype="<u4")
             for at in range(0, len(ids), length):
                 piece = ids[at:at + length]
                 for name, value in zip(out, (doc, at, len(piece), len(ids), piece.tobytes())):

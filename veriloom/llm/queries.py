@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veriloom.llm import chat, decontaminate, html, language, near_dedup, neighbours, packing, pii, quality, substrings
+from veriloom.llm import bestfit, chat, decontaminate, html, language, near_dedup, neighbours, packing, pii, quality, substrings
 from veriloom.llm.common import map_rows, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +92,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_language_id")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
+
+
+@query("op11_best_fit_packing")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bestfit.pack(table(spark, sf_dir, "documents"), F.crc32("ids").alias("ids_crc32"))
