@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veriloom.llm import bestfit, chat, decontaminate, html, language, near_dedup, neighbours, packing, pii, quality, substrings
+from veriloom.llm import bestfit, chat, decontaminate, html, language, near_dedup, neighbours, packing, pii, quality, substrings, variants
 from veriloom.llm.common import map_rows, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +97,44 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_best_fit_packing")
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bestfit.pack(table(spark, sf_dir, "documents"), F.crc32("ids").alias("ids_crc32"))
+
+
+_OP13 = """
+with table8 as (select list_transform(range(256), lambda i: {steps}) as t),
+runs as (select doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run, count(*) as n
+  from (select doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) as run from documents) where length(run) >= 6 group by all),
+coded as (select run, n, list_transform(range(octet_length(encode(doc_id || ':' || run))),
+    lambda i: ('0x' || substr(hex(encode(doc_id || ':' || run)), 2 * i + 1, 2))::bigint) as bytes from runs),
+hashed as (select run, n, xor(list_reduce(list_prepend(4294967295::bigint, bytes),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295::bigint) as h from coded, table8),
+words as (select word, sum(n)::bigint as n from (select n, case when h % 199 = 0
+    then substr(run, 1, (h % length(run))::int) || substr(run, (h % length(run))::int + 2) else run end as word from hashed)
+  where length(word) >= 6 group by word having sum(n) >= 5),
+places as (select word, n, unnest(range(1, length(word) + 1)) as i from words),
+holes as (select word, n, i, substr(word, 1, i::int - 1) || '_' || substr(word, i::int + 1) as hole,
+    substr(word, 1, i::int - 1) || substr(word, i::int + 1) as less from places),
+shorter as (select distinct h.word as a, w.word as b from holes h join words w on h.less = w.word),
+near as (select a.word as a, b.word as b from holes a join holes b on a.hole = b.hole and a.word <> b.word
+  union all select a, b from shorter union all select b, a from shorter),
+best as (select a as word, count(*) as n_near, min(b) filter (b_n = top) as form, max(b_n) as form_n
+  from (select near.*, w.n as b_n, max(w.n) over (partition by a) as top from near join words w on w.word = near.b) group by a),
+forms as (select w.word, w.n, coalesce(b.n_near, 0) as n_near, case when b.form_n >= 5 * w.n then b.form end as form,
+    case when b.form_n >= 5 * w.n then b.form_n end as form_n from words w left join best b on b.word = w.word),
+chains as (with recursive c(word, root, depth) as (select word, word, 0 from forms
+  union all select c.word, f.form, depth + 1 from c join forms f on f.word = c.root where f.form is not null) select * from c)
+select f.word, f.form, r.root, f.n, f.n_near, f.form_n from forms f
+join (select word, arg_max(root, depth) as root from chains group by word) r on r.word = f.word
+"""
+
+
+def _crc_steps() -> str:
+    """SQL for entry i of the table that takes crc32 one byte further: eight shifts."""
+    step = "i::bigint"
+    for _ in range(8):
+        step = f"list_transform([{step}], lambda x: xor(x >> 1, 3988292384::bigint * (x & 1)))[1]"
+    return step
+
+
+@query("op13_permuterm_variants", _OP13.replace("{steps}", _crc_steps()))
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(variants.vocabulary(table(spark, sf_dir, "documents")))
