@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veriloom.llm import bestfit, chat, decontaminate, html, language, near_dedup, neighbours, packing, pii, quality, substrings, variants
+from veriloom.llm import bestfit, chat, decontaminate, html, language, near_dedup, negatives, neighbours, packing, pii, quality, substrings, variants
 from veriloom.llm.common import map_rows, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -138,3 +138,21 @@ def _crc_steps() -> str:
 @query("op13_permuterm_variants", _OP13.replace("{steps}", _crc_steps()))
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.variants(variants.vocabulary(table(spark, sf_dir, "documents")))
+
+
+@query("op12_hyperplane_negatives", """
+with rows as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = len(embedding)),
+scored as (select a.vec_id as anchor_id, b.vec_id as id, a.label = b.label as same, list_dot_product(a.v, b.v)::bigint as score
+  from rows a join rows b on a.vec_id <> b.vec_id where a.vec_id % 50 = 0),
+liked as (select anchor_id, id as positive_id, score as positive_score from scored where same
+  qualify row_number() over (partition by anchor_id order by score desc, id) <= 5)
+select l.anchor_id, positive_id, row_number() over (partition by l.anchor_id, positive_id order by s.score desc, s.id)::int as rank,
+  s.id as negative_id, positive_score, s.score as negative_score
+from liked l join scored s on s.anchor_id = l.anchor_id and not s.same
+  and 50 * positive_score <= 100 * s.score and 100 * s.score <= 95 * positive_score
+qualify rank <= 3""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", label))
