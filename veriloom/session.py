@@ -50,9 +50,36 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+#: Intermediate tables made so far, oldest first.
+_scratch: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder for one intermediate table."""
-    return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    _scratch.append(path)
+    return path
+
+
+class Scratch:
+    """Remembers the intermediate tables made within it; ``remove`` deletes them once nothing reads them any more."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+    def __enter__(self) -> "Scratch":
+        self._from = len(_scratch)
+        return self
+
+    def __exit__(self, *error) -> None:
+        self.paths += _scratch[self._from:]
+        del _scratch[self._from:]
+
+    def remove(self, spark: SparkSession) -> None:
+        for path in self.paths:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        self.paths.clear()
 
 
 def spread_rows(df: DataFrame, key: str) -> DataFrame:
