@@ -2,32 +2,52 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from veriloom.llm import decontaminate, near_dedup, packing, pii, quality
 from veriloom.llm.common import stored, table
+from veriloom.session import Scratch
+
+_scratch = Scratch()
+
+
+def _stage(function):
+    """A stage starts by deleting the intermediate tables of the one before, whose result has been written by then."""
+    @wraps(function)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        _scratch.remove(spark)
+        with _scratch:
+            return function(spark, docs, sf_dir)
+    return run_stage
 
 
+@_stage
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents the quality classifier rejects."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
+@_stage
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates."""
     return near_dedup.keep_one(docs)
 
 
+@_stage
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that hold a benchmark item."""
     return decontaminate.drop_leaking(docs, table(spark, sf_dir, "benchmark"))
 
 
+@_stage
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data by its kind."""
     return pii.mask_documents(docs)
 
 
+@_stage
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The kept documents as pieces of token sequences, with their ids."""
     return packing.pack(docs)
