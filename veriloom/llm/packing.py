@@ -5,45 +5,20 @@ from __future__ import annotations
 import heapq
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veriloom.llm.common import bound_batches, stored
+from veriloom.llm.common import BATCH_ROWS, bound_batches
 from veriloom.llm.tokens import load_encoder
 
 LENGTH = 2048
 END_ID = 1
-#: Pieces that are packed together, on average; more of them leave less padding.
+#: Pieces that are packed together, about; more of them leave less padding.
 GROUP_PIECES = 1 << 14
 
 
-def _cut_batches(batches, length: int, end_id: int, path: str | None):
-    encoder = load_encoder(path)
-    for batch in batches:
-        out = {"doc_id": [], "start": [], "length": [], "doc_tokens": [], "ids": []}
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            ids = np.array([*encoder.encode(text), end_id], dtype="<u4")
-            for at in range(0, len(ids), length):
-                piece = ids[at:at + length]
-                for name, value in zip(out, (doc, at, len(piece), len(ids), piece.tobytes())):
-                    out[name].append(value)
-        yield pa.RecordBatch.from_arrays([pa.array(v, pa.binary() if k == "ids" else pa.int64()) for k, v in out.items()], names=list(out))
-
-
-def cut(docs: DataFrame, length: int = LENGTH, end_id: int = END_ID, tokenizer_path: str | None = None) -> DataFrame:
-    """(doc_id, start, length, doc_tokens, ids): whole texts as ids with an end id, cut every ``length`` ids.
-
-    ``ids`` holds little-endian unsigned 32-bit numbers. All pieces of a document
-    but the last are full. Null texts count as empty and are one end id.
-    """
-    bound_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        lambda it: _cut_batches(it, length, end_id, tokenizer_path),
-        "doc_id long, start long, length long, doc_tokens long, ids binary")
-
-
 def cost(tokens: np.ndarray, linear: float, quadratic: float) -> np.ndarray:
     """Estimated cost of a piece: layers that work token by token, and attention within the piece."""
     return linear * tokens + quadratic * tokens.astype(float) ** 2
@@ -118,37 +93,57 @@ def assign(lengths: np.ndarray, length: int, linear: float = 1.0, quadratic: flo
     return sequence, offset
 
 
-def plan(pieces: DataFrame, length: int = LENGTH, linear: float = 1.0, quadratic: float = 1 / 4096,
-         group_pieces: int = GROUP_PIECES) -> DataFrame:
-    """(piece_id, sequence_id, offset) for pieces with a unique piece_id.
-
-    Pieces are dealt by a hash of piece_id to groups of about ``group_pieces``,
-    however many come from one document; only two numbers of each are moved.
-    """
-    groups = max(1, -(-pieces.count() // group_pieces))
+def _pack_batches(batches, length: int, end_id: int, path: str | None, linear: float, quadratic: float, group_pieces: int):
+    """Cuts texts into pieces and packs those of about ``group_pieces`` pieces at a time; sequence ids start with the task's number."""
+    encoder, sequence = load_encoder(path), TaskContext.get().partitionId() << 32
+    kinds = {"ids": pa.binary()}
+    held = {"doc_id": [], "start": [], "length": [], "doc_tokens": [], "ids": []}
 
-    def pack_group(key, part):
-        part = part.sort_values("piece_id")
-        sequence, offset = assign(part["length"].to_numpy(), length, linear, quadratic)
-        return pd.DataFrame({"piece_id": part["piece_id"], "sequence_id": sequence + (int(key[0]) << 32), "offset": offset})
+    def packed():
+        nonlocal sequence
+        numbers, offset = assign(np.array(held["length"], dtype=np.int64), length, linear, quadratic)
+        columns = {**held, "sequence_id": numbers + sequence, "offset": offset}
+        sequence += int(numbers.max()) + 1
+        for at in range(0, len(numbers), BATCH_ROWS):
+            yield pa.RecordBatch.from_arrays([pa.array(v[at:at + BATCH_ROWS], kinds.get(k, pa.int64())) for k, v in columns.items()], names=list(columns))
+        for values in held.values():
+            values.clear()
 
-    return (pieces.select("piece_id", "length", F.pmod(F.xxhash64("piece_id"), F.lit(groups)).alias("g"))
-            .groupBy("g").applyInPandas(pack_group, "piece_id long, sequence_id long, offset long"))
+    for batch in batches:
+        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            ids = np.array([*encoder.encode(text), end_id], dtype="<u4")
+            for at in range(0, len(ids), length):
+                piece = ids[at:at + length]
+                for name, value in zip(held, (doc, at, len(piece), len(ids), piece.tobytes())):
+                    held[name].append(value)
+            if len(held["doc_id"]) >= group_pieces:
+                yield from packed()
+    if held["doc_id"]:
+        yield from packed()
 
 
 def pack(docs: DataFrame, payload: Column | None = None, length: int = LENGTH, end_id: int = END_ID, tokenizer_path: str | None = None,
          linear: float = 1.0, quadratic: float = 1 / 4096, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """(doc_id, start, length, doc_tokens, sequence_id, offset, payload) per piece of every row of ``docs``.
 
-    ``payload`` is an expression over ``ids``, the ids themselves if none is
+    Whole texts become ids with an end id, cut every ``length`` ids; all pieces of
+    a document but the last are full. ``ids`` holds little-endian unsigned 32-bit
+    numbers, ``payload`` is an expression over them, the ids themselves if none is
     given. The pieces of a sequence follow each other without a gap and hold at
-    most ``length`` ids together. Repeated rows are packed as often as they
-    occur; null ids stay null; an empty table gives an empty one.
+    most ``length`` ids together.
+
+    Pieces that one task cuts one after the other are packed together, about
+    ``group_pieces`` at a time, so no id is stored or moved; a task with fewer
+    pieces packs what it has. Null texts count as empty and are one end id.
+    Repeated rows are packed as often as they occur; null ids stay null; an empty
+    table gives an empty one.
     """
-    pieces = stored(cut(docs, length, end_id, tokenizer_path).withColumn("piece_id", F.monotonically_increasing_id()), "pieces")
-    placed = plan(pieces, length, linear, quadratic, group_pieces)
-    return (pieces.select("piece_id", "doc_id", "start", "length", "doc_tokens", F.col("ids") if payload is None else payload)
-            .join(placed, "piece_id").drop("piece_id"))
+    bound_batches(docs.sparkSession)
+    pieces = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
+        lambda it: _pack_batches(it, length, end_id, tokenizer_path, linear, quadratic, group_pieces),
+        "doc_id long, start long, length long, doc_tokens long, ids binary, sequence_id long, offset long")
+    names = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset"]
+    return pieces.select(*names, F.col("ids") if payload is None else payload)
 
 
 def sequences(packed: DataFrame) -> DataFrame:
