@@ -127,3 +127,23 @@ def test_keep_one_keeps_texts_that_are_not_similar_under_one_id(spark):
             (None, "without an id but with words"), (None, "also without one and not alike")]
     assert sorted(map(str, N.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect())) == sorted(
         f"Row(doc_id={i}, text={t!r})" for k, (i, t) in enumerate(rows) if k != 2)
+
+
+def test_members_pass_the_map_and_few_others_do(spark):
+    from veriloom.llm.common import members
+
+    keys = spark.range(0, 20_000, 2).select((F.col("id") * 7 - 3).alias("k"))
+    inside = members(keys, "k", 10_000)
+    assert keys.where(inside("k")).count() == 10_000
+    others = spark.range(20_000).select((F.col("id") + 1_000_000).alias("k")).where(inside("k")).count()
+    assert 0 < others < 2_000
+    assert spark.range(9).where(members(keys.limit(0), "k", 0)("id")).count() == 0
+
+
+def test_keep_one_keeps_repeated_and_unrepeated_rows_once(spark):
+    rng = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(3000)]
+    texts = [" ".join(rng.choice(words, 30)) for _ in range(300)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(i + 1000, texts[i]) for i in range(0, 300, 3)] + [(i, texts[i]) for i in range(0, 300, 5)] * 2
+    kept = N.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r["doc_id"] for r in kept) == list(range(300))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from veriloom.llm.common import bound_batches, hashes, map_rows, stored
+from veriloom.llm.common import bound_batches, hashes, map_rows, members, stored
 from veriloom.llm.components import connected_components
 
 #: Distinct fingerprints one task may hold of a block; blocks with more are cut by a further block.
@@ -25,6 +25,10 @@ LEVELS = 4
 UNIT, UNIT_ROW = 1 << 21, 256
 #: Words of the wide fingerprint, and bands of min-hashes that bring wide fingerprints together.
 WIDE_WORDS, BANDS, BAND_ROWS = 4, 20, 5
+#: Parts a band of more than its share of rows is dealt to, if it needs no more to fit a task; rows are copied as often.
+SPREAD = 16
+#: Bands in which the nodes of a large component meet, round by round; a round passes on only what earlier ones left apart.
+ROUNDS = ((0,), (1, 2, 3), tuple(range(4, BANDS)))
 _TURNS = np.random.default_rng(20).integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -291,11 +295,6 @@ def _wide_batch(cols: dict, shingle: int) -> dict:
     return out
 
 
-def _set_batch(cols: dict, shingle: int) -> dict:
-    sets = [shingle_set(t, shingle) for t in cols["text"]]
-    return {"fp": [_set_key(h) for h in sets], "set": [h.astype("<u8").tobytes() for h in sets]}
-
-
 def bit_differs(both: int, a: int, b: int) -> float:
     """Probability that a SimHash bit differs for two sets with ``both`` shingles in common and a and b of their own."""
     x, y, z = np.ogrid[:both + 1, :a + 1, :b + 1]
@@ -314,16 +313,17 @@ def radius_for(similarity: float, bits: int) -> int:
     return int(bits * p + 4 * (bits * p * (1 - p)) ** 0.5)
 
 
-def link_sets(code: np.ndarray, sets: list[np.ndarray], similarity: float, radius: int) -> np.ndarray:
+def link_sets(code: np.ndarray, sets: list[np.ndarray], similarity: float, radius: int, label: np.ndarray | None = None) -> np.ndarray:
     """The first item linked to each by chains of sets of at least this Jaccard similarity, with codes within ``radius``.
 
-    Sets are compared in the order of their codes' differences, and only as long as they are not linked yet.
+    Sets are compared in the order of their codes' differences, and only as long
+    as they are not linked yet; ``label`` tells what is linked beforehand.
     """
-    label = np.arange(len(sets))
+    label = np.arange(len(sets)) if label is None else label.copy()
     size = np.array([len(s) for s in sets])
     for i in range(1, len(sets)):
         apart = np.bitwise_count(code[:i] ^ code[i]).sum(1, dtype=np.int64)
-        able = np.flatnonzero((apart <= radius) & (np.minimum(size[:i], size[i]) / np.maximum(size[:i], size[i]) >= similarity))
+        able = np.flatnonzero((apart <= radius) & (label[:i] != label[i]) & (np.minimum(size[:i], size[i]) / np.maximum(size[:i], size[i]) >= similarity))
         for j in able[np.argsort(apart[able], kind="stable")]:
             if label[i] == label[j]:
                 continue
@@ -336,14 +336,19 @@ def link_sets(code: np.ndarray, sets: list[np.ndarray], similarity: float, radiu
     return label
 
 
-def _confirm_partition(batches, similarity: float, radius: int):
-    """Edges of ``link_sets`` for each unit; the columns are the unit, the node, its set and the words of its code."""
-    unit, rows = None, []
+def _confirm_partition(batches, similarity: float, radius: int, shingle: int):
+    """Edges of ``link_sets`` for each unit; the columns are the unit, the node, what it is linked to so far, its text and the words of its code."""
+    unit, rows = None, {}
 
     def edges():
-        code = np.array([r[2:] for r in rows], dtype=np.int64).view(np.uint64)
-        label = link_sets(code, [np.frombuffer(r[1], "<u8") for r in rows], similarity, radius)
-        return [(rows[i][0], rows[label[i]][0]) for i in np.flatnonzero(label != np.arange(len(label)))]
+        nodes = list(rows)
+        first = {group: i for i, (group, *_) in reversed(list(enumerate(rows.values())))}
+        before = np.array([first[group] for group, *_ in rows.values()])
+        if len(first) < 2:
+            return []
+        code = np.array([r[2:] for r in rows.values()], dtype=np.int64).view(np.uint64)
+        label = link_sets(code, [shingle_set(r[1], shingle) for r in rows.values()], similarity, radius, before)
+        return [(nodes[i], nodes[label[i]]) for i in np.flatnonzero(label != before)]
 
     def batch_of(found):
         return pa.RecordBatch.from_arrays([pa.array([e[k] for e in found], pa.int64()) for k in (0, 1)], names=["u", "v"])
@@ -353,8 +358,8 @@ def _confirm_partition(batches, similarity: float, radius: int):
         for row in zip(*(c.to_pylist() for c in batch.columns)):
             if row[0] != unit:
                 found += edges() if len(rows) > 1 else []
-                unit, rows = row[0], []
-            rows.append(row[1:])
+                unit, rows = row[0], {}
+            rows[row[1]] = row[2:]
         yield batch_of(found)
     if len(rows) > 1:
         yield batch_of(edges())
@@ -365,30 +370,43 @@ def _dealt(items: DataFrame, sizes: DataFrame) -> DataFrame:
     own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
     return (items.join(sizes, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
             .withColumn("key", F.when(F.col("parts") == 1, F.col("key"))
-                        .otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))))
+                        .otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))).drop("own", "other", "parts"))
 
 
-def _confirmed(texts: DataFrame, codes: DataFrame, candidates: DataFrame, shingle: int, similarity: float, unit: int) -> DataFrame:
+def _confirmed(docs: DataFrame, codes: DataFrame, candidates: DataFrame, shingle: int, similarity: float, unit: int) -> DataFrame:
     """Edges (u, v) that connect what chains of candidates with this similarity of their shingle sets connect.
 
     A component of candidates that is no larger than ``unit`` is compared in one
-    task. The nodes of a larger one meet again in their bands, and a band that is
-    larger is dealt to pairs of its parts. Only texts with candidates are read again.
+    task. The nodes of a larger one meet again in their bands, a few bands at a
+    time; a band whose nodes are all linked by then is left out, and one that is
+    larger is dealt to pairs of its parts. One text of each node with candidates
+    is read and moved, no other.
     """
     names = [f"f{w}" for w in range(WIDE_WORDS)]
     roots = connected_components(candidates).withColumnRenamed("node", "fp")
-    nodes = stored(codes.join(roots, "fp").withColumn("weight", F.col("grams") + UNIT_ROW).drop("least"), "candidates")
-    large = F.broadcast(stored(nodes.groupBy("root").agg(F.sum("weight").alias("all")).where(F.col("all") > unit).select("root"), "large"))
-    banded = nodes.join(large, "root", "left_semi").select("fp", "weight", F.explode("bands").alias("key"), *names)
-    sizes = (banded.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.ceil(F.sum("weight") / unit).cast("int").alias("parts"))
-             .where("n > 1").select("key", "parts"))
-    units = (nodes.join(large, "root", "left_anti").select(F.col("root").alias("unit"), "fp", *names)
-             .union(_dealt(banded, sizes).select(F.col("key").alias("unit"), "fp", *names)))
-    again = texts.join(nodes.select("text_key"), "text_key", "left_semi").select("text")
-    sets = map_rows(again, _set_batch, "fp long, set binary", shingle).groupBy("fp").agg(F.first("set").alias("set"))
+    nodes = stored(codes.drop("bands", "least").join(roots, "fp").withColumn("weight", F.col("grams") + UNIT_ROW).select("fp", "row_key", "root", "weight", *names), "candidates")
+    wanted = members(nodes, "row_key", nodes.count())
+    texts = docs.where(wanted("row_key")).groupBy("row_key").agg(F.first("text").alias("text"))  # rows that are repeated in id and text count once
     radius = radius_for(similarity, 64 * WIDE_WORDS)
-    return (units.join(sets, "fp").select("unit", "fp", "set", *names).repartition("unit").sortWithinPartitions("unit", "fp")
-            .mapInArrow(lambda it: _confirm_partition(it, similarity, radius), "u long, v long"))
+
+    def compared(units: DataFrame) -> DataFrame:
+        return (units.join(texts, "row_key").select("unit", "fp", "group", "text", *names).repartition("unit").sortWithinPartitions("unit", "fp")
+                .mapInArrow(lambda it: _confirm_partition(it, similarity, radius, shingle), "u long, v long"))
+
+    large = stored(nodes.groupBy("root").agg(F.sum("weight").alias("all")).where(F.col("all") > unit).select("root"), "large")
+    if large.isEmpty():
+        return compared(nodes.select(F.col("root").alias("unit"), "fp", "row_key", F.col("fp").alias("group"), *names))
+    edges = stored(compared(nodes.join(large, "root", "left_anti").select(F.col("root").alias("unit"), "fp", "row_key", F.col("fp").alias("group"), *names)), "links")
+    spread = stored(nodes.join(large, "root", "left_semi").join(codes.select("fp", "bands"), "fp"), "large_nodes")
+    for bands in ROUNDS:
+        linked = connected_components(edges).select(F.col("node").alias("fp"), F.col("root").alias("group"))
+        at = F.explode(F.array(*(F.element_at("bands", b + 1) for b in bands)))
+        banded = spread.join(linked, "fp", "left").select("fp", "row_key", "weight", F.coalesce("group", "fp").alias("group"), at.alias("key"), *names)
+        sizes = (banded.groupBy("key").agg(F.min("group").alias("least"), F.max("group").alias("most"), F.ceil(F.sum("weight") / unit).cast("int").alias("parts"))
+                 .where("least <> most").select("key", "parts"))
+        found = compared(_dealt(banded, sizes).withColumnRenamed("key", "unit"))
+        edges = stored(edges.union(found), "links")
+    return edges
 
 
 def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, block_rows: int = BLOCK_ROWS, unit: int = UNIT) -> DataFrame:
@@ -402,8 +420,10 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     bits of 64 are less than most pairs of similarity 0.8 differ by), and the
     blocks that bring them together are bands of min-hashes (BANDS of BAND_ROWS;
     at 0.8 a pair has one in common with probability 0.9996). Within a block the
-    Gray-order index does the rest as in ``links``. A block with more than
-    ``block_rows`` codes is dealt to pairs of its parts. Nulls, empty texts,
+    Gray-order index does the rest as in ``links``. Bands are counted as bare
+    numbers; only nodes that share one bring their SimHash to it. A block with more than
+    ``block_rows`` codes is dealt to pairs of its parts, a smaller one that is
+    above a task's mean to at most SPREAD parts. Nulls, empty texts,
     repeated rows and empty tables are treated as in ``near_duplicates``. Equal
     shingle sets are one node before any is compared.
     """
@@ -412,18 +432,28 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     narrow = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"))
     rows = stored(map_rows(narrow, _wide_batch, "doc_id long, text_key long, fp long, grams long, bands array<long>, "
                            + ", ".join(f"{n} long" for n in names), shingle), "fingerprints")
-    codes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), *(F.min(n).alias(n) for n in ("text_key", "grams", *names)),
-                                          F.min("bands").alias("bands")), "codes")
-    items = codes.select("fp", F.explode("bands").alias("key"), *names)
-    sizes = stored(items.groupBy("key").count().where("count > 1")
-                   .select("key", F.ceil(F.col("count") / block_rows).cast("int").alias("parts")), "blocks")
+    codes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "text_key")).alias("one"),
+                                          *(F.min(n).alias(n) for n in ("grams", *names)), F.min("bands").alias("bands"))
+                   .withColumn("row_key", _row_key("one.doc_id", "one.text_key")).drop("one"), "codes")
+    items = codes.select("fp", F.explode("bands").alias("key"))
+    counts = stored(items.groupBy("key").count().where("count > 1"), "bands")
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    mean = max(64, (counts.agg(F.sum("count")).first()[0] or 0) // tasks)
+    parts = F.greatest(F.ceil(F.col("count") / block_rows), F.least(F.lit(SPREAD), F.ceil(F.col("count") / mean))).cast("int")
     radius = radius_for(similarity, 64 * WIDE_WORDS)
-    candidates = (_dealt(items, sizes).select("key", "fp", *names).repartition("key").sortWithinPartitions("key", gray_rank(F.col(names[0])), *names)
+    met = _dealt(items, counts.select("key", parts.alias("parts"))).join(codes.select("fp", *names), "fp")
+    candidates = (met.select("key", "fp", *names).repartition("key").sortWithinPartitions("key", gray_rank(F.col(names[0])), *names)
                   .mapInArrow(lambda it: _link_partition(it, radius), "u long, v long"))
-    edges = _confirmed(narrow.select("text", "text_key"), codes, candidates, shingle, similarity, unit)
+    keyed = narrow.select("text", _row_key("doc_id", "text_key").alias("row_key"))
+    edges = _confirmed(keyed, codes, candidates, shingle, similarity, unit)
     return rows.select("doc_id", "text_key", "fp").join(_name_components(codes.select("fp", "least"), edges), "fp")
 
 
+def _row_key(doc_id: str, text_key: str) -> Column:
+    """One number for an id, which may be null, and a text."""
+    return F.xxhash64(F.col(doc_id).isNull(), F.col(doc_id), F.col(text_key))
+
+
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row of ``docs`` per component, with all its columns: a row of the smallest doc_id (null last).
 
@@ -432,11 +462,19 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> Data
     Components are told apart by their root, so texts that are not similar do
     not replace each other under one id or without an id.
     """
-    found = similar_documents(docs, shingle, similarity)
-    classes = found.groupBy("root", "component_id").agg(
-        F.min(F.when(F.col("doc_id").eqNullSafe(F.col("component_id")), F.struct("text_key", "fp"))).alias("best"))
-    keep = stored(classes.select(F.col("component_id").alias("_id"), F.col("best.text_key").alias("_key")), "kept")
+    found = stored(similar_documents(docs, shingle, similarity).select("root", "component_id", "fp", "doc_id", "text_key"), "similar")
+    here = F.struct("text_key", "fp")
+    classes = found.groupBy("root").agg(
+        F.first("component_id").alias("_id"), F.min(F.when(F.col("doc_id").eqNullSafe(F.col("component_id")), here))["text_key"].alias("_key"))
+    classes = stored(classes.withColumn("row_key", _row_key("_id", "_key")), "kept")
+    # a row of its own component that is there once stays where it is; all others meet the rows that are kept
+    counted = found.groupBy("doc_id", "text_key").count().withColumn("row_key", _row_key("doc_id", "text_key"))
+    open_ = stored(counted.join(classes.select("row_key", F.lit(True).alias("kept")), "row_key", "left").where("kept is null or count > 1").select("row_key"), "open")
+    maybe = members(open_, "row_key", open_.count())
     keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"))
-    joined = keyed.join(keep, F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")))
+    keyed = keyed.withColumn("maybe", maybe(_row_key("id", "key")))
     once = W.partitionBy("_id", "_key").orderBy("_key")
-    return joined.withColumn("n", F.row_number().over(once)).where("n = 1").select("row.*")
+    joined = (keyed.where("maybe").withColumn("row_key", _row_key("id", "key")).join(classes, "row_key")
+              .where(F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))))
+    decided = joined.withColumn("n", F.row_number().over(once)).where("n = 1")
+    return keyed.where("not maybe").select("row.*").unionByName(decided.select("row.*"))
