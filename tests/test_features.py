@@ -12,14 +12,14 @@ from veriloom.operators import prep as R
 from veriloom.operators import text as X
 
 
-@pytest.mark.parametrize("cell", [None, 0.5, 50.0])
-def test_knn_imputation_equals_brute_force(spark, cell):
+@pytest.mark.parametrize("leaf", [1, 8])
+def test_knn_imputation_equals_brute_force(spark, leaf):
     rng = np.random.default_rng(3)
     n = 240
     x, y = rng.integers(0, 12, n), np.where(np.arange(n) % 10 == 0, 90 + np.arange(n) % 7, rng.integers(0, 9, n))
     t = [None if i % 6 == 1 else float(i * i % 101) for i in range(n)]
     df = spark.createDataFrame([(i, int(x[i]), int(y[i]), t[i]) for i in range(n)], "id int, x int, y int, t double")
-    got = {r["id"]: r["t"] for r in R.knn_impute(df, "t", ["x", "y"], "id", k=5, cell=cell).collect()}
+    got = {r["id"]: r["t"] for r in R.knn_impute(df, "t", ["x", "y"], "id", k=5, leaf=leaf).collect()}
     assert len(got) == n
     for i in range(n):
         if t[i] is None:
@@ -34,6 +34,59 @@ def test_knn_with_fewer_donors_than_k(spark):
     assert {r["id"]: r["t"] for r in R.knn_impute(df, "t", ["x"], "id").collect()}[1] == 15.0
 
 
+def brute_knn(rows, k):
+    """Each row to fill against all donors, over the features known in both."""
+    donors = [r for r in rows if r[-1] is not None]
+    out = {}
+    for key, *x, t in rows:
+        near = []
+        for other, *y, v in donors:
+            both = [(a, b) for a, b in zip(x, y) if a is not None and b is not None]
+            if both:
+                near.append((sum((a - b) ** 2 for a, b in both) * (len(x) / len(both)), other, v))
+        values = [v for *_, v in sorted(near)[:k]] or [d[-1] for d in donors]
+        if t is not None or not donors:
+            out[key] = t
+        elif isinstance(donors[0][-1], str):
+            out[key] = min(values, key=lambda v: (-values.count(v), v))
+        else:
+            out[key] = pytest.approx(np.mean(values))
+    return out
+
+
+@pytest.mark.parametrize("features", [1, 2, 3])
+def test_knn_with_unknown_features_outliers_and_text(spark, features):
+    rng = np.random.default_rng(features)
+    rows = []
+    for i in range(300):
+        x = [None if rng.random() < 0.15 else float(v) for v in (rng.integers(0, 9, features) if i % 2 else rng.normal(0, 1, features))]
+        rows.append((i, *x, None if i % 5 == 0 else float(rng.integers(0, 50))))
+    rows += [(900, *[1e9] * features, 3.0), (901, *[1e9] * features, None), (902, *[-4e7] * features, None), (903, *[float("nan")] * features, None), (904, *[None] * features, None)]
+    known = [tuple(None if isinstance(v, float) and math.isnan(v) else v for v in r) for r in rows]
+    names = [f"f{i}" for i in range(features)]
+    df = spark.createDataFrame(rows, "id int, " + "".join(f"{c} double, " for c in names) + "t double")
+    got = R.knn_impute(df, "t", names, "id", k=4)
+    assert got.columns == df.columns
+    assert {r["id"]: r["t"] for r in got.collect()} == brute_knn(known, 4)
+    words = [(*r[:-1], None if r[-1] is None else "abc"[int(r[-1]) % 3]) for r in known]
+    df = spark.createDataFrame(words, "id int, " + "".join(f"{c} double, " for c in names) + "t string")
+    assert {r["id"]: r["t"] for r in R.knn_impute(df, "t", names, "id", k=4).collect()} == brute_knn(words, 4)
+    none = df.withColumn("t", F.lit(None).cast("string"))
+    assert R.knn_impute(none, "t", names, "id").where("t is not null").count() == 0 and R.knn_impute(df.limit(0), "t", names, "id").count() == 0
+
+
+def test_knn_meets_few_donors_beside_an_outlier(spark):
+    from veriloom.operators import knn
+
+    rng = np.random.default_rng(2)
+    x = rng.random((4000, 2))
+    rows = [(i, float(a), float(b), None if i % 10 == 0 else 1.0) for i, (a, b) in enumerate(x)] + [(9000, 1e9, 1e9, 5.0), (9001, 9e8, 0.0, None)]
+    points = spark.createDataFrame([(0, [(i, t)], a, b) for i, a, b, t in rows if t is not None], "g long, donors array<struct<id int, t double>>, x0 double, x1 double")
+    queries = spark.createDataFrame([(str(i), 0, 1.0, a, b) for i, a, b, t in rows if t is None], "query string, g long, weight double, q0 double, q1 double")
+    met = knn._Pyramid(points, 2, knn.LEAF).search(queries, 5).groupBy("query").count().agg(F.sum("count"), F.max("count")).first()
+    assert met[0] <= 12 * 5 * 401 and met[1] <= 40 * 5, met  # all pairs would be 1,444,000
+
+
 def test_imputer_strategies_and_mode_ties(spark):
     df = spark.createDataFrame([(1.0, "b"), (3.0, "a"), (None, None), (8.0, "a"), (8.0, "b")], "x double, s string")
     fit = R.fit_imputer(df, {"x": "median", "s": "mode"})

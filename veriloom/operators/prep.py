@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from veriloom.functions.columns import at_least_one, missing, numeric_columns, right_closed_bin, string_columns
 from veriloom.functions.ordered import quantiles, row_numbers, running
 from veriloom.functions.skew import lookup_join
+from veriloom.operators.knn import knn_impute  # noqa: F401  one of the imputers
 from veriloom.operators.quality import bounds_lookup, iqr_bounds, zscore_bounds
 from veriloom.session import stored
 
@@ -264,65 +265,6 @@ def apply_scaler(df: DataFrame, fitted: DataFrame, columns: Sequence[str], suffi
     return df.withColumns({f"{c}{suffix}": (F.col(c).cast("double") - look[c]["center"]) / look[c]["scale"] for c in columns})
 
 
-# ------------------------------------------------------------------ nearest-neighbour imputation
-
-def knn_impute(df: DataFrame, target: str, features: Sequence[str], key: str, k: int = 5,
-               cell: float | None = None) -> DataFrame:
-    """Fills nulls of ``target`` with the mean of the k nearest rows over ``features``.
-
-    Distance is Euclidean, ties go to the smaller key. Rows are collapsed to
-    their distinct feature points: all donors at a point are equally near, so k of
-    them are enough, and all rows to fill at a point share the answer. Points meet
-    in equi-joins on grid cells: a point looks at its own and the adjacent cells,
-    and its k-th neighbour is final once it lies within one cell width. The first
-    cells hold less than one point on average; points not settled go on with
-    cells twice as wide, so dense regions are done before cells grow large.
-    """
-    feats = list(features)
-    has = reduce(lambda a, b: a & b, [F.col(f).isNotNull() for f in feats])
-    donors = df.where(F.col(target).isNotNull() & has).select(*feats, F.col(target).alias("_t"), F.col(key).alias("_dk"))
-    at_point = W.partitionBy(*feats).orderBy("_dk")
-    donors = donors.withColumn("_r", F.row_number().over(at_point)).where(F.col("_r") <= k).drop("_r")
-    points = donors.groupBy(*feats).agg(F.sort_array(F.collect_list(F.struct("_dk", "_t"))).alias("_d"))  # k entries at most
-    points = stored(points, "knn_points")
-    open_points = stored(df.where(F.col(target).isNull() & has).select(*feats).distinct(), "knn_open")
-    total = points.agg(F.coalesce(F.sum(F.size("_d")), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("points"), *[
-        (F.max(f) - F.min(f)).alias(f"span{i}") for i, f in enumerate(feats)]).first()
-    wanted = min(k, total["n"])
-    spans = [float(total[f"span{i}"] or 0) for i in range(len(feats))]
-    cell = cell or max(spans + [1.0]) / max(total["points"], 1) ** (1 / len(feats)) / 2
-    answers = []
-    while wanted and not open_points.isEmpty():
-        last = cell > max(spans + [1.0]) * 4
-        near = _within_cells(open_points, points, feats, cell)
-        order = W.partitionBy(*feats).orderBy("_dist", "_dk")
-        best = near.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= wanted)
-        found = best.groupBy(*feats).agg(F.count(F.lit(1)).alias("_n"), F.max("_dist").alias("_far"), F.avg("_t").alias("_fill"))
-        done = found.where((F.col("_n") == wanted) & (F.lit(last) | (F.col("_far") < cell)))
-        done = stored(done.select(*feats, "_fill"), "knn_done")
-        answers.append(done)
-        open_points = stored(open_points.join(done, feats, "left_anti"), "knn_open")
-        cell *= 2
-    if not answers:
-        return df
-    fills = reduce(DataFrame.unionAll, answers)
-    out = lookup_join(df, fills, feats, key)
-    return out.withColumn(target, F.coalesce(F.col(target), F.col("_fill"))).drop("_fill")
-
-
-def _within_cells(queries: DataFrame, points: DataFrame, feats: Sequence[str], width: float) -> DataFrame:
-    """Pairs of a query point and the donors in its own and the adjacent grid cells."""
-    cells = [f"_c{i}" for i in range(len(feats))]
-    q = queries.select(*feats, *[F.floor(F.col(f) / width).cast("long").alias(c) for f, c in zip(feats, cells)])
-    for c in cells:
-        q = q.withColumn(c, F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1)))
-    p = points.select(*[F.col(f).alias(f"_p{i}") for i, f in enumerate(feats)], "_d",
-                      *[F.floor(F.col(f) / width).cast("long").alias(c) for f, c in zip(feats, cells)])
-    squares = [F.pow(F.col(f).cast("double") - F.col(f"_p{i}"), F.lit(2.0)) for i, f in enumerate(feats)]
-    dist = F.sqrt(reduce(lambda a, b: a + b, squares))
-    return q.join(p, cells).select(*feats, dist.alias("_dist"), F.inline("_d"))
-
-
 # ------------------------------------------------------------------ the whole preprocessor
 
 # Default choices of the preprocessor.

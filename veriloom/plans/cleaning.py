@@ -115,6 +115,41 @@ def _(spark, sf):
     return _r(R.knn_impute(df, "claim_amount", ["customer_age", "policy_duration"], "claim_id"), claim_amount=6)
 
 
+# rows that lack one or both features; distances count the common ones, times two where it is one of two
+GAPS = """(select claim_id, claim_amount, claim_type, case when claim_id % 11 <> 0 then customer_age end as customer_age,
+    case when claim_id % 13 <> 0 then policy_duration end as policy_duration from @claims c1)"""
+NEAREST = """
+    with c as (select claim_id, {t} as t, customer_age as a, policy_duration as d from {gaps} g),
+    n as (select q.claim_id, x.t from c q join c x on x.t is not null
+      and ((q.a is not null and x.a is not null) or (q.d is not null and x.d is not null)) where q.t is null
+      qualify row_number() over (partition by q.claim_id order by (coalesce((q.a - x.a) * (q.a - x.a), 0) + coalesce((q.d - x.d) * (q.d - x.d), 0))
+        * case when q.a is null or x.a is null or q.d is null or x.d is null then 2 else 1 end, x.claim_id) <= 5),
+    f as ({fill})"""
+
+
+def _gaps(spark, sf):
+    df = P.claims(spark, sf, "claim_id", "claim_amount", "claim_type", "customer_age", "policy_duration")
+    return df.withColumns({"customer_age": F.expr("case when claim_id % 11 <> 0 then customer_age end"),
+                           "policy_duration": F.expr("case when claim_id % 13 <> 0 then policy_duration end")})
+
+
+@query("prep_impute_knn_incomplete", NEAREST.format(t="claim_amount", gaps=GAPS, fill="select claim_id, avg(t) as f from n group by 1") + """
+    select claim_id, round(coalesce(t, f, (select avg(t) from c)), 6) as claim_amount, a as customer_age, d as policy_duration from c left join f using (claim_id)""")
+def _(spark, sf):
+    df = _gaps(spark, sf).drop("claim_type")
+    return _r(R.knn_impute(df, "claim_amount", ["customer_age", "policy_duration"], "claim_id"), claim_amount=6)
+
+
+@query("prep_impute_knn_category", NEAREST.format(
+    t="case when claim_id % 9 <> 0 then claim_type end", gaps=GAPS,
+    fill="select claim_id, t as f from (select claim_id, t, count(*) as n from n group by 1, 2) qualify row_number() over (partition by claim_id order by n desc, t) = 1") + """
+    select claim_id, coalesce(t, f, (select t from c where t is not null group by t order by count(*) desc, t limit 1)) as claim_type,
+      a as customer_age, d as policy_duration from c left join f using (claim_id)""")
+def _(spark, sf):
+    df = _gaps(spark, sf).drop("claim_amount").withColumn("claim_type", F.expr("case when claim_id % 9 <> 0 then claim_type end"))
+    return R.knn_impute(df, "claim_type", ["customer_age", "policy_duration"], "claim_id").select("claim_id", "claim_type", "customer_age", "policy_duration")
+
+
 @query("prep_impute_ffill", """
     select event_id, user_id, last_value(case when event_id % 3 = 0 then null else value end ignore nulls)
       over (partition by user_id order by ts, event_id rows between unbounded preceding and current row) as value from events""")
