@@ -44,12 +44,15 @@ class _Pyramid:
         last = F.lit((1 << FINEST) - 1)
         place = {f"c{i}": F.coalesce(F.least(last, F.floor((F.col(f"x{i}") - F.lit(ends[f"lo{i}"])) / width * float(1 << FINEST))), F.lit(0)).cast("long")
                  for i in self.axes}
-        placed = stored(points.withColumns(place), "knn_points")
+        placed = points.withColumns(place)
         few, many = 0, FINEST // self.step  # the first level whose fullest cell is small enough lies between them
         while few < many:
-            middle = (few + many) // 2
-            fullest = (placed.groupBy("g", *self._cells(middle * self.step)).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0)
-            few, many = (few, middle) if fullest <= leaf else (middle + 1, many)
+            tried = sorted({few + (many - few) * i // 5 for i in range(5)})
+            cells = placed.withColumn("level", F.explode(F.array(*[F.lit(t) for t in tried]))).select(
+                "g", "level", *[F.expr(f"shiftright(c{i}, {FINEST} - {self.step} * level)").alias(f"c{i}") for i in self.axes])
+            held = cells.groupBy("g", "level", *[f"c{i}" for i in self.axes]).agg(F.count(F.lit(1)).alias("n"))
+            fullest = dict(held.groupBy("level").agg(F.max("n")).collect())  # a row a level
+            few, many = max([few, *(t + 1 for t in tried if fullest.get(t, 0) > leaf)]), min([many, *(t for t in tried if fullest.get(t, 0) <= leaf)])
         self.depth = few * self.step
         self.points = placed.select("g", "donors", *[f"x{i}" for i in self.axes], *self._cells(self.depth))
         level = F.explode(F.array(*[F.lit(n) for n in range(0, self.depth + 1, self.step)]))
@@ -113,12 +116,11 @@ def knn_impute(df: DataFrame, target: str, features: Sequence[str], key: str, k:
     pattern = _total([F.col(x).isNotNull().cast("int") * (1 << i) for i, x in enumerate(xs)]).alias("pattern")
     rows = df.select(*[c.alias(x) for x, c in known.items()], value.alias("t"), F.col(key).alias("id")).select("*", pattern)
     name = F.to_json(F.struct(*[c.alias(x) for x, c in known.items()]))
-    queries = stored(rows.where("t is null and pattern > 0").select(F.to_json(F.struct(*xs)).alias("query"), "pattern", *xs).distinct(), "knn_open")
+    queries = rows.where("t is null and pattern > 0").select(F.to_json(F.struct(*xs)).alias("query"), "pattern", *xs).distinct()
     donors = rows.where("t is not null and pattern > 0")
 
-    # at most 2^features patterns on each side
-    asked = [r[0] for r in queries.select("pattern").distinct().collect()]
-    given = [r[0] for r in donors.select("pattern").distinct().collect()]
+    seen = rows.where("pattern > 0").groupBy("pattern", F.col("t").isNull().alias("open")).count().collect()  # at most 2^features patterns on each side
+    asked, given = ([r["pattern"] for r in seen if r["open"] == side] for side in (True, False))
     routes = sorted({(p, q, p & q) for p in given for q in asked if p & q})
     spark = df.sparkSession
 
@@ -133,6 +135,7 @@ def knn_impute(df: DataFrame, target: str, features: Sequence[str], key: str, k:
 
     here = first_at(donors, ["pattern", *xs]).join(to_groups, "pattern").select(group.alias("g"), "id", "t", *projected("x"))
     points = first_at(here, ["g", *xs]).groupBy("g", *xs).agg(F.sort_array(F.collect_list(F.struct("id", "t"))).alias("donors"))  # k at most
+    points = stored(points, "knn_points")
     fallback = F.mode("t", deterministic=True) if text else F.avg("t")
     column = rows.where("t is not null").agg(fallback.alias("v")).scalar()
     filled = None
