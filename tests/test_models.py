@@ -155,6 +155,34 @@ def test_sustained_and_cooldown(spark, pieces):
     assert [r["sent_at"] for r in later.orderBy("sent_at").collect()] == [t0 + timedelta(minutes=m) for m in (10, 25, 40)]
 
 
+def test_cooldown_of_long_and_many_keys_equals_the_greedy_choice(spark, pieces):
+    rng = np.random.default_rng(7)
+    t0, raised = datetime(2024, 1, 1), []
+    for k, n in (("long", 3000), ("short", 3), (None, 40), ("gaps", 200)):
+        minutes = np.sort(rng.integers(0, 40_000 if k == "gaps" else 5 * n, n))
+        raised += [(k, "x", t0 + timedelta(minutes=int(m))) for m in minutes]
+    want, last = [], {}
+    for k, _, t in sorted(raised, key=lambda r: (str(r[0]), r[2])):
+        slot = t0 + timedelta(minutes=int((t - t0).total_seconds() // 60) // 5 * 5)
+        if k not in last or slot >= last[k] + timedelta(minutes=30):
+            last[k] = slot
+            want.append((k, slot))
+    got = N.cooldown(spark.createDataFrame(raised, "k string, name string, ts timestamp_ntz"), ["k", "name"], "ts", 0.5, 5)
+    assert got.columns == ["k", "name", "raised", "sent_at"]
+    found = got.collect()
+    assert sorted(((r["k"], r["sent_at"]) for r in found), key=str) == sorted(want, key=str)
+    assert {r["k"]: r["raised"] for r in found} == {"long": 3000, "short": 3, None: 40, "gaps": 200}
+
+
+def test_slots_of_one_key_are_spread_over_tasks(spark, pieces):
+    slots = spark.range(100_000).select(F.lit("one").alias("_k"), (F.col("id") * 60_000_000).alias("_slot"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    due = N._next_due(slots, 3_600_000_000)
+    held = due.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(held) >= 6 and max(r["count"] for r in held) < 40_000
+    assert due.where(F.col("_next") - F.col("_slot") != 3_600_000_000).count() == 0 and due.count() == 100_000 - 60
+
+
 def test_splits(spark, pieces):
     df = spark.range(103).select(F.col("id").alias("key"), (F.col("id") % 3 == 0).cast("int").alias("y"), F.col("id").alias("ts"))
     parts = {(r["y"], r["part"]): r["count"] for r in M.stratified_split(df, "key", "y").groupBy("y", "part").count().collect()}

@@ -44,15 +44,55 @@ def test_recent_count_over_batches(spark, feed):
     day = 1440
     stream = feed([(1, "a", 0, 1), (2, "a", 5 * day, 1), (3, "b", 6 * day, 1)], [(4, "a", 7 * day, 1), (5, "a", 12 * day, 1)])
     S.run_batches(stream, S.recent_count_writer(feed.out, "k", "ts", "id", days=7), feed.ckpt())
-    got = dict(rows(spark.read.parquet(feed.out + "/counts").select("id", "recent_claims_count")))
+    got = dict(rows(S.latest_counts(spark, feed.out, "id")))
     assert got == {1: 1, 2: 2, 3: 1, 4: 2, 5: 2}
 
 
+@pytest.mark.parametrize("deltas", [1, 8])
+def test_late_rows_correct_stored_counts(spark, feed, tmp_path, deltas):
+    day = 1440
+    batches = [[(1, "a", 20 * day, 1), (2, "b", 20 * day, 1)], [(3, "a", 18 * day + 5, 1)], [(4, "a", 20 * day, 1), (5, "a", 11 * day, 1)],
+               [(6, "a", 12 * day, 1), (7, None, 12 * day, 1)], [(8, "a", 40 * day, 1), (9, "a", 19 * day, 1)]]
+    stream = feed(*batches)
+    writer = S.recent_count_writer(feed.out, "k", "ts", "id", days=7, deltas=deltas)
+    S.run_batches(stream, writer, feed.ckpt())
+    every = spark.createDataFrame([(i, k, T0 + timedelta(minutes=m), 1.0) for b in batches for i, k, m, _ in b], SCHEMA)
+    want = {r["id"]: r["recent_claims_count"] for r in features.recent_count(every, "k", "ts", "id", 7 * features.DAY_MICROS).collect()}
+    assert dict(rows(S.latest_counts(spark, feed.out, "id"))) == want
+    # a batch that runs again changes nothing
+    last = spark.createDataFrame([(i, k, T0 + timedelta(minutes=m), 1.0) for i, k, m, _ in batches[-1]], SCHEMA)
+    writer(last.withColumn("ts", F.col("ts").cast("timestamp")), 4)
+    assert dict(rows(S.latest_counts(spark, feed.out, "id"))) == want
+    # days outside the window are not opened: their files may be gone
+    store = S.DayStore(feed.out + "/rows", deltas)
+    assert len(store.days(spark)) == 6
+    import shutil
+    shutil.move(feed.out + "/rows/day=2024-02-10", str(tmp_path / "elsewhere"))
+    (tmp_path / "out" / "rows" / "day=2024-02-10" / "batch=4").mkdir(parents=True)
+    (tmp_path / "out" / "rows" / "day=2024-02-10" / "batch=4" / "broken.parquet").write_text("not parquet")
+    more = spark.createDataFrame([(10, "a", T0 + timedelta(days=13), 1.0)], SCHEMA)
+    writer(more.withColumn("ts", F.col("ts").cast("timestamp")), 5)
+    again = features.recent_count(every.unionAll(more), "k", "ts", "id", 7 * features.DAY_MICROS)
+    assert dict(rows(S.latest_counts(spark, feed.out, "id"))) == {r["id"]: r["recent_claims_count"] for r in again.collect()}
+
+
 def test_cooldown_over_batches(spark, feed):
-    stream = feed([(1, "a", 0, 1), (2, "a", 30, 1)], [(3, "a", 50, 1), (4, "a", 61, 1), (5, "b", 50, 1)])
+    stream = feed([(1, "a", 0, 1), (2, "a", 30, 1)], [(3, "a", 50, 1), (4, "a", 61, 1), (5, "b", 50, 1)], [(6, "b", 51, 1)], [(7, "a", 100, 1), (8, None, 1, 1)], [(9, "a", 121, 1)])
     S.run_batches(stream, S.cooldown_writer(feed.out, ["k"], "ts", 1, 1), feed.ckpt())
-    got = rows(spark.read.parquet(feed.out + "/sent").select("k", "sent_at"), "k", "sent_at")
-    assert got == [("a", T0), ("a", T0 + timedelta(minutes=61)), ("b", T0 + timedelta(minutes=50))]
+    sent = spark.read.parquet(feed.out + "/sent").select("k", "sent_at")
+    got = rows(sent, F.col("k").asc_nulls_last(), "sent_at")
+    assert got == [("a", T0), ("a", T0 + timedelta(minutes=61)), ("a", T0 + timedelta(minutes=121)), ("b", T0 + timedelta(minutes=50)), (None, T0 + timedelta(minutes=1))]
+    held = spark.read.parquet(S.batch_path(feed.out + "/state", 4))
+    assert rows(held.select("k", "sent_at"), F.col("k").asc_nulls_last()) == [("a", T0 + timedelta(minutes=121)), ("b", T0 + timedelta(minutes=50)), (None, T0 + timedelta(minutes=1))]
+    assert S._names(spark, feed.out + "/state") == ["batch=0000000003", "batch=0000000004"]
+
+
+def test_cooldown_forgets_old_keys(spark, feed):
+    stream = feed([(1, "a", 0, 1), (2, "b", 10, 1)], [(3, "c", 600, 1)], [(4, "a", 5, 1), (5, "a", 601, 1)])
+    S.run_batches(stream, S.cooldown_writer(feed.out, ["k"], "ts", 1, 1, forget_hours=3), feed.ckpt())
+    assert rows(spark.read.parquet(feed.out + "/sent").select("k", "sent_at"), "k", "sent_at") == [
+        ("a", T0), ("a", T0 + timedelta(minutes=601)), ("b", T0 + timedelta(minutes=10)), ("c", T0 + timedelta(minutes=600))]
+    assert rows(spark.read.parquet(S.batch_path(feed.out + "/state", 2)).select("k"), "k") == [("a",), ("c",)]
 
 
 def test_label_join_keeps_unlabelled(spark, feed):

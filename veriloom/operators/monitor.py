@@ -14,6 +14,7 @@ from veriloom.functions.ordered import quantiles, running
 from veriloom.functions.skew import lookup_join
 from veriloom.operators.features import recent_count
 from veriloom.operators.quality import bounds_lookup, iqr_bounds
+from veriloom.session import stored
 
 # Thresholds of degradation, trend, alerts and requests.
 PRIMARY = ("accuracy", "f1_score", "roc_auc")
@@ -193,32 +194,50 @@ def sustained(df: DataFrame, key: str, ts: str, row_key: str, condition: Column,
     return g.withColumn("minutes", lasted).where(F.col("minutes") >= minutes).drop("_island")
 
 
+def _next_due(slots: DataFrame, gap: int) -> DataFrame:
+    """(_k, _slot, _next): per slot the first slot of the key at least ``gap`` later, if there is one.
+
+    Slots and the times at which the next may follow are put in one descending
+    order, which is cut by range: a key's slots may lie in any number of tasks.
+    """
+    asked = slots.select("_k", (-(F.col("_slot") + gap)).alias("_down"), F.lit(1).alias("_kind"), F.lit(None).cast("long").alias("_found"), F.col("_slot"))
+    given = slots.select("_k", (-F.col("_slot")).alias("_down"), F.lit(0).alias("_kind"), F.col("_slot").alias("_found"), F.lit(None).cast("long").alias("_slot"))
+    met = running(asked.unionAll(given), ["_k"], ["_down", "_kind"], lasts={"_next": F.col("_found")})
+    return met.where("_kind = 1 and _next is not null").select("_k", "_slot", "_next")
+
+
 def cooldown(alerts: DataFrame, keys: Sequence[str], ts: str, hours: float, grid_minutes: int,
              last_sent: DataFrame | None = None) -> DataFrame:
     """At most one alert per key within ``hours``, the earliest first.
 
     Alerts come from rules evaluated on a time grid, so those of one key and grid
-    step are one alert. A key has at most one entry per step, however many rows
-    raised it, and the greedy choice runs over that short ordered list.
-    ``last_sent`` (keys, sent_at) carries on from an earlier run.
+    step are one alert. ``last_sent`` (keys, sent_at) carries on from an earlier run.
+
+    Every slot points to the first one of its key that is far enough behind it.
+    What is sent is what pointers reach from a key's first due slot: pointers of
+    doubled length add as many slots as were reached before, so the rounds are the
+    logarithm of the longest chain, and no key's slots ever meet in one task.
     """
     keys = list(keys)
     step, gap = grid_minutes * 60_000_000, int(hours * 3_600_000_000)
+    name = F.to_json(F.struct(*keys)).alias("_k")  # null keys are keys as well
     slot = (F.floor(micros(F.col(ts)) / F.lit(step)) * step).cast("long")
-    slots = alerts.groupBy(*keys, slot.alias("_slot")).agg(F.count(F.lit(1)).alias("_n"))
-    per_key = slots.groupBy(*keys).agg(F.sum("_n").alias("raised"), F.array_sort(F.collect_list("_slot")).alias("_s"))
-    before = F.lit(None).cast("long")
+    slots = stored(alerts.where(F.col(ts).isNotNull()).groupBy(*keys, slot.alias("_slot")).agg(F.count(F.lit(1)).alias("_n")).withColumn("_k", name), "slots")
+    totals = slots.groupBy("_k").agg(*[F.first(k).alias(k) for k in keys], F.sum("_n").alias("raised"))
+    first = slots
     if last_sent is not None:
-        last = last_sent.groupBy(*keys).agg(F.max(micros(F.col("sent_at"))).alias("_last"))
-        per_key, before = per_key.join(last, keys, "left"), F.col("_last")
-    start = F.struct(before.alias("last"), F.array().cast("array<bigint>").alias("sent"))
-
-    def send(acc, x):
-        due = acc["last"].isNull() | (x >= acc["last"] + gap)
-        return F.when(due, F.struct(x.alias("last"), F.concat(acc["sent"], F.array(x)).alias("sent"))).otherwise(acc)
-    sent = per_key.withColumn("_a", F.aggregate("_s", start, send)["sent"])
-    return sent.select(*keys, "raised", F.explode("_a").alias("_t")).withColumn(
-        "sent_at", F.timestamp_micros("_t").cast("timestamp_ntz")).drop("_t")
+        last = last_sent.groupBy(name).agg(F.max(micros(F.col("sent_at"))).alias("_last"))
+        first = lookup_join(slots, last, ["_k"], "_slot").where(F.col("_last").isNull() | (F.col("_slot") >= F.col("_last") + gap))
+    added = stored(first.groupBy("_k").agg(F.min("_slot").alias("_slot")), "sent")
+    jump = stored(_next_due(slots, gap), "jumps")
+    sent = added
+    while not added.isEmpty():
+        added = stored(sent.join(jump, ["_k", "_slot"]).select("_k", F.col("_next").alias("_slot")), "sent")
+        sent = sent.unionAll(added)
+        further = jump.select("_k", F.col("_slot").alias("_next"), F.col("_next").alias("_further"))
+        jump = stored(jump.join(further, ["_k", "_next"]).select("_k", "_slot", F.col("_further").alias("_next")), "jumps")
+    out = lookup_join(sent, totals, ["_k"], "_slot")
+    return out.select(*keys, "raised", F.timestamp_micros("_slot").cast("timestamp_ntz").alias("sent_at"))
 
 
 def alert_groups(alerts: DataFrame, name: str, ts: str) -> DataFrame:

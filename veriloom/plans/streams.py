@@ -141,7 +141,18 @@ def _(spark, sf):
     root = scratch_path(spark, "st_recent")
     writer = S.recent_count_writer(root, "user_id", "ts", "event_id", days=7)
     S.run_batches(_event_files(spark, sf, "st_recent_in"), writer, scratch_path(spark, "st_recent-ckpt"))
-    return spark.read.parquet(f"{root}/counts").select("event_id", "recent_claims_count")
+    return S.latest_counts(spark, root, "event_id")
+
+
+@query("st_recent_count_late", """
+    select event_id, count(*) over (partition by user_id order by ts range between interval '6 days 23 hours 59 minutes 59.999999 seconds' preceding and current row)
+      as recent_claims_count from events""")
+def _(spark, sf):
+    """The newest events come first, so later files correct the counts of stored rows."""
+    root = scratch_path(spark, "st_recent_late")
+    writer = S.recent_count_writer(root, "user_id", "ts", "event_id", days=7, deltas=2)
+    S.run_batches(_event_files(spark, sf, "st_recent_late_in", STEPS[::-1]), writer, scratch_path(spark, "st_recent_late-ckpt"))
+    return S.latest_counts(spark, root, "event_id")
 
 
 @query("st_drift_microbatch", """

@@ -9,7 +9,7 @@ a repeated batch overwrites itself and nothing is written twice.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from datetime import timedelta
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from veriloom.functions.columns import ratio, violated
+from veriloom.functions.skew import lookup_join
 from veriloom.operators import drift, features, monitor
 
 
@@ -115,28 +116,99 @@ def label_join(predictions: DataFrame, outcomes: DataFrame, key: str, delay: str
 
 # ------------------------------------------------------------------ micro-batches that call batch operators
 
-def recent_count_writer(root: str, key: str, ts: str, row_key: str, days: int = 30) -> Callable[[DataFrame, int], None]:
-    """Trailing counts of new rows against the stored rows of the last days.
+def _names(spark: SparkSession, path: str) -> list[str]:
+    """Names below a folder; none if it does not exist."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName() for s in fs.listStatus(folder)) if fs.exists(folder) else []
 
-    Every batch stores its rows under its number and day and reads the days of
-    earlier batches that are near enough; other days are pruned. The count itself is the batch operator,
-    which has no per-key task, so a key may hold any share of the rows.
+
+def _remove(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def _numbers(names: Sequence[str], kind: str) -> list[int]:
+    return sorted(int(n.partition("=")[2]) for n in names if n.startswith(f"{kind}="))
+
+
+class DayStore:
+    """Rows by day: a compacted base and the deltas of later batches, each a folder that is read by its path.
+
+    A base under number n holds all batches up to n. A batch that runs again
+    overwrites its deltas and reads no base of its own number or later.
+    """
+
+    def __init__(self, root: str, deltas: int = 8):
+        self.root, self.deltas = root, deltas
+
+    def add(self, rows: DataFrame, number: int) -> None:
+        """``rows`` with a column ``day``; only the days it has are written."""
+        (rows.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("day", "batch").parquet(self.root))
+
+    def days(self, spark: SparkSession) -> set[str]:
+        return {n.partition("=")[2] for n in _names(spark, self.root) if n.startswith("day=")}
+
+    def paths(self, spark: SparkSession, day: str, number: int) -> list[str]:
+        """The newest base before a batch, and the deltas after it up to that batch."""
+        names = _names(spark, f"{self.root}/day={day}")
+        base = max((n for n in _numbers(names, "base") if n < number), default=-1)
+        deltas = [f"{self.root}/day={day}/batch={n}" for n in _numbers(names, "batch") if base < n <= number]
+        return ([f"{self.root}/day={day}/base={base}"] if base >= 0 else []) + deltas
+
+    def compact(self, spark: SparkSession, schema: T.StructType, day: str, number: int) -> None:
+        """Many deltas become a base; what the base before it had replaced goes."""
+        paths = self.paths(spark, day, number)
+        if len(paths) <= self.deltas:
+            return
+        spark.read.schema(schema).parquet(*paths).write.mode("overwrite").parquet(f"{self.root}/day={day}/base={number}")
+        names = _names(spark, f"{self.root}/day={day}")
+        before = max((n for n in _numbers(names, "base") if n < number), default=-1)
+        for kind, last in (("batch", before), ("base", before - 1)):
+            for n in _numbers(names, kind):
+                if n <= last:
+                    _remove(spark, f"{self.root}/day={day}/{kind}={n}")
+
+
+def recent_count_writer(root: str, key: str, ts: str, row_key: str, days: int = 30, deltas: int = 8) -> Callable[[DataFrame, int], None]:
+    """Trailing counts of new rows, and corrected counts of stored rows that late ones fall into the window of.
+
+    A batch touches some days. Rows from ``days`` before to ``days`` after them are
+    opened, by path, and of these only the keys of the batch are counted again, by
+    the batch operator, which has no per-key task. Results go to the batch's number;
+    ``latest_counts`` takes the newest of each row. Rows without key or time have no count.
     """
+    rows_of = DayStore(f"{root}/rows", deltas)
+
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        rows = batch.select(key, ts, row_key, F.col(ts).cast("date").alias("day"))
-        rows.write.mode("overwrite").partitionBy("day").parquet(f"{root}/rows/batch={number:010d}")
-        stored = spark.read.parquet(f"{root}/rows").where(F.col("batch").cast("long") <= number)
-        oldest = stored.where(F.col("batch").cast("long") == number).agg(F.min("day")).first()[0]
-        if oldest is None:
+        spark, counts = batch.sparkSession, batch_path(f"{root}/counts", number)
+        rows = batch.select(key, ts, row_key)
+        dated = rows.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).withColumn("day", F.col(ts).cast("date").cast("string"))
+        rows_of.add(dated, number)
+        have = rows_of.days(spark)
+        touched = [date.fromisoformat(d) for d in have if any(p.endswith(f"/batch={number}") for p in rows_of.paths(spark, d, number))]
+        near = {str(d + timedelta(days=i)) for d in touched for i in range(-days, days + 1)} & have
+        later = sorted({str(d + timedelta(days=i)) for d in touched for i in range(days + 1)} & have)
+        uncounted = rows.where(F.col(key).isNull() | F.col(ts).isNull()).withColumn("recent_claims_count", F.lit(None).cast("long"))
+        if not touched:
+            uncounted.write.mode("overwrite").parquet(counts)
             return
-        near = stored.where(F.col("day") >= F.lit(oldest - timedelta(days=days)))
-        counted = features.recent_count(near, key, ts, row_key, days * features.DAY_MICROS)
-        counted.where(F.col("batch").cast("long") == number).drop("batch", "day").write.mode("overwrite").parquet(
-            f"{root}/counts/batch={number:010d}")
+        stored_rows = spark.read.schema(rows.schema).parquet(*[p for d in sorted(near) for p in rows_of.paths(spark, d, number)])
+        mine = lookup_join(stored_rows, dated.select(key).distinct(), [key], row_key, how="left_semi")
+        counted = features.recent_count(mine, key, ts, row_key, days * features.DAY_MICROS).where(F.col(ts).cast("date").cast("string").isin(later))
+        counted.select(*uncounted.columns).unionByName(uncounted).write.mode("overwrite").parquet(counts)
+        for day in sorted(str(d) for d in touched):
+            rows_of.compact(spark, rows.schema, day, number)
     return write
 
 
+def latest_counts(spark: SparkSession, root: str, row_key: str) -> DataFrame:
+    """(row_key, recent_claims_count) as of the newest batch that counted the row; a row without id stands for itself."""
+    found = spark.read.parquet(f"{root}/counts")
+    return found.groupBy(row_key).agg(F.max_by("recent_claims_count", F.col("batch").cast("long")).alias("recent_claims_count"))
+
+
 def drift_writer(reference: DataFrame, root: str, **features_by_type) -> Callable[[DataFrame, int], None]:
     """Drift report of each batch against the reference."""
     def write(batch: DataFrame, number: int) -> None:
@@ -148,16 +220,34 @@ def drift_writer(reference: DataFrame, root: str, **features_by_type) -> Callabl
     return write
 
 
-def cooldown_writer(root: str, keys: Sequence[str], ts: str, hours: float, grid_minutes: int) -> Callable[[DataFrame, int], None]:
-    """Alerts of each batch that are due, given what earlier batches sent."""
+def cooldown_writer(root: str, keys: Sequence[str], ts: str, hours: float, grid_minutes: int,
+                    forget_hours: float | None = None) -> Callable[[DataFrame, int], None]:
+    """Alerts of each batch that are due, given when each key was last served.
+
+    The state is a table with one time per key, a new one per batch; a batch reads
+    the one before it and no alert of an earlier batch. With ``forget_hours`` a key
+    leaves the state that long before the newest alert; older alerts are then too late and not sent.
+    """
     schema_keys = list(keys)
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        earlier = None
-        if number > 0:
-            sent = spark.read.parquet(f"{root}/sent")
-            earlier = sent.where(F.col("batch").cast("long") < number).select(*schema_keys, "sent_at")
-        due = monitor.cooldown(batch, schema_keys, ts, hours, grid_minutes, earlier)
+        spark, state = batch.sparkSession, f"{root}/state"
+        before = spark.read.parquet(batch_path(state, number - 1)) if number > 0 else None
+        alerts = batch
+        newest = batch.agg(F.max(ts).cast("timestamp_ntz").alias("t")).first()["t"]
+        if before is not None:
+            seen = before.agg(F.max("newest").alias("t")).first()["t"]
+            newest = max([t for t in (newest, seen) if t is not None], default=None)
+        oldest = newest - timedelta(hours=forget_hours) if forget_hours is not None and newest is not None else None
+        if oldest is not None:
+            alerts = batch.where(F.col(ts).cast("timestamp_ntz") >= F.lit(oldest))
+        due = monitor.cooldown(alerts, schema_keys, ts, hours, grid_minutes, before.drop("newest") if before is not None else None)
         due.write.mode("overwrite").parquet(f"{root}/sent/batch={number:010d}")
+        sent = spark.read.schema(due.schema).parquet(f"{root}/sent/batch={number:010d}").select(*schema_keys, "sent_at")
+        held = (sent if before is None else sent.unionByName(before.drop("newest"))).groupBy(*schema_keys).agg(F.max("sent_at").alias("sent_at"))
+        if oldest is not None:
+            held = held.where(F.col("sent_at") >= F.lit(oldest - timedelta(hours=hours)))
+        held.withColumn("newest", F.lit(newest).cast("timestamp_ntz")).write.mode("overwrite").parquet(batch_path(state, number))
+        if number > 1:
+            _remove(spark, batch_path(state, number - 2))
     return write
