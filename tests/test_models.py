@@ -221,3 +221,40 @@ def test_governance(spark):
     assert rows(G.erase(df, "id", who).select("id")) == [(2,)] and G.export_subject({"t": (df, "id")}, who).count() == 1
     p = G.pseudonymize(df, ["id"], "salt")
     assert p.select("id").distinct().count() == 2 and len(p.first()["id"]) == 64
+
+
+def test_models_are_stored_promoted_and_rolled_back(spark, tmp_path):
+    from veriloom.operators.registry import ModelRegistry
+
+    data = spark.createDataFrame([(i, float(i % 7), float(i % 3), float(i % 7 > 3)) for i in range(200)], "id int, x double, z double, y double")
+    registry = ModelRegistry(spark, str(tmp_path))
+    with pytest.raises(ValueError, match="production"):
+        registry.load("risk")
+    good, poor = M.train_logistic(data, ["x"], "y"), M.train_logistic(data, ["z"], "y")
+    assert [registry.register("risk", m, "d1", {"auc": a}) for m, a in ((good, 1.0), (poor, 0.5))] == [1, 2]
+    assert rows(registry.versions("risk").select("version", "stage", "metrics"), "version") == [(1, "Staging", '{"auc": 1.0}'), (2, "Staging", '{"auc": 0.5}')]
+    registry.promote("risk", 1, "d2")
+    registry.promote("risk", 2, "d3")
+    assert rows(registry.versions("risk").select("version", "stage"), "version") == [(1, "Archived"), (2, "Production")]
+
+    def answers(version=None):
+        out = registry.score("risk", data, version)
+        assert {r[0] for r in out.select("model_version").distinct().collect()} == {version or registry.load("risk")[0]}
+        return rows(out.select("id", "prediction"), "id")
+
+    want = {v: rows(m.transform(data).select("id", "prediction"), "id") for v, m in ((1, good), (2, poor))}
+    assert want[1] != want[2] and answers() == want[2] and answers(1) == want[1]
+    assert registry.rollback("risk", "d4") == 1 and answers() == want[1]
+    with pytest.raises(ValueError, match="earlier"):
+        registry.rollback("risk", "d5")
+    with pytest.raises(ValueError, match="version 9"):
+        registry.promote("risk", 9, "d6")
+    registry.promote("risk", 2, "d7")
+    assert rows(registry.history("risk").select("action", "version"), "number") == [
+        ("register", 1), ("register", 2), ("promote", 1), ("promote", 2), ("rollback", 1), ("promote", 2)]
+    # a writer that was lost before its entry was complete leaves a claim; others go on behind it
+    (tmp_path / "risk" / "log" / "0000000006.claim").touch()
+    assert registry.register("risk", good, "d8") == 3 and registry.history("risk").agg(F.max("number")).first()[0] == 7
+    # the same number cannot be taken twice
+    assert not registry._claim("risk", 7, {"action": "archive", "version": 1})
+    assert registry.archive("risk", 3, "d9") == 3 and registry.history("other").count() == 0

@@ -295,10 +295,12 @@ def _(spark, sf):
     return E.select_intersect(tables, len(FEATURES))
 
 
-@query("fe_select_rfe", "select r::int as rank, case when r = 1 then 2 else 1 end::bigint as features from range(1, 5) t(r)")
+@query("fe_select_rfe", "select f as feature, f in ('claim_amount', 'amount_half') as kept, 4 as ranks from (values ('claim_amount'), ('amount_half'), ('customer_age'), ('policy_duration'), ('age_duration')) v(f)")
 def _(spark, sf):
     df = _features(spark, sf).withColumn("label", F.when(F.col("risk_level") == "high", 1.0).otherwise(0.0))
-    return M.recursive_elimination(df, FEATURES, "label", keep=2).groupBy("rank").agg(F.count("*").alias("features"))
+    # the label is a limit on the amount, so the two columns that tell the amount stay to the end
+    out = M.recursive_elimination(df, FEATURES, "label", keep=2)
+    return out.select("feature", (F.col("rank") == 1).alias("kept"), out.agg(F.count_distinct("rank").cast("int")).scalar().alias("ranks"))
 
 
 @query("fe_drop_correlated", f"""

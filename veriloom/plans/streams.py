@@ -44,11 +44,15 @@ def _(spark, sf):
     return _ntz(_table(spark, _stream(spark, sf), "st_source"), "ts")
 
 
-@query("st_incremental_load", "select event_id, value from events")
+@query("st_incremental_load", f"select event_id, value, case when ts < timestamp '{P.SPLIT_TS}' then 1 else 2 end as run from events")
 def _(spark, sf):
-    path, ckpt = scratch_path(spark, "st_inc"), scratch_path(spark, "st_inc-ckpt")
-    for _run in range(2):  # the second run finds nothing new
-        S.run_to_table(_stream(spark, sf).select("event_id", "value"), path, ckpt)
+    """Files arrive between two runs; the second one takes those alone, a third finds nothing."""
+    root, path, ckpt, ev = *(scratch_path(spark, n) for n in ("st_inc_in", "st_inc", "st_inc-ckpt")), P.events(spark, sf)
+    split = F.lit(P.SPLIT_TS).cast("timestamp_ntz")
+    for run, part in enumerate((ev.where(F.col("ts") < split), ev.where(F.col("ts") >= split), None), 1):
+        if part is not None:
+            part.write.mode("append").parquet(root)
+        S.run_to_table(S.file_stream(spark, root, ev.schema).select("event_id", "value", F.lit(run).alias("run")), path, ckpt)
     return spark.read.parquet(path)
 
 
@@ -63,10 +67,15 @@ def _(spark, sf):
     return kept.unionAll(spark.read.parquet(bad).select("event_id", F.array_join("violations", ",")))
 
 
-@query("st_dedup", "select event_id, user_id, value from events")
+@query("st_dedup", "select event_id, user_id, value, 1 as copy from events")
 def _(spark, sf):
-    twice = _stream(spark, sf).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
-    return _table(spark, S.deduplicate(twice, "ts", ["event_id"], DELAY).select("event_id", "user_id", "value"), "st_dedup")
+    """Every event comes again in a later micro-batch, within the watermark's delay; the state store has to know it."""
+    root, ev = scratch_path(spark, "st_dedup_in"), P.events(spark, sf)
+    for copy in (1, 2):
+        ev.withColumn("copy", F.lit(copy)).coalesce(1).write.mode("append").parquet(root)
+    schema = spark.read.parquet(root).schema
+    twice = S.event_time(S.file_stream(spark, root, schema, files_per_batch=1))
+    return _table(spark, S.deduplicate(twice, "ts", ["event_id"], "60 days").select("event_id", "user_id", "value", "copy"), "st_dedup")
 
 
 @query("st_tumbling_metrics", f"""

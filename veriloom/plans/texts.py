@@ -159,11 +159,22 @@ def _(spark, sf):
     return out.select("doc_id", _shares([f"topic_{i}" for i in range(10)]).alias("topics_ok"))
 
 
-@query("txt_kmeans", "select vec_id, label, true as cluster_ok, 10::bigint as clusters from embeddings")
-def _(spark, sf):
-    out = X.cluster(P.table(spark, sf, "embeddings"), "embedding", 10)
-    used = out.agg(F.count_distinct("cluster")).scalar()
-    return out.select("vec_id", "label", F.col("cluster").between(0, 9).alias("cluster_ok"), used.alias("clusters"))
+@query("txt_kmeans", "select vec_id, label, true as nearest_ok, 10::bigint as clusters from embeddings")
+def _(spark, sf):
+    """No other cluster's mean is nearer to a vector than that of its own (but for the last step of the fit, so within a part of its distance)."""
+    out = materialize(X.cluster(P.table(spark, sf, "embeddings"), "embedding", 10))
+    at = F.posexplode("embedding").alias("place", "x")
+    parts = out.select("cluster", at).groupBy("cluster", "place").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    means = parts.groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("place", "x"))).alias("m")).select("cluster", F.col("m.x").alias("m"))  # a number per dimension
+    table = means.agg(F.map_from_entries(F.collect_list(F.struct("cluster", "m")))).scalar()  # ten means
+
+    def apart(mean):
+        return F.aggregate(F.zip_with("embedding", mean, lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0).cast("double"), lambda s, d: s + d)
+
+    apart_of = F.transform_values("means", lambda _, mean: apart(mean))
+    checked = out.withColumn("means", table).withColumn("d", apart_of)
+    nearest = F.col("d")[F.col("cluster")] <= F.array_min(F.map_values("d")) * 1.15
+    return checked.select("vec_id", "label", nearest.alias("nearest_ok"), F.size("means").cast("long").alias("clusters"))
 
 
 @query("txt_word_freq", f"""
