@@ -218,6 +218,24 @@ def test_tfidf_weights(spark):
     assert w[1, "apple"] == pytest.approx(2 / math.sqrt(5)) and w[2, "cherry"] == pytest.approx(1 / math.sqrt(2))
 
 
+def test_vectors_in_the_row_equal_joined_counts(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    words = [f"word{chr(97 + i)}" for i in range(12)]
+    df = spark.createDataFrame([(i, " ".join(rng.choice(words, rng.integers(0, 30)))) for i in range(60)] + [(90, None), (91, "")], "id int, t string").repartition(3)
+    counts = X.term_counts(df, "id", "t")
+    want = X.fit_vocabulary(counts, "id", 100, documents=df)
+    monkeypatch.setattr(X, "HELD_TERMS", 5)
+    learnt = X.learn_vocabulary(df, "t", 100)
+    assert rows(learnt.select("term", "df", "total", "idf"), "term") == rows(want.select("term", "df", "total", "idf"), "term")
+    vectors = X.term_vectors(df, "t", learnt)
+    assert "Exchange hashpartitioning" not in vectors._jdf.queryExecution().executedPlan().toString()
+    got = {(r["id"], r["term"]): (r["tf"], r["weight"]) for r in vectors.select("id", F.inline("terms")).collect()}
+    tf = {(r["id"], r["term"]): r["tf"] for r in X.count_vectors(counts, want).collect()}
+    weight = {(r["id"], r["term"]): r["weight"] for r in X.tfidf(counts, want, "id").collect()}
+    assert got == {k: (tf[k], pytest.approx(weight[k])) for k in tf}
+    assert X.learn_vocabulary(df.limit(0), "t").count() == 0
+
+
 @pytest.mark.parametrize("limit", [8 << 20, -1])
 def test_lemmas_keep_token_order(spark, monkeypatch, limit):
     monkeypatch.setattr("veriloom.functions.skew.MAX_BROADCAST_BYTES", limit)

@@ -3,9 +3,16 @@
 from __future__ import annotations
 
 import json
+import math
+import sys
+from collections import Counter
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.ml import PipelineModel, Pipeline
 from pyspark.ml.clustering import LDA, KMeans
 from pyspark.ml.feature import CountVectorizer, Word2Vec
@@ -13,12 +20,15 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veriloom.functions import lexicon as L
 from veriloom.functions.columns import col
 from veriloom.functions.skew import lookup_join
 from veriloom.session import stored
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need no copy of the library
+
 # Limits of words and of the vocabulary.
 MIN_WORD, MAX_WORD = 2, 20
 VOCABULARY, MIN_DF, MAX_DF = 5000, 2, 0.95
@@ -160,6 +170,84 @@ def fit_vocabulary(counts: DataFrame, key: str, size: int = VOCABULARY, min_df:
     return kept.orderBy(F.desc("total"), "term").limit(size).withColumn("idf", idf)
 
 
+#: Distinct terms a task holds before it passes their counts on.
+HELD_TERMS = 1 << 18
+
+
+def _grams(toks, sizes: Sequence[int]) -> list[str]:
+    return [g for n in sizes for g in (toks if n == 1 else map(" ".join, zip(*(toks[i:] for i in range(n)))))]
+
+
+def _words(df: DataFrame, text: str) -> Column:
+    """The tokens of a text column; a column of arrays holds tokens already."""
+    return F.col(text) if isinstance(df.schema[text].dataType, T.ArrayType) else tokens(text)
+
+
+def _token_lists(column) -> list:
+    """An Arrow array of lists as Python lists, null as empty."""
+    flat, ends = column.flatten().to_pylist(), np.r_[0, np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))]
+    return [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
+
+
+def learn_vocabulary(df: DataFrame, text: str, size: int = VOCABULARY, min_df: int = MIN_DF, max_df: float = MAX_DF,
+                     ngrams: Sequence[int] = (1, 2)) -> DataFrame:
+    """The vocabulary of ``fit_vocabulary``, from one pass over the documents: terms are counted in the task, only sums are shuffled.
+
+    ``text`` names a text column or one of token arrays.
+    """
+    sizes = list(ngrams)
+
+    def passed_on(held, used):
+        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64()),
+                                           pa.array([used[t] for t in held], pa.int64())], names=["term", "df", "total"])
+
+    def count(batches):
+        held, used = Counter(), Counter()
+        for batch in batches:
+            held[None] += batch.num_rows  # the row of no term counts documents
+            for words in _token_lists(batch.column(0)):
+                grams = _grams(words, sizes)
+                used.update(grams)
+                held.update(set(grams))
+            if len(held) >= HELD_TERMS:
+                yield passed_on(held, used)
+                held.clear(), used.clear()
+        if held:
+            yield passed_on(held, used)
+
+    counted = df.select(_words(df, text).alias("tok")).mapInArrow(count, "term string, df long, total long")
+    terms = stored(counted.groupBy("term").agg(F.sum("df").alias("df"), F.sum("total").alias("total")), "terms")
+    n = terms.where("term is null").agg(F.coalesce(F.sum("df"), F.lit(0))).scalar()
+    kept = terms.where(F.col("term").isNotNull() & (F.col("df") >= min_df) & (F.col("df") <= n * F.lit(max_df).cast("double")))
+    idf = F.log((n + 1) / (F.col("df") + 1).cast("double")) + 1
+    return kept.orderBy(F.desc("total"), "term").limit(size).withColumn("idf", idf)
+
+
+def term_vectors(df: DataFrame, text: str, vocabulary: DataFrame, name: str = "terms", ngrams: Sequence[int] = (1, 2)) -> DataFrame:
+    """``df`` with the sparse vector of each text: an array of (term, tf, weight), weights scaled to length one.
+
+    The vocabulary, at most its fitted size, goes to the tasks; rows stay where they are.
+    """
+    sizes = list(ngrams)
+    idf = df.sparkSession.sparkContext.broadcast({r["term"]: r["idf"] for r in vocabulary.collect()})  # at most the size asked for
+
+    @F.arrow_udf("array<struct<term:string,tf:long,weight:double>>")
+    def vectors(toks: pa.Array) -> pa.Array:
+        known, ends, terms, counts, weights = idf.value, [0], [], [], []
+        for words in _token_lists(toks):
+            mine = Counter(g for g in _grams(words, sizes) if g in known)
+            w = np.fromiter((n * known[t] for t, n in mine.items()), dtype=float, count=len(mine))
+            terms += mine
+            counts += mine.values()
+            weights.append(w / (np.sqrt((w * w).sum()) or 1.0))
+            ends.append(len(terms))
+        flat = pa.StructArray.from_arrays([pa.array(terms, pa.string()), pa.array(counts, pa.int64()), pa.array(np.concatenate(weights or [np.zeros(0)]))],
+                                          names=["term", "tf", "weight"])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
+
+    return df.withColumn(name, vectors(_words(df, text)))
+
+
 def count_vectors(counts: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Counts of vocabulary terms; the vocabulary has at most its fitted size."""
     return counts.join(F.broadcast(vocabulary), "term")
@@ -226,8 +314,7 @@ class TextPreprocessor:
 
     def fit(self, df: DataFrame) -> "FittedTextPreprocessor":
         c = self.config
-        counts = stored(term_counts(df, c["key"], c["text"]), "terms")
-        vocabulary = stored(fit_vocabulary(counts, c["key"], c["vocabulary"], documents=df), "vocabulary")
+        vocabulary = stored(learn_vocabulary(df, c["text"], c["vocabulary"]), "vocabulary")
         # both models pass over the tokens many times
         toks = stored(df.select(F.coalesce(tokens(c["text"]), F.array().cast("array<string>")).alias("tok")), "tokens")
         return FittedTextPreprocessor(c, vocabulary, fit_word2vec(toks, "tok", c["w2v_size"]),
@@ -241,12 +328,12 @@ class FittedTextPreprocessor:
     def transform(self, df: DataFrame) -> DataFrame:
         """Scalar features, w2v_dim_i, topic_i and the sparse tf-idf weights as a map."""
         c = self.config
-        weights = tfidf(term_counts(df, c["key"], c["text"]), self.vocabulary, c["key"])
-        maps = weights.groupBy(c["key"]).agg(F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("tfidf"))
+        weights = F.map_from_entries(F.transform("_terms", lambda t: F.struct(t["term"], t["weight"])))
+        df = term_vectors(df, c["text"], self.vocabulary, "_terms").withColumn("tfidf", F.when(F.size("_terms") > 0, weights)).drop("_terms")
         base = features(df, c["text"]).withColumn("tok", tokens(c["text"]))
         base = spread(self.word2vec.setInputCol("tok").transform(base), "w2v", c["w2v_size"], "w2v_dim")
         base = spread(self.topics.transform(base), "topics", c["topics"], "topic").drop("tok", "_counts", c["text"])
-        return base.join(maps, c["key"], "left")
+        return base
 
     def save(self, spark: SparkSession, path: str) -> None:
         self.vocabulary.write.mode("overwrite").parquet(f"{path}/vocabulary")

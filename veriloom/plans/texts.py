@@ -10,7 +10,7 @@ from veriloom.functions import lexicon as L
 from veriloom.operators import text as X
 from veriloom.plans import profiles as P
 from veriloom.plans.registry import query
-from veriloom.session import materialize, scratch_path, spread_rows, stored
+from veriloom.session import materialize, scratch_path, spread_rows
 
 
 def _docs(spark, sf):
@@ -103,8 +103,10 @@ TERMS = f"""t as (select doc_id, tok from {TOKENS} t1),
     i as (select v.*, ln((n + 1.0::double) / (df + 1)) + 1 as idf from v, n)"""
 
 
-def _vocabulary(spark, sf, counts):
-    return X.fit_vocabulary(counts, "doc_id", documents=P.documents(spark, sf))
+def _vectors(spark, sf):
+    """Documents with their terms, and no row moved: (doc_id, term, tf, weight)."""
+    docs = materialize(_docs(spark, sf).select("doc_id", X.tokens("text").alias("tok")))
+    return X.term_vectors(docs, "tok", X.learn_vocabulary(docs, "tok")).select("doc_id", F.inline("terms"))
 
 
 @query("txt_tfidf", f"""
@@ -112,20 +114,17 @@ def _vocabulary(spark, sf, counts):
     s as (select *, sqrt(sum(w * w) over (partition by doc_id)) as norm from w)
     select doc_id, term, round(w / norm, 6) as weight from s""")
 def _(spark, sf):
-    counts = stored(X.term_counts(_docs(spark, sf), "doc_id", "text"), "terms")
-    return _r(X.tfidf(counts, _vocabulary(spark, sf, counts), "doc_id"), weight=6)
+    return _r(_vectors(spark, sf).drop("tf"), weight=6)
 
 
 @query("txt_count_vector", f"with {TERMS} select doc_id, term, tf from c join i using (term)")
 def _(spark, sf):
-    counts = stored(X.term_counts(_docs(spark, sf), "doc_id", "text"), "terms")
-    return X.count_vectors(counts, _vocabulary(spark, sf, counts)).select("doc_id", "term", "tf")
+    return _vectors(spark, sf).drop("weight")
 
 
 @query("txt_idf_importance", f"with {TERMS} select 'tfidf_' || term as feature, round(idf, 6) as importance from i")
 def _(spark, sf):
-    counts = stored(X.term_counts(_docs(spark, sf), "doc_id", "text"), "terms")
-    return _r(X.idf_importance(_vocabulary(spark, sf, counts)), importance=6)
+    return _r(X.idf_importance(X.learn_vocabulary(_docs(spark, sf), "text")), importance=6)
 
 
 def _all(columns, test):
@@ -189,15 +188,17 @@ def _(spark, sf):
     return X.language_filter(P.documents(spark, sf), "lang").select("doc_id", "lang", "n_chars")
 
 
-@query("txt_preprocessor", f"""select doc_id, length(text)::int as text_length, {_count(f'[^{L.SPACE}]+')} as word_count, true as vector_ok, true as topics_ok,
-    true as weights_ok from documents""")
+@query("txt_preprocessor", f"""with {TERMS}, w as (select doc_id, term, tf * idf as w from c join i using (term)),
+    s as (select doc_id, count(*) as terms, sum(w) / sqrt(sum(w * w)) as weight from w group by 1)
+    select d.doc_id, length(text)::int as text_length, {_count(f'[^{L.SPACE}]+')} as word_count, coalesce(terms, 0)::int as terms,
+      round(coalesce(weight, 0), 6) as weight_sum, true as vector_ok, true as topics_ok from documents d left join s on s.doc_id = d.doc_id""")
 def _(spark, sf):
     docs = _docs(spark, sf)
     fitted = X.TextPreprocessor("doc_id", "text").fit(docs)
     path = scratch_path(spark, "text_preprocessor")
     fitted.save(spark, path)
     out = X.FittedTextPreprocessor.load(spark, path).transform(docs)
-    norm = F.aggregate(F.map_values("tfidf"), F.lit(0.0).cast("double"), lambda a, w: a + w * w)
-    return out.select("doc_id", "text_length", "word_count", _all([f"w2v_dim_{i}" for i in range(100)], _finite).alias("vector_ok"),
-                      _shares([f"topic_{i}" for i in range(10)]).alias("topics_ok"),
-                      F.coalesce(F.abs(norm - 1) < 1e-6, F.lit(True)).alias("weights_ok"))
+    total = F.aggregate(F.map_values("tfidf"), F.lit(0.0).cast("double"), lambda a, w: a + w)
+    return out.select("doc_id", "text_length", "word_count", F.coalesce(F.size("tfidf"), F.lit(0)).alias("terms"),
+                      F.round(F.coalesce(total, F.lit(0.0)), 6).alias("weight_sum"), _all([f"w2v_dim_{i}" for i in range(100)], _finite).alias("vector_ok"),
+                      _shares([f"topic_{i}" for i in range(10)]).alias("topics_ok"))
