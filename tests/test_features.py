@@ -243,3 +243,24 @@ def test_lemmas_keep_token_order(spark, monkeypatch, limit):
     lemmas = spark.createDataFrame([("cars", "car")], "form string, lemma string")
     got = dict(rows(X.lemmatize(df, "id", "tok", lemmas)))
     assert got == {1: ["car", "hit", "car"], 2: []}
+
+
+def test_feature_stage_keeps_the_statistics_of_its_fit(spark, tmp_path):
+    from pyspark.ml import Pipeline, PipelineModel
+
+    from veriloom.operators.stages import OUTPUTS, FeatureStage
+
+    fitted_on = spark.createDataFrame([(float(i), 45) for i in range(101)] + [(None, 45), (float("nan"), 45)], "claim_amount double, age int")
+    new = spark.createDataFrame([(1, 96.0, 45), (2, 500.0, 90), (3, None, 0)], "id int, claim_amount double, age int")
+    model = Pipeline(stages=[FeatureStage(age="age")]).fit(fitted_on)
+    assert model.stages[0].getOrDefault("statistics") == {"lo": 0.0, "hi": 100.0, "mean": 50.0, "p80": 80.0, "p95": 95.0}
+    model.write().save(str(tmp_path / "stage"))
+    loaded = PipelineModel.load(str(tmp_path / "stage"))
+    out = loaded.transform(new)
+    assert set(OUTPUTS) | {"claim_amount_to_age_ratio", "claim_amount_x_age"} <= set(out.columns)
+    assert rows(out.select("id", *OUTPUTS), "id") == [(1, pytest.approx(0.48), 1.0, 1, 46.0), (2, pytest.approx(3.0), 1.0, 1, 450.0), (3, None, 0.0, 0, None)]
+    assert rows(model.transform(new).select("id", *OUTPUTS), "id")[1] == rows(out.select("id", *OUTPUTS), "id")[1]
+    alone = loaded.transform(new.where("id = 1"))  # the answer does not depend on what is scored with it
+    assert alone.first()["composite_risk_score"] == pytest.approx(0.48)
+    empty = FeatureStage(age="age").fit(fitted_on.limit(0)).transform(new)
+    assert rows(empty.select("id", "fraud_risk_score", "above_usual"), "id")[0] == (1, 0.0, None)

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import functions as F
 
 from veriloom.functions import lexicon as L
 from veriloom.operators import features as E
 from veriloom.operators import modelling as M
 from veriloom.operators import text as X
+from veriloom.operators.stages import FeatureStage
 from veriloom.plans import profiles as P
 from veriloom.plans.registry import query
-from veriloom.session import materialize, spread_rows
+from veriloom.session import materialize, scratch_path, spread_rows
 
 NUMBERS = ("claim_id", "claim_amount", "customer_age", "policy_duration")
 
@@ -277,6 +279,23 @@ MI_SCORES = f"""q as (select feature, quantile_cont(value, [0.1, 0.2, 0.3, 0.4,
       select *, sum(n) over (partition by feature) as t, sum(n) over (partition by feature, bin) as x, sum(n) over (partition by feature, risk_level) as y from c) j group by feature)"""
 
 
+@query("fe_fitted_stage", """
+    with c as (select claim_id, claim_amount as a, customer_age as g, policy_duration as d from @claims c1),
+    s as (select min(a) as lo, max(a) as hi, avg(a) as mean, quantile_cont(a, 0.8) as p80, quantile_cont(a, 0.95) as p95 from c where claim_id % 2 = 0)
+    select claim_id, a / g as ratio, a * g as product, round(((a - lo) / (hi - lo) + abs(g - 45) / 45.0::double + 1.0::double / (1 + d / 12.0::double)) / 3, 9) as composite_risk_score,
+      coalesce((a > p95)::int, 0)::double as fraud_risk_score, coalesce((a > p80)::int, 0) as high_amount, round(a - mean, 4) as above_usual
+    from c, s where claim_id % 2 = 1""")
+def _(spark, sf):
+    """Fitted on the even claims as part of a pipeline, saved, loaded, and used on the odd ones."""
+    claims = P.claims(spark, sf, "claim_id", "claim_amount", "customer_age", "policy_duration")
+    stage = FeatureStage(amount="claim_amount", age="customer_age", duration="policy_duration")
+    path = scratch_path(spark, "feature_stage")
+    Pipeline(stages=[stage]).fit(claims.where("claim_id % 2 = 0")).write().save(path)
+    out = PipelineModel.load(path).transform(claims.where("claim_id % 2 = 1"))
+    return out.select("claim_id", F.col("claim_amount_to_customer_age_ratio").alias("ratio"), F.col("claim_amount_x_customer_age").alias("product"),
+                      F.round("composite_risk_score", 9).alias("composite_risk_score"), "fraud_risk_score", "high_amount", F.round("above_usual", 4).alias("above_usual"))
+
+
 @query("fe_select_f", f"with l as {F_LONG}, {F_SCORES} select feature, round(score, 3) as score from f order by score desc, feature limit 3")
 def _(spark, sf):
     return _r(E.top_features(E.anova_f(_features(spark, sf), FEATURES, "risk_level"), 3), score=3)
