@@ -1,6 +1,8 @@
 import json
 
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from veriloom.llm import html as H
 
@@ -19,8 +21,14 @@ def wrapper_of(*pages):
     return out
 
 
+def kept_on(page):
+    """The paths of one page alone, as a host of one page has them."""
+    found = [(p, n, b, 1, 1) for p, n, b, _, _ in H.page_texts(H.parse(page)[1])]
+    return set(H.kept_paths(pd.DataFrame(found, columns=["path", "level", "beside", "texts", "pages"])))
+
+
 def test_article_without_what_surrounds_it():
-    assert H.main_text(PAGE, H.known_paths(wrapper_of(PAGE)), set()) == TEXT
+    assert H.main_text(PAGE, H.texts_of(wrapper_of(PAGE)), kept_on(PAGE)) == TEXT
 
 
 def test_repeats_and_options_are_inferred():
@@ -36,7 +44,8 @@ def test_wrappers_match_the_pages_they_come_from(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     rules = {r["host"]: json.loads(r["wrapper"]) for r in H.wrappers(pages).collect()}
     rows = pages.collect()
-    assert rows and all(H.matches(rules[H.host_of(r["url"])], H.parse(r["html"])[0]) for r in rows)
+    found = [rules[H.host_of(r["url"])] for r in rows]
+    assert rows and all(H.matches(w, H.parse(r["html"], None, H.constants_of(H.texts_of(w)))[0]) for w, r in zip(found, rows))
 
 
 @pytest.mark.parametrize("limit", [8 << 20, -1])
@@ -60,7 +69,7 @@ def test_every_page_has_a_row(spark, monkeypatch, limit):
 
 def test_long_pages():
     page = "<article>" + "<p>x</p>" * 20_000 + "</article>"
-    assert H.main_text(page, H.known_paths(wrapper_of(page)), set()) == "\n\n".join("x" * 20_000)
+    assert H.main_text(page, H.texts_of(wrapper_of(page)), kept_on(page)) == "\n\n".join("x" * 20_000)
     H.parse("<" * 20_000 + "<a b='" * 2_000 + "<!--" * 2_000)
 
 
@@ -72,3 +81,29 @@ def test_copies_of_a_page_do_not_make_its_text_a_template(spark):
     got = {r["page_id"]: r["text"] for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {**{i: "the only article\n\nall rights" for i in range(4)}, **{i: f"article {i}" for i in range(10, 14)},
                    **{i: "copied\n\nquoted" for i in range(14, 18)}}
+
+
+@pytest.mark.parametrize("element", ["article", "div"])
+def test_the_wrapper_decides_what_is_template(spark, element):
+    """Lines all pages repeat are literals, class words are outvoted by varying text; copies and hosts of two pages have no template."""
+    body = (f"<body><nav><a>x</a></nav><{element}><h1>title {{0}}</h1><p>body {{0}}</p><p class='share-price'>shares rose {{0}} percent</p>"
+            f"<p>Sign up for our daily letter</p><p class='search-results'>found {{0}}</p><div class='share-links'>tell {{0}}</div></{element}></body>")
+    rows = [(i, "http://h/", body.format(i)) for i in range(6)] + [(i, "http://two/", body.format(i)) for i in (10, 11)]
+    rows += [(i, "http://copies/", body.format("same")) for i in range(20, 25)]
+    # versions of one article: most of the text is the same on all pages
+    rows += [(i, "http://versions/", f"<{element}><p>a long paragraph all versions have</p><p>v{i}</p></{element}>") for i in range(30, 34)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"].split("\n\n") for r in H.extract(pages).collect()}
+    for i in range(6):
+        assert got[i] == [f"title {i}", f"body {i}", f"shares rose {i} percent", f"found {i}"]
+    for i, name in [(10, 10), (11, 11), *((i, "same") for i in range(20, 25))]:
+        assert got[i] == [f"title {name}", f"body {name}", "Sign up for our daily letter"]
+    assert all(got[i] == ["a long paragraph all versions have", f"v{i}"] for i in range(30, 34))
+    # a changed wrapper changes the result
+    rules = H.wrappers(pages.where("page_id < 6"))
+    line = H.literal(H.text_digest("Sign up for our daily letter"))
+    assert all(line in r["wrapper"] for r in rules.collect())
+    loose = rules.withColumn("wrapper", F.replace("wrapper", F.lit(line), F.lit(H.TEXT)))
+    assert all("Sign up for our daily letter" in r["text"] for r in H.extract(pages.where("page_id < 6"), loose).collect())
+    none = rules.withColumn("wrapper", F.replace("wrapper", F.lit("p.share-price"), F.lit("p.other")))
+    assert not any("percent" in r["text"] for r in H.extract(pages.where("page_id < 6"), none).collect())
