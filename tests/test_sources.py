@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
-from veriloom.sources import combine, readers, sinks
+from veriloom.sources import combine, files, readers, sinks
 
 
 def png(width, height):
@@ -82,3 +82,54 @@ def test_flatten(spark):
     df = spark.sql("select named_struct('a', 1, 'b', named_struct('c', array(1, 2))) as s, 'x' as k")
     assert rows(sinks.flatten(df)) == [(1, "[1,2]", "x")]
     assert sinks.flatten(df).columns == ["s_a", "s_b_c", "k"]
+
+
+def test_a_large_file_is_read_by_several_tasks_without_cutting_lines(spark, tmp_path):
+    lines = [f"{i} " + "grün " * (i % 50) for i in range(20_000)] + ["x" * 300_000, "", "end without a line feed"]
+    (tmp_path / "big.txt").write_text("\n".join(lines), encoding="utf-8")
+    (tmp_path / "_SUCCESS").write_text("")
+    out = files.read_files(spark, str(tmp_path), lambda key, start, data: [(line.decode(),) for line in data.split(b"\n")[:-1] or [data]]
+                           if data.endswith(b"\n") else [(line.decode(),) for line in data.split(b"\n")], "line string", range_bytes=100_000)
+    assert out.rdd.getNumPartitions() > 20
+    got = out.orderBy("start").collect()
+    assert sorted(r["line"] for r in got) == sorted(lines) and {r["processing_status"] for r in got} == {"success"}
+    totals = files.file_status(out).first()
+    assert totals["bytes"] == (tmp_path / "big.txt").stat().st_size and totals["ranges"] > 20
+    counts = files.read_files(spark, f"file:{tmp_path}/big.txt", files.text_counts, "e string, c long, w long, n long", range_bytes=100_000)
+    text = "\n".join(lines)
+    assert tuple(counts.agg(F.sum("c"), F.sum("w"), F.sum("n")).first()) == (len(text), len(text.split()), text.count("\n"))
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 1000])
+def test_ranges_hold_every_line_once(size, tmp_path):
+    for text in (b"", b"\n", b"a", b"a\n", b"\n\n\n", b"ab\ncd", b"ab\n\ncdefghi\nj\n"):
+        (tmp_path / "f").write_bytes(text)
+        path = str(tmp_path / "f")
+        pieces = [p for t in files.plan_ranges([(path, len(text))], size, False) for p in t.pieces]
+        with open(path, "rb") as handle:
+            found = [files.read_lines(handle, start, end, len(text), block=2) for _, start, end in pieces]
+        assert b"".join(d for _, d in found) == text
+        assert all(text[at:at + len(d)] == d for at, d in found if d)
+
+
+def test_a_function_that_raises_gives_a_failed_row(spark, tmp_path):
+    for i in range(30):
+        (tmp_path / f"{i}.csv").write_text(f"a,b\n{i},1\n" if i else "")
+    (tmp_path / "note.txt").write_text("not asked for")
+
+    def rows_of(key, start, data):
+        if key.endswith("/7.csv"):
+            raise KeyError("no column b")
+        return [tuple(map(int, line.split(b","))) for line in data.split()[1:]]
+
+    out = files.read_files(spark, str(tmp_path), rows_of, "a long, b long", ["CSV"], whole=True)
+    assert out.rdd.getNumPartitions() < 30  # small files share tasks
+    got = {r["key"].rsplit("/", 1)[1]: (r["processing_status"], r["error_message"], r["a"]) for r in out.collect()}
+    assert len(got) == 30 and got.pop("7.csv") == ("error", "KeyError: 'no column b'", None) and got.pop("0.csv") == ("success", None, None)
+    assert all(v == ("success", None, int(k[:-4])) for k, v in got.items())
+    status = {r["key"].rsplit("/", 1)[1]: r["processing_status"] for r in files.file_status(out).collect()}
+    assert [k for k, v in status.items() if v == "error"] == ["7.csv"] and len(status) == 30
+    wrong = files.read_files(spark, str(tmp_path / "1.csv"), lambda *a: [(1,)], "a long, b long").first()
+    assert wrong["processing_status"] == "error" and "2 values" in wrong["error_message"]
+    (tmp_path / "none").mkdir()
+    assert files.read_files(spark, str(tmp_path / "none"), rows_of, "a long, b long").count() == 0

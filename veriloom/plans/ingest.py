@@ -11,7 +11,7 @@ from veriloom.plans import profiles as P
 from veriloom.plans.registry import query
 from veriloom.operators import quality
 from veriloom.session import scratch_path
-from veriloom.sources import combine, readers, sinks
+from veriloom.sources import combine, files, readers, sinks
 
 LISTED = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark",
           "labels", "conversations")
@@ -74,6 +74,49 @@ def _(spark, sf):
                                               (F.sum("line_count") - F.count("*")).alias("lines"))
 
 
+@query("src_text_ranges", r"""
+    with l as (select regexp_replace(text, '[\r\n]+', ' ', 'g') as line from documents where text is not null)
+    select 'utf-8' as encoding_used, sum(length(line) + 1)::bigint as characters, sum(len(regexp_extract_all(line, '[^ \t\n\x0B\f\r]+')))::bigint as words,
+      count(*)::bigint as lines, 1::bigint as files, true as several_tasks from l""")
+def _(spark, sf):
+    """One file of all documents, one per line, read in ranges of 256 KB."""
+    path = scratch_path(spark, "ranges")
+    P.documents(spark, sf).where("text is not null").select(F.regexp_replace("text", r"[\r\n]+", " ").alias("value")).coalesce(1).write.text(path)
+    ranges = files.read_files(spark, path, _utf8_counts, "encoding_used string, characters long, words long, lines long", ["txt"], range_bytes=256 << 10)
+    return ranges.where("encoding_used is not null").groupBy("encoding_used").agg(
+        F.sum("characters").alias("characters"), F.sum("words").alias("words"), F.sum("lines").alias("lines"),
+        F.count_distinct("key").alias("files"), (F.count("*") > 1).alias("several_tasks"))
+
+
+def _utf8_counts(key, start, data):
+    """As ``files.text_counts``, with words as ASCII white space parts them."""
+    return [(encoding, chars, len(data.split()), lines) for encoding, chars, _, lines in files.text_counts(key, start, data)]
+
+
+@query("src_process_files", """
+    select source, count(*)::bigint as lines, case when source = (select min(source) from documents) then 'error' else 'success' end as processing_status,
+      case when source = (select min(source) from documents) then 'ValueError: not accepted' end as error_message,
+      case when source <> (select min(source) from documents) then sum(length(text) + 1)::bigint end as n_chars
+    from (select source, regexp_replace(coalesce(text, ''), '[\r\n]+', ' ', 'g') as text from documents where source is not null) group by 1""")
+def _(spark, sf):
+    """A folder of files per source of the documents; the function does not accept those of the first source."""
+    path = scratch_path(spark, "by_source")
+    docs = P.documents(spark, sf).where("source is not null").select("source", F.regexp_replace(F.coalesce("text", F.lit("")), r"[\r\n]+", " ").alias("value"))
+    docs.write.partitionBy("source").text(path)
+    first = docs.agg(F.min("source")).first()[0]
+
+    def counted(key, start, data):
+        if f"/source={first}/" in key:
+            raise ValueError("not accepted")
+        return [(len(data.decode()),)]
+
+    ranges = files.read_files(spark, path, counted, "n_chars long", ["txt"])
+    results = ranges.groupBy(F.regexp_extract("key", "/source=([^/]+)/", 1).alias("source")).agg(
+        F.min("processing_status").alias("processing_status"), F.max("error_message").alias("error_message"), F.sum("n_chars").alias("n_chars"))
+    lines = docs.groupBy("source").agg(F.count("*").alias("lines"))
+    return lines.join(results, "source").select("source", "lines", "processing_status", "error_message", "n_chars")
+
+
 @query("src_object_listing", " union all ".join(f"select '{t}.parquet' as file_name, 'parquet' as extension, count(*) as n_rows from {t}" for t in LISTED))
 def _(spark, sf):
     """The files of the folder, each with the rows read from it."""
