@@ -14,6 +14,7 @@ from veriloom.operators import evaluate as V
 from veriloom.operators import governance as G
 from veriloom.operators import modelling as M
 from veriloom.operators import monitor as N
+from veriloom.operators import search as S
 
 SCORES = [(1, 0.9), (0, 0.8), (1, 0.8), (1, 0.4), (0, 0.3), (0, 0.3), (1, 0.2), (0, 0.1)]
 
@@ -258,3 +259,33 @@ def test_models_are_stored_promoted_and_rolled_back(spark, tmp_path):
     # the same number cannot be taken twice
     assert not registry._claim("risk", 7, {"action": "archive", "version": 1})
     assert registry.archive("risk", 3, "d9") == 3 and registry.history("other").count() == 0
+
+
+def test_search_draws_the_same_and_inside_the_ranges():
+    drawn = [S.draw(c) for c in range(200)]
+    assert drawn == [S.draw(c) for c in range(200)] and drawn != [S.draw(c, seed=1) for c in range(200)]
+    for axis, (_, low, high) in S.SPACE.items():
+        values = [d[axis] for d in drawn]
+        assert low <= min(values) < low + 0.2 * (high - low) and high - 0.4 * (high - low) < max(values) <= high
+    assert {d["depth"] for d in drawn} == set(range(3, 11))
+
+
+def test_halving_finds_the_planted_region_and_stops_losers(spark):
+    """The label is the sign of a product, which trees of depth one cannot see: the winner is deeper."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(600, 2))
+    df = spark.createDataFrame([(i, float(a), float(b), float(a * b > 0)) for i, (a, b) in enumerate(x)], "id int, a double, b double, y double")
+    space = {**S.SPACE, "depth": ("int", 1, 4), "columns": ("even", 1.0, 1.0)}
+    depths = [S.draw(c, space)["depth"] for c in range(6)]
+    assert 1 in depths and max(depths) > 1
+    out = S.halving_search(df, ["a", "b"], "y", "id", candidates=6, rounds=2, folds=2, space=space).collect()
+    by_rung = {r: [x for x in out if x["rung"] == r] for r in (0, 1, 2)}
+    assert [len(by_rung[r]) for r in (0, 1, 2)] == [6, 2, 1] and [by_rung[r][0]["rounds"] for r in (0, 1, 2)] == [2, 6, 18]
+    for r in (0, 1):
+        kept, gone = ([x["auc"] for x in by_rung[r] if x["kept"] == k] for k in (True, False))
+        assert min(kept) >= max(gone) and {x["candidate"] for x in by_rung[r] if x["kept"]} == {x["candidate"] for x in by_rung[r + 1]}
+    winner = by_rung[2][0]
+    assert winner["depth"] > 1 and winner["auc"] > 0.9
+    assert all(x["auc"] < winner["auc"] for x in by_rung[0] if x["depth"] == 1)
+    with pytest.raises(ValueError):
+        S.halving_search(df, ["a", "b"], "y", "id", factor=1)

@@ -11,6 +11,8 @@ from veriloom.operators import modelling as M
 from veriloom.plans import profiles as P
 from veriloom.plans.registry import query
 from veriloom.operators.registry import ModelRegistry
+from veriloom.operators.search import SPACE as SEARCH_SPACE
+from veriloom.operators.search import best_setting, halving_search
 from veriloom.session import materialize, scratch_path
 
 # The operators' own defaults (300 trees of depth 20, 500 rounds, a grid of 100 and 300 rounds) take minutes on one machine; see README.
@@ -104,6 +106,29 @@ def _(spark, sf):
     return M.tune_boosted(_training(spark, sf), INPUTS, "label", rounds=ROUNDS).select("rounds", "depth", F.col("auc").between(0.75, 1).alias("auc_ok"))
 
 
+def _drawn(axis):
+    """The SQL of a candidate's place in the range of an axis."""
+    return f"('0x' || substr(md5('42:' || c || ':{axis}'), 1, 8))::bigint / 4294967296::double"
+
+
+@query("ml_search_halving", f"""
+    select c::int as candidate, round(exp(ln(0.01::double) + {_drawn('rate')} * (ln(0.3::double) - ln(0.01::double))), 6) as rate,
+      (2 + floor({_drawn('depth')} * 4))::int as depth, round(0.6::double + {_drawn('subsample')} * 0.4, 6) as subsample,
+      round(0.6::double + {_drawn('columns')} * 0.4, 6) as columns, round(1.0::double + {_drawn('positive_weight')} * 9.0, 6) as positive_weight,
+      r::int as first_rounds, true as order_ok, 6::int as at_rung_0, 2::int as at_rung_1, 1::int as at_rung_2, true as best_auc_ok
+    from range(6) t(c), (values (4)) v(r)""")
+def _(spark, sf):
+    """The six candidates with their settings, and of the whole search: its rungs, that none that stopped was better than one that
+    went on, and that the winner finds the label."""
+    space = {**SEARCH_SPACE, "depth": ("int", 2, 5)}
+    out = materialize(halving_search(_training(spark, sf), INPUTS, "label", "claim_id", candidates=6, rounds=4, folds=2, space=space))
+    worst = out.groupBy("rung").agg(F.min(F.when(F.col("kept"), F.col("auc"))).alias("in"), F.max(F.when(~F.col("kept"), F.col("auc"))).alias("out"))
+    order_ok = worst.agg(F.bool_and(F.coalesce(F.col("in") >= F.col("out"), F.lit(True)))).scalar()
+    at = {f"at_rung_{i}": out.agg(F.count_if(F.col("rung") == i).cast("int")).scalar() for i in range(3)}
+    return out.where("rung = 0").select("candidate", "rate", "depth", "subsample", "columns", "positive_weight", F.col("rounds").alias("first_rounds"), order_ok.alias("order_ok"), *[v.alias(k) for k, v in at.items()],
+                                        best_setting(out).agg(F.max(F.col("auc")) >= 0.75).scalar().alias("best_auc_ok"))
+
+
 @query("ml_cross_validate", """
     select 0::int as repeat, f::int as fold, p as part, m as metric, true as score_ok
     from range(5) a(f), (values ('train'), ('test')) b(p), (values ('accuracy'), ('f1_score')) c(m)""")
