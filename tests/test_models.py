@@ -289,3 +289,19 @@ def test_halving_finds_the_planted_region_and_stops_losers(spark):
     assert all(x["auc"] < winner["auc"] for x in by_rung[0] if x["depth"] == 1)
     with pytest.raises(ValueError):
         S.halving_search(df, ["a", "b"], "y", "id", factor=1)
+
+
+def test_report_rows_for_features_without_values_and_several_kinds(spark):
+    """Nulls and NaN are no values, a column may be asked for as two types, each text column has its own words."""
+    ref = spark.createDataFrame([(float(i % 7), "ab"[i % 2], "same words here", None, None) for i in range(200)], "x double, c string, t string, u string, z double")
+    new = spark.createDataFrame([(float("nan") if i % 2 else 3.0, "abc"[i % 3], "other", None, None) for i in range(200)], "x double, c string, t string, u string, z double")
+    got = {(r["feature"], r["feature_type"]): r for r in D.report(ref, new, ["x", "z"], ["c"], ["t", "u", "c"]).collect()}
+    assert len(got) == 6
+    for key in (("z", "numerical"), ("u", "text")):
+        assert got[key]["error"] == "insufficient samples" and got[key]["drift_score"] == 0.0 and not got[key]["drift_detected"]
+    assert got["c", "categorical"]["drift_detected"] and got["t", "text"]["drift_detected"] and got["x", "numerical"]["drift_detected"]
+    alone = D.ks(ref, new, ["x"]).join(D.psi_numeric(ref, new, ["x"]), "feature").join(D.moments(ref, new, ["x"]), "feature").first()
+    both = D.numeric_details(D.histograms(ref, new, ["x", "z"], ["c"], ["t"])).first()
+    assert {k: both[k] for k in ("n_ref", "n_new", "ks_statistic", "p_value", "psi")} == {k: alone[k] for k in ("n_ref", "n_new", "ks_statistic", "p_value", "psi")}
+    js = D.text_divergence(ref, new, "t").first()["js_divergence"] / D.JS_LIMIT
+    assert got["t", "text"]["drift_score"] == pytest.approx(max(js, D.text_length_shift(ref, new, "t").first()["length_shift"] / D.LENGTH_LIMIT))

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from veriloom.operators import drift as D
 from veriloom.operators import features as E
 from veriloom.operators import monitor as N
 from veriloom.operators import prep as R
@@ -53,3 +54,11 @@ def test_ordered_operators_never_gather_the_rows(spark, claims, pieces):
 def test_no_cross_joins(spark, claims, build):
     text = plan(build(spark, claims))
     assert "CartesianProduct" not in text and "NestedLoop" not in text
+
+
+def test_a_drift_report_reads_each_side_once(spark):
+    ev = P.events(spark, SF)
+    ref, new = ev.where("event_id % 2 = 0"), ev.where("event_id % 2 = 1")
+    text = plan(D.histograms(ref, new, ["value"], ["event_type"], ["props"]))
+    assert text.count("FileScan parquet") == 2 and text.count("Exchange hashpartitioning") == 1
+    assert "events.parquet" not in plan(D.report(ref, new, ["value"], ["event_type"], ["props"]))

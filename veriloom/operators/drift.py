@@ -14,6 +14,7 @@ from veriloom.functions.ordered import quantiles, quantiles_of_counts, running
 from veriloom.operators.quality import _long
 from veriloom.operators.text import word_frequencies
 from veriloom.functions.lexicon import SPACE
+from veriloom.session import stored
 
 # Thresholds of the tests and of the severities.
 P_LIMIT, PSI_LIMIT, JS_LIMIT, LENGTH_LIMIT = 0.05, 0.2, 0.1, 0.2
@@ -83,9 +84,43 @@ def _counts(sides: DataFrame, by: Sequence[str]) -> DataFrame:
     return sides.groupBy(*by).agg(F.sum("ref").alias("ref"), F.sum("new").alias("new"))
 
 
+def histograms(ref: DataFrame, new: DataFrame, numerical: Sequence[str] = (), categorical: Sequence[str] = (), text: Sequence[str] = ()) -> DataFrame:
+    """(feature, kind, number, value, ref, new): how often each value occurs on both sides, from one scan of each.
+
+    Kinds are number, category, length (characters of a text) and word (lower-cased). A row becomes its entries, which are
+    counted in the tasks before they are shuffled. Nulls have no entry, NaN has one.
+    """
+    def entry(c: str, kind: str, number: Column | None = None, value: Column | None = None) -> Column:
+        return F.struct(F.lit(c).alias("feature"), F.lit(kind).alias("kind"), (F.lit(None) if number is None else number).cast("double").alias("number"),
+                        (F.lit(None) if value is None else value).cast("string").alias("value"))
+
+    single = [entry(c, "number", F.col(c)) for c in numerical] + [entry(c, "category", value=F.col(c)) for c in categorical]
+    single += [entry(c, "length", F.length(c)) for c in text]
+    entries = F.filter(F.array(*single), lambda e: e["number"].isNotNull() | e["value"].isNotNull())
+
+    def words(c: str) -> Column:
+        return F.transform(F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), f"[{SPACE}]+"), lambda w: w != ""), lambda w: entry(c, "word", value=w))
+    entries = F.concat(entries, *map(words, text)) if text else entries
+
+    def side(df: DataFrame, r: int) -> DataFrame:
+        return df.select(F.inline(entries)).select("*", F.lit(r).cast("long").alias("ref"), F.lit(1 - r).cast("long").alias("new"))
+    return _counts(side(ref, 1).unionAll(side(new, 0)), ["feature", "kind", "number", "value"])
+
+
+def _of_kind(hist: DataFrame, kind: str) -> DataFrame:
+    """(feature, value, ref, new) of one kind; NaN has no place in an order."""
+    rows = hist.where(F.col("kind") == kind)
+    if kind in ("number", "length"):
+        return rows.where(~F.isnan("number")).select("feature", F.col("number").alias("value"), "ref", "new")
+    return rows.select("feature", "value", "ref", "new")
+
+
 def ks(ref: DataFrame, new: DataFrame, columns: Sequence[str]) -> DataFrame:
     """feature, n_ref, n_new, ks_statistic, p_value (asymptotic)."""
-    hist = _counts(_sides(ref, new, columns), ["feature", "value"])
+    return _ks(_counts(_sides(ref, new, columns), ["feature", "value"]))
+
+
+def _ks(hist: DataFrame) -> DataFrame:
     run = running(hist, ["feature"], ["value"], sums={"cr": F.col("ref"), "cn": F.col("new")},
                   totals={"n_ref": F.col("ref"), "n_new": F.col("new")})
     gap = F.abs(ratio(F.col("cr"), F.col("n_ref")) - ratio(F.col("cn"), F.col("n_new")))
@@ -106,11 +141,12 @@ def psi_numeric(ref: DataFrame, new: DataFrame, columns: Sequence[str], bins: in
     New values outside the range fall in no bin but count in the total. A constant
     reference is one bin. Without a value on one side psi is null.
     """
-    def known(c: str) -> Column:
-        return F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
+    return _psi_numeric(_counts(_sides(ref, new, columns), ["feature", "value"]), bins, eps)
+
 
-    ends = _long(ref, columns, {"lo": lambda c: F.min(known(c)), "hi": lambda c: F.max(known(c))}).drop("rows")
-    placed = _sides(ref, new, columns).join(F.broadcast(ends), "feature")  # one row per column
+def _psi_numeric(hist: DataFrame, bins: int = BINS, eps: float = EPS) -> DataFrame:
+    ends = hist.where("ref > 0").groupBy("feature").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    placed = hist.join(F.broadcast(ends), "feature")  # one row per column
     inside = F.col("value").between(F.col("lo"), F.col("hi"))
     place = F.least(F.floor(ratio(F.col("value") - F.col("lo"), F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1))
     cells = _counts(placed.withColumn("bin", F.when(inside, place)), ["feature", "bin"])
@@ -123,6 +159,23 @@ def psi_severity(psi: Column) -> Column:
     return F.when(psi > 0.25, "high").when(psi > 0.1, "medium").otherwise("low")
 
 
+def numeric_details(hist: DataFrame, bins: int = BINS, eps: float = EPS) -> DataFrame:
+    """feature, n_ref, n_new, ks_statistic, p_value, psi, mean_shift, std_ratio of the numbers of stored ``histograms``.
+
+    Squares are summed about the means, so large values far from zero lose no digits.
+    """
+    numbers = _of_kind(hist, "number")
+    means = numbers.groupBy("feature").agg(*[ratio(F.sum(F.col("value") * F.col(t)), F.sum(t), None).alias(f"{t}_mean") for t in ("ref", "new")],
+                                           *[F.sum(t).alias(f"_{t}") for t in ("ref", "new")])
+    squares = numbers.join(F.broadcast(means), "feature").groupBy("feature").agg(  # one row per column
+        *[F.first(f"{t}_mean").alias(f"{t}_mean") for t in ("ref", "new")],
+        *[F.sqrt(ratio(F.sum(F.col(t) * F.pow(F.col("value") - F.col(f"{t}_mean"), F.lit(2.0))), F.first(f"_{t}") - 1, None)).alias(f"{t}_std")
+          for t in ("ref", "new")])
+    shift = squares.select("feature", ratio(F.abs(F.col("new_mean") - F.col("ref_mean")), F.col("ref_std"), None).alias("mean_shift"),
+                           ratio(F.col("new_std"), F.col("ref_std"), None).alias("std_ratio"))
+    return _ks(numbers).join(_psi_numeric(numbers, bins, eps), "feature").join(shift, "feature")
+
+
 def moments(ref: DataFrame, new: DataFrame, columns: Sequence[str]) -> DataFrame:
     """feature, mean_shift in reference deviations, std_ratio."""
     def of(df: DataFrame, tag: str) -> DataFrame:
@@ -136,7 +189,10 @@ def moments(ref: DataFrame, new: DataFrame, columns: Sequence[str]) -> DataFrame
 
 def category_sides(ref: DataFrame, new: DataFrame, columns: Sequence[str]) -> DataFrame:
     """feature, value, ref, new, n_ref, n_new."""
-    cells = _counts(_sides(ref, new, columns, "string"), ["feature", "value"])
+    return _with_totals(_counts(_sides(ref, new, columns, "string"), ["feature", "value"]))
+
+
+def _with_totals(cells: DataFrame) -> DataFrame:
     totals = _counts(cells, ["feature"]).select("feature", F.col("ref").alias("n_ref"), F.col("new").alias("n_new"))
     return cells.join(F.broadcast(totals), "feature")  # a row per column
 
@@ -186,38 +242,56 @@ def text_divergence(ref: DataFrame, new: DataFrame, column: str, top: int | None
         F.lit(column).alias("feature"), "js_divergence")
 
 
+def _text_changes(hist: DataFrame, eps: float = EPS) -> DataFrame:
+    """feature, length_shift, js_divergence of all text columns of ``histograms``."""
+    def mean(side: str) -> Column:
+        return ratio(F.sum(F.col("value") * F.col(side)), F.sum(side), None)
+    lengths = _of_kind(hist, "length").groupBy("feature").agg(ratio(F.abs(mean("new") - mean("ref")), mean("ref")).alias("length_shift"))
+
+    def share(side: str) -> Column:
+        return F.when(F.col(side) > 0, F.col(side) / F.col(f"n_{side}")).otherwise(eps)
+    p, q = share("ref"), share("new")
+    m = (p + q) / 2
+    words = _with_totals(_of_kind(hist, "word")).groupBy("feature").agg((F.sum(p * F.log(p / m)) / 2 + F.sum(q * F.log(q / m)) / 2).alias("js_divergence"))
+    return lengths.join(words, "feature", "left")
+
+
 # ------------------------------------------------------------------ reports
 
 def report(ref: DataFrame, new: DataFrame, numerical: Sequence[str] = (), categorical: Sequence[str] = (), text: Sequence[str] = (),
            min_samples: int = MIN_SAMPLES) -> DataFrame:
-    """feature, feature_type, drift_score, drift_detected, error."""
-    parts = []
-    kind = F.lit
+    """feature, feature_type, drift_score, drift_detected, error.
 
-    def rows(df: DataFrame, t: str, score: Column, hit: Column) -> DataFrame:
-        return df.select("feature", kind(t).alias("feature_type"), score.alias("drift_score"), hit.alias("drift_detected"))
+    Each side is read once: everything follows from the stored ``histograms``. A feature without values has a row too, of too few samples.
+    """
+    hist = stored(histograms(ref, new, numerical, categorical, text), "histograms")
+    kinds = {"numerical": numerical, "categorical": categorical, "text": text}
+    scores = []
     if numerical:
-        j = ks(ref, new, numerical).join(psi_numeric(ref, new, numerical), "feature")
-        parts.append(rows(j, "numerical", F.greatest(1 - F.col("p_value"), F.col("psi") / PSI_LIMIT),
-                          (F.col("p_value") < P_LIMIT) | (F.col("psi") > PSI_LIMIT)))
+        numbers = _of_kind(hist, "number")
+        j = _ks(numbers).join(_psi_numeric(numbers), "feature")
+        scores.append(j.select("feature", F.greatest(1 - F.col("p_value"), F.col("psi") / PSI_LIMIT).alias("score"),
+                               ((F.col("p_value") < P_LIMIT) | (F.col("psi") > PSI_LIMIT)).alias("hit")))
     if categorical:
-        sides = category_sides(ref, new, categorical)
+        sides = _with_totals(_of_kind(hist, "category"))
         added = sides.groupBy("feature").agg(F.count_if(F.col("ref") == 0).alias("added"))
         j = chi2(sides).join(psi_categorical(sides), "feature").join(added, "feature")
         p = F.coalesce("p_value", F.lit(1.0))
-        parts.append(rows(j, "categorical", F.greatest(1 - p, F.col("psi") / PSI_LIMIT, F.col("added") * NEW_CATEGORY_PENALTY),
-                          (p < P_LIMIT) | (F.col("psi") > PSI_LIMIT) | (F.col("added") > 0)))
-    for c in text:
-        j = text_length_shift(ref, new, c).join(text_divergence(ref, new, c), "feature")
-        parts.append(rows(j, "text", F.greatest(F.col("length_shift") / LENGTH_LIMIT, F.col("js_divergence") / JS_LIMIT),
-                          (F.col("length_shift") > LENGTH_LIMIT) | (F.col("js_divergence") > JS_LIMIT)))
-    found = reduce(DataFrame.unionByName, parts)
-    samples = _long(new, [*numerical, *categorical, *text], {"_n": lambda c: F.count(c)}).select("feature", "_n")
-    few = F.col("_n") < min_samples
-    return found.join(F.broadcast(samples), "feature").select(  # one row per column
-        "feature", "feature_type", F.when(few, 0.0).otherwise(F.col("drift_score")).alias("drift_score"),
-        F.when(few, False).otherwise(F.col("drift_detected")).alias("drift_detected"),
-        F.when(few, "insufficient samples").alias("error"))
+        scores.append(j.select("feature", F.greatest(1 - p, F.col("psi") / PSI_LIMIT, F.col("added") * NEW_CATEGORY_PENALTY).alias("score"),
+                               ((p < P_LIMIT) | (F.col("psi") > PSI_LIMIT) | (F.col("added") > 0)).alias("hit")))
+    if text:
+        scores.append(_text_changes(hist).select("feature", F.greatest(F.col("length_shift") / LENGTH_LIMIT, F.col("js_divergence") / JS_LIMIT).alias("score"),
+                                                 ((F.col("length_shift") > LENGTH_LIMIT) | (F.col("js_divergence") > JS_LIMIT)).alias("hit")))
+    asked = ref.sparkSession.range(1).select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.lit(t).alias("feature_type")) for t, columns in kinds.items() for c in columns])))
+    typed = [s.withColumn("feature_type", F.lit(t)) for s, t in zip(scores, (t for t, columns in kinds.items() if columns))]
+    samples = hist.where("kind <> 'word'").groupBy("feature", F.when(F.col("kind") == "number", "numerical").when(F.col("kind") == "category", "categorical")
+                                                       .otherwise("text").alias("feature_type")).agg(F.sum("new").alias("_n"))
+    few = F.coalesce("_n", F.lit(0)) < min_samples
+    rows = asked.join(F.broadcast(reduce(DataFrame.unionByName, typed)), ["feature", "feature_type"], "left").join(
+        F.broadcast(samples), ["feature", "feature_type"], "left")  # one row per column
+    return rows.select("feature", "feature_type", F.when(few, 0.0).otherwise(F.col("score")).alias("drift_score"),
+                       F.when(few, False).otherwise(F.col("hit")).alias("drift_detected"), F.when(few, "insufficient samples").alias("error"))
 
 
 def severity(score: Column) -> Column:

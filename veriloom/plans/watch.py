@@ -10,7 +10,7 @@ from veriloom.operators import governance as G
 from veriloom.operators import monitor as N
 from veriloom.plans import profiles as P
 from veriloom.plans.registry import query
-from veriloom.session import materialize, scratch_path, spread_rows
+from veriloom.session import materialize, scratch_path, spread_rows, stored
 
 
 def _r(df, *names, places=6):
@@ -103,6 +103,15 @@ def _(spark, sf):
     return _r(D.moments(*_event_sides(spark, sf), ["value"]), "mean_shift", "std_ratio")
 
 
+@query("drift_numeric_details", f"""with {KS}, {_psi_sql(20, '1e-10')},
+    s as (select avg(value) filter (where {REF}) as mr, stddev_samp(value) filter (where {REF}) as sr, avg(value) filter (where {NEW}) as mn, stddev_samp(value) filter (where {NEW}) as sn from events)
+    select 'value' as feature, tr::bigint as n_ref, tn::bigint as n_new, round(d, 5) as ks_statistic, round(p, 5) as p_value, round(psi, 5) as psi,
+      round(abs(mn - mr) / sr, 5) as mean_shift, round(sn / sr, 5) as std_ratio from kp, ps, s""")
+def _(spark, sf):
+    out = D.numeric_details(stored(D.histograms(*_event_sides(spark, sf), ["value"]), "histograms"))
+    return _r(out, "ks_statistic", "p_value", "psi", "mean_shift", "std_ratio", places=5)
+
+
 CAT = f"""c as (select event_type as value, count(*) filter (where {REF})::double as r, count(*) filter (where {NEW})::double as n from events group by 1),
     ct as (select sum(r) as tr, sum(n) as tn from c),
     cx as (select count(*) as k, sum((n - r / tr * tn) * (n - r / tr * tn) / (r / tr * tn)) as x, sum((n / tn - r / tr) * ln((n / tn) / (r / tr))) as psi from c, ct)"""
