@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from veriloom.plans import profiles as P
 from veriloom.plans.registry import query
 from veriloom.operators import quality
+from veriloom.operators.profile import ProfileStore
 from veriloom.session import scratch_path
 from veriloom.sources import combine, files, readers, sinks
 
@@ -234,6 +235,43 @@ def _(spark, sf):
                        *[F.round(c, 4).alias(c) for c in ("mean", "std", "min", "q25", "q50", "q75", "max")])
 
 
+PROFILED = {"o_orderkey": "bigint", "o_custkey": "bigint", "o_orderstatus": "string", "o_totalprice": "double", "o_orderdate": None, "o_orderpriority": "string"}
+
+
+def _profile_sql(column, kind):
+    number, text = kind in ("bigint", "double"), kind == "string"
+    measures = {"mean": f"round(avg({column}), 4)", "std": f"round(stddev_samp({column}), 4)", "min": f"min({column})::double", "max": f"max({column})::double"}
+    lengths = {"avg_length": f"round(avg(length({column})), 4)", "min_length": f"min(length({column}))::int", "max_length": f"max(length({column}))::int"}
+    return f"""select '{column}' as feature, count(*) as rows, count(*) - count({column}) as missing, count(distinct {column}) as distinct_values,
+      (select count(*) from (select 1 from orders where {column} is not null group by {column} having count(*) = 1) x) as once,
+      {", ".join(f"{e if number else 'null::double'} as {n}" for n, e in measures.items())},
+      {", ".join(f"{e if text else 'null::' + ('double' if n == 'avg_length' else 'int')} as {n}" for n, e in lengths.items())} from orders"""
+
+
+@query("src_profile_merged", " union all ".join(_profile_sql(c, k) for c, k in PROFILED.items()))
+def _(spark, sf):
+    """All columns of the orders, profiled in three loads and merged."""
+    store = ProfileStore(spark, scratch_path(spark, "profile"))
+    orders = P.table(spark, sf, "orders")
+    for i in range(3):
+        store.add(f"load{i}", orders.where(F.pmod("o_orderkey", F.lit(3)) == i))
+    out = store.profile()
+    return out.select("feature", "rows", "missing", "distinct_values", "once", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"), "min", "max",
+                      F.round("avg_length", 4).alias("avg_length"), "min_length", "max_length")
+
+
+@query("dq_duplicates_merged", """
+    select count(*) as rows, (select count(*) from (select distinct text, lang, source from documents) d) as distinct_rows,
+      count(*) - (select count(*) from (select distinct text, lang, source from documents) d) as duplicate_rows from documents""")
+def _(spark, sf):
+    """Rows of documents that occur before, over two loads, without moving a text."""
+    store = ProfileStore(spark, scratch_path(spark, "profile"))
+    docs = P.documents(spark, sf)
+    for i in range(2):
+        store.add(f"load{i}", docs.where(F.pmod("doc_id", F.lit(2)) == i), ["text", "lang", "source"])
+    return store.duplicates()
+
+
 @query("src_table_schema", """
     select * from (values (1, 'event_id', 'bigint'), (2, 'ts', 'timestamp_ntz'), (3, 'user_id', 'bigint'),
       (4, 'event_type', 'string'), (5, 'value', 'double'), (6, 'props', 'string')) s(position, column_name, data_type),
