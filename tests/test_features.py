@@ -264,3 +264,18 @@ def test_feature_stage_keeps_the_statistics_of_its_fit(spark, tmp_path):
     assert alone.first()["composite_risk_score"] == pytest.approx(0.48)
     empty = FeatureStage(age="age").fit(fitted_on.limit(0)).transform(new)
     assert rows(empty.select("id", "fraud_risk_score", "above_usual"), "id")[0] == (1, 0.0, None)
+
+
+@pytest.mark.parametrize("selection", ["f", "mi"])
+def test_interactions_and_selection_are_fitted_saved_and_applied(spark, tmp_path, selection):
+    """The label is the sign of a product that only the interaction shows; unseen rows get the same columns."""
+    rows_ = [(i, float(i % 9 - 4), float((i * 7) % 11 - 5), float((i * 5) % 13), 0.0, "ab"[i % 2]) for i in range(400)]
+    df = spark.createDataFrame(rows_, "id int, a double, b double, noise double, flat double, c string").withColumn("y", (F.col("a") * F.col("b") > 0).cast("int"))
+    fitted = R.Preprocessor("id", "2024-01-01", label="y", interactions=[("a", "b"), ("a", "flat")], select=2, selection=selection).fit(df)
+    fitted.save(spark, str(tmp_path / "p"))
+    loaded = R.FittedPreprocessor.load(spark, str(tmp_path / "p"))
+    assert fitted.plan["interactions"] == [["a", "b"]]  # flat is constant and dropped
+    best = loaded.importance().orderBy(F.desc("importance")).first()
+    assert best["feature"] == "a_x_b" and best["selected"] and loaded.importance().where("selected").count() == 2
+    out = loaded.transform(df.limit(50))
+    assert out.columns[:2] == ["id", "y"] and len(out.columns) == 4 and "a_x_b" in out.columns and out.count() == 50

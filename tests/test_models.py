@@ -305,3 +305,14 @@ def test_report_rows_for_features_without_values_and_several_kinds(spark):
     assert {k: both[k] for k in ("n_ref", "n_new", "ks_statistic", "p_value", "psi")} == {k: alone[k] for k in ("n_ref", "n_new", "ks_statistic", "p_value", "psi")}
     js = D.text_divergence(ref, new, "t").first()["js_divergence"] / D.JS_LIMIT
     assert got["t", "text"]["drift_score"] == pytest.approx(max(js, D.text_length_shift(ref, new, "t").first()["length_shift"] / D.LENGTH_LIMIT))
+
+
+def test_security_rules(spark):
+    at = datetime(2024, 1, 1)
+    events = [(i, at + timedelta(seconds=40 * i), "u", "x", i < 7, 0, False) for i in range(9)]  # seven failures within five minutes
+    events += [(20, at, "v", "y", True, 10_001, False), (21, at, None, "y", True, 10_000, True), (22, at, "w", None, None, None, None)]
+    events += [(100 + i, at + timedelta(milliseconds=i), "z", "many", False, 1, False) for i in range(1002)]
+    df = spark.createDataFrame(events, "id int, ts timestamp, user string, ip string, bad boolean, n int, admin boolean")
+    got = {(r["rule"], r["id"], r["observed"]) for r in N.security_alerts(df, "id", "ts", "user", "ip", F.col("bad"), F.col("n"), F.col("admin")).collect()}
+    assert got == {("Unauthorized Access Attempt", 5, 6), ("Unauthorized Access Attempt", 6, 7), ("Suspicious API Usage", 1100, 1001),
+                   ("Suspicious API Usage", 1101, 1002), ("Data Breach Indicator", 20, 10_001), ("Privilege Escalation", 21, 1)}

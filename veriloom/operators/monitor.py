@@ -303,6 +303,32 @@ def rate_anomalies(events: DataFrame, user: str, ts: str, row_key: str, minutes:
     return counted.where(F.col("recent") > limit)
 
 
+# The security rules, as (rule, severity, minutes, limit); without minutes the limit is one event's.
+SECURITY = {"failed": ("Unauthorized Access Attempt", "high", 5, 5), "rate": ("Suspicious API Usage", "medium", 1, 1000),
+            "bulk": ("Data Breach Indicator", "critical", None, 10_000), "role": ("Privilege Escalation", "critical", None, 0)}
+
+
+def security_alerts(events: DataFrame, row_key: str, ts: str, user: str, address: str, failed: Column, records: Column, escalated: Column,
+                    rules: dict[str, tuple] = SECURITY) -> DataFrame:
+    """(row key, rule, severity, actor, observed): events at which a rule fires.
+
+    More failed attempts of a user, or requests from an address, than the limit in the trailing minutes, reads of more records
+    than the limit, and changes to a role with all rights. An event may break several rules. Unknown users and addresses break no rate rule; null conditions do not hold.
+    """
+    def row(df: DataFrame, kind: str, actor: str, observed: Column) -> DataFrame:
+        rule, severity, *_ = rules[kind]
+        return df.select(row_key, F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), F.col(actor).cast("string").alias("actor"),
+                         observed.cast("long").alias("observed"))
+
+    def trailing(df: DataFrame, kind: str, actor: str) -> DataFrame:
+        known = df.where(F.col(actor).isNotNull()).select(row_key, ts, actor)
+        return row(rate_anomalies(known, actor, ts, row_key, *rules[kind][2:]), kind, actor, F.col("recent"))
+
+    bulk = row(events.where(records > rules["bulk"][3]), "bulk", user, records)
+    role = row(events.where(escalated), "role", user, F.lit(1))
+    return trailing(events.where(failed), "failed", user).unionAll(trailing(events, "rate", address)).unionAll(bulk).unionAll(role)
+
+
 def volume(df: DataFrame, ts: str, unit: str, high: Column, duration: str, limit: float, saving: str | None = None) -> DataFrame:
     """Volume, high-risk share, SLA share and savings per day or month, with the growth over the period before."""
     aggs = [F.count(F.lit(1)).alias("volume"), F.avg(F.when(high, 1.0).otherwise(0.0)).alias("high_share"),

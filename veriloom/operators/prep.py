@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from veriloom.functions.columns import at_least_one, missing, numeric_columns, right_closed_bin, string_columns
 from veriloom.functions.ordered import quantiles, row_numbers, running
 from veriloom.functions.skew import lookup_join
+from veriloom.operators.features import anova_f, mutual_information, top_features
 from veriloom.operators.knn import knn_impute  # noqa: F401  one of the imputers
 from veriloom.operators.quality import bounds_lookup, iqr_bounds, zscore_bounds
 from veriloom.session import stored
@@ -269,11 +270,20 @@ def apply_scaler(df: DataFrame, fitted: DataFrame, columns: Sequence[str], suffi
 
 # Default choices of the preprocessor.
 DEFAULTS = {"numeric": "median", "categorical": "mode", "scaling": "standard", "encoding": "onehot",
-            "sparse_limit": SPARSE_LIMIT, "max_categories": MAX_ONEHOT, "outliers": None}
+            "sparse_limit": SPARSE_LIMIT, "max_categories": MAX_ONEHOT, "outliers": None, "interactions": [], "select": None, "selection": "f"}
+
+
+def add_interactions(df: DataFrame, pairs: Sequence[Sequence[str]]) -> DataFrame:
+    """The product of each pair of columns, named a_x_b."""
+    return df.withColumns({f"{a}_x_{b}": F.col(a).cast("double") * F.col(b).cast("double") for a, b in pairs})
 
 
 class Preprocessor:
-    """clean, impute, date parts, bins, encode, scale; each step is fitted on the output of the one before."""
+    """clean, impute, date parts, bins, interactions, scale, encode, select; each step is fitted on the output of the one before.
+
+    ``interactions`` are pairs of numerical columns; a pair with a dropped column is left out. ``select`` keeps that many of the
+    features, those with the best ANOVA F (``selection="f"``) or mutual information ("mi") with the label, ties by name.
+    """
 
     def __init__(self, key: str, as_of: str, dates: Sequence[str] = (), label: str | None = None,
                  bins: dict | None = None, **config):
@@ -300,6 +310,8 @@ class Preprocessor:
         if plan["outliers"] == "cap":
             tables["bounds"] = outlier_bounds(filled, plan["numbers"])
             filled = cap_outliers(filled, plan["numbers"], tables["bounds"])
+        plan["interactions"] = [list(p) for p in plan["interactions"] if set(p) <= set(plan["numbers"])]
+        filled = add_interactions(filled, plan["interactions"])
         plan["encoded"] = {}
         for c in [*plan["texts"], *plan["bins"]]:
             values = categories(filled, c, plan["max_categories"])
@@ -313,6 +325,15 @@ class Preprocessor:
                 tables[f"label_{c}"] = fit_labels(filled, c)
         plan["scaled"] = [c for c in numeric_columns(filled) if c not in fixed]
         tables["scale"] = fit_scaler(filled, plan["scaled"], plan["scaling"])
+        if plan["select"] and plan["label"]:
+            whole = model.transform(df)
+            features = [c for c in numeric_columns(whole) if c not in fixed]
+            whole = stored(whole.select(plan["label"], *features), "features")
+            scores = {"f": anova_f, "mi": mutual_information}[plan["selection"]](whole, features, plan["label"])
+            tables["scores"] = stored(scores, "scores")
+            # one row per column
+            best = {r["feature"] for r in top_features(tables["scores"].where(F.col("score").isNotNull()), plan["select"]).collect()}
+            plan["selected"] = [c for c in features if c in best]
         return model
 
 
@@ -331,6 +352,7 @@ class FittedPreprocessor:
         out = self._derived(df)
         if "bounds" in self.tables:
             out = cap_outliers(out, p["numbers"], self.tables["bounds"])
+        out = add_interactions(out, p["interactions"])
         out = apply_scaler(out, self.tables["scale"], p["scaled"])
         for c, how in p["encoded"].items():
             if how[0] == "onehot":
@@ -339,8 +361,14 @@ class FittedPreprocessor:
                 out = target_encode(out, c, self.tables[f"target_{c}"], p["key"], "_e").drop(c).withColumnRenamed("_e", c)
             else:
                 out = label_encode(out, c, self.tables[f"label_{c}"], p["key"], "_e").drop(c).withColumnRenamed("_e", c)
+        if "selected" in p:
+            out = out.select(*[c for c in (p["key"], p["label"]) if c in out.columns], *p["selected"])
         return out
 
+    def importance(self) -> DataFrame:
+        """feature, importance, selected of the features that selection chose from."""
+        return self.tables["scores"].select("feature", F.col("score").alias("importance"), F.col("feature").isin(self.plan["selected"]).alias("selected"))
+
     def summary(self, spark: SparkSession) -> DataFrame:
         p = self.plan
         row = (len(p["drop"]), len(p["numbers"]), len(p["texts"]), p["scaling"], p["encoding"])

@@ -290,6 +290,29 @@ query("prep_scale_minmax", _scale_sql("min({c})", "(max({c}) - min({c}))::double
 query("prep_scale_robust", _scale_sql("quantile_cont({c}, 0.5)", "(quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25))"))(_scale("robust"))
 
 
+# The pairs that interact.
+PAIRS = [("claim_amount", "customer_age"), ("claim_amount", "policy_duration"), ("customer_age", "policy_duration")]
+
+
+@query("prep_interact_select", f"""
+    with c as (select (risk_level = 'high')::int as y, coalesce(claim_amount, (select median(claim_amount) from @claims m))::double as claim_amount, customer_age::double as customer_age, policy_duration::double as policy_duration from @claims c),
+    w as (select *, {", ".join(f"{a} * {b} as {a}_x_{b}" for a, b in PAIRS)} from c),
+    l as (unpivot w on columns(* exclude (y)) into name feature value v),
+    g as (select feature, y, count(*) as n, avg(v) as m, var_pop(v) as s from l group by 1, 2),
+    f as (select feature, (sum(n * (m - gm) * (m - gm)) / (count(*) - 1)) / (sum(n * s) / (sum(n) - count(*))) as score
+      from (select *, sum(n * m) over (partition by feature) / sum(n) over (partition by feature) as gm from g) q group by 1)
+    select feature, round(score, 3) as importance, row_number() over (order by score desc, feature) <= 3 as selected,
+      (select count(*) from orders) as rows_out, 5 as columns_out from f""")
+def _(spark, sf):
+    """Three of six features, products of two among them; what the fitted preprocessor gives has just these."""
+    df = P.claims(spark, sf, "claim_id", "claim_amount", "customer_age", "policy_duration", "risk_level")
+    df = df.withColumn("y", F.when(F.col("risk_level") == "high", 1).otherwise(0)).drop("risk_level")
+    fitted = R.Preprocessor("claim_id", P.AS_OF, label="y", interactions=PAIRS, select=3).fit(df)
+    out = fitted.transform(df)
+    return fitted.importance().select("feature", F.round("importance", 3).alias("importance"), "selected", out.agg(F.count("*")).scalar().alias("rows_out"),
+                                      F.lit(len(out.columns)).alias("columns_out"))
+
+
 @query("prep_preprocessor", """select claim_id, (risk_level = 'high')::int as y, true as finite_ok from @claims c""")
 def _(spark, sf):
     df = _gappy(spark, sf).withColumn("y", F.when(F.col("risk_level") == "high", 1).otherwise(0)).drop("risk_level", "customer_id")

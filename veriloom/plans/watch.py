@@ -432,6 +432,27 @@ def _(spark, sf):
     return N.rate_anomalies(P.events(spark, sf).select("event_id", "user_id", "ts"), "user_id", "ts", "event_id", 60, 1).drop("ts")
 
 
+def _trailing_sql(kind, actor, minutes, limit, where):
+    rule, severity, *_ = N.SECURITY[kind]
+    return f"""select event_id, '{rule}' as rule, '{severity}' as severity, {actor}::varchar as actor, n as observed from (select event_id, {actor}, count(*) over (
+      partition by {actor} order by ts range between interval '{minutes} minutes' preceding and current row)
+      - count(*) over (partition by {actor} order by ts range between interval '{minutes} minutes' preceding and interval '{minutes} minutes' preceding) as n
+      from events where {actor} is not null and {where}) q where n > {limit}"""
+
+
+# the events are too sparse for windows of minutes
+SECURITY = {"failed": (*N.SECURITY["failed"][:2], 20_160, 2), "rate": (*N.SECURITY["rate"][:2], 10_080, 4), "bulk": (*N.SECURITY["bulk"][:2], None, 15),
+            "role": N.SECURITY["role"]}
+
+
+@query("mon_security_rules", f"""{_trailing_sql('failed', 'user_id', 20160, 2, "event_type = 'error'")} union all {_trailing_sql('rate', 'user_id', 10080, 4, 'true')}
+    union all select event_id, '{N.SECURITY['bulk'][0]}', 'critical', user_id::varchar, floor(value)::bigint from events where floor(value) > 15
+    union all select event_id, '{N.SECURITY['role'][0]}', 'critical', user_id::varchar, 1 from events where event_type = 'signup'""")
+def _(spark, sf):
+    ev = P.events(spark, sf)
+    return N.security_alerts(ev, "event_id", "ts", "user_id", "user_id", F.col("event_type") == "error", F.floor("value"), F.col("event_type") == "signup", SECURITY)
+
+
 @query("mon_alert_group", """
     select event_type, date_trunc('hour', ts) as hour, count(*) as alerts, min(ts) as first_at, max(ts) as last_at from events where value > 15 group by 1, 2""")
 def _(spark, sf):
