@@ -75,6 +75,33 @@ def test_quality_sample_scores_80(faulty):
     assert len(report) == 4 and {r["quality_score"] for r in report} == {80.0}
 
 
+def test_assessment_reads_its_input_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+    data = [(i, i % 40, float(i % 7) if i % 3 else None, "x") for i in range(400)] + [(1000, 5, 1e6, None)] * 2
+    df = spark.createDataFrame(data, "claim_id long, customer_age int, amount double, note string").repartition(4)
+    found, total = Q.assess(df.mapInArrow(count, df.schema))
+    got = {(r["issue"], r["feature"]): r["affected"] for r in found.collect()}
+    assert (total, seen.value) == (402, 402)
+    assert got[("duplicate_rows", None)] == 1 and got[("duplicate_ids", "claim_id")] == 1 and got[("missing", "amount")] == 134
+    assert Q.score(found, F.lit(total)).first()["total_issues"] == len(got)
+
+
+def test_assessment_of_nothing(spark):
+    found, total = Q.assess(spark.createDataFrame([], "claim_id long, x double, t string"))
+    assert total == 0 and found.count() == 0
+
+
+def test_duplicate_rows_by_digest(spark):
+    data = [("ab", "c", None), ("a", "bc", None), (None, "abc", b"c"), ("abc", None, b"c"), ("a", "bc", None), ("-", None, None), (None, "-", None)]
+    r = Q.duplicate_rows(spark.createDataFrame(data, "a string, b string, c binary")).first()
+    assert (r["rows"], r["duplicates"]) == (7, 1)
+
+
 def test_report_without_issues_keeps_one_row(spark):
     r = Q.report(spark.createDataFrame([(1.0,), (2.0,)], "x double"), "clean").collect()
     assert len(r) == 1 and r[0]["severity"] is None and r[0]["quality_score"] == 100.0

@@ -32,6 +32,18 @@ def _digest(df: DataFrame, c: str) -> Column:
     return F.unhex(F.md5(value if isinstance(kind, T.BinaryType) else value.cast("string")))
 
 
+def row_digest(df: DataFrame, columns: Sequence[str] | None = None) -> Column:
+    """128 bits of a whole row. Missing values are equal to each other and to nothing else; values carry their lengths, so none runs into the next."""
+    parts = []
+    for c in columns or df.columns:
+        kind, value = df.schema[c].dataType, _known(df, c)
+        if isinstance(kind, (T.ArrayType, T.StructType, T.MapType)):
+            value = F.when(value.isNotNull(), F.to_json(F.struct(value.alias("v"))))
+        text = F.hex(value) if isinstance(kind, T.BinaryType) else value.cast("string")
+        parts.append(F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-")))
+    return F.unhex(F.md5(F.concat(*parts)))
+
+
 def summaries(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """One row per column with what can be merged: counts, moments, ends, lengths, and sketches of quantiles and distinct values.
 

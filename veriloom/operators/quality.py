@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veriloom.functions.columns import is_number_text, missing, numeric_columns, ratio, string_columns, to_long
 from veriloom.functions.ordered import quantiles
-from veriloom.session import materialize
+from veriloom.operators.profile import row_digest
+from veriloom.session import Scratch, materialize, stored
 
 # Thresholds, weights and messages of the assessment.
 MISSING_LIMIT = 0.15
@@ -36,11 +37,18 @@ SCORE_MESSAGES = {
 
 def _long(df: DataFrame, columns: Sequence[str], measures: dict[str, "callable"]) -> DataFrame:
     """One aggregate over ``df``; one output row per column with the given measures and ``rows``."""
-    aggs = [F.count(F.lit(1)).alias("rows")]
-    aggs += [fn(c).alias(f"a{i}_{m}") for i, c in enumerate(columns) for m, fn in measures.items()]
+    return _unfold(df.agg(*_aggregates(columns, measures)), columns, measures)
+
+
+def _aggregates(columns: Sequence[str], measures: dict[str, "callable"]) -> list[Column]:
+    return [F.count(F.lit(1)).alias("rows"),
+            *[fn(c).alias(f"a{i}_{m}") for i, c in enumerate(columns) for m, fn in measures.items()]]
+
+
+def _unfold(row: DataFrame, columns: Sequence[str], measures: dict[str, "callable"]) -> DataFrame:
     rows = F.array(*[F.struct(F.lit(c).alias("feature"), *[F.col(f"a{i}_{m}").alias(m) for m in measures])
                      for i, c in enumerate(columns)])
-    return df.agg(*aggs).select(F.inline(rows), "rows")
+    return row.select(F.inline(rows), "rows")
 
 
 def missing_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -65,8 +73,15 @@ def missing_summary(df: DataFrame) -> DataFrame:
 
 
 def duplicate_rows(df: DataFrame, limit: float = DUPLICATE_LIMIT) -> DataFrame:
-    """Rows beyond the first of each distinct row; nulls are equal."""
-    groups = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
+    """Rows beyond the first of each distinct row; nulls are equal, and NaN counts as null.
+
+    Rows are told apart by 128-bit digests, so no value is a shuffle key.
+    """
+    return _duplicate_digests(df.select(row_digest(df).alias("_row")), limit)
+
+
+def _duplicate_digests(digests: DataFrame, limit: float) -> DataFrame:
+    groups = digests.groupBy("_row").agg(F.count(F.lit(1)).alias("_n"))
     pct = ratio(F.col("duplicates"), F.col("rows")) * 100
     return (groups.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"),
                        F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicates"))
@@ -225,6 +240,28 @@ def _issue(severity, category: str, name: str, affected) -> list[Column]:
 
 def issues(df: DataFrame, ids: Sequence[str] | None = None, method: str = "IQR") -> DataFrame:
     """All issues found: severity, category, issue, feature, affected."""
+    return assess(df, ids, method)[0]
+
+
+def assess(df: DataFrame, ids: Sequence[str] | None = None, method: str = "IQR") -> tuple[DataFrame, int]:
+    """The issues of ``df`` (a few rows per column, stored) and its number of rows.
+
+    ``df`` is read once. That pass writes the numbers, the ids and a digest of
+    each row, and counts all that single rows show as observed metrics on the
+    way. Duplicates and outliers then read the columns they need of the written
+    table, which is deleted in the end. An empty table has no issues.
+    """
+    scratch = Scratch()
+    try:
+        with scratch:
+            found, rows = _assess(df, list(ids if ids is not None else id_columns(df)), method)
+            found = materialize(found)
+    finally:
+        scratch.remove(df.sparkSession)
+    return found, rows
+
+
+def _assess(df: DataFrame, ids: list[str], method: str) -> tuple[DataFrame, int]:
     numbers, texts = numeric_columns(df), string_columns(df)
     dates = [c for c in texts if "date" in c.lower() or "time" in c.lower()]
     measures = {
@@ -237,7 +274,12 @@ def issues(df: DataFrame, ids: Sequence[str] | None = None, method: str = "IQR")
                    if c in dates else F.lit(0),
     }
     never = F.col("feature").isin(negative_columns(df)) if negative_columns(df) else F.lit(False)
-    seen = _long(df, df.columns, measures)
+    counted = Observation()
+    narrow = stored(df.observe(counted, *_aggregates(df.columns, measures)).select(
+        row_digest(df).alias("_row"), *[c for c in df.columns if c in numbers or c in ids]), "assess")
+    row = counted.get
+    kinds = ", ".join(f"{name} long" for name in row)
+    seen = _unfold(df.sparkSession.createDataFrame([tuple(row.values())], kinds), df.columns, measures)  # a number per column and check
     pct = ratio(F.col("missing"), F.col("rows")) * 100
     none = F.lit(None).cast("string")
 
@@ -253,18 +295,17 @@ def issues(df: DataFrame, ids: Sequence[str] | None = None, method: str = "IQR")
         found("should_be_numeric", "format",
               F.when((F.col("filled") > 0) & (F.col("numeric") > 0.8 * F.col("filled")), "medium"), F.lit(0)),
         found("invalid_date_format", "format", F.when(F.col("undated") > 0, "medium"), F.lit(0)))).alias("i")).select("i.*")
-    dup = duplicate_rows(df).select(
+    dup = _duplicate_digests(narrow.select("_row"), DUPLICATE_LIMIT).select(
         F.col("severity"), F.lit("duplicates").alias("category"), F.lit("duplicate_rows").alias("issue"),
         none.alias("feature"), F.col("duplicates").cast("long").alias("affected"))
     parts = [one_pass, dup]
-    id_cols = list(ids if ids is not None else id_columns(df))
-    if id_cols:
-        parts.append(duplicate_ids(df, id_cols).select(
+    if ids:
+        parts.append(duplicate_ids(narrow, ids).select(
             *_issue(F.when(F.col("duplicates") > 0, "critical"), "duplicates", "duplicate_ids", F.col("duplicates"))))
     if numbers:
-        parts.append(outliers(df, numbers, method).select(
+        parts.append(outliers(narrow, numbers, method).select(
             *_issue(F.col("severity"), "outliers", "outliers", F.col("outliers"))))
-    return reduce(DataFrame.unionByName, parts).where(F.col("severity").isNotNull())
+    return reduce(DataFrame.unionByName, parts).where(F.col("severity").isNotNull()), row["rows"]
 
 
 def score(found: DataFrame, total: Column) -> DataFrame:
@@ -281,10 +322,6 @@ def score(found: DataFrame, total: Column) -> DataFrame:
                        "total_issues")
 
 
-def row_count(df: DataFrame) -> Column:
-    return df.agg(F.count(F.lit(1))).scalar()
-
-
 def recommendations(found: DataFrame, quality_score: Column) -> DataFrame:
     """One message per issue category present, and more for low scores."""
     message = F.create_map(*[F.lit(x) for kv in MESSAGES.items() for x in kv])
@@ -301,8 +338,8 @@ def report(df: DataFrame, name: str, ids: Sequence[str] | None = None) -> DataFr
 
     A data set without issues gives one row with a null severity.
     """
-    found = materialize(issues(df, ids))  # a few rows per column, read more than once below
-    total = row_count(df)
+    found, rows = assess(df, ids)
+    total = F.lit(rows).cast("long")
     overall = score(found, total).select("quality_score").scalar()
     nothing = found.agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") == 0).select(
         *[F.lit(None).cast(f.dataType).alias(f.name) for f in found.schema])

@@ -9,7 +9,6 @@ from veriloom.operators import schema as S
 from veriloom.operators.schema import FieldRule
 from veriloom.plans import profiles as P
 from veriloom.plans.registry import query
-from veriloom.session import materialize
 
 FAULTY_SCHEMA = (
     FieldRule("claim_id", "integer", min_value=0),
@@ -359,8 +358,8 @@ ISSUES_SQL = f"""
 
 @query("dq_score", f"with {ISSUES_SQL} select round(score, 6) as quality_score, k as total_issues from s")
 def _(spark, sf):
-    df = P.faulty(spark, sf)
-    return Q.score(Q.issues(df), Q.row_count(df)).withColumn("quality_score", F.round("quality_score", 6))
+    found, rows = Q.assess(P.faulty(spark, sf))
+    return Q.score(found, F.lit(rows)).withColumn("quality_score", F.round("quality_score", 6))
 
 
 @query("dq_recommendations", f"""
@@ -369,9 +368,8 @@ def _(spark, sf):
       {", ".join(f"('{c}', '{m}')" for c, m in Q.MESSAGES.items())}) v(category, m) using (category)
     union all select m from s, (values {", ".join(f"({c}, '{m}')" for c, m in Q.SCORE_MESSAGES.items())}) v(below, m) where score < below""")
 def _(spark, sf):
-    df = P.faulty(spark, sf)
-    found = materialize(Q.issues(df))
-    return Q.recommendations(found, Q.score(found, Q.row_count(df)).select("quality_score").scalar())
+    found, rows = Q.assess(P.faulty(spark, sf))
+    return Q.recommendations(found, Q.score(found, F.lit(rows)).select("quality_score").scalar())
 
 
 @query("dq_report", f"""
@@ -408,7 +406,8 @@ def _(spark, sf):
         F.min("claim_amount").alias("min_amount"), F.max("claim_amount").alias("max_amount"),
         F.min("customer_age").cast("double").alias("min_age"), F.max("customer_age").cast("double").alias("max_age"),
         (F.datediff(F.lit(P.AS_OF).cast("date"), oldest) / F.lit(365.25).cast("double")).alias("oldest_years"), F.count("*").cast("double").alias("records"))
-    overall = Q.score(Q.issues(df), Q.row_count(df)).select((F.col("quality_score") / 100).alias("quality_score"))
+    found, count = Q.assess(df)
+    overall = Q.score(found, F.lit(count)).select((F.col("quality_score") / 100).alias("quality_score"))
     rows = m.unpivot([], m.columns, "metric", "value").unionByName(overall.unpivot([], ["quality_score"], "metric", "value"))
     return S.threshold_gate(rows, GATE).withColumn("value", F.round("value", 6))
 
