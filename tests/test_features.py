@@ -279,3 +279,34 @@ def test_interactions_and_selection_are_fitted_saved_and_applied(spark, tmp_path
     assert best["feature"] == "a_x_b" and best["selected"] and loaded.importance().where("selected").count() == 2
     out = loaded.transform(df.limit(50))
     assert out.columns[:2] == ["id", "y"] and len(out.columns) == 4 and "a_x_b" in out.columns and out.count() == 50
+
+
+def test_modes_of_all_columns_in_one_scan(spark):
+    data = [(10, "b", 2.0, None), (9, "a", float("nan"), None), (9, "b", 2.0, None), (10, "a", None, None), (None, None, 1.5, None)]
+    df = spark.createDataFrame(data, "i int, s string, x double, z string")
+    assert {r["feature"]: r["value"] for r in R.modes(df, ["i", "s", "x", "z"]).collect()} == {"i": "9", "s": "a", "x": "2.0", "z": None}
+    assert R.modes(df, ["i", "s", "x", "z"])._jdf.queryExecution().optimizedPlan().toString().count("Generate inline(filter") == 1
+
+
+def test_categories_beyond_the_bound_are_refused(spark):
+    df = spark.range(30).withColumn("c", F.col("id").cast("string"))
+    with pytest.raises(ValueError, match="more than 20"):
+        R.categories(df, "c", bound=20)
+    assert len(R.categories(df, "c", bound=30)) == 30 and R.categories(df, "c", 5) is None
+
+
+def test_correlations_over_rows_that_know_both(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(1e6, 1.0, (300, 3))
+    x[:, 2] = x[:, 0] * 2 + rng.normal(0, 0.5, 300)
+    known = rng.random((300, 3)) > 0.2
+    data = [(*[float(v) if k else (None if i % 2 else float("nan")) for v, k in zip(row, ok)], 7.0, None) for i, (row, ok) in enumerate(zip(x, known))]
+    df = spark.createDataFrame(data, "a double, b double, c double, same double, none double").repartition(6)
+    got = {(r["feature_1"], r["feature_2"]): r["corr"] for r in E.correlations(df, df.columns).collect()}
+    assert len(got) == 10
+    for i, j, pair in ((0, 1, ("a", "b")), (0, 2, ("a", "c")), (1, 2, ("b", "c"))):
+        both = known[:, i] & known[:, j]
+        assert got[pair] == pytest.approx(np.corrcoef(x[both, i], x[both, j])[0, 1], abs=1e-9)
+    assert {v for k, v in got.items() if "same" in k or "none" in k} == {None}
+    assert {r["feature"] for r in E.correlated_features(df, df.columns, 0.9).collect()} == {"c"}
+    assert E.correlations(df.limit(0), df.columns).count() == 0

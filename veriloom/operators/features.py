@@ -6,6 +6,8 @@ from collections.abc import Sequence
 from functools import reduce
 from itertools import combinations, combinations_with_replacement
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -289,13 +291,45 @@ def importance(scores: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionAll, parts)
 
 
+def _gram_batches(batches, at: list[float]):
+    """Sums of one task over the rows that know both columns of a pair, as five square matrices in one row."""
+    p, total = len(at), None
+    for batch in batches:
+        x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns]) - at
+        known = ~np.isnan(x)
+        x, known = np.where(known, x, 0.0), known.astype(float)
+        part = np.stack([known.T @ known, x.T @ known, (x * x).T @ known, x.T @ x])
+        total = part if total is None else total + part
+    if total is not None:
+        row, col = np.triu_indices(p, 1)
+        n, s, q, xy = total
+        columns = [row, col, n[row, col], s[row, col], s[col, row], q[row, col], q[col, row], xy[row, col]]
+        names = ["i", "j", "n", "sx", "sy", "xx", "yy", "xy"]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k < 2 else pa.float64()) for k, c in enumerate(columns)], names=names)
+
+
 def correlations(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """All pairs of the listed columns (not of rows), one aggregate."""
-    pairs = list(combinations(features, 2))
-    row = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
-    out = F.array(*[F.struct(F.lit(a).alias("feature_1"), F.lit(b).alias("feature_2"), F.col(f"c{i}").alias("corr"))
-                    for i, (a, b) in enumerate(pairs)])
-    return row.select(F.inline(out))
+    """All pairs of the listed columns (not of rows), each over the rows that know both; null for a constant column.
+
+    Every task makes one Gram matrix of its rows, shifted by the columns' means,
+    and sends a row per pair, so the expressions do not grow with the number of
+    pairs. NaN and infinite values count as unknown; an empty table has no pairs.
+    """
+    def value(c: str) -> Column:
+        x = F.col(c).cast("double")
+        return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
+    columns = df.select(*[value(c).alias(f"x{i}") for i, c in enumerate(features)])
+    means = [m or 0.0 for m in columns.agg(*[F.avg(c) for c in columns.columns]).first()]
+    sums = (columns.mapInArrow(lambda it: _gram_batches(it, means), "i int, j int, " + ", ".join(f"{c} double" for c in ("n", "sx", "sy", "xx", "yy", "xy")))
+            .groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "xx", "yy", "xy")]))
+    n = F.nullif(F.col("n"), F.lit(0.0))
+    dx = F.col("xx") - F.col("sx") * F.col("sx") / n
+    dy = F.col("yy") - F.col("sy") * F.col("sy") / n
+    # what rounding leaves of a constant column is no variance
+    varies = (dx > F.lit(1e-13) * F.col("xx")) & (dy > F.lit(1e-13) * F.col("yy"))
+    corr = F.when(varies, (F.col("xy") - F.col("sx") * F.col("sy") / n) / F.sqrt(dx * dy))
+    names = F.array(*[F.lit(c) for c in features])
+    return sums.select(names[F.col("i")].alias("feature_1"), names[F.col("j")].alias("feature_2"), corr.alias("corr"))
 
 
 def correlated_features(df: DataFrame, features: Sequence[str], limit: float = CORRELATION_LIMIT) -> DataFrame:

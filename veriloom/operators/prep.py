@@ -30,6 +30,8 @@ AGE_BINS = ((0, 25, 35, 50, 65, INF), ("young", "adult", "middle_aged", "senior"
 DURATION_BINS = ((0, 6, 12, 24, INF), ("new", "short_term", "medium_term", "long_term"))
 SPARSE_LIMIT = 0.7
 MAX_ONEHOT = 10
+#: Columns that values may become without a limit given by the caller.
+MAX_COLUMNS = 10_000
 
 
 # ------------------------------------------------------------------ columns and rows
@@ -83,12 +85,22 @@ def filter_valid(df: DataFrame, amount: str, age: str, low: int = 18, high: int
 # ------------------------------------------------------------------ imputation
 
 def modes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """feature, most frequent value as text; ties go to the smallest value of the column's type."""
-    def one(c: str) -> DataFrame:
-        hist = df.where(~missing(df, c)).groupBy(F.col(c).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-        return hist.agg(F.min_by("v", F.struct(-F.col("n"), F.col("v"))).cast("string").alias("value")).select(
-            F.lit(c).alias("feature"), "value")
-    return reduce(DataFrame.unionAll, [one(c) for c in columns])
+    """feature, most frequent value as text; ties go to the smallest value of the column's type. All columns are counted in one scan.
+
+    A counted row holds the number of its column and that column's value in a
+    field of the column's type, the other fields being null.
+    """
+    slots = [f"_v{i}" for i in range(len(columns))]
+    entries = F.array(*[F.when(~missing(df, c), F.struct(F.lit(i).alias("_at"), *[
+        (F.col(c) if c == d else F.lit(None).cast(df.schema[d].dataType)).alias(v) for d, v in zip(columns, slots)]))
+        for i, c in enumerate(columns)])
+    hist = (df.select(F.inline(F.filter(entries, lambda e: e.isNotNull())))
+            .groupBy("_at", *slots).agg(F.count(F.lit(1)).alias("_n")))
+    top = hist.groupBy("_at").agg(*[F.min_by(v, F.struct(-F.col("_n"), F.col(v))).cast("string").alias(v) for v in slots])
+    rows = F.array(*[F.struct(F.lit(i).alias("_at"), F.lit(c).alias("feature")) for i, c in enumerate(columns)])
+    names = df.sparkSession.range(1).select(F.inline(rows))
+    # a column without values has a null; at most one row per column on both sides
+    return names.join(F.broadcast(top), "_at", "left").select("feature", F.coalesce(*slots).alias("value"))
 
 
 def fit_imputer(df: DataFrame, strategies: dict[str, object]) -> DataFrame:
@@ -190,11 +202,19 @@ def bucketize(df: DataFrame, bins: dict[str, tuple[str, tuple]]) -> DataFrame:
 
 # ------------------------------------------------------------------ encoding
 
-def categories(df: DataFrame, column: str, limit: int | None = None) -> list | None:
-    """Sorted values, each of which becomes a column; None if there are more than ``limit``."""
-    values = df.select(column).where(F.col(column).isNotNull()).distinct()
-    rows = (values if limit is None else values.limit(limit + 1)).collect()
-    return None if limit is not None and len(rows) > limit else sorted(r[0] for r in rows)
+def categories(df: DataFrame, column: str, limit: int | None = None, bound: int = MAX_COLUMNS) -> list | None:
+    """Sorted values, each of which becomes a column; None if there are more than ``limit``.
+
+    No more than ``bound`` values are taken to the driver; a column with more
+    of them is refused, not cut.
+    """
+    most = bound if limit is None else limit
+    rows = df.select(column).where(F.col(column).isNotNull()).distinct().limit(most + 1).collect()
+    if len(rows) <= most:
+        return sorted(r[0] for r in rows)
+    if limit is None:
+        raise ValueError(f"{column} has more than {bound} values; encode it by labels or targets, or raise the bound")
+    return None
 
 
 def encode_categories(df: DataFrame, column: str, row_key: str, limit: int = MAX_ONEHOT) -> DataFrame:
