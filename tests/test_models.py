@@ -316,3 +316,20 @@ def test_security_rules(spark):
     got = {(r["rule"], r["id"], r["observed"]) for r in N.security_alerts(df, "id", "ts", "user", "ip", F.col("bad"), F.col("n"), F.col("admin")).collect()}
     assert got == {("Unauthorized Access Attempt", 5, 6), ("Unauthorized Access Attempt", 6, 7), ("Suspicious API Usage", 1100, 1001),
                    ("Suspicious API Usage", 1101, 1002), ("Data Breach Indicator", 20, 10_001), ("Privilege Escalation", 21, 1)}
+
+
+def test_drift_by_period_equals_each_period_alone(spark):
+    rng = np.random.default_rng(8)
+    ref = spark.createDataFrame([(float(x), str(c)) for x, c in zip(rng.normal(0, 1, 2000), rng.choice(["a", "b", "c"], 2000))], "x double, c string")
+    data = [(d, float(x), str(c)) for d in range(4) for x, c in zip(rng.normal(d / 2, 1, 300), rng.choice(["a", "b", "z"][:2 + (d > 1)], 300))]
+    new = spark.createDataFrame(data + [(0, None, None), (1, float("nan"), "a"), (9, 0.1, "b"), (8, None, None)], "d int, x double, c string")
+    got = {(r["period"], r["feature"]): r for r in D.psi_by_period(ref, new, F.col("d"), ["x"], ["c"]).collect()}
+    assert set(got) == {(d, f) for d in (0, 1, 2, 3, 9) for f in ("x", "c")}
+    for d in (0, 1, 2, 3, 9):
+        part = new.where(F.col("d") == d)
+        want = D.psi_numeric(ref, part, ["x"]).first()["psi"], D.psi_categorical(D.category_sides(ref, part, ["c"])).first()["psi"]
+        assert (got[d, "x"]["psi"], got[d, "c"]["psi"]) == pytest.approx(want)
+    assert not got[9, "x"]["drift_detected"] and got[9, "x"]["psi"] > 0.2 and got[3, "x"]["drift_detected"] and got[3, "c"]["drift_detected"]
+    counts = {r["period"]: r["features_with_drift"] for r in D.features_with_drift(D.psi_by_period(ref, new, F.col("d"), ["x"], ["c"])).collect()}
+    assert counts == {d: sum(r["drift_detected"] for (e, _), r in got.items() if e == d) for d in (0, 1, 2, 3, 9)} and counts[3] == 2
+    assert D.psi_by_period(ref, new.limit(0), F.col("d"), ["x"], ["c"]).count() == 0

@@ -219,6 +219,58 @@ def category_changes(sides: DataFrame) -> DataFrame:
     return sides.select("feature", "value", change.alias("change")).where(F.col("change").isNotNull())
 
 
+# ------------------------------------------------------------------ over time
+
+def psi_by_period(ref: DataFrame, new: DataFrame, period: Column, numerical: Sequence[str] = (), categorical: Sequence[str] = (),
+                  bins: int = BINS, eps: float = EPS, min_samples: int = MIN_SAMPLES) -> DataFrame:
+    """period, feature, feature_type, n, psi, drift_detected: the drift of each period of the new rows from one reference.
+
+    The values of all features become cells (bins of the reference range, or
+    categories), counted in one scan of each side. The reference cells a period
+    has nothing in add a known amount each, so a period starts from the amount
+    of all of them and corrects it where it has rows: no period is combined with
+    the whole reference. Fewer than ``min_samples`` values show no drift. Nulls
+    and NaN are no values; a feature the reference has no values of is left out.
+    """
+    known = {c: F.nanvl(F.col(c).cast("double"), F.lit(None)) for c in numerical}
+    # two numbers per column
+    ends = ref.agg(*[e for i, c in enumerate(numerical) for e in (F.min(known[c]).alias(f"lo{i}"), F.max(known[c]).alias(f"hi{i}"))]).first() if numerical else {}
+
+    def cell(i: int, c: str) -> Column:
+        lo, hi = (F.lit(ends[f"{end}{i}"]).cast("double") for end in ("lo", "hi"))
+        place = F.least(F.floor(ratio(known[c] - lo, hi - lo) * bins), F.lit(bins - 1)).cast("string")
+        return F.when(known[c].between(lo, hi), place).when(known[c].isNotNull(), "outside")
+
+    def cells(df: DataFrame, by: list[Column]) -> DataFrame:
+        found = [F.struct(F.lit(c).alias("feature"), F.lit("numerical").alias("feature_type"), cell(i, c).alias("cell")) for i, c in enumerate(numerical)]
+        found += [F.struct(F.lit(c).alias("feature"), F.lit("categorical").alias("feature_type"), F.col(c).cast("string").alias("cell")) for c in categorical]
+        entries = F.filter(F.array(*found), lambda e: e["cell"].isNotNull())
+        flat = df.select(*by, F.inline(entries))
+        return flat.groupBy(*flat.columns).agg(F.count(F.lit(1)).alias("n"))
+
+    key = ["feature", "feature_type"]
+    base = cells(ref, [])
+    base = stored(base.join(F.broadcast(base.groupBy(*key).agg(F.sum("n").alias("_n"))), key)  # a row per column
+                  .select(*key, "cell", ratio(F.col("n"), F.col("_n")).alias("p")), "reference")
+    absent = _psi(F.col("p"), F.lit(0.0), eps)
+    start = base.groupBy(*key).agg(F.sum(absent).alias("start"))
+    here = stored(cells(new, [period.alias("period")]), "periods")
+    total = here.groupBy("period", *key).agg(F.sum("n").alias("total"))
+    q = ratio(F.col("n"), F.col("total"))
+    outside = (F.col("feature_type") == "numerical") & (F.col("cell") == "outside")
+    change = _psi(F.coalesce("p", F.lit(0.0)), q, eps) - F.when(F.col("p").isNotNull(), absent).otherwise(0.0)
+    moved = here.join(base, [*key, "cell"], "left").join(total, ["period", *key]).groupBy("period", *key).agg(
+        F.sum("n").alias("n"), F.sum(F.when(outside, 0.0).otherwise(change)).alias("change"))
+    psi = F.col("start") + F.col("change")
+    return moved.join(F.broadcast(start), key).select(  # a row per column
+        "period", *key, "n", psi.alias("psi"), ((psi > PSI_LIMIT) & (F.col("n") >= min_samples)).alias("drift_detected"))
+
+
+def features_with_drift(by_period: DataFrame) -> DataFrame:
+    """period, features_with_drift of ``psi_by_period``."""
+    return by_period.groupBy("period").agg(F.count_if("drift_detected").alias("features_with_drift"))
+
+
 # ------------------------------------------------------------------ text
 
 def text_length_shift(ref: DataFrame, new: DataFrame, column: str) -> DataFrame:

@@ -349,14 +349,55 @@ def _(spark, sf):
     return _r(_r(out, "avg_performance"), "overall_drift_score", places=5)
 
 
+# From this day on the new half of the events is shifted, so that there is drift to be found.
+SHIFT_TS = "2024-01-24"
+SHIFTED = {"value": "value * 3", "user_id": "user_id % 7", "event_type": "case when event_type = 'click' then 'tap' else event_type end"}
+SHIFTED_SQL = "(select ts, " + ", ".join(f"case when ts >= timestamp '{SHIFT_TS}' then {e} else {c} end as {c}" for c, e in SHIFTED.items()) + " from events)"
+
+
+def _psi_days_sql(bins: int = 20, eps: str = "1e-10::double") -> str:
+    ref, numbers = REF, ("value", "user_id")
+    ends = ", ".join(f"min({c}) filter (where {ref})::double as lo_{c}, max({c}) filter (where {ref})::double as hi_{c}" for c in numbers)
+    cell = "case when {c} between lo_{c} and hi_{c} then least(floor(({c} - lo_{c}) / (hi_{c} - lo_{c}) * {b}), {b} - 1)::int::varchar else 'outside' end"
+    parts = [f"select ts::date as day, {ref} as is_ref, '{c}' as feature, 'numerical' as feature_type, {cell.format(c=c, b=bins)} as cell from sh, en where {c} is not null" for c in numbers]
+    parts.append(f"select ts::date, {ref}, 'event_type', 'categorical', event_type from sh where event_type is not null")
+    return f"""sh as materialized (select * from {SHIFTED_SQL} s0), en as (select {ends} from sh), cl as materialized ({" union all ".join(parts)}),
+    rc as (select feature, cell, count(*)::double / sum(count(*)) over (partition by feature) as p from cl where is_ref group by 1, 2),
+    dt as (select day, feature, feature_type, count(*) as n from cl where not is_ref group by 1, 2, 3),
+    dc as (select day, feature, cell, count(*) as k from cl where not is_ref group by 1, 2, 3),
+    al as (select feature, cell from rc union select feature, cell from dc),
+    pd as (select day, feature, feature_type, n, sum((q - p) * ln(q / p)) as psi from (
+        select dt.*, coalesce(rc.p, {eps}) as p, coalesce(dc.k::double / dt.n, {eps}) as q
+        from dt join al using (feature) left join rc using (feature, cell) left join dc using (day, feature, cell)
+        where cell <> 'outside' and (rc.p is not null or dc.k is not null)) x group by 1, 2, 3, 4),
+    dd as (select *, psi > 0.2 and n >= 100 as drift_detected from pd)"""
+
+
+def _psi_days(spark, sf):
+    ev = P.events(spark, sf)
+    shifted = ev.select("ts", *[F.when(F.col("ts") >= N.at(SHIFT_TS), F.expr(e)).otherwise(F.col(c)).alias(c) for c, e in SHIFTED.items()])
+    cut = N.at(P.SPLIT_TS)
+    return D.psi_by_period(shifted.where(F.col("ts") < cut), shifted.where(F.col("ts") >= cut), N.day("ts"), ["value", "user_id"], ["event_type"])
+
+
+@query("drift_psi_by_day", f"with {_psi_days_sql()} select day, feature, feature_type, n, round(psi, 6) as psi, drift_detected from dd")
+def _(spark, sf):
+    return _r(_psi_days(spark, sf).withColumnRenamed("period", "day"), "psi")
+
+
 @query("mon_alert_rules", f"""
-    with m as (select ts::date as day, avg((y_true = y_pred)::int) as accuracy, avg(confidence) as avg_confidence from {SCORED} s group by 1)
+    with {_psi_days_sql()}, m as (select ts::date as day, avg((y_true = y_pred)::int) as accuracy, avg(confidence) as avg_confidence from {SCORED} s group by 1),
+    fd as (select day, (count(*) filter (where drift_detected))::double as k from dd group by 1)
     select day, 'accuracy' as metric, round(accuracy, 6) as value, 0.85::double as "limit", 'critical' as severity, 'performance_degradation' as alert from m where accuracy < 0.85
-    union all select day, 'avg_confidence', round(avg_confidence, 6), 0.7, 'warning', 'low_confidence' from m where avg_confidence < 0.7""")
+    union all select day, 'avg_confidence', round(avg_confidence, 6), 0.7, 'warning', 'low_confidence' from m where avg_confidence < 0.7
+    union all select day, 'features_with_drift', k, 3.0, 'warning', 'data_drift' from fd where k >= 3""")
 def _(spark, sf):
     daily = _scored(spark, sf).groupBy(N.day("ts").alias("day")).agg(
         F.avg((F.col("y_true") == F.col("y_pred")).cast("int")).alias("accuracy"), F.avg("confidence").alias("avg_confidence"))
-    return _r(N.alert_rules(daily.unpivot(["day"], ["accuracy", "avg_confidence"], "metric", "value")), "value")
+    drifted = D.features_with_drift(_psi_days(spark, sf)).select(
+        F.col("period").alias("day"), F.lit("features_with_drift").alias("metric"), F.col("features_with_drift").cast("double").alias("value"))
+    metrics = daily.unpivot(["day"], ["accuracy", "avg_confidence"], "metric", "value").unionByName(drifted)
+    return _r(N.alert_rules(metrics), "value")
 
 
 @query("mon_alert_sustained", """
