@@ -112,6 +112,23 @@ def test_late_rows_are_dropped(spark, feed):
     assert spark.read.parquet(feed.out).agg(F.sum("n")).first()[0] == 2
 
 
+def test_late_rows_are_kept_by_the_watermark(spark, feed, tmp_path):
+    batches = [(1, "a", 600, 1)], [(4, "a", 605, 1), (5, "a", 30, 1)], [(2, "a", 1, 1), (6, "a", 599, 1)], [(3, "a", 900, 1)], [(7, "a", 601, 1)], [(8, "a", 700, 1)]
+    stream = feed(*batches)
+    counts = stream.withWatermark("ts", "10 minutes").groupBy(F.window("ts", "1 hour")).agg(F.count("*").alias("n"))
+    S.run_to_table(counts.select("window.start", "n"), feed.out, feed.ckpt())
+    root = str(tmp_path / "late")
+    writer = S.late_writer(root, "ts", "1 hour", "10 minutes")
+    S.run_batches(stream, writer, str(tmp_path / "late-ckpt"))
+    late = {r["id"] for r in spark.read.parquet(f"{root}/late").collect()}
+    assert late == {2, 8}
+    # 3 is in a window that is still open; all other rows are in a closed one
+    assert spark.read.parquet(feed.out).agg(F.sum("n")).first()[0] == 9 - 1 - len(late) - 1
+    again = spark.createDataFrame([(8, "a", T0 + timedelta(minutes=700), 1.0)], SCHEMA)
+    writer(again, 5)
+    assert {r["id"] for r in spark.read.parquet(f"{root}/late").collect()} == late
+
+
 def test_sliding_equals_batch(spark, feed):
     data = [(i, "a", i * 13, i) for i in range(200)]
     stream = feed(data[:100], data[100:])

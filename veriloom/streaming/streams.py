@@ -104,6 +104,31 @@ def rate_alerts(df: DataFrame, ts: str, user: str, width: str, slide: str, delay
     return wide.where(F.col("n") > limit).select(user, F.col("window.start").alias("window_start"), "n")
 
 
+def late_writer(root: str, ts: str, width: str, delay: str) -> Callable[[DataFrame, int], None]:
+    """Keeps the rows that come after their window has been closed, which a windowed query over the same batches leaves out.
+
+    A batch is held against the newest time of the batches up to the one before
+    the last, less the delay, as Spark does with late rows: the watermark that
+    follows from a batch is the one by which the batch after the next is
+    filtered. The state is one time per
+    batch, of which a batch reads two. Late rows are under ``late``.
+    """
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        seen = [spark.read.parquet(batch_path(f"{root}/seen", n)).first()["seen"] if n >= 0 else None for n in (number - 2, number - 1)]
+        late = F.lit(False) if seen[0] is None else F.window(ts, width)["end"] <= F.lit(seen[0]) - F.expr(f"interval {delay}")
+        batch.persist()
+        try:
+            batch.where(late).write.mode("overwrite").parquet(batch_path(f"{root}/late", number))
+            newest = batch.agg(F.max(ts)).first()[0]
+        finally:
+            batch.unpersist()
+        times = [t for t in (seen[1], newest) if t is not None]
+        spark.createDataFrame([(max(times, default=None),)], "seen timestamp").coalesce(1).write.mode("overwrite").parquet(
+            batch_path(f"{root}/seen", number))
+    return write
+
+
 # ------------------------------------------------------------------ joins
 
 def label_join(predictions: DataFrame, outcomes: DataFrame, key: str, delay: str, within: str) -> DataFrame:
