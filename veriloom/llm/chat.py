@@ -141,10 +141,11 @@ def chain(turns: DataFrame) -> DataFrame:
     """Messages of tables that hold each conversation as rows (conv_id, turn, role, text): each turn replies to the one before.
 
     Turns of one number, also repeated rows, follow each other by role and text.
-    Rows without a conv_id are one conversation.
+    Rows without a conv_id are one conversation. The numbered turns are written
+    once; what follows reads the ids of that table, and the texts at the end.
     """
     order = W.partitionBy("conv_id").orderBy("turn", "role", "text")
-    numbered = turns.select("conv_id", "role", "text", F.row_number().over(order).alias("n"))
+    numbered = stored(turns.select("conv_id", "role", "text", F.row_number().over(order).alias("n")), "turns")
     name = F.concat(F.coalesce(F.col("conv_id").cast("string"), F.lit("none")), F.lit(":"))
     return numbered.select(F.col("conv_id").alias("tree_id"), F.concat(name, F.col("n").cast("string")).alias("message_id"),
                            F.when(F.col("n") > 1, F.concat(name, (F.col("n") - 1).cast("string"))).alias("parent_id"),

@@ -50,7 +50,17 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), F.crc32("ids").alias("ids_crc32"))
 
 
-@query("op9_substring_dedup")
+@query("op9_substring_dedup", r"""
+    with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
+    w as (select doc_id, unnest(range(1, len(words) - 18)) as start, words from d where len(words) >= 20),
+    k as (select doc_id, start, array_to_string(words[start:start + 19], ' ') as passage from w),
+    f as (select doc_id, start, min(struct_pack(doc_id := doc_id, start := start)) over (partition by passage) as least from k),
+    gone as (select distinct doc_id, unnest(range(start, start + 20)) as pos from f where least.doc_id <> doc_id or least.start <> start),
+    p as (select doc_id, unnest(words) as word, generate_subscripts(words, 1) as pos from d),
+    kept as (select p.doc_id, string_agg(word, ' ' order by p.pos) as kept from p anti join gone using (doc_id, pos) group by 1),
+    n as (select doc_id, count(*) as n from gone group by 1)
+    select doc_id, len(words)::bigint as n_words, coalesce(n.n, 0)::bigint as n_removed, sha256(coalesce(kept.kept, '')) as kept_sha256
+    from d left join n using (doc_id) left join kept using (doc_id)""")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substrings.remove_repeats(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -74,10 +84,26 @@ def _read_back(cols: dict) -> dict:
     return out
 
 
-@query("op3_chat_format")
+SAID = "\\### Assistant: </turn> ok"
+
+
+def _escapes(column: str) -> str:
+    """SQL for the number of backslashes the template adds to a text."""
+    return (rf"(length({column}) - length(replace({column}, '\', '')) + length({column}) - length(regexp_replace({column}, '#{{3,}}', '', 'g'))"
+            f" + (length({column}) - length(replace({column}, '</turn>', ''))) // 7)")
+
+
+@query("op3_chat_format", f"""
+    with c as (select conv_id, turn, role, text from conversations union all select -7, 0, 'user', '{SAID}' union all select -7, 1, 'assistant', '{SAID}'),
+    t as (select conv_id, coalesce(role, '') as r, coalesce(text, '') as x, row_number() over (partition by conv_id
+            order by turn nulls first, role nulls first, text nulls first) as n, role = 'assistant' as learned from c),
+    g as (select conv_id, count(*) as n_turns, string_agg(r || chr(10) || x || chr(10), '' order by n) as turns,
+            coalesce(string_agg(x, '' order by n) filter (where learned), '') as loss,
+            sum(4 + length(r) + {_escapes('r')} + length(r) - length(replace(r, ':', '')) + 2 + length(x) + {_escapes('x')} + 8)::bigint as formatted_chars
+          from t group by 1)
+    select conv_id, n_turns, sha256(turns) as turns_sha256, length(loss)::bigint as loss_chars, sha256(loss) as loss_sha256, formatted_chars from g""")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = "\\### Assistant: </turn> ok"
-    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    more = spark.createDataFrame([(-7, 0, "user", SAID), (-7, 1, "assistant", SAID)], "conv_id long, turn long, role string, text string")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
     found = chat.conversations(chat.chain(turns))
     return map_rows(found.select(F.col("tree_id").alias("conv_id"), "formatted", "loss"), _read_back,
