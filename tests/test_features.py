@@ -239,10 +239,11 @@ def test_vectors_in_the_row_equal_joined_counts(spark, monkeypatch):
 @pytest.mark.parametrize("limit", [8 << 20, -1])
 def test_lemmas_keep_token_order(spark, monkeypatch, limit):
     monkeypatch.setattr("veriloom.functions.skew.MAX_BROADCAST_BYTES", limit)
-    df = spark.createDataFrame([(1, ["cars", "hit", "cars"]), (2, [])], "id int, tok array<string>")
-    lemmas = spark.createDataFrame([("cars", "car")], "form string, lemma string")
-    got = dict(rows(X.lemmatize(df, "id", "tok", lemmas)))
-    assert got == {1: ["car", "hit", "car"], 2: []}
+    df = spark.createDataFrame([(1, ["cars", "hit", "cars"]), (2, []), (3, None), (4, ["cars", None])], "id int, tok array<string>")
+    lemmas = spark.createDataFrame([("cars", "car"), ("hit", None)], "form string, lemma string")
+    out = X.lemmatize(df, "id", "tok", lemmas)
+    assert dict(rows(out)) == {1: ["car", "hit", "car"], 2: [], 3: [], 4: ["car", None]}
+    assert ("Exchange" in out._jdf.queryExecution().executedPlan().toString()) == (limit < 0)
 
 
 def test_feature_stage_keeps_the_statistics_of_its_fit(spark, tmp_path):

@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from veriloom.functions import lexicon as L
 from veriloom.functions.columns import col
-from veriloom.functions.skew import lookup_join
+from veriloom.functions.skew import lookup_join, written_lookup
 from veriloom.session import stored
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need no copy of the library
@@ -32,6 +32,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need no c
 # Limits of words and of the vocabulary.
 MIN_WORD, MAX_WORD = 2, 20
 VOCABULARY, MIN_DF, MAX_DF = 5000, 2, 0.95
+#: Forms of a lemma table that goes to the tasks, if its files are small as well.
+MAX_LEMMAS = 200_000
 
 
 def expand_contractions(text: str | Column) -> Column:
@@ -67,9 +69,25 @@ def clean(text: str | Column, **options) -> Column:
 
 
 def lemmatize(df: DataFrame, key: str, token_column: str, lemmas: DataFrame) -> DataFrame:
-    """Replaces tokens by their lemma from a (form, lemma) table; the order of tokens stays."""
+    """Replaces tokens by their lemma from a (form, lemma) table with one row per form; the order of tokens stays, null becomes no token.
+
+    A table whose written size and rows are below their bounds goes to the tasks
+    and tokens are replaced inside the row. Beyond them tokens are joined to
+    the table one by one and put together again by ``key``, which then has to be unique.
+    """
+    table, small = written_lookup(lemmas.select("form", "lemma"))
+    rows = table.limit(MAX_LEMMAS + 1).collect() if small else []
+    if small and len(rows) <= MAX_LEMMAS:
+        known = df.sparkSession.sparkContext.broadcast({r["form"]: r["lemma"] for r in rows if r["lemma"] is not None})
+
+        @F.arrow_udf("array<string>")
+        def replaced(toks: pa.Array) -> pa.Array:
+            lemma = known.value
+            return pa.array([[lemma.get(w, w) for w in words or ()] for words in toks.to_pylist()], pa.list_(pa.string()))
+
+        return df.withColumn(token_column, replaced(token_column))
     words = df.select(key, F.posexplode(token_column).alias("_pos", "form"))
-    found = lookup_join(words, lemmas.select("form", "lemma"), ["form"], F.struct(key, "_pos"))
+    found = lookup_join(words, table, ["form"], F.struct(key, "_pos"))
     # one document's tokens
     done = found.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_pos", F.coalesce("lemma", "form").alias("w")))).alias("_w"))
     out = df.drop(token_column).join(done, key, "left")
