@@ -96,6 +96,25 @@ def test_assessment_of_nothing(spark):
     assert total == 0 and found.count() == 0
 
 
+def test_text_profile_takes_the_smallest_of_the_most_frequent(spark):
+    long = "x" * 40
+    data = [(long + "b", f"u{i}" if i else "é", long + str(i % 4), None) for i in range(12)] + [(long + "a", "z", "rare", None)] * 12 + [(None, None, None, None)]
+    df = spark.createDataFrame(data, "a string, b string, c string, d string").repartition(5)
+    got = {r["feature"]: r for r in Q.profile_text(df).collect()}
+    want = {}
+    for i, c in enumerate("abc"):
+        values = [r[i] for r in data if r[i] is not None]
+        top = max(values.count(v) for v in set(values))
+        want[c] = (len(values), len(set(values)), min(v for v in set(values) if values.count(v) == top), top, min(map(len, values)), max(map(len, values)))
+    assert {c: (r["non_null"], r["distinct_values"], r["most_frequent"], r["frequency"], r["min_length"], r["max_length"]) for c, r in got.items()} == want
+    assert want["a"][2] == long + "a"
+    once = Q.profile_text(df.where("b <> 'z'").select("b")).first()
+    assert (once["frequency"], once["most_frequent"]) == (1, "u1")
+    counts = {(r["feature"], r["value"]): r["n"] for r in Q.category_counts(df, limit=6).collect()}
+    assert counts[("a", long + "a")] == 12 and counts[("b", "(6 or more values)")] == 13 and counts[("c", "rare")] == 12 and len(counts) == 8
+    assert Q.category_counts(df.limit(0)).count() == 0 and Q.profile_text(df.limit(0)).count() == 0
+
+
 def test_duplicate_rows_by_digest(spark):
     data = [("ab", "c", None), ("a", "bc", None), (None, "abc", b"c"), ("abc", None, b"c"), ("a", "bc", None), ("-", None, None), (None, "-", None)]
     r = Q.duplicate_rows(spark.createDataFrame(data, "a string, b string, c binary")).first()

@@ -34,6 +34,9 @@ SCORE_MESSAGES = {
     50: "Review data sources and collection processes - significant quality issues detected",
 }
 
+#: Characters by which the most frequent values of a text column are narrowed down before they are compared whole.
+PREFIX = 32
+
 
 def _long(df: DataFrame, columns: Sequence[str], measures: dict[str, "callable"]) -> DataFrame:
     """One aggregate over ``df``; one output row per column with the given measures and ``rows``."""
@@ -205,25 +208,49 @@ def text_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
             .groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n")))
 
 
+def _text_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(feature, value, digest, prefix) of the string columns, a row per value."""
+    long = to_long(df, [], columns, as_type="string").where(F.col("value").isNotNull())
+    return long.withColumns({"digest": F.unhex(F.md5("value")), "prefix": F.substring("value", 1, PREFIX)})
+
+
 def profile_text(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Lengths, distinct values and the most frequent value (the smallest one among ties)."""
-    hist = text_counts(df, list(columns or string_columns(df))).withColumn("len", F.length("value"))
-    return hist.groupBy("feature").agg(
+    """Lengths, distinct values and the most frequent value (the smallest one among ties).
+
+    Values are counted by 128-bit digests, so no text is a shuffle key. Of the
+    values that occur most often those with the smallest beginning are looked
+    up in the data again, and each task gives out the smallest of them.
+    """
+    rows = _text_rows(df, list(columns or string_columns(df)))
+    hist = stored(rows.groupBy("feature", "digest").agg(
+        F.count(F.lit(1)).alias("n"), F.first(F.length("value")).alias("len"), F.first("prefix").alias("prefix")), "texts")
+    stats = hist.groupBy("feature").agg(
         F.sum("n").alias("non_null"), F.count(F.lit(1)).alias("distinct_values"),
         (F.sum(F.col("len") * F.col("n")) / F.sum("n")).alias("avg_length"),
-        F.min("len").alias("min_length"), F.max("len").alias("max_length"),
-        F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("most_frequent"),
-        F.max("n").alias("frequency"))
+        F.min("len").alias("min_length"), F.max("len").alias("max_length"), F.max("n").alias("frequency"))
+    # from here on a row per column, but for ``tied``
+    first = materialize(hist.join(F.broadcast(stats.select("feature", "frequency")), "feature").where(F.col("n") == F.col("frequency"))
+                        .groupBy("feature", "frequency").agg(F.min("prefix").alias("prefix")))
+    tied = hist.join(F.broadcast(first), ["feature", "prefix"]).where((F.col("n") == F.col("frequency")) & (F.col("frequency") > 1))
+    found = rows.join(F.broadcast(first), ["feature", "prefix"])
+    # if nothing occurs twice, all values tie and there is nothing to join
+    repeated = found.where(F.col("frequency") > 1).join(tied.select("feature", "digest"), ["feature", "digest"], "left_semi")
+    smallest = (found.where(F.col("frequency") == 1).select("feature", "value").unionAll(repeated.select("feature", "value"))
+                .groupBy("feature").agg(F.min("value").alias("most_frequent")))
+    return stats.join(F.broadcast(smallest), "feature").select(*stats.columns[:-1], "most_frequent", "frequency")
 
 
 def category_counts(df: DataFrame, columns: Sequence[str] | None = None, limit: int = MAX_CATEGORIES) -> DataFrame:
-    """Value counts of the columns with fewer than ``limit`` values; each other column has one row with the number of its values."""
+    """Value counts of the columns with fewer than ``limit`` values; each other column has one row with the number of its values.
+
+    Digests tell how many values a column has; only columns with few of them are grouped by value.
+    """
     names = list(columns or string_columns(df))
-    hist = text_counts(df, names)
-    sizes = hist.groupBy("feature").agg(F.count(F.lit(1)).alias("_d"))
-    few = F.broadcast(sizes.where(F.col("_d") < limit).select("feature"))  # a row per column
+    sizes = materialize(_text_rows(df, names).groupBy("feature", "digest").agg(F.count(F.lit(1)))
+                        .groupBy("feature").agg(F.count(F.lit(1)).alias("_d")))
+    few = {r["feature"] for r in sizes.where(F.col("_d") < limit).collect()}  # names of columns
     many = sizes.where(F.col("_d") >= limit).select("feature", F.lit(f"({limit} or more values)").alias("value"), F.col("_d").alias("n"))
-    return hist.join(few, "feature", "left_semi").select("feature", "value", "n").unionAll(many)
+    return text_counts(df, [c for c in names if c in few]).unionAll(many) if few else many
 
 
 def dataset_stats(df: DataFrame) -> DataFrame:
