@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from veriloom.plans import profiles as P
 from veriloom.plans.registry import query
+from veriloom.plans.watch import CAT, KS, NEW, REF, _psi_sql
 from veriloom.session import scratch_path
 from veriloom.streaming import streams as S
 
@@ -121,6 +122,7 @@ def _(spark, sf):
     return out.where("id >= 0").select("id", "ts", "outcome")
 
 
+REFERENCE_END = "2024-01-08"
 STEPS = (("2000-01-01", "2024-01-08"), ("2024-01-08", "2024-01-16"), ("2024-01-16", "2024-01-24"), ("2024-01-24", "2100-01-01"))
 
 
@@ -164,15 +166,23 @@ def _(spark, sf):
     return S.latest_counts(spark, root, "event_id")
 
 
-@query("st_drift_microbatch", """
-    select feature, feature_type, 4::bigint as batches, true as score_ok from (values ('value', 'numerical'), ('event_type', 'categorical')) v(feature, feature_type)""")
+def _step_drift_sql(number: int, start: str, end: str) -> str:
+    """The drift of one step against the reference, by the statements of the drift report on both sides put together."""
+    ctes = f"{KS}, {_psi_sql(20, '1e-10')}, {CAT}".replace(REF, "is_ref").replace(NEW, "not is_ref").replace("from events", "from sides")
+    return f"""select * from (with sides as (select *, true as is_ref from events where ts < timestamp '{REFERENCE_END}'
+        union all select *, false from events where ts >= timestamp '{start}' and ts < timestamp '{end}'), {ctes}
+      select {number} as batch, 'value' as feature, 'numerical' as feature_type, greatest(1 - p, psi / 0.2) as s, p < 0.05 or psi > 0.2 as drift_detected from kp, ps
+      union all select {number}, 'event_type', 'categorical', greatest(1 - exp(-x / 2) * (1 + x / 2), psi / 0.2), exp(-x / 2) * (1 + x / 2) < 0.05 or psi > 0.2 from cx)"""
+
+
+@query("st_drift_microbatch", "select batch::int as batch, feature, feature_type, round(s, 5) as drift_score, drift_detected, null::varchar as error from ("
+       + " union all ".join(_step_drift_sql(i, *step) for i, step in enumerate(STEPS)) + ") d")
 def _(spark, sf):
     root = scratch_path(spark, "st_drift")
-    reference = P.events(spark, sf).where(F.col("ts") < F.lit("2024-01-08").cast("timestamp_ntz"))
+    reference = P.events(spark, sf).where(F.col("ts") < F.lit(REFERENCE_END).cast("timestamp_ntz"))
     writer = S.drift_writer(reference, root, numerical=["value"], categorical=["event_type"])
     S.run_batches(_event_files(spark, sf, "st_drift_in"), writer, scratch_path(spark, "st_drift-ckpt"))
-    return spark.read.parquet(root).groupBy("feature", "feature_type").agg(
-        F.count("*").alias("batches"), F.bool_and((F.col("drift_score") >= 0) & F.col("error").isNull()).alias("score_ok"))
+    return spark.read.parquet(root).select("batch", "feature", "feature_type", F.round("drift_score", 5).alias("drift_score"), "drift_detected", "error")
 
 
 @query("st_alert_cooldown", """
