@@ -313,7 +313,29 @@ def _(spark, sf):
                                       F.lit(len(out.columns)).alias("columns_out"))
 
 
-@query("prep_preprocessor", """select claim_id, (risk_level = 'high')::int as y, true as finite_ok from @claims c""")
+PREPARED = ["claim_amount", "customer_age", "policy_duration", "claim_date_year", "claim_date_days_since"]
+
+
+def _prepared_sql() -> str:
+    """Imputed, capped and scaled numbers, label codes and some 0/1 columns, step by step."""
+    capped = PREPARED[:3]
+    median = ", ".join(f"coalesce({c}, (select quantile_cont({c}, 0.5) from g))::double as {c}" for c in capped)
+    mode = ", ".join(f"coalesce({c}, {MODE.format(c=c)}) as {c}" for c in ("claim_type", "location"))
+    ends = ", ".join(f"quantile_cont({c}, 0.25) as q1_{c}, quantile_cont({c}, 0.75) as q3_{c}" for c in capped)
+    cap = ", ".join(f"greatest(least({c}, q3_{c} + 1.5 * (q3_{c} - q1_{c})), q1_{c} - 1.5 * (q3_{c} - q1_{c})) as {c}" for c in capped)
+    moments = ", ".join(f"avg({c}) as m_{c}, stddev_pop({c}) as s_{c}" for c in PREPARED)
+    scaled = ", ".join(f"round(({c} - m_{c}) / s_{c}, 4) as {c}" for c in PREPARED)
+    return f"""with g as {GAPPY},
+        i as (select claim_id, (risk_level = 'high')::int as y, {median}, {mode}, year(claim_date)::double as claim_date_year,
+            date_diff('day', claim_date::date, date '{P.AS_OF}')::double as claim_date_days_since from g),
+        e as (select {ends} from i), c as (select i.* replace ({cap}) from i, e), m as (select {moments} from c),
+        l as (select location, (row_number() over (order by location) - 1)::int as code from (select distinct location from i) q)
+        select c.claim_id, y, {scaled}, code as location, (claim_type = '2-HIGH')::int::double as type_high,
+          (i0.age > 0 and i0.age <= 25)::int::double as young, true as finite_ok
+        from c join (select claim_id, customer_age as age from i) i0 using (claim_id) join l on l.location = c.location, m"""
+
+
+@query("prep_preprocessor", _prepared_sql())
 def _(spark, sf):
     df = _gappy(spark, sf).withColumn("y", F.when(F.col("risk_level") == "high", 1).otherwise(0)).drop("risk_level", "customer_id")
     fitted = R.Preprocessor("claim_id", P.AS_OF, dates=["claim_date"], label="y", bins=BINS, outliers="cap").fit(df)
@@ -322,4 +344,5 @@ def _(spark, sf):
     out = R.FittedPreprocessor.load(spark, path).transform(df)
     values = [c for c, t in out.dtypes if t == "double"]
     finite = [F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")) for c in values]
-    return out.select("claim_id", "y", reduce(lambda a, b: a & b, finite).alias("finite_ok"))
+    return out.select("claim_id", "y", *[F.round(c, 4).alias(c) for c in PREPARED], "location", F.col("`claim_type_2-HIGH`").alias("type_high"),
+                      F.col("age_group_young").alias("young"), reduce(lambda a, b: a & b, finite).alias("finite_ok"))
