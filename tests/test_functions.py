@@ -129,3 +129,21 @@ def test_small_lookups_leave_the_rows_where_they_are(spark, skewed):
     finally:
         spark.conf.set(key, before)
     assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text and "hashpartitioning" not in text
+
+
+def test_patterns_find_in_java_what_they_find_in_re2(spark):
+    import duckdb
+    from veriloom.functions import lexicon as L
+    from veriloom.operators import governance as G
+    from veriloom.operators import text as X
+
+    texts = ["euxréeau 243.12", "é 555-123-4567é", "ab\x0b1234 ab\t1234", "ſab 123 Ka-4567", "5:30\x0bpm 5:30 pm", "on 1/2/2024ü", "plain"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string").coalesce(1)
+    counts, masked = X.entity_counts(df, "text").orderBy("id").collect(), G.anonymize(df, "text").orderBy("id").collect()
+    for row, mask, text in zip(counts, masked, texts):
+        for name, pattern in L.ENTITIES.items():
+            assert row[name] == duckdb.execute("select len(regexp_extract_all(?, ?))", [text, f"(?i){pattern}"]).fetchone()[0], (name, text)
+        want = text
+        for pattern, by in G.MASKS:
+            want = duckdb.execute("select regexp_replace(?, ?, ?, 'g')", [want, f"(?i){pattern}", by]).fetchone()[0]
+        assert mask["text"] == want

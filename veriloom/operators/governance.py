@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veriloom.functions.lexicon import ENTITIES
+from veriloom.functions.lexicon import ENTITIES, as_re2
 
 # Patterns and masks, specific ones before amounts. An amount needs a digit here,
 # so that commas of the prose stay.
@@ -22,7 +22,7 @@ def pseudonymize(df: DataFrame, columns: list[str], salt: str) -> DataFrame:
 
 def anonymize(df: DataFrame, text: str) -> DataFrame:
     """Masks phone numbers, dates, times, plates and amounts in text."""
-    masked = reduce(lambda c, m: F.regexp_replace(c, f"(?i){m[0]}", m[1]), MASKS, F.col(text))
+    masked = reduce(lambda c, m: F.regexp_replace(c, as_re2(m[0]), m[1]), MASKS, F.col(text))
     return df.withColumn(text, masked)
 
 

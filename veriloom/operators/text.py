@@ -132,7 +132,7 @@ def keyword_mentions(df: DataFrame, text: str, keywords: dict[str, Sequence[str]
 
 
 def entity_counts(df: DataFrame, text: str, patterns: dict[str, str] | None = None) -> DataFrame:
-    return df.withColumns({n: F.regexp_count(F.col(text), F.lit(f"(?i){p}")) for n, p in (patterns or L.ENTITIES).items()})
+    return df.withColumns({n: F.regexp_count(F.col(text), F.lit(L.as_re2(p))) for n, p in (patterns or L.ENTITIES).items()})
 
 
 def sentiment(df: DataFrame, text: str) -> DataFrame:
