@@ -133,3 +133,15 @@ def test_a_function_that_raises_gives_a_failed_row(spark, tmp_path):
     assert wrong["processing_status"] == "error" and "2 values" in wrong["error_message"]
     (tmp_path / "none").mkdir()
     assert files.read_files(spark, str(tmp_path / "none"), rows_of, "a long, b long").count() == 0
+
+
+def test_a_folder_of_part_files_is_one_table(spark, tmp_path):
+    root = str(tmp_path / "sf0.1")
+    spark.range(0, 10, 1, 3).write.parquet(f"{root}/orders.parquet")
+    spark.range(4).withColumn("p", F.col("id") % 2).write.partitionBy("p").parquet(f"{root}/deep/parts.parquet")
+    spark.range(2).coalesce(1).write.csv(f"{root}/plain")
+    listing = readers.list_objects(spark, root, tables=True)
+    assert sorted(r["file_name"] for r in listing.where("extension = 'parquet'").collect()) == ["orders.parquet", "parts.parquet"]
+    assert listing.where("extension = 'csv'").count() == 1
+    assert listing.agg(F.sum("size")).first()[0] == readers.list_objects(spark, root).agg(F.sum("size")).first()[0]
+    assert [tuple(r) for r in readers.file_summary(spark.read.parquet(f"{root}/orders.parquet"), root).collect()] == [("orders.parquet", 10, 1)]

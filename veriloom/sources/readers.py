@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -87,13 +88,29 @@ def file_name(path: str = "path") -> Column:
     return F.regexp_extract(F.col(path), r"([^/]+)$", 1)
 
 
+def table_key(path: Column, root: str) -> Column:
+    """The file a path names or, of a part file, the outermost folder below ``root`` that has a readable extension."""
+    inner = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:", "", root).strip("/") + "/"
+    start = F.locate(inner, path)
+    skipped = F.when(start > 0, start + len(inner) - 1).otherwise(0)
+    below = F.substring(path, skipped + 1, F.length(path))
+    folder = F.regexp_extract(below, rf"^((?:[^/]*/)*?[^/]*\.(?i:{'|'.join(READABLE)}))/", 1)
+    return F.when(folder != "", F.concat(F.substring(path, F.lit(1), skipped), folder)).otherwise(path)
+
+
 def list_objects(spark: SparkSession, path: str, extensions: Sequence[str] | None = None,
-                 max_keys: int | None = None) -> DataFrame:
-    """Files below ``path``. The content column is never read."""
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-             .select(F.col("path").alias("key"), file_name().alias("file_name"),
-                     extension().alias("extension"), F.col("length").alias("size"),
-                     F.col("modificationTime").alias("last_modified")))
+                 max_keys: int | None = None, tables: bool = False) -> DataFrame:
+    """Files below ``path``. The content column is never read.
+
+    With ``tables`` a folder of part files that has a readable extension (``orders.parquet/``) is one
+    object, with the size of all its files and the time of the newest.
+    """
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length", "modificationTime")
+    if tables:
+        found = found.groupBy(table_key(F.col("path"), path).alias("path")).agg(F.sum("length").alias("length"), F.max("modificationTime").alias("modificationTime"))
+    files = found.select(F.col("path").alias("key"), file_name().alias("file_name"),
+                         extension().alias("extension"), F.col("length").alias("size"),
+                         F.col("modificationTime").alias("last_modified"))
     if extensions is not None:
         files = files.where(F.col("extension").isin([e.lower().lstrip(".") for e in extensions]))
     return files if max_keys is None else files.orderBy("key").limit(max_keys)
@@ -153,7 +170,8 @@ def route_formats(listing: DataFrame) -> DataFrame:
     })
 
 
-def file_summary(df: DataFrame) -> DataFrame:
-    """Rows and columns per source file of a structured read."""
-    return (df.groupBy(F.col("_metadata.file_name").alias("file_name"))
+def file_summary(df: DataFrame, root: str | None = None) -> DataFrame:
+    """Rows and columns per source file of a structured read, or per table below ``root`` if that is given."""
+    name = F.col("_metadata.file_name") if root is None else F.element_at(F.split(table_key(F.col("_metadata.file_path"), root), "/"), -1)
+    return (df.groupBy(name.alias("file_name"))
             .agg(F.count(F.lit(1)).alias("rows")).withColumn("columns", F.lit(len(df.columns))))
