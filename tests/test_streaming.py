@@ -141,3 +141,22 @@ def test_sliding_equals_batch(spark, feed):
         want = sum(start <= t < start + timedelta(hours=3) for t in times)
         assert got[start] == want
         start += timedelta(hours=1)
+
+
+def test_drift_steps_are_batches_however_their_files_lie(spark, tmp_path):
+    """Events sorted by time, in files that hold few of the steps: each step is written as another number of files."""
+    import os
+    import __spark_entry__ as entry
+    from oracle_check import TABLES, compare, connect
+
+    source = "/root/testdata/sf0.001"
+    if not os.path.isdir(source):
+        pytest.skip("test tables not present")
+    for t in TABLES:
+        if t != "events":
+            os.symlink(f"{source}/{t}.parquet", tmp_path / f"{t}.parquet")
+    events = spark.read.parquet(f"{source}/events.parquet")
+    events.repartitionByRange(7, "ts").sortWithinPartitions("ts").write.parquet(str(tmp_path / "events.parquet"))
+    sql = entry.oracle_sql()["st_drift_microbatch"]
+    con = connect(source)
+    assert compare(spark, con, str(tmp_path), entry.queries()["st_drift_microbatch"], sql) is None

@@ -145,6 +145,14 @@ def _event_files(spark, sf, name, steps=STEPS, closing=False):
     return S.event_time(S.file_stream(spark, root, ev.schema, files_per_batch=-(-files // (len(steps) + closing))))
 
 
+def _steps(spark, sf, name, steps=STEPS):
+    """The stream of the events after each step of time has been written; a run of it finds that step's files alone."""
+    root, ev = scratch_path(spark, name), P.events(spark, sf)
+    for a, b in steps:
+        ev.where((F.col("ts") >= F.lit(a).cast("timestamp_ntz")) & (F.col("ts") < F.lit(b).cast("timestamp_ntz"))).write.mode("append").parquet(root)
+        yield S.event_time(S.file_stream(spark, root, ev.schema))
+
+
 @query("st_recent_count", """
     select event_id, count(*) over (partition by user_id order by ts range between interval '6 days 23 hours 59 minutes 59.999999 seconds' preceding and current row)
       as recent_claims_count from events""")
@@ -178,10 +186,12 @@ def _step_drift_sql(number: int, start: str, end: str) -> str:
 @query("st_drift_microbatch", "select batch::int as batch, feature, feature_type, round(s, 5) as drift_score, drift_detected, null::varchar as error from ("
        + " union all ".join(_step_drift_sql(i, *step) for i, step in enumerate(STEPS)) + ") d")
 def _(spark, sf):
-    root = scratch_path(spark, "st_drift")
+    """Each step of time is one batch, in however many files it comes."""
+    root, ckpt = scratch_path(spark, "st_drift"), scratch_path(spark, "st_drift-ckpt")
     reference = P.events(spark, sf).where(F.col("ts") < F.lit(REFERENCE_END).cast("timestamp_ntz"))
     writer = S.drift_writer(reference, root, numerical=["value"], categorical=["event_type"])
-    S.run_batches(_event_files(spark, sf, "st_drift_in"), writer, scratch_path(spark, "st_drift-ckpt"))
+    for stream in _steps(spark, sf, "st_drift_in"):
+        S.run_batches(stream, writer, ckpt)
     return spark.read.parquet(root).select("batch", "feature", "feature_type", F.round("drift_score", 5).alias("drift_score"), "drift_detected", "error")
 
 
