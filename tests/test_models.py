@@ -333,3 +333,17 @@ def test_drift_by_period_equals_each_period_alone(spark):
     counts = {r["period"]: r["features_with_drift"] for r in D.features_with_drift(D.psi_by_period(ref, new, F.col("d"), ["x"], ["c"])).collect()}
     assert counts == {d: sum(r["drift_detected"] for (e, _), r in got.items() if e == d) for d in (0, 1, 2, 3, 9)} and counts[3] == 2
     assert D.psi_by_period(ref, new.limit(0), F.col("d"), ["x"], ["c"]).count() == 0
+
+
+def test_models_score_in_a_session_that_has_observed_a_metric(spark):
+    """A training summary holds the session, which no task can take once it keeps observations."""
+    from pyspark.sql import Observation
+
+    seen = Observation()
+    spark.range(3).observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    assert seen.get["n"] == 3
+    df = spark.range(40).select("id", (F.col("id") / 10.0).alias("x"), (F.col("id") >= 20).cast("double").alias("label"))
+    for model in (M.train_logistic(df, ["x"], "label"), M.train_forest(df, ["x"], "label", trees=3, depth=3),
+                  M.train_network(df, ["x"], "label", hidden=(4,), rounds=5)):
+        assert M.score(model, df).count() == 40
+        assert M.score(model, df).where("p_high between 0 and 1").count() == 40
