@@ -145,3 +145,11 @@ def test_a_folder_of_part_files_is_one_table(spark, tmp_path):
     assert listing.where("extension = 'csv'").count() == 1
     assert listing.agg(F.sum("size")).first()[0] == readers.list_objects(spark, root).agg(F.sum("size")).first()[0]
     assert [tuple(r) for r in readers.file_summary(spark.read.parquet(f"{root}/orders.parquet"), root).collect()] == [("orders.parquet", 10, 1)]
+
+
+def test_a_file_joined_from_parts_has_every_line_once(spark, tmp_path):
+    lines = spark.range(0, 1000, 1, 7).select(F.concat(F.lit("é line "), "id").alias("value"))
+    path = files.write_joined(lines, f"file:{tmp_path}/out")
+    assert [(k.rsplit("/", 1)[1], n) for k, n in files.list_files(str(tmp_path / "out"))] == [("joined.txt", sum(len(f"é line {i}".encode()) + 1 for i in range(1000)))]
+    assert (tmp_path / "out/joined.txt").read_text().splitlines() == [f"é line {i}" for i in range(1000)]
+    assert files.list_files(files.write_joined(lines.limit(0), str(tmp_path / "none"))) == [(str(tmp_path / "none/joined.txt"), 0)]

@@ -168,6 +168,44 @@ def read_files(spark: SparkSession, path: str, process: Process, schema: str, ex
     return spark.read.format("veriloom_files").load()
 
 
+def write_joined(df: DataFrame, path: str, name: str = "joined.txt") -> str:
+    """Writes a column of lines as one file of a folder: tasks write parts, then each part is put at its place in the file.
+
+    A part's place is the sum of the sizes before it, so a task that runs again writes the same bytes to the
+    same place, and no task holds more than a block or reads more than a part. The folder has to be one of a file system that
+    all executors share and that can be written at a place (a mounted one); elsewhere, one task writes the file.
+    """
+    import os
+
+    local = re.sub(r"^file:/*", "/", path)
+    if re.match(r"^[A-Za-z][A-Za-z0-9+.-]+:", local):
+        df.coalesce(1).write.text(path)
+        return path
+    df.write.text(f"{path}/_parts")
+    pieces, at = [], 0
+    for part, length in list_files(f"{local}/_parts", ["txt"]):
+        pieces.append((part, at, length))
+        at += length
+    target = os.path.join(local, name)
+    with open(target, "wb") as out:
+        out.truncate(at)
+
+    def place(batches):
+        for batch in batches:
+            for part, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                with open(part, "rb") as source, open(target, "r+b") as out:
+                    out.seek(start)
+                    while block := source.read(1 << 20):
+                        out.write(block)
+            yield batch
+
+    if pieces:
+        spark = df.sparkSession
+        parts = spark.createDataFrame(pieces, "part string, start long, length long")  # a row per part file
+        parts.repartitionByRange(min(len(pieces), 1000), "start").mapInArrow(place, parts.schema).write.format("noop").mode("overwrite").save()
+    return path
+
+
 def text_counts(key: str, start: int, data: bytes) -> list[tuple]:
     """(encoding_used, characters, words, line_ends) of a range: UTF-8, or Latin-1 where its bytes are not valid UTF-8."""
     try:
