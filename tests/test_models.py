@@ -347,3 +347,29 @@ def test_models_score_in_a_session_that_has_observed_a_metric(spark):
                   M.train_network(df, ["x"], "label", hidden=(4,), rounds=5)):
         assert M.score(model, df).count() == 40
         assert M.score(model, df).where("p_high between 0 and 1").count() == 40
+
+
+def _claims(spark):
+    return spark.range(400).select("id", (F.col("id") % 37).cast("double").alias("x"), (F.col("id") % 11).cast("double").alias("z"),
+                                   (F.col("id") % 37 > 18).cast("double").alias("label"))
+
+
+def _accuracy(scored):
+    hit = (F.col("predicted_risk") == F.when(F.col("label") == 1, "high").otherwise("low")).cast("double")
+    return scored.agg(F.avg(hit).alias("value")).select(F.lit("accuracy").alias("metric"), "value")
+
+
+def test_permuted_features_share_one_numbering_and_one_base_score(spark, monkeypatch):
+    df, numbered = _claims(spark), []
+    model = M.train_logistic(df, ["x", "z"], "label", rounds=5)
+    number = M.row_numbers
+    monkeypatch.setattr(M, "row_numbers", lambda *a: numbered.append(a[0].columns) or number(*a))
+    out = M.permutation_importance(model, df, ["x", "z"], "id", _accuracy)
+    assert len(numbered) == 3
+    drops = {r["feature"]: r["drop"] for r in out.collect()}
+    assert drops["x"] > 0.2 and abs(drops["z"]) < 0.1
+    # the drop of a feature is that of its own shuffled values
+    a = number(df.withColumn("_h", M.hashed("id")), [], ["_h", "id"], "_rn").drop("_h", "x")
+    b = number(df.select("id", "x").withColumn("_h", M.hashed("id", "x")), [], ["_h", "id"], "_rn").select("_rn", "x")
+    want = _accuracy(M.score(model, df)).first()["value"] - _accuracy(M.score(model, a.join(b, "_rn"))).first()["value"]
+    assert drops["x"] == pytest.approx(want)
