@@ -236,6 +236,35 @@ def test_vectors_in_the_row_equal_joined_counts(spark, monkeypatch):
     assert X.learn_vocabulary(df.limit(0), "t").count() == 0
 
 
+@pytest.mark.parametrize("most", [1 << 18, 3])
+def test_only_terms_of_frequent_words_are_counted_beyond_words(spark, monkeypatch, most):
+    monkeypatch.setattr(X, "MAX_NUMBERED", most)
+    whole, asked = X._all_terms, []
+    monkeypatch.setattr(X, "_all_terms", lambda toks, sizes: asked.append(list(sizes)) or whole(toks, sizes))
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, [f"w{int(w)}" for w in rng.zipf(1.6, rng.integers(0, 40)).clip(0, 90)]) for i in range(80)], "id int, tok array<string>").repartition(3)
+    counts = df.select("id", F.explode(X._ngrams(F.col("tok"), (1, 2))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    for size in (8, 40, 5000):
+        want = X.fit_vocabulary(counts, "id", size, documents=df)
+        learnt = X.learn_vocabulary(df, "tok", size)
+        assert rows(learnt.select("term", "df", "total", "idf"), "term") == rows(want.select("term", "df", "total", "idf"), "term")
+    assert ([1, 2] in asked) == (most == 3)
+
+
+def test_words_with_spaces_are_terms_as_any_other(spark):
+    df = spark.createDataFrame([(1, ["a b", "c"]), (2, ["a", "b", "a b"]), (3, None), (4, ["a", "b", "c"])], "id int, tok array<string>").coalesce(1)
+    learnt = X.learn_vocabulary(df, "tok", 100, max_df=1.0)
+    assert {r["term"]: (r["df"], r["total"]) for r in learnt.collect()} == {"a b": (3, 4), "a": (2, 2), "b": (2, 2), "c": (2, 2)}
+    got = {r["id"]: {t["term"]: t["tf"] for t in r["terms"]} for r in X.term_vectors(df, "tok", learnt).collect()}
+    assert got == {1: {"a b": 1, "c": 1}, 2: {"a": 1, "b": 1, "a b": 2}, 3: {}, 4: {"a": 1, "b": 1, "c": 1, "a b": 1}}
+
+
+def test_tokens_split_at_all_white_space_without_a_pass_for_runs(spark):
+    df = spark.createDataFrame([("\u3000 Can't\t\tstop,  the\x0b12big\u2003 a red.car \n",)], "t string")
+    assert df.select(X.tokens("t")).first()[0] == df.select(X.tokens("t", min_chars=0)).first()[0] == ["ca", "stop", "12big", "redcar"]
+    assert "regexp_replace" not in df.select(X.tokens("t"))._jdf.queryExecution().optimizedPlan().toString()
+
+
 @pytest.mark.parametrize("limit", [8 << 20, -1])
 def test_lemmas_keep_token_order(spark, monkeypatch, limit):
     monkeypatch.setattr("veriloom.functions.skew.MAX_BROADCAST_BYTES", limit)

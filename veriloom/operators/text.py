@@ -57,10 +57,12 @@ def once(value: Column, use) -> Column:
 def tokens(text: str | Column, drop_digits: bool = False, stopwords: Sequence[str] = tuple(L.STOPWORDS),
            min_chars: int | None = None, max_chars: int | None = None) -> Column:
     """Cleaned tokens in order, of whole texts unless limits are given."""
-    flat = normalized(text, min_chars, max_chars)
+    # empty words are dropped below, so only lengths need runs of white space as one
+    bare = min_chars is None and max_chars is None
+    flat = F.lower(expand_contractions(text)) if bare else normalized(text, min_chars, max_chars)
     if drop_digits:
         flat = F.regexp_replace(flat, r"\d+", "")
-    words = F.split(F.translate(flat, L.PUNCTUATION, ""), " ")
+    words = F.split(F.translate(flat, L.OTHER_SPACE + L.PUNCTUATION, " " * len(L.OTHER_SPACE)), " ")
     return F.filter(words, lambda w: F.length(w).between(MIN_WORD, MAX_WORD) & ~w.isin(list(stopwords)))
 
 
@@ -190,6 +192,8 @@ def fit_vocabulary(counts: DataFrame, key: str, size: int = VOCABULARY, min_df:
 
 #: Distinct terms a task holds before it passes their counts on.
 HELD_TERMS = 1 << 18
+#: Words that go to the tasks to number the n-grams made of them.
+MAX_NUMBERED = 1 << 18
 
 
 def _grams(toks, sizes: Sequence[int]) -> list[str]:
@@ -201,44 +205,136 @@ def _words(df: DataFrame, text: str) -> Column:
     return F.col(text) if isinstance(df.schema[text].dataType, T.ArrayType) else tokens(text)
 
 
+def _flat(column) -> tuple[pa.Array, np.ndarray]:
+    """The words of an Arrow array of lists one after another, and the row of each; null is empty."""
+    lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    return column.flatten().cast(pa.string()), np.repeat(np.arange(len(column), dtype=np.int64), lengths)
+
+
 def _token_lists(column) -> list:
     """An Arrow array of lists as Python lists, null as empty."""
-    flat, ends = column.flatten().to_pylist(), np.r_[0, np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))]
+    words, rows = _flat(column)
+    flat, ends = words.to_pylist(), np.searchsorted(rows, np.arange(len(column) + 1))
     return [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
 
 
+def _numbered(words: pa.Array, known: pa.Array) -> np.ndarray:
+    """The place of each word among the known ones, or -1."""
+    return pc.fill_null(pc.index_in(words, value_set=known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _coded(ids: np.ndarray, rows: np.ndarray, n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and code, the word numbers as digits to a base, of all n-grams of known words."""
+    m = max(len(ids) - n + 1, 0)
+    code, whole = np.zeros(m, dtype=np.int64), rows[:m] == rows[len(rows) - m:]
+    for i in range(n):
+        code = code * base + ids[i:i + m]
+        whole = whole & (ids[i:i + m] >= 0)
+    return rows[:m][whole], code[whole]
+
+
+def _counted(terms: pa.Array, rows: np.ndarray) -> pa.Table:
+    """term, df, total of the distinct terms of a batch."""
+    coded = terms.dictionary_encode()
+    at, n = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), len(coded.dictionary)
+    once_a_row = pc.unique(pa.array(rows * n + at)).to_numpy() % max(n, 1)
+    return pa.table({"term": coded.dictionary, "df": np.bincount(once_a_row, minlength=n).astype(np.int64), "total": np.bincount(at, minlength=n).astype(np.int64)})
+
+
+def _added_up(tables):
+    """Counts of many batches, summed as long as a task may hold their terms."""
+    held, size = [], 0
+    for table in tables:
+        held, size = [*held, table], size + len(table)
+        if size >= 4 * HELD_TERMS:
+            table = _sums(held)
+            held, size = [table], len(table)
+            if size >= HELD_TERMS:
+                yield from table.to_batches()
+                held, size = [], 0
+    if held:
+        yield from _sums(held).to_batches()
+
+
+def _sums(tables: list[pa.Table]) -> pa.Table:
+    added = pa.concat_tables(tables).group_by("term", use_threads=False).aggregate([("df", "sum"), ("total", "sum")])
+    return added.select(["term", "df_sum", "total_sum"]).rename_columns(["term", "df", "total"])
+
+
+def _all_terms(toks: DataFrame, sizes: Sequence[int]) -> DataFrame:
+    """term, df, total of every n-gram; the null term has the number of rows."""
+    def count(batches):
+        def tables():
+            for batch in batches:
+                yield pa.table({"term": pa.nulls(1, pa.string()), "df": [batch.num_rows], "total": [0]})
+                if list(sizes) == [1]:
+                    yield _counted(*_flat(batch.column(0)))
+                    continue
+                lists = [_grams(words, sizes) for words in _token_lists(batch.column(0))]
+                rows = np.repeat(np.arange(len(lists), dtype=np.int64), [len(g) for g in lists])
+                yield _counted(pa.array([g for grams in lists for g in grams], pa.string()), rows)
+        yield from _added_up(tables())
+
+    counted = toks.mapInArrow(count, "term string, df long, total long")
+    return stored(counted.groupBy("term").agg(F.sum("df").alias("df"), F.sum("total").alias("total")), "terms")
+
+
+def _grams_of(toks: DataFrame, words: list[str], n: int) -> DataFrame:
+    """term, df, total of the n-grams made of these words; no other one leaves its task, and they travel as numbers."""
+    spark, base = toks.sparkSession, len(words)
+    known = spark.sparkContext.broadcast(words)  # at most MAX_NUMBERED
+
+    def count(batches):
+        listed = pa.array(known.value, pa.string())
+
+        def tables():
+            for batch in batches:
+                flat, rows = _flat(batch.column(0))
+                rows, codes = _coded(_numbered(flat, listed), rows, n, base)
+                yield _counted(pa.array(codes), rows)
+        yield from _added_up(tables())
+
+    counted = toks.mapInArrow(count, "term long, df long, total long")
+    sums = counted.groupBy("term").agg(F.sum("df").alias("df"), F.sum("total").alias("total"))
+    names = F.broadcast(spark.createDataFrame(pa.table({"_at": pa.array(range(base), pa.int64()), "_word": pa.array(words, pa.string())})))
+    for i in range(n):
+        sums = sums.withColumn("_at", F.expr(f"(term div {base ** (n - 1 - i)}L) % {base}L")).join(names.withColumnRenamed("_word", f"_w{i}"), "_at").drop("_at")
+    return sums.select(F.concat_ws(" ", *[f"_w{i}" for i in range(n)]).alias("term"), "df", "total")
+
+
 def learn_vocabulary(df: DataFrame, text: str, size: int = VOCABULARY, min_df: int = MIN_DF, max_df: float = MAX_DF,
                      ngrams: Sequence[int] = (1, 2)) -> DataFrame:
-    """The vocabulary of ``fit_vocabulary``, from one pass over the documents: terms are counted in the task, only sums are shuffled.
+    """The vocabulary of ``fit_vocabulary``: terms are counted in the task, only sums are shuffled.
 
+    Words are counted first. If ``size`` of them are used ``least`` times or
+    more, then so is every longer term of the vocabulary, and each of its words
+    at least as often; only terms of such words are counted. Without single
+    words, or if too many are that frequent, all terms are counted.
     ``text`` names a text column or one of token arrays.
     """
-    sizes = list(ngrams)
-
-    def passed_on(held, used):
-        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64()),
-                                           pa.array([used[t] for t in held], pa.int64())], names=["term", "df", "total"])
-
-    def count(batches):
-        held, used = Counter(), Counter()
-        for batch in batches:
-            held[None] += batch.num_rows  # the row of no term counts documents
-            for words in _token_lists(batch.column(0)):
-                grams = _grams(words, sizes)
-                used.update(grams)
-                held.update(set(grams))
-            if len(held) >= HELD_TERMS:
-                yield passed_on(held, used)
-                held.clear(), used.clear()
-        if held:
-            yield passed_on(held, used)
-
-    counted = df.select(_words(df, text).alias("tok")).mapInArrow(count, "term string, df long, total long")
-    terms = stored(counted.groupBy("term").agg(F.sum("df").alias("df"), F.sum("total").alias("total")), "terms")
+    sizes, toks = list(ngrams), df.select(_words(df, text).alias("tok"))
+    if sizes != [1] and not isinstance(df.schema[text].dataType, T.ArrayType):
+        toks = stored(toks, "tokens")
+    terms = _all_terms(toks, [1] if 1 in sizes else sizes)
     n = terms.where("term is null").agg(F.coalesce(F.sum("df"), F.lit(0))).scalar()
-    kept = terms.where(F.col("term").isNotNull() & (F.col("df") >= min_df) & (F.col("df") <= n * F.lit(max_df).cast("double")))
+
+    def allowed(counts):
+        return counts.where(F.col("term").isNotNull() & (F.col("df") >= min_df) & (F.col("df") <= n * F.lit(max_df).cast("double")))
+
+    if 1 in sizes and len(sizes) > 1:
+        last = allowed(terms).orderBy(F.desc("total")).limit(size).agg(F.count("*").alias("n"), F.min("total").alias("total")).first()
+        least = last["total"] if last["n"] == size else 0
+        frequent = terms.where(F.col("term").isNotNull() & (F.col("df") >= min_df) & (F.col("total") >= least)).select("term").limit(MAX_NUMBERED + 1)
+        words = sorted(r["term"] for r in frequent.collect())
+        apart = terms.where(F.contains("term", F.lit(" "))).isEmpty()  # else a word may look like a longer term
+        if apart and len(words) <= MAX_NUMBERED and len(words) ** max(sizes) < 2 ** 63:
+            for length in sizes:
+                if length > 1 and words:
+                    terms = terms.unionByName(_grams_of(toks, words, length).where(F.col("total") >= least))
+        else:
+            terms = _all_terms(toks, sizes)
     idf = F.log((n + 1) / (F.col("df") + 1).cast("double")) + 1
-    return kept.orderBy(F.desc("total"), "term").limit(size).withColumn("idf", idf)
+    return allowed(terms).orderBy(F.desc("total"), "term").limit(size).withColumn("idf", idf)
 
 
 def term_vectors(df: DataFrame, text: str, vocabulary: DataFrame, name: str = "terms", ngrams: Sequence[int] = (1, 2)) -> DataFrame:
@@ -249,19 +345,38 @@ def term_vectors(df: DataFrame, text: str, vocabulary: DataFrame, name: str = "t
     sizes = list(ngrams)
     idf = df.sparkSession.sparkContext.broadcast({r["term"]: r["idf"] for r in vocabulary.collect()})  # at most the size asked for
 
+    def numbers(toks: pa.Array, known: dict, terms: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Row and term number of all terms of the vocabulary, repeats included."""
+        flat, rows = _flat(toks)
+        words = sorted({w for t in terms for w in t.split(" ")})
+        if len(words) ** max(sizes) >= 2 ** 63 or pc.any(pc.match_substring(flat, " ")).as_py():
+            place = {t: i for i, t in enumerate(terms)}
+            found = [[place[g] for g in _grams(words, sizes) if g in known] for words in _token_lists(toks)]
+            return np.repeat(np.arange(len(found), dtype=np.int64), [len(f) for f in found]), np.array([i for f in found for i in f], dtype=np.int64)
+        place, base = {w: i for i, w in enumerate(words)}, len(words)
+        ids, parts = _numbered(flat, pa.array(words, pa.string())), []
+        for n in sizes:
+            mine = sorted((reduce(lambda code, w: code * base + place[w], split, 0), i) for i, split in enumerate(t.split(" ") for t in terms) if len(split) == n)
+            if mine:
+                codes, at = (np.array(c, dtype=np.int64) for c in zip(*mine))
+                where, code = _coded(ids, rows, n, base)
+                near = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
+                hit = codes[near] == code
+                parts.append((where[hit], at[near[hit]]))
+        return tuple(np.concatenate([np.zeros(0, dtype=np.int64), *p]) for p in (zip(*parts) if parts else ((), ())))
+
     @F.arrow_udf("array<struct<term:string,tf:long,weight:double>>")
     def vectors(toks: pa.Array) -> pa.Array:
-        known, ends, terms, counts, weights = idf.value, [0], [], [], []
-        for words in _token_lists(toks):
-            mine = Counter(g for g in _grams(words, sizes) if g in known)
-            w = np.fromiter((n * known[t] for t, n in mine.items()), dtype=float, count=len(mine))
-            terms += mine
-            counts += mine.values()
-            weights.append(w / (np.sqrt((w * w).sum()) or 1.0))
-            ends.append(len(terms))
-        flat = pa.StructArray.from_arrays([pa.array(terms, pa.string()), pa.array(counts, pa.int64()), pa.array(np.concatenate(weights or [np.zeros(0)]))],
+        known = idf.value
+        terms = list(known)
+        rows, at = numbers(toks, known, terms)
+        both, counts = np.unique(rows * max(len(terms), 1) + at, return_counts=True)
+        rows, at = np.divmod(both, max(len(terms), 1))
+        w = counts * np.array([known[t] for t in terms], dtype=float)[at]
+        norm = np.sqrt(np.bincount(rows, w * w, minlength=len(toks)))
+        flat = pa.StructArray.from_arrays([pa.array(terms, pa.string()).take(pa.array(at)), pa.array(counts.astype(np.int64)), pa.array(w / np.where(norm > 0, norm, 1.0)[rows])],
                                           names=["term", "tf", "weight"])
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(rows, np.arange(len(toks) + 1)).astype(np.int32)), flat)
 
     return df.withColumn(name, vectors(_words(df, text)))
 

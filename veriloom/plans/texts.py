@@ -10,7 +10,7 @@ from veriloom.functions import lexicon as L
 from veriloom.operators import text as X
 from veriloom.plans import profiles as P
 from veriloom.plans.registry import query
-from veriloom.session import materialize, scratch_path, spread_rows
+from veriloom.session import materialize, scratch_path, spread_rows, stored
 
 
 def _docs(spark, sf):
@@ -105,7 +105,7 @@ TERMS = f"""t as (select doc_id, tok from {TOKENS} t1),
 
 def _vectors(spark, sf):
     """Documents with their terms, and no row moved: (doc_id, term, tf, weight)."""
-    docs = materialize(_docs(spark, sf).select("doc_id", X.tokens("text").alias("tok")))
+    docs = stored(_docs(spark, sf).select("doc_id", X.tokens("text").alias("tok")), "tokens")
     return X.term_vectors(docs, "tok", X.learn_vocabulary(docs, "tok")).select("doc_id", F.inline("terms"))
 
 
