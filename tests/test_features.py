@@ -259,6 +259,17 @@ def test_words_with_spaces_are_terms_as_any_other(spark):
     assert got == {1: {"a b": 1, "c": 1}, 2: {"a": 1, "b": 1, "a b": 2}, 3: {}, 4: {"a": 1, "b": 1, "c": 1, "a b": 1}}
 
 
+def test_topics_are_fitted_on_stored_counts_of_the_most_used_words(spark, monkeypatch):
+    kept, names = X.stored, []
+    monkeypatch.setattr(X, "stored", lambda df, name: names.append((name, df.columns)) or kept(df, name))
+    df = spark.createDataFrame([(i, ["b", "a", "d"] if i % 2 else ["c", "c", "b", "once" * (i == 0)]) for i in range(20)] + [(20, None)], "id int, tok array<string>")
+    model = X.fit_topics(df, "tok", topics=2, terms=2, max_iter=2)
+    assert model.stages[0].vocabulary == ["c", "a"]  # b is in too many rows, d is as frequent as a
+    assert ("counts", ["_counts"]) in names
+    shares = model.transform(df.where("tok is not null")).select(F.aggregate(X.vector_to_array("topics"), F.lit(0.0), lambda a, x: a + x).alias("s"))
+    assert all(abs(r["s"] - 1) < 1e-9 for r in shares.collect())
+
+
 def test_tokens_split_at_all_white_space_without_a_pass_for_runs(spark):
     df = spark.createDataFrame([("\u3000 Can't\t\tstop,  the\x0b12big\u2003 a red.car \n",)], "t string")
     assert df.select(X.tokens("t")).first()[0] == df.select(X.tokens("t", min_chars=0)).first()[0] == ["ca", "stop", "12big", "redcar"]
