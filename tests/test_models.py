@@ -373,3 +373,14 @@ def test_permuted_features_share_one_numbering_and_one_base_score(spark, monkeyp
     b = number(df.select("id", "x").withColumn("_h", M.hashed("id", "x")), [], ["_h", "id"], "_rn").select("_rn", "x")
     want = _accuracy(M.score(model, df)).first()["value"] - _accuracy(M.score(model, a.join(b, "_rn"))).first()["value"]
     assert drops["x"] == pytest.approx(want)
+
+
+def test_cross_validation_draws_its_folds_once(spark, monkeypatch):
+    drawn, kept = [], M.stored
+    monkeypatch.setattr(M, "stored", lambda df, name: drawn.append(name) or kept(df, name))
+    df = spark.createDataFrame([(i, float(i % 10), float(i % 10 > 4)) for i in range(200)], "id int, x double, label double")
+    out = M.cross_validate(df, lambda d: M.train_logistic(d, ["x"], "label", rounds=5), lambda s: s.agg(F.count("*").cast("double").alias("value")).withColumn("metric", F.lit("n")),
+                           "id", "label", folds=4, repeats=2)
+    got = {(r["repeat"], r["fold"], r["part"]): r["score"] for r in out.collect()}
+    assert got == {(r, f, p): n for r in range(2) for f in range(4) for p, n in (("train", 150.0), ("test", 50.0))}
+    assert drawn == ["folds", "folds"]
