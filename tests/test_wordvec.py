@@ -66,3 +66,16 @@ def test_a_task_holds_the_words_of_its_piece_only(spark, monkeypatch):
     sizes = [r["n"] for r in V._words_of(pieces).groupBy("_piece").agg(F.count("*").alias("n")).collect()]
     assert len(sizes) == 10 and max(sizes) < 4000
     assert X.fit_word2vec(wide, "tok", size=SIZE).vectors.count() == 10000
+
+
+def test_the_text_preprocessor_keeps_its_vectors_as_a_table(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "apples and plums ripen slowly" if i % 2 else "hammers and drills work quickly") for i in range(60)] + [(60, None)], "id long, text string")
+    fitted = X.TextPreprocessor("id", "text", w2v_size=SIZE, topics=2, lda_iter=2).fit(docs)
+    fitted.save(spark, str(tmp_path))
+    loaded = X.FittedTextPreprocessor.load(spark, str(tmp_path))
+    known = {r["word"]: np.array(r["v"]) for r in loaded.word2vec.vectors.collect()}
+    assert {"apples", "plums", "hammers"} <= set(known)
+    out = {r["id"]: r for r in loaded.transform(docs).collect()}
+    assert len(out) == 61 and not any(out[60][f"w2v_dim_{i}"] for i in range(SIZE))
+    words = docs.where("id = 1").select(X.tokens("text")).first()[0]
+    assert np.allclose([out[1][f"w2v_dim_{i}"] for i in range(SIZE)], sum(known[w] for w in words) / len(words), atol=1e-5)
