@@ -69,3 +69,18 @@ def test_texts_are_cut_only_on_demand(spark, limits, kept):
     df = spark.createDataFrame([("short", 0), ("words " * 2000, 1)], "t string, i int")
     got = [len(r["c"]) > 0 for r in df.select("i", X.clean("t", **limits).alias("c")).orderBy("i").collect()]
     assert got == kept
+
+
+def test_the_preprocessor_works_its_input_out_once(spark):
+    """Steps read what was written; the joins behind an input, and what they send to the driver, are not repeated for each."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    df = spark.range(50).selectExpr("id", "cast(id % 7 as double) as x", "concat('t', id % 3) as t", "cast(id % 2 as int) as y")
+    fitted = R.Preprocessor("id", "2001-01-01", label="y", outliers="cap").fit(df.mapInArrow(count, df.schema))
+    assert seen.value == 50
+    assert fitted.transform(df).count() == 50

@@ -311,6 +311,7 @@ class Preprocessor:
                      "bins": bins or {}}
 
     def fit(self, df: DataFrame) -> "FittedPreprocessor":
+        df = stored(df, "input")  # its joins run once, not for every step
         plan = dict(self.plan)
         fixed = [c for c in (plan["key"], plan["label"]) if c]
         body = df.drop(*fixed)
