@@ -1,6 +1,7 @@
 """Word vectors in pieces: every word has one, related words are near, and copies of a table need no more of a task."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,8 +63,8 @@ def test_a_task_holds_the_words_of_its_piece_only(spark, monkeypatch):
     """Ten thousand words in pieces of 2000 tokens: no group gets more words than its piece has tokens."""
     monkeypatch.setattr(V, "PIECE_TOKENS", 2000)
     wide = spark.range(1000).select(F.expr("transform(sequence(0, 19), i -> concat('w', cast((id * 20 + i) % 10000 as string)))").alias("tok"))
-    pieces = V._pieces(wide.withColumn("_row", F.monotonically_increasing_id()), "tok")
-    sizes = [r["n"] for r in V._words_of(pieces).groupBy("_piece").agg(F.count("*").alias("n")).collect()]
+    pieces = V.dealt(wide.withColumn("_row", F.monotonically_increasing_id()), "tok")
+    sizes = [r["n"] for r in V.words_of(pieces).groupBy("_piece").agg(F.count("*").alias("n")).collect()]
     assert len(sizes) == 10 and max(sizes) < 4000
     assert X.fit_word2vec(wide, "tok", size=SIZE).vectors.count() == 10000
 
@@ -79,3 +80,13 @@ def test_the_text_preprocessor_keeps_its_vectors_as_a_table(spark, tmp_path):
     assert len(out) == 61 and not any(out[60][f"w2v_dim_{i}"] for i in range(SIZE))
     words = docs.where("id = 1").select(X.tokens("text")).first()[0]
     assert np.allclose([out[1][f"w2v_dim_{i}"] for i in range(SIZE)], sum(known[w] for w in words) / len(words), atol=1e-5)
+
+
+def test_lemmas_are_replaced_a_whole_column_at_a_time(spark):
+    """Null tokens stay, null texts become empty, parts of a column are read at their place."""
+    column = pa.array([["x"], ["cats", None], None, [], ["bird", "cats"]], pa.list_(pa.string()))
+    forms, lemmas = pa.array(["cats"]), pa.array(["cat"])
+    want = [["x"], ["cat", None], [], [], ["bird", "cat"]]
+    assert X._replaced(column, forms, lemmas).to_pylist() == want
+    assert X._replaced(column.slice(1, 4), forms, lemmas).to_pylist() == want[1:]
+    assert X._replaced(column, pa.array([], pa.string()), pa.array([], pa.string())).to_pylist()[1] == ["cats", None]
