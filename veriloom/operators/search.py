@@ -5,16 +5,12 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Mapping, Sequence
-from multiprocessing.pool import ThreadPool
 
-from pyspark import inheritable_thread_target
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veriloom.operators.modelling import stratified_folds
+from veriloom.operators.trees import Boosting, Spec, blocks_of, column_cuts
 from veriloom.session import stored
 
 # The ranges searched, and how each is drawn.
@@ -38,36 +34,35 @@ def draw(candidate: int, space: Mapping[str, tuple] = SPACE, seed: int = 42) ->
     return out
 
 
-def _fitted_auc(data: DataFrame, label: str, setting: Mapping, rounds: int, fold: int, seed: int) -> float:
-    weight = F.when(F.col(label) == 1, F.lit(float(setting["positive_weight"]))).otherwise(1.0)
-    gbt = GBTClassifier(labelCol=label, weightCol="_w", maxIter=rounds, stepSize=setting["rate"], maxDepth=setting["depth"],
-                        subsamplingRate=setting["subsample"], featureSubsetStrategy=str(setting["columns"]), seed=seed)
-    model = gbt.fit(data.where(F.col("fold") != fold).withColumn("_w", weight))
-    return BinaryClassificationEvaluator(labelCol=label).evaluate(model.transform(data.where(F.col("fold") == fold)))
+def _spec(setting: Mapping, fold: int, width: int, seed: int) -> Spec:
+    return Spec(setting["depth"], seed, min(width, math.ceil(setting["columns"] * width)), (1.0, float(setting["positive_weight"])),
+                subsample=setting["subsample"], test_fold=fold)
 
 
 def halving_search(df: DataFrame, features: Sequence[str], label: str, key: str, candidates: int = 27, factor: int = 3, rounds: int = 20,
-                   folds: int = 3, space: Mapping[str, tuple] = SPACE, seed: int = 42, parallelism: int = 4) -> DataFrame:
+                   folds: int = 3, space: Mapping[str, tuple] = SPACE, seed: int = 42) -> DataFrame:
     """One row per candidate and rung it reached: its settings, the boosting rounds, the mean area under the ROC curve over the folds, whether it went on.
 
     All candidates run ``rounds`` rounds; the best 1/``factor`` of a rung (ties:
     the smaller number) go on with ``factor`` times as many, until one is
     left. With 27 candidates that is a third of the work of as many full fits a rung.
-    The folds hold an equal share of each label and are assembled and written
-    once; every fit reads only them. Fits run in ``parallelism`` threads of the
-    driver, which holds one number per fit. Every fold needs rows of both labels.
+    The folds hold an equal share of each label and are written once, as ranges of the
+    columns. All fits are boosted side by side, a level of all their trees a pass, and one that
+    goes on starts from the rounds it has. Every fold needs rows of both labels.
     """
     if factor < 2 or candidates < 1 or folds < 2:
         raise ValueError("a search needs a candidate, two folds and a factor of two or more")
     spark = df.sparkSession
-    assembled = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep").transform(df)
-    data = stored(stratified_folds(assembled.select(key, label, "features"), key, label, folds).select(label, "features", "fold"), "folds")
+    folded = stored(stratified_folds(df.select(key, label, *features), key, label, folds).drop(key), "folds")
+    cuts, width = column_cuts(folded, features), len(features)
     settings = {c: draw(c, space, seed) for c in range(candidates)}
     left, rung, rows = list(settings), 0, []
+    fits = [(c, f) for c in left for f in range(folds)]
+    boosting = Boosting(spark, blocks_of(folded, features, label, cuts, "fold"), width, [_spec(settings[c], f, width, seed) for c, f in fits],
+                        [settings[c]["rate"] for c, _ in fits])
     while True:
-        fits = [(c, f) for c in left for f in range(folds)]
-        with ThreadPool(min(parallelism, len(fits))) as pool:
-            scores = pool.map(inheritable_thread_target(spark)(lambda a: _fitted_auc(data, label, settings[a[0]], rounds, a[1], seed)), fits, 1)
+        boosting.run(rounds - boosting.rounds)
+        scores = boosting.areas()
         auc = {c: sum(s for (d, _), s in zip(fits, scores) if d == c) / folds for c in left}
         best = sorted(left, key=lambda c: (-auc[c], c))
         going = set(best[:max(1, len(left) // factor)])
@@ -77,6 +72,10 @@ def halving_search(df: DataFrame, features: Sequence[str], label: str, key: str,
         if len(left) == 1:
             break
         left, rung, rounds = sorted(going), rung + 1, rounds * factor
+        kept = [i for i, (c, _) in enumerate(fits) if c in going]
+        boosting.keep(kept)
+        fits = [fits[i] for i in kept]
+    boosting.close()
     return spark.createDataFrame(rows, RESULT)
 
 
