@@ -90,3 +90,11 @@ def test_lemmas_are_replaced_a_whole_column_at_a_time(spark):
     assert X._replaced(column, forms, lemmas).to_pylist() == want
     assert X._replaced(column.slice(1, 4), forms, lemmas).to_pylist() == want[1:]
     assert X._replaced(column, pa.array([], pa.string()), pa.array([], pa.string())).to_pylist()[1] == ["cats", None]
+
+
+def test_the_text_preprocessor_cleans_each_text_once_to_fit_and_once_to_use(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"good word{i % 3} claim{i % 5} paid") for i in range(40)] + [(40, None)], "id long, text string")
+    calls, tokens = [], X.tokens
+    monkeypatch.setattr(X, "tokens", lambda *a, **k: calls.append(1) or tokens(*a, **k))
+    fitted = X.TextPreprocessor("id", "text", w2v_size=4, topics=2, lda_iter=2).fit(docs)
+    assert fitted.transform(docs).count() == 41 and len(calls) == 2
