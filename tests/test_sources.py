@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
+from veriloom.plans import ingest, load_all
 from veriloom.sources import combine, files, readers, sinks
 
 
@@ -153,3 +154,27 @@ def test_a_file_joined_from_parts_has_every_line_once(spark, tmp_path):
     assert [(k.rsplit("/", 1)[1], n) for k, n in files.list_files(str(tmp_path / "out"))] == [("joined.txt", sum(len(f"é line {i}".encode()) + 1 for i in range(1000)))]
     assert (tmp_path / "out/joined.txt").read_text().splitlines() == [f"é line {i}" for i in range(1000)]
     assert files.list_files(files.write_joined(lines.limit(0), str(tmp_path / "none"))) == [(str(tmp_path / "none/joined.txt"), 0)]
+
+
+def test_every_structured_object_is_summarized(spark, tmp_path):
+    root = str(tmp_path / "in")
+    spark.range(0, 10, 1, 3).withColumn("b", F.lit(1)).write.parquet(f"{root}/orders.parquet")
+    spark.range(0).write.parquet(f"{root}/none.parquet")
+    spark.range(7).write.json(f"{root}/deep/e.json")
+    (tmp_path / "in/a[1].CSV").write_text("x,y,z\n1,2,3\n4,5,6\n")
+    (tmp_path / "in/a1.CSV").write_text("x\n1\n")
+    (tmp_path / "in/bad.parquet").write_text("not a table")
+    (tmp_path / "in/note.txt").write_text("text")
+    (tmp_path / "in/c.zip").write_text("x")
+    out = readers.summarize_objects(spark, readers.list_objects(spark, root, tables=True))
+    got = {r["file_name"]: (r["processing_status"], r["rows"], r["columns"]) for r in out.where("extension <> 'crc'").collect()}
+    assert got == {"orders.parquet": ("success", 10, 2), "none.parquet": ("success", 0, 1), "e.json": ("success", 7, 1), "a[1].CSV": ("success", 2, 3),
+                   "a1.CSV": ("success", 1, 1), "bad.parquet": ("error", None, None), "note.txt": ("success", None, None), "c.zip": ("unsupported", None, None)}
+    assert out.where("processing_status = 'error'").first()["error_message"]
+
+
+def test_the_format_router_counts_every_table(spark, tmp_path):
+    for i, t in enumerate(ingest.LISTED):
+        spark.range(i).select(*[F.col("id").alias(f"c{j}") for j in range(1 + i % 3)]).write.parquet(str(tmp_path / f"{t}.parquet"))
+    out = load_all().QUERIES["src_format_router"](spark, str(tmp_path))
+    assert rows(out, "rows") == [(f"{t}.parquet", "structured", "success", i, 1 + i % 3) for i, t in enumerate(ingest.LISTED)]

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +22,8 @@ STRUCTURED = ("csv", "json", "parquet", "xlsx", "xls")
 UNSTRUCTURED = ("pdf", "txt", "doc", "docx", "jpg", "jpeg", "png", "tiff")
 READABLE = {"csv": "csv", "json": "json", "parquet": "parquet"}
 FETCH_SIZE = 10_000
+#: Objects that are read side by side.
+READ_AT_ONCE = 8
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, **options) -> DataFrame:
@@ -175,3 +179,25 @@ def file_summary(df: DataFrame, root: str | None = None) -> DataFrame:
     name = F.col("_metadata.file_name") if root is None else F.element_at(F.split(table_key(F.col("_metadata.file_path"), root), "/"), -1)
     return (df.groupBy(name.alias("file_name"))
             .agg(F.count(F.lit(1)).alias("rows")).withColumn("columns", F.lit(len(df.columns))))
+
+
+def summarize_objects(spark: SparkSession, listing: DataFrame) -> DataFrame:
+    """A routed listing with the rows and columns of every object that has a structured reader.
+
+    Each of them is read, a few at a time. One that cannot be read has the
+    status 'error', the message and no numbers; the others are not touched by it.
+    """
+    found = listing.where(F.col("extension").isin(*READABLE)).select("key", "extension").collect()  # a row per object
+
+    def counted(key: str, kind: str) -> tuple:
+        try:
+            df = read_structured(spark, re.sub(r"([\[\]{}*?\\])", r"\\\1", key), READABLE[kind])  # a name is no pattern
+            return key, df.count(), len(df.columns), None
+        except Exception as error:  # whatever reading raises is that object's result
+            return key, None, None, f"{type(error).__name__}: {error}"
+
+    with ThreadPool(READ_AT_ONCE) as pool:
+        read = pool.starmap(inheritable_thread_target(spark)(counted), [tuple(r) for r in found])
+    counts = spark.createDataFrame(read, "key string, rows long, columns int, error_message string")
+    status = F.when(F.col("error_message").isNotNull(), "error").otherwise(F.col("processing_status"))
+    return route_formats(listing).join(counts, "key", "left").withColumn("processing_status", status)
