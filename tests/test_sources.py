@@ -178,3 +178,46 @@ def test_the_format_router_counts_every_table(spark, tmp_path):
         spark.range(i).select(*[F.col("id").alias(f"c{j}") for j in range(1 + i % 3)]).write.parquet(str(tmp_path / f"{t}.parquet"))
     out = load_all().QUERIES["src_format_router"](spark, str(tmp_path))
     assert rows(out, "rows") == [(f"{t}.parquet", "structured", "success", i, 1 + i % 3) for i, t in enumerate(ingest.LISTED)]
+
+
+def _line_table(spark, tmp_path, n):
+    lines = spark.range(n).select(F.concat(F.lit("é "), F.repeat(F.lit("word "), 200), "id").alias("text"))
+    lines.write.parquet(str(tmp_path / "documents.parquet"))
+    return lines.agg(F.sum(F.length("text") + 1)).first()[0]
+
+
+def test_a_range_that_fails_is_no_total(spark, tmp_path, monkeypatch):
+    characters, query = _line_table(spark, tmp_path, 1000), load_all().QUERIES["src_text_ranges"]
+    assert rows(query(spark, str(tmp_path))) == [("utf-8", characters, 202 * 1000, 1000, 1, True)]
+
+    def broken(key, start, data):
+        if start:
+            raise ValueError("no second range")
+        return [("utf-8", len(data.decode()), 1, 1)]
+
+    monkeypatch.setattr(ingest, "_utf8_counts", broken)
+    with pytest.raises(Exception, match="no second range"):
+        query(spark, str(tmp_path)).collect()
+
+
+def test_a_file_that_is_not_utf8_in_one_range_is_latin1_as_a_whole(spark, tmp_path, monkeypatch):
+    _line_table(spark, tmp_path, 1000)
+    joined = files.write_joined
+
+    def with_a_byte(df, path):
+        joined(df, path)
+        with open(f"{path}/joined.txt", "ab") as out:
+            out.write(b"\xe9\n")
+
+    monkeypatch.setattr(files, "write_joined", with_a_byte)
+    size = sum(len(f"é {'word ' * 200}{i}\n".encode()) for i in range(1000)) + 2
+    assert rows(load_all().QUERIES["src_text_ranges"](spark, str(tmp_path))) == [("latin-1", size, 202 * 1000 + 1, 1001, 1, True)]
+
+
+def test_a_file_that_has_become_shorter_is_an_error(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("line\n" * 100)
+    ranges = files.read_files(spark, str(tmp_path), files.text_counts, "e string, c long, w long, n long", range_bytes=100)
+    real = files.plan_ranges([(str(tmp_path / "a.txt"), 700)], 100, False)
+    reader = files._Reader(str(tmp_path), (), 100, False, files.text_counts, 4)
+    status = [row[3] for task in real for row in reader.read(task)]
+    assert status == ["success"] * 5 + ["error"] * 2 and files.all_read(ranges).count() == 5

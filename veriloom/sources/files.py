@@ -116,6 +116,8 @@ class _Reader(DataSourceReader):
                 system, _ = _file_system(self.path)
                 with system.open_input_file(path) as handle:
                     length = handle.size()
+                    if length < end:
+                        raise EOFError(f"{length} bytes, {end} or more when the file was listed")
                     if self.whole:
                         data = handle.read()
                     else:
@@ -215,6 +217,15 @@ def text_counts(key: str, start: int, data: bytes) -> list[tuple]:
     return [(encoding, len(text), len(text.split()), text.count("\n"))]
 
 
+def all_read(ranges: DataFrame) -> DataFrame:
+    """The ranges if all of them were read; a job over them fails with the message of one that was not.
+
+    For totals, which without the rows of a failed range would look like those of the whole file.
+    """
+    message = F.concat_ws(" ", F.col("key"), F.lit("at byte"), F.col("start"), F.lit("failed:"), F.col("error_message"))
+    return ranges.where(F.when(F.col("processing_status") == "error", F.raise_error(message).cast("boolean")).otherwise(True))
+
+
 def file_status(ranges: DataFrame) -> DataFrame:
     """One row per file: its ranges and bytes, 'error' if any range failed, and the first message."""
     failed = F.col("processing_status") == "error"
