@@ -41,3 +41,14 @@ def test_a_fit_makes_no_pass_of_its_own_beyond_its_rounds(spark, monkeypatch):
     df = spark.range(100).select((F.col("id") / 50.0 - 1).alias("a"), (F.col("id") >= 50).cast("double").alias("label"))
     M.train_network(df, ["a"], "label", hidden=(3,), rounds=4)
     assert 5 <= len(passes) <= 30 and set(passes) == {100}
+
+
+def test_a_pass_moves_blocks_and_no_single_rows(spark, monkeypatch):
+    """Of 100 rows in one file, blocks of 30 are four."""
+    written, real = {}, N.stored
+    monkeypatch.setattr(N, "ROWS", 30)
+    monkeypatch.setattr(N, "stored", lambda df, name: written.setdefault(name, real(df, name)))
+    df = spark.range(0, 100, 1, 1).select((F.col("id") / 50.0 - 1).alias("a"), (F.col("id") >= 50).cast("double").alias("label"))
+    model = M.train_network(df, ["a"], "label", hidden=(3,), rounds=30)
+    assert written["inputs"].count() == 100 and written["blocks"].count() == 4
+    assert model.transform(df).where("prediction = label").count() > 95
