@@ -1,5 +1,7 @@
 """Word vectors in pieces: every word has one, related words are near, and copies of a table need no more of a task."""
 
+import glob
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 
 from veriloom.operators import text as X
 from veriloom.operators import wordvec as V
+from veriloom.session import shared_dir
 
 SIZE = 20
 
@@ -98,3 +101,39 @@ def test_the_text_preprocessor_cleans_each_text_once_to_fit_and_once_to_use(spar
     monkeypatch.setattr(X, "tokens", lambda *a, **k: calls.append(1) or tokens(*a, **k))
     fitted = X.TextPreprocessor("id", "text", w2v_size=4, topics=2, lda_iter=2).fit(docs)
     assert fitted.transform(docs).count() == 41 and len(calls) == 2
+
+
+def test_waves_give_the_same_vectors_and_leave_no_sums_behind(spark, texts, monkeypatch):
+    """Eight pieces in one wave or in three: the vectors are the same, and what a wave left on disk is gone."""
+    def left():
+        return {p for name in ("sums", "known", "rows", "packed") for p in glob.glob(f"{shared_dir(spark).removeprefix('file:')}/{name}-*")}
+
+    one = {r["word"]: np.array(r["v"]) for r in X.fit_word2vec(texts, "tok", size=SIZE, parts=8, max_iter=2).vectors.collect()}
+    before, stored, waves = left(), V.stored, []
+    monkeypatch.setattr(V, "WAVE_PIECES", 3)
+    monkeypatch.setattr(V, "WAVE_PER_CORE", 0)
+    monkeypatch.setattr(V, "stored", lambda df, name, *by: waves.append(name) or stored(df, name, *by))
+    model = X.fit_word2vec(texts, "tok", size=SIZE, parts=8, max_iter=2)
+    three = {r["word"]: np.array(r["v"]) for r in model.vectors.collect()}
+    assert waves.count("sums") == 6 and left() == before
+    assert set(one) == set(three) and all(np.allclose(one[w], three[w], atol=1e-4) for w in one)
+    out = {r["id"]: r["w2v"].toArray() for r in model.transform(texts, "tok").collect()}
+    assert len(out) == 403 and out[0].any() and not out[400].any()
+
+
+def test_each_piece_of_a_wave_has_a_task_of_its_own(spark):
+    for n in (1, 7, 24):
+        keys = V._keys(spark, n)
+        made = spark.createDataFrame([(k,) for k in keys], "k long").repartition(n, "k").select(F.spark_partition_id().alias("p"))
+        assert made.distinct().count() == n == len(set(keys))
+
+
+def test_repeats_are_added_in_either_way(monkeypatch):
+    rng = np.random.default_rng(0)
+    ids, rows = rng.integers(0, 5, 40), rng.normal(size=(40, 3)).astype(np.float32)
+    want = [rows[ids == i].sum(axis=0) for i in range(5)]
+    for repeats in (0, 100):
+        monkeypatch.setattr(V, "REPEATS", repeats)
+        at, sums = V._sums_by(ids, rows)
+        assert at.tolist() == [0, 1, 2, 3, 4] and np.allclose(sums, want, atol=1e-5)
+    assert [len(x) for x in V._sums_by(ids[:0], rows[:0])] == [0, 0]
