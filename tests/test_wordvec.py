@@ -137,3 +137,18 @@ def test_repeats_are_added_in_either_way(monkeypatch):
         at, sums = V._sums_by(ids, rows)
         assert at.tolist() == [0, 1, 2, 3, 4] and np.allclose(sums, want, atol=1e-5)
     assert [len(x) for x in V._sums_by(ids[:0], rows[:0])] == [0, 0]
+
+
+def test_word_vectors_are_made_before_there_are_features_to_move(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"good word{i % 3} claim{i % 5} paid") for i in range(40)], "id long, text string")
+    moved, transform = [], V.WordVectors.transform
+    monkeypatch.setattr(V.WordVectors, "transform", lambda self, df, *a: moved.append(df.columns) or transform(self, df, *a))
+    out = X.TextPreprocessor("id", "text", w2v_size=4, topics=2, lda_iter=2).fit(docs).transform(docs)
+    assert moved == [["id", "text", "tok"]]
+    assert out.columns[:3] == ["id", "tfidf", "text_length"] and out.columns[-2:] == ["topic_0", "topic_1"] and "w2v_dim_3" in out.columns
+
+
+def test_words_are_counted_without_a_pattern(spark):
+    texts = ["", " ", "a", " a\tb\u00a0c  d\u3000", "x\x1cy\x85z\u2028", "\u200b one", None]
+    got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, t string").orderBy("id").select(X.word_count("t")).collect()]
+    assert got == [0, 0, 1, 4, 3, 2, None]
